@@ -5,8 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .jaccard_join import jaccard_components
+from .packing import pack, piece_digests
+from .rans import read_ids, write_ids
+from .shared import shared_dir
 from .substring_dedup import remove_repeats
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -30,3 +34,15 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(_table(spark, sf_dir, "documents"))
+
+
+@_query
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_digests(pack(_table(spark, sf_dir, "documents")))
+
+
+@_query
+def op8_rans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = shared_dir(spark, "op8")
+    found = read_ids(spark, folder, write_ids(_table(spark, sf_dir, "documents"), folder))
+    return found.select("doc_id", "start", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
