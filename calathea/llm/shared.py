@@ -5,7 +5,9 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Iterable
+from pathlib import Path
 
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
@@ -58,9 +60,19 @@ def column(df: DataFrame, name: str):
     return F.col(f"`{name}`")
 
 
-def key_text(name: str, default: str) -> str:
-    return os.environ.get(name, default)
+_shipped: set[str] = set()
 
 
-def shuffle_parts(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+def ship(spark: SparkSession) -> None:
+    """Make the package importable on executors that don't start beside it or with it on their path."""
+    root = Path(__file__).resolve().parents[2]
+    app = spark.sparkContext.applicationId
+    if app in _shipped or os.getcwd() == str(root) or str(root) in os.environ.get("PYTHONPATH", "").split(os.pathsep):
+        return
+    with tempfile.TemporaryDirectory() as folder:
+        name = os.path.join(folder, f"{root.name}-calathea.zip")
+        with zipfile.ZipFile(name, "w") as z:
+            for f in (root / "calathea").rglob("*.py"):
+                z.write(f, f.relative_to(root))
+        spark.sparkContext.addPyFile(name)
+    _shipped.add(app)
