@@ -15,6 +15,7 @@ from .quality import assess
 from .rans import read_ids, write_ids
 from .shared import shared_dir, ship
 from .substring_dedup import remove_repeats
+from .surrogates import replace
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -65,3 +66,10 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
+
+SURROGATE_KEY = "change this key and keep it secret"
+
+
+@_query
+def op2_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return replace(_table(spark, sf_dir, "documents").select("doc_id", "text"), SURROGATE_KEY, count_col="n_findings")
