@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import warc
 from .jaccard_join import jaccard_components
 from .mixing import mix
 from .packing import pack, piece_digests
@@ -73,3 +74,20 @@ SURROGATE_KEY = "change this key and keep it secret"
 @_query
 def op2_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return replace(_table(spark, sf_dir, "documents").select("doc_id", "text"), SURROGATE_KEY, count_col="n_findings")
+
+
+@_query
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archives = warc.write(_table(spark, sf_dir, "pages"), shared_dir(spark, "op4"))
+    found = warc.read(archives).where("kind <> 'gap'")
+    return found.select("page_id", "payload_bytes", "payload_digest", F.col("kind").alias("record_type"), "refers_to")
+
+
+ORACLES["op4_warc"] = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+     d AS (SELECT page_id, octet_length(b) AS n, sha1(b) AS h FROM p),
+     f AS (SELECT *, CASE WHEN n >= 1000 THEN max(page_id) OVER (PARTITION BY h) ELSE page_id END AS first FROM d)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, h AS payload_digest,
+       CASE WHEN first = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN first <> page_id THEN first END AS refers_to
+FROM f"""
