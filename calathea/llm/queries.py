@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import warc
+from .ann import search
 from .jaccard_join import jaccard_components
 from .mixing import mix
 from .packing import pack, piece_digests
@@ -91,3 +92,8 @@ SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, h AS payload_digest,
        CASE WHEN first = page_id THEN 'response' ELSE 'revisit' END AS record_type,
        CASE WHEN first <> page_id THEN first END AS refers_to
 FROM f"""
+
+
+@_query
+def op3_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(_table(spark, sf_dir, "embeddings"))
