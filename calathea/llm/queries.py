@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from . import warc
 from .ann import search
 from .jaccard_join import jaccard_components
+from .lm import score
 from .mixing import mix
 from .packing import pack, piece_digests
 from .quality import assess
@@ -97,3 +98,8 @@ FROM f"""
 @_query
 def op3_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(_table(spark, sf_dir, "embeddings"))
+
+
+@_query
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score(_table(spark, sf_dir, "documents"))
