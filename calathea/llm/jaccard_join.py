@@ -1,13 +1,16 @@
 """N-gram Jaccard join: which documents' shingle sets overlap enough, and the components that the links make.
 
-Method. Documents with equal sets form one class. Each class enters the incidence matrix (document by n-gram)
-with the columns of its prefix only: of n shingles the first n - ceil(0.75 n) + 1 in one order for all documents,
-frequent shingles last; two sets that reach the threshold share such a column. The columns are dealt into blocks;
-in a block each column's documents are tied to the smallest of matching size, and the columns of three or more are
-kept as lists. Tied pairs are then multiplied out over all their n-grams, block by block, overlap counts are
-accumulated and pairs under the size-derived bound dropped. A second round multiplies out every pair of a list
-that the links so far leave in different components, so no link between components is missed, and pairs inside
-one are never spelled out. The order of frequency is a heuristic bounded at FREQUENT entries; results don't depend on it.
+Method. Documents with equal sets form one class, and one row of the incidence matrix (set by n-gram). First, of large
+sets a fixed share of columns enters, chosen by hash; overlap counts accumulate over blocks of columns, and sets whose
+count is below the bound that their size gives are discarded (a linked pair falls under it with a probability of at
+most MISS; sets of up to 96 shingles enter whole and can't). Then the sets left enter whole: with m columns shared
+with another and the bound t = ceil(0.75 n), sets of m < t go, and of the others only the m - t + 1 rarest columns need
+be looked at. Sets alike in their shared columns overlap alike with all others, so their smallest stands for them, and
+its links reach the others as far as their sizes allow. Blocks of the columns tie each
+column's sets to the one of matching size with the fewest columns of its own, and keep the columns of three
+or more sets as lists. Tied pairs are multiplied out over all their n-grams, block by block, and pairs under the
+threshold dropped. A second round multiplies out every pair of a list that the links so far leave in different
+components, so no link between components is missed, and the pairs inside one are never spelled out.
 
 Defined results: a null or wordless text has n_shingles 0 and is a component of itself; a text with fewer words
 than a shingle is one shingle; equal rows are in one class; a null id keeps its row, with a null component unless
@@ -23,16 +26,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import bloom
 from . import words as wd
 from .graph import components
 from .shared import column, cut
 
-FREQUENT = 1 << 16
-LOCAL_FREQUENT = 8
-COUNT_SPAN = 4_000_000
-BLOCK_POSTINGS = 1_500_000
+SHARE_STEPS = (96, 300, 1_200, 5_000)
+MISS = 1e-12
+BLOCK_POSTINGS = 800_000
 BLOCK_EDGES = 2_000
-BLOOM_BITS = 1 << 23
+BLOBS = "block long, blob binary"
 _U = np.uint64
 
 
@@ -70,93 +73,164 @@ def _signature(d: np.ndarray, h: np.ndarray, docs: int) -> tuple[np.ndarray, np.
     return n, s1.view(np.int64), s2.view(np.int64)
 
 
-PROFILE = "doc_id long, n long, s1 long, s2 long, heavy binary"
+def sampled_share(n: np.ndarray) -> np.ndarray:
+    """log2 of one over the share of a set's columns that enters the matrix, by set size; small sets enter whole."""
+    return np.searchsorted(np.array(SHARE_STEPS), n)
 
 
-def _profile(size: int) -> Callable:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, count, seen = [], 0, set()
+def least_overlap(n: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Size-derived bound: common entered columns that a set of size n has with any it links to.
+
+    A linked pair has at least ceil(num/den n) common columns. Columns enter by hash, so the entered ones follow a
+    binomial; the bound is its tail at MISS, by Chernoff. Where all columns enter it is the overlap itself.
+    """
+    sizes, back = np.unique(n, return_inverse=True)
+    common = -(-num * sizes // den)
+    share = 0.5 ** sampled_share(den * sizes // num)
+    low, high = np.ones(len(sizes)), np.maximum(1.0, np.floor(common * share))
+    while (high - low > 0.5).any():  # the largest t with P(X < t) <= MISS
+        t = np.ceil((low + high) / 2)
+        q = np.clip((t - 1) / np.maximum(common, 1), 1e-12, 1 - 1e-12)
+        p = np.clip(share, 1e-12, 1 - 1e-12)
+        ok = common * (q * np.log(q / p) + (1 - q) * np.log((1 - q) / (1 - p))) >= -np.log(MISS)
+        low, high = np.where(ok, t, low), np.where(ok, high, t - 1)
+    return np.where(share == 1, common, low).astype(np.int64)[back]
+
 
-        def heavy() -> pa.RecordBatch:
-            h, df = np.unique(np.concatenate(held), return_counts=True)
-            h, df = h[df >= LOCAL_FREQUENT], df[df >= LOCAL_FREQUENT]
-            blob = np.stack([h.view(np.int64), df.astype(np.int64)]).tobytes()
-            none = pa.nulls(1, pa.int64())
-            return pa.record_batch([none, none, none, none, pa.array([blob], pa.binary())], names=["doc_id", "n", "s1", "s2", "heavy"])
+PROFILE = "doc_id long, n long, s1 long, s2 long"
 
+
+def _profile(size: int) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts = []
-            for g in wd.groups(batch.column(1), lower=True):
-                d, h = shingle_sets(g, size)
-                parts.append(sig := _signature(d, h, g.docs))
-                own = np.array([s not in seen and not seen.add(s) for s in sig[1].tolist()], bool)
-                held.append(h[own[d]])
-                count += len(held[-1])
-                if count > COUNT_SPAN:
-                    yield heavy()
-                    held, count, seen = [], 0, set()
+            parts = [_signature(*shingle_sets(g, size), g.docs) for g in wd.groups(batch.column(1), lower=True)]
             if parts:
                 n, s1, s2 = (np.concatenate(x) for x in zip(*parts, strict=True))
-                yield pa.record_batch([batch.column(0), pa.array(n), pa.array(s1), pa.array(s2), pa.nulls(len(n), pa.binary())], names=["doc_id", "n", "s1", "s2", "heavy"])
-        if count:
-            yield heavy()
+                yield pa.record_batch([batch.column(0), pa.array(n), pa.array(s1), pa.array(s2)], names=["doc_id", "n", "s1", "s2"])
 
     return run
 
 
-def _explode_heavy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for blob in batch.column(0).to_pylist():
-            h, df = np.frombuffer(blob, np.int64).reshape(2, -1)
-            yield pa.record_batch({"h": pa.array(h), "df": pa.array(df)})
+def _deal(key: np.ndarray, blocks: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(block, entries dealt to it) by the upper half of 64-bit keys."""
+    block = ((key >> _U(32)) * _U(blocks)) >> _U(32)
+    order = np.argsort(block, kind="stable")
+    edges = np.searchsorted(block[order], np.arange(blocks + 1).astype(_U))
+    for k in np.flatnonzero(np.diff(edges)):
+        yield int(k), order[edges[k] : edges[k + 1]]
+
+
+_BLOCK = pa.schema([("block", pa.int64()), ("blob", pa.binary())])
+
+
+def _blocks(rows: list[tuple[int, bytes]]) -> pa.Table:
+    return pa.table([pa.array([k for k, _ in rows], pa.int64()), pa.array([x for _, x in rows], pa.binary())], schema=_BLOCK)
 
 
-def _prefix_keys(h: np.ndarray, frequent: np.ndarray, ranks: np.ndarray) -> np.ndarray:
-    """Keys whose order is that of the prefixes: half the hash, or for frequent shingles a rank above all."""
-    key = h >> _U(1)
-    if len(frequent):
-        at = np.minimum(np.searchsorted(frequent, h), len(frequent) - 1)
-        hit = frequent[at] == h
-        key[hit] = _U(1 << 63) + ranks[at[hit]]
-    return key
+def _postings(size: int, blocks: int, filled: np.ndarray | None = None) -> Callable:
+    """Columns of each distinct set of a batch that enter the matrix, dealt into blocks of columns.
 
+    With a filter of ids, all columns of those documents."""
 
-def _postings(size: int, num: int, den: int, frequent: np.ndarray, ranks: np.ndarray, blocks: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             toks, docs, sigs, sizes, base, seen = [], [], [], [], 0, set()
-            for g in wd.groups(batch.column(1), lower=True):
+            texts = batch.column(1) if filled is None else batch.column(1).filter(pa.array(bloom.test(filled, batch.column(0))))
+            for g in wd.groups(texts, lower=True):
                 d, h = shingle_sets(g, size)
                 n, s1, _ = _signature(d, h, g.docs)
                 own = np.array([s not in seen and not seen.add(s) for s in s1.tolist()], bool)
-                keep = own[d]
-                d, h = d[keep], h[keep]
-                key = _prefix_keys(h, frequent, ranks)
-                order = np.argsort(key)
-                d, key = d[order], key[order]
-                order = np.argsort(d, kind="stable")
-                d, key = d[order], key[order]
-                rank = np.arange(len(d)) - np.searchsorted(d, np.arange(g.docs))[d]
-                keep = rank < (n - (num * n + den - 1) // den + 1)[d]
-                toks.append(wd.mix(key[keep]))
+                tok, share = wd.mix(h), sampled_share(n) if filled is None else np.zeros(g.docs, np.int64)
+                keep = own[d] & ((share == 0)[d] | (tok >> (_U(64) - np.maximum(1, share).astype(_U)[d]) == 0))
+                toks.append(wd.mix(tok[keep]))
                 docs.append(d[keep] + base)
                 sigs.append(s1)
                 sizes.append(n)
                 base += g.docs
-            if not toks:
-                continue
-            tok, doc = np.concatenate(toks), np.concatenate(docs)
-            sig, n = np.concatenate(sigs), np.concatenate(sizes)
-            block = ((tok >> _U(32)) * _U(blocks)) >> _U(32)
-            order = np.argsort(block, kind="stable")
-            edges = np.searchsorted(block[order], np.arange(blocks + 1).astype(_U))
-            out_k, out_b = [], []
-            for k in np.flatnonzero(np.diff(edges)):
-                at = order[edges[k] : edges[k + 1]]
-                own, ref = np.unique(doc[at], return_inverse=True)
-                out_k.append(int(k))
-                out_b.append(_pack(tok[at], ref, sig[own], n[own]))
-            yield pa.record_batch({"block": pa.array(out_k, pa.int64()), "blob": pa.array(out_b, pa.binary())})
+            if toks:
+                tok, doc, sig, n = (np.concatenate(x) for x in (toks, docs, sigs, sizes))
+                out = []
+                for k, at in _deal(tok, blocks):
+                    own, ref = np.unique(doc[at], return_inverse=True)
+                    out.append((k, _pack(tok[at], ref, sig[own], n[own])))
+                yield from _blocks(out).to_batches()
+
+    return run
+
+
+def _shared(blocks: int) -> Callable:
+    """Of a block of columns: those of two sets or more, dealt back by set, with each column's count."""
+
+    def run(table: pa.Table) -> pa.Table:
+        tok, sig, n = _columns(table)
+        if not len(tok):
+            return _BLOCK.empty_table()
+        head = np.append(True, tok[1:] != tok[:-1])
+        count = np.diff(np.append(np.flatnonzero(head), len(tok)))[np.cumsum(head) - 1].astype("<u4")
+        return _blocks([(k, np.array([len(at)]).tobytes() + tok[at].tobytes() + sig[at].tobytes() + n[at].tobytes() + count[at].tobytes()) for k, at in _deal(wd.mix(sig.view(_U)), blocks)])
+
+    return run
+
+
+def _by_set(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(column, set, its size, first row of each set, rows of each set), rarest columns first within a set."""
+    parts = [[], [], [], []]
+    for blob in table.column("blob").to_pylist():
+        (k,), at = np.frombuffer(blob, np.int64, 1), 8
+        for out, kind in zip(parts, ("<u8", "<i8", "<i8", "<u4"), strict=True):
+            out.append(np.frombuffer(blob, kind, k, at))
+            at += out[-1].nbytes
+    tok, sig, n, count = (np.concatenate(x) for x in parts)
+    order = np.lexsort((tok, count, sig))
+    tok, sig, n = tok[order], sig[order], n[order]
+    starts = np.flatnonzero(np.append(True, sig[1:] != sig[:-1]))
+    return tok, sig, n, starts, np.diff(np.append(starts, len(sig)))
+
+
+def _dense(num: int, den: int) -> Callable:
+    """Of a block of sets: those whose count of shared entered columns reaches the bound of their size."""
+
+    def run(table: pa.Table) -> pa.Table:
+        _, sig, n, starts, m = _by_set(table)
+        return pa.table({"s1": pa.array(sig[starts][m >= least_overlap(n[starts], num, den)])})
+
+    return run
+
+
+SETS = "sig long, n long, m long, likeness long, posted binary"
+
+
+def _rarest(num: int, den: int) -> Callable:
+    """Of a block of whole sets: with m shared columns and the bound t, those under it go, and of the others one of
+    the m - t + 1 rarest columns is common to any that it links to. Likeness is a hash of the shared columns."""
+
+    def run(table: pa.Table) -> pa.Table:
+        tok, sig, n, starts, m = _by_set(table)
+        if not len(tok):
+            return pa.table([pa.nulls(0, pa.int64())] * 4 + [pa.nulls(0, pa.binary())], names=["sig", "n", "m", "likeness", "posted"])
+        likeness = wd.mix(np.add.reduceat(wd.mix(tok), starts) + m.astype(_U)).view(np.int64)
+        posted = m - -(-num * n[starts] // den) + 1
+        keep = np.flatnonzero(posted > 0)
+        cols = [tok[starts[k] : starts[k] + posted[k]].astype("<u8").tobytes() for k in keep]
+        return pa.table({"sig": pa.array(sig[starts][keep]), "n": pa.array(n[starts][keep]), "m": pa.array(m[keep]), "likeness": pa.array(likeness[keep]), "posted": pa.array(cols, pa.binary())})
+
+    return run
+
+
+def _repost(blocks: int) -> Callable:
+    """The posted columns of sets dealt into blocks; a set's size field holds n and, above 32 bits, m."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sig, n, m = (batch.column(k).to_numpy() for k in range(3))
+            cols = [np.frombuffer(x, "<u8") for x in batch.column(3).to_pylist()]
+            if cols:
+                tok, doc = np.concatenate(cols), np.repeat(np.arange(len(cols)), list(map(len, cols)))
+                out = []
+                for k, at in _deal(tok, blocks):
+                    own, ref = np.unique(doc[at], return_inverse=True)
+                    out.append((k, _pack(tok[at], ref, sig[own], n[own] | m[own] << 32)))
+                yield from _blocks(out).to_batches()
 
     return run
 
@@ -164,56 +238,68 @@ def _postings(size: int, num: int, den: int, frequent: np.ndarray, ranks: np.nda
 def _pack(tok: np.ndarray, ref: np.ndarray, sig: np.ndarray, n: np.ndarray) -> bytes:
     head = np.array([len(tok), len(sig)], np.int64).tobytes()
     low = tok & _U(0xFFFFFFFFFFFF)
-    return b"".join([head, (low & _U(0xFFFFFFFF)).astype("<u4").tobytes(), (low >> _U(32)).astype("<u2").tobytes(), ref.astype("<u4" if len(sig) > 65535 else "<u2").tobytes(), sig.astype("<i8").tobytes(), n.astype("<i4").tobytes()])
+    return b"".join([head, (low & _U(0xFFFFFFFF)).astype("<u4").tobytes(), (low >> _U(32)).astype("<u2").tobytes(), ref.astype("<u4" if len(sig) > 65535 else "<u2").tobytes(), sig.astype("<i8").tobytes(), n.astype("<i8").tobytes()])
 
 
 def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     t, s = np.frombuffer(blob, np.int64, 2)
     at, out = 16, []
-    for kind, k in (("<u4", t), ("<u2", t), ("<u4" if s > 65535 else "<u2", t), ("<i8", s), ("<i4", s)):
+    for kind, k in (("<u4", t), ("<u2", t), ("<u4" if s > 65535 else "<u2", t), ("<i8", s), ("<i8", s)):
         out.append(np.frombuffer(blob, kind, k, at))
         at += out[-1].nbytes
     low, high, ref, sig, n = out
-    return low.astype(_U) | high.astype(_U) << _U(32), sig[ref], n[ref].astype(np.int64)
-
-
-TIES = "a long, b long, na long, nb long, list long, sigs binary"
-_TIES = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("na", pa.int64()), ("nb", pa.int64()), ("list", pa.int64()), ("sigs", pa.binary())])
+    return low.astype(_U) | high.astype(_U) << _U(32), sig[ref], n[ref]
 
 
-def _ties(num: int, den: int) -> Callable:
-    """Of a block of columns: the tied pairs, and each distinct list of three or more documents once."""
-
-    def run(table: pa.Table) -> pa.Table:
-        parts = [_unpack(x) for x in table.column("blob").to_pylist()]
-        tok, sig, n = (np.concatenate(x) for x in zip(*parts, strict=True))
-        order = np.argsort(tok, kind="stable")
+def _columns(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(column, set, its size field) of a block's columns that two sets or more have, by column, size and set."""
+    parts = [_unpack(x) for x in table.column("blob").to_pylist()]
+    tok, sig, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.argsort(tok, kind="stable")
+    for _ in range(2):
         same = tok[order][1:] == tok[order][:-1]
         shared = np.zeros(len(tok), bool)
         shared[1:] |= same
         shared[:-1] |= same
         at = order[shared]
         tok, sig, n = tok[at], sig[at], n[at]
-        order = np.lexsort((sig, n, tok))
+        order = np.lexsort((sig, n & 0xFFFFFFFF, tok))
         tok, sig, n = tok[order], sig[order], n[order]
         new = np.ones(len(tok), bool)
         new[1:] = (tok[1:] != tok[:-1]) | (sig[1:] != sig[:-1])
         tok, sig, n = tok[new], sig[new], n[new]
+        order = np.arange(len(tok))
+    return tok, sig, n
+
+
+TIES = "a long, b long, na long, nb long, list long, sigs binary"
+_TIES = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("na", pa.int64()), ("nb", pa.int64()), ("list", pa.int64()), ("sigs", pa.binary())])
+
+
+def _ties(num: int, den: int) -> Callable:
+    """Of a block of columns: the tied pairs, and each distinct list of three or more sets once."""
+
+    def run(table: pa.Table) -> pa.Table:
+        tok, sig, n = _columns(table)
         if not len(tok):
             return _TIES.empty_table()
+        n, m = n & 0xFFFFFFFF, n >> 32
+        order = np.lexsort((sig, n, -m / n, tok))  # those with the fewest columns of their own lead
+        tok, sig, n, m = tok[order], sig[order], n[order], m[order]
         head = np.ones(len(tok), bool)
         head[1:] = tok[1:] != tok[:-1]
         starts = np.flatnonzero(head)
         run_of = np.cumsum(head) - 1
         lead = starts[run_of]
-        while True:  # those too large for their leader follow the first such one of their run
-            far = np.flatnonzero(num * n > den * n[lead])
+        while True:  # those too large or small for their leader follow the first such one of their run
+            far = np.flatnonzero(num * np.maximum(n, n[lead]) > den * np.minimum(n, n[lead]))
             if not len(far):
                 break
             first = np.ones(len(far), bool)
             first[1:] = run_of[far[1:]] != run_of[far[:-1]]
             lead[far] = far[first][np.cumsum(first) - 1]
-        tied = np.flatnonzero(lead != np.arange(len(tok)))
+        least = np.minimum(m, m[lead])
+        tied = np.flatnonzero((lead != np.arange(len(tok))) & (den * least >= num * (n + n[lead] - least)))
         pair = np.unique(np.stack([sig[lead[tied]], sig[tied], n[lead[tied]], n[tied]]), axis=1) if len(tied) else np.zeros((4, 0), np.int64)
         lengths = np.diff(np.append(starts, len(tok)))
         lists, known = [], set()
@@ -222,7 +308,7 @@ def _ties(num: int, den: int) -> Callable:
             if (x := int(prints[k])) not in known:
                 known.add(x)
                 s = slice(starts[k], starts[k] + lengths[k])
-                lists.append((x, np.stack([sig[s], n[s]]).tobytes()))
+                lists.append((x, np.stack([sig[s], n[s], m[s]]).tobytes()))
         blank = lambda k, t=pa.int64(): pa.nulls(k, t)
         p, q = pair.shape[1], len(lists)
         return pa.concat_tables([
@@ -236,8 +322,8 @@ def _ties(num: int, den: int) -> Callable:
 def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for x, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            sig, n = np.frombuffer(blob, np.int64).reshape(2, -1)
-            yield pa.record_batch({"list": pa.array(np.full(len(sig), x)), "sig": pa.array(sig), "n": pa.array(n)})
+            sig, n, m = np.frombuffer(blob, np.int64).reshape(3, -1)
+            yield pa.record_batch({"list": pa.array(np.full(len(sig), x)), "sig": pa.array(sig), "n": pa.array(n), "m": pa.array(m)})
 
 
 _PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("na", pa.int64()), ("nb", pa.int64())])
@@ -247,9 +333,10 @@ def _across(num: int, den: int) -> Callable:
     """Pairs of a list that lie in different components and whose sizes allow a link."""
 
     def run(table: pa.Table) -> pa.Table:
-        x, sig, n, label = (table.column(c).to_numpy() for c in ("list", "sig", "n", "label"))
+        columns = (table.column(c).to_numpy() for c in ("list", "sig", "n", "m", "label", "pivot", "inside"))
+        x, sig, n, m, label, pivot, inside = columns
         order = np.lexsort((sig, n, x))
-        x, sig, n, label = x[order], sig[order], n[order], label[order]
+        x, sig, n, m, label, pivot, inside = (c[order] for c in (x, sig, n, m, label, pivot, inside))
         starts = np.flatnonzero(np.append(True, x[1:] != x[:-1]))
         found = []
         for s, e in zip(starts, np.append(starts[1:], len(x)), strict=True):
@@ -257,7 +344,11 @@ def _across(num: int, den: int) -> Callable:
                 continue
             for k in range(s, e):
                 last = s + int(np.searchsorted(n[s:e], den * n[k] // num, "right"))
-                at = np.flatnonzero(label[k + 1 : last] != label[k]) + k + 1
+                rest = slice(k + 1, last)
+                least = np.minimum(m[k], m[rest])  # no more columns can be common; nor more inside, or outside, a pivot
+                both = np.minimum(inside[k], inside[rest]) + np.minimum(m[k] - inside[k], m[rest] - inside[rest])
+                least = np.where(pivot[rest] == pivot[k], np.minimum(least, both), least)
+                at = np.flatnonzero((label[k + 1 : last] != label[k]) & (den * least >= num * (n[k] + n[k + 1 : last] - least))) + k + 1
                 if len(at):
                     found.append(np.stack([np.full(len(at), sig[k]), sig[at], np.full(len(at), n[k]), n[at]]))
         pair = np.unique(np.concatenate(found, axis=1), axis=1) if found else np.zeros((4, 0), np.int64)
@@ -266,30 +357,11 @@ def _across(num: int, den: int) -> Callable:
     return run
 
 
-def _bits(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    h = wd.mix(key.view(_U))
-    return (h % _U(BLOOM_BITS)).astype(np.int64), ((h >> _U(32)) % _U(BLOOM_BITS)).astype(np.int64)
-
-
-def _bloom_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    bits = np.zeros(BLOOM_BITS, bool)
-    for batch in batches:
-        for at in _bits(batch.column(0).drop_null().to_numpy(zero_copy_only=False).astype(np.int64)):
-            bits[at] = True
-    cells = np.packbits(bits).view(np.int64)
-    at = np.flatnonzero(cells)
-    yield pa.record_batch({"cell": pa.array(at), "bits": pa.array(cells[at])})
-
-
-def _wanted_sets(size: int, bloom: np.ndarray) -> Callable:
+def _wanted_sets(size: int, filled: np.ndarray) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            hit = np.ones(len(ids), bool)
-            for at in _bits(ids):
-                hit &= (bloom[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
             sig, blobs = [], []
-            for g in wd.groups(batch.column(1).filter(pa.array(hit)), lower=True):
+            for g in wd.groups(batch.column(1).filter(pa.array(bloom.test(filled, batch.column(0)))), lower=True):
                 d, h = shingle_sets(g, size)
                 _, s1, _ = _signature(d, h, g.docs)
                 low = h & _U(0xFFFFFFFFFFFF)
@@ -309,8 +381,8 @@ def _grams(blob: bytes) -> np.ndarray:
     return raw["l"].astype(_U) | raw["h"].astype(_U) << _U(32)
 
 
-def _product(num: int, den: int) -> Callable:
-    """Overlap counts of a block's pairs: rows of leaders by rows of partners; pairs under the bound are dropped."""
+def _product() -> Callable:
+    """Overlap counts of a block's pairs: rows of leaders by rows of partners."""
 
     def run(table: pa.Table) -> pa.Table:
         a, b, blobs = (table.column(c).to_pylist() for c in ("a", "b", "grams"))
@@ -319,7 +391,7 @@ def _product(num: int, den: int) -> Callable:
         column_of = lambda g, x: wd.mix(g + _U(number[x] * 0x9E3779B97F4A7C15 % (1 << 64)))
         matrix = np.sort(np.concatenate([column_of(g, x) for x, g in leaders.items()] or [np.zeros(0, _U)]))
         pairs = [(x, y, _grams(g)) for x, y, g in zip(a, b, blobs, strict=True) if y is not None and x in leaders]
-        out_a, out_b = [], []
+        out_a, out_b, out_o = [], [], []
         for s in range(0, len(pairs), 256):
             part = pairs[s : s + 256]
             cells = np.concatenate([column_of(g, x) for x, _, g in part])
@@ -327,23 +399,19 @@ def _product(num: int, den: int) -> Callable:
             lengths = np.array([len(g) for _, _, g in part])
             overlap = np.add.reduceat((matrix[at] == cells).astype(np.int64), np.cumsum(lengths) - lengths)
             for (x, y, g), i in zip(part, overlap.tolist(), strict=True):
-                if den * i >= num * (len(leaders[x]) + len(g) - i):
-                    out_a.append(x)
-                    out_b.append(y)
-        return pa.table([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], names=["a", "b"])
+                out_a.append(x)
+                out_b.append(y)
+                out_o.append(i)
+        return pa.table([pa.array(x, pa.int64()) for x in (out_a, out_b, out_o)], names=["a", "b", "overlap"])
 
     return run
 
 
-def _links(docs: DataFrame, classes: DataFrame, pairs: DataFrame, size: int, num: int, den: int) -> DataFrame:
-    """Those of the pairs (a, b: signatures of classes) whose sets reach the threshold."""
+def _overlaps(docs: DataFrame, classes: DataFrame, pairs: DataFrame, size: int) -> DataFrame:
+    """(a, b, overlap) of pairs of sets (a, b: signatures)."""
     ends = pairs.select(F.col("a").alias("s1")).unionByName(pairs.select(F.col("b").alias("s1"))).distinct()
-    ids = classes.join(ends, "s1", "left_semi").select("rep")
-    cells = ids.mapInArrow(_bloom_rows, "cell long, bits long").groupBy("cell").agg(F.bit_or("bits").alias("bits"))
-    found = cells.toArrow()  # BLOOM_BITS / 64 rows at most
-    bloom = np.zeros(BLOOM_BITS // 64, np.int64)
-    bloom[found.column("cell").to_numpy()] = found.column("bits").to_numpy()
-    sets = docs.mapInArrow(_wanted_sets(size, bloom.view(np.uint8)), "sig long, grams binary")
+    filled = bloom.build(classes.join(ends, "s1", "left_semi").select("rep"))
+    sets = docs.mapInArrow(_wanted_sets(size, filled), "sig long, grams binary")
     sets = cut(sets.join(ends.withColumnRenamed("s1", "sig"), "sig", "left_semi").groupBy("sig").agg(F.first("grams").alias("grams")), "sets")
     degree = pairs.groupBy("a").agg(F.ceil(F.count("*") / 256).cast("int").alias("salts"))
     total = pairs.count()
@@ -360,7 +428,7 @@ def _links(docs: DataFrame, classes: DataFrame, pairs: DataFrame, size: int, num
         .select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), "grams")
         .select(deal, "a", F.lit(None).cast("long").alias("b"), "grams")
     )
-    return right.unionByName(left).groupBy("block").applyInArrow(_product(num, den), "a long, b long")
+    return right.unionByName(left).groupBy("block").applyInArrow(_product(), "a long, b long, overlap long")
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, num: int = 75, den: int = 100) -> DataFrame:
@@ -370,37 +438,58 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     docs = docs.select(column(docs, id_col).cast("long").alias("doc_id"), column(docs, text_col).cast("string").alias("text"))
     profile = cut(docs.mapInArrow(_profile(size), PROFILE), "profile")
-    rows = profile.where("n is not null").select("doc_id", "n", "s1", "s2")
-    heavy = profile.where("heavy is not null").select("heavy").mapInArrow(_explode_heavy, "h long, df long")
-    top = heavy.groupBy("h").agg(F.sum("df").alias("df")).orderBy(F.desc("df"), "h").limit(FREQUENT).toArrow()
-    h, df = top.column("h").to_numpy().view(_U), top.column("df").to_numpy()
-    order = np.argsort(df, kind="stable")
-    ranks = np.empty(len(h), _U)
-    ranks[order] = np.arange(len(h), dtype=_U)
-    order = np.argsort(h)
+    rows = profile
     total = rows.agg(F.sum("n")).first()[0] or 0
-    blocks = max(1, round(total * (den - num) / den / BLOCK_POSTINGS))
+    blocks = max(1, round(total / 4 / BLOCK_POSTINGS))
 
     classes = cut(rows.where("n > 0").groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep")), "classes")
-    blobs = docs.mapInArrow(_postings(size, num, den, h[order], ranks[order], blocks), "block long, blob binary")
+    blobs = docs.mapInArrow(_postings(size, blocks), BLOBS).groupBy("block").applyInArrow(_shared(blocks), BLOBS)
+    dense = classes.join(blobs.groupBy("block").applyInArrow(_dense(num, den), "s1 long"), "s1", "left_semi")
+    dense = cut(dense.select("rep", "n"), "dense")
+    filled = bloom.build(dense.select("rep"))
+    blocks = max(1, round((dense.agg(F.sum("n")).first()[0] or 0) / BLOCK_POSTINGS))
+    blobs = docs.mapInArrow(_postings(size, blocks, filled), BLOBS).groupBy("block").applyInArrow(_shared(blocks), BLOBS)
+    sets = cut(blobs.groupBy("block").applyInArrow(_rarest(num, den), SETS), "rarest")
+    # sets alike in their shared columns have the same overlap with any other: their smallest stands for them
+    first = F.min_by(F.struct("sig", "n", "m", "posted"), F.struct("n", "sig")).alias("r")
+    alike = cut(sets.groupBy("likeness").agg(first).select("likeness", "r.*"), "alike")
+    blobs = alike.select("sig", "n", "m", "posted").mapInArrow(_repost(blocks), BLOBS)
     ties = cut(blobs.groupBy("block").applyInArrow(_ties(num, den), TIES), "ties")
     pairs = cut(ties.where("a is not null").select("a", "b", "na", "nb").distinct(), "pairs")
-    links = cut(_links(docs, classes, pairs, size, num, den), "links")
+    reaches = den * F.col("overlap") >= num * (F.col("na") + F.col("nb") - F.col("overlap"))
+    multiplied = cut(_overlaps(docs, classes, pairs, size).join(pairs, ["a", "b"]), "links")
+    links = multiplied.where(reaches)
 
     lists = ties.where("list is not null").groupBy("list").agg(F.first("sigs").alias("sigs")).select("list", "sigs")
-    labels = components(links)
-    members = lists.mapInArrow(_members, "list long, sig long, n long").join(labels.withColumnRenamed("node", "sig"), "sig", "left")
-    members = cut(members.select("list", "sig", "n", F.coalesce("label", "sig").alias("label")), "members")
+    labels = components(links.select("a", "b"))
+    members = lists.mapInArrow(_members, "list long, sig long, n long, m long").join(labels.withColumnRenamed("node", "sig"), "sig", "left")
+    # a set's pivot: of its leaders, or itself, the one with most followers
+    leads = multiplied.groupBy("a").agg(F.count("*").alias("followers"))
+    own = leads.join(alike.select(F.col("sig").alias("a"), "m"), "a").select("followers", F.col("a").alias("pivot"), F.col("m").alias("inside"), F.col("a").alias("sig"))
+    led = multiplied.join(leads, "a").select("followers", F.col("a").alias("pivot"), F.col("overlap").alias("inside"), F.col("b").alias("sig"))
+    pivots = own.unionByName(led).groupBy("sig").agg(F.max(F.struct("followers", "pivot", "inside")).alias("p"))
+    members = members.join(cut(pivots.select("sig", "p.pivot", "p.inside"), "pivots"), "sig", "left")
+    known = F.coalesce("pivot", "sig").alias("pivot"), F.coalesce("inside", "m").alias("inside")
+    members = cut(members.select("list", "sig", "n", "m", F.coalesce("label", "sig").alias("label"), *known), "members")
     mixed = members.groupBy("list").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("list")
     open_lists = members.join(mixed, "list", "left_semi")
     deal = F.pmod(F.xxhash64("list"), F.lit(max(1, 4 * blocks)))
     more = open_lists.withColumn("block", deal).groupBy("block").applyInArrow(_across(num, den), "a long, b long, na long, nb long")
     more = cut(more.distinct().join(pairs, ["a", "b"], "left_anti").select("a", "b", "na", "nb"), "pairs")
     if not more.isEmpty():
-        again = cut(_links(docs, classes, more, size, num, den), "links")
-        labels = components(links.unionByName(again))
-
-    named = classes.join(labels.withColumnRenamed("node", "s1"), "s1", "left").withColumn("label", F.coalesce("label", "s1"))
+        again = _overlaps(docs, classes, more, size).join(more, ["a", "b"]).where(reaches)
+        links = links.unionByName(cut(again, "links"))
+        labels = components(links.select("a", "b"))
+
+    # a link of overlap o holds for sizes that sum to o * (den + num) / num at most: so far reach those alike
+    reach = lambda own, other: links.select(F.col(own).alias("sig"), (F.floor(F.col("overlap") * (den + num) / num) - F.col(other)).alias("reach"))
+    reached = reach("a", "nb").unionByName(reach("b", "na")).groupBy("sig").agg(F.max("reach").alias("reach"))
+    stands = alike.join(reached, "sig", "left").join(labels.withColumnRenamed("node", "sig"), "sig", "left")
+    own = F.floor(F.col("m") * (den + num) / num) - F.col("n")
+    stands = cut(stands.select("likeness", F.col("sig").alias("first"), F.greatest(own, F.coalesce("reach", own)).alias("reach"), F.coalesce("label", "sig").alias("label")), "stands")
+    joins = (F.col("sig") == F.col("first")) | (F.col("n") <= F.col("reach"))
+    placed = sets.select("sig", "n", "likeness").join(stands, "likeness").where(joins).select(F.col("sig").alias("s1"), "label")
+    named = classes.join(cut(placed, "placed"), "s1", "left").withColumn("label", F.coalesce("label", "s1"))
     lowest = named.groupBy("label").agg(F.min("rep").alias("component_id"))
     final = cut(named.join(lowest, "label").select("s1", "s2", "n", "component_id"), "named")
     joined = rows.join(final, ["s1", "s2", "n"], "left")
