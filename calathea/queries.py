@@ -1,26 +1,4 @@
-"""Registry of the library's queries and their SQL oracles."""
+"""All queries of the library."""
 
-from __future__ import annotations
-
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-from pyspark.sql import Window as W
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def dedup_keep_best(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "n_chars", F.sha2("text", 256).alias("digest"))
-    w = W.partitionBy("digest").orderBy(F.desc("n_chars"), "doc_id")
-    return docs.withColumn("keep_rank", F.row_number().over(w)).where("keep_rank > 1").select("doc_id", "digest", "keep_rank")
-
-
-QUERIES["dedup_keep_best"] = dedup_keep_best
-ORACLES["dedup_keep_best"] = """
-SELECT doc_id, digest, keep_rank FROM (
-  SELECT doc_id, sha256(text) AS digest,
-         CAST(row_number() OVER (PARTITION BY sha256(text) ORDER BY n_chars DESC, doc_id) AS INTEGER) AS keep_rank
-  FROM documents) WHERE keep_rank > 1"""
+from .plans import calendars, catalog, models, places, series, streams  # noqa: F401
+from .registry import ORACLES, QUERIES  # noqa: F401
