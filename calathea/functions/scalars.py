@@ -207,7 +207,7 @@ def json_object(text: Column) -> Column:
 
 def repaired_array(items: Column) -> Column:
     """Comma-joined elements split, trimmed, empty and null ones dropped."""
-    return F.filter(F.transform(F.flatten(F.transform(F.filter(items, lambda x: x.isNotNull()), lambda x: F.split(x, ","))), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.flatten(F.transform(F.filter(items, lambda x: x.isNotNull()), lambda x: F.split(x, ","))), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def box_area(box: Column) -> Column:

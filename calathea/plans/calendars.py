@@ -10,7 +10,6 @@ from ..operators import monitor, rollups, sets
 from ..registry import Tables, query
 from .catalog import _RULES_SQL, _nominations
 
-_STATE = F.when(F.col("o_orderstatus") == "F", "cut").when(F.col("o_orderstatus") == "O", "keep")
 _STATES_SQL = """WITH o AS (SELECT *, CASE o_orderstatus WHEN 'F' THEN 'cut' WHEN 'O' THEN 'keep' END AS state FROM orders)
 """
 _CELL = """count(*) AS total, count(state) AS decided, count(*) FILTER (state = 'cut') AS cut, round_even(100.0 * count(state) / count(*), 1)::DOUBLE AS pct,
@@ -18,7 +17,7 @@ CASE WHEN count(state) = 0 THEN 'untouched' WHEN count(state) < count(*) THEN 'i
 
 
 def _orders(t: Tables) -> DataFrame:
-    return t.orders.withColumn("state", _STATE)
+    return t.orders.withColumn("state", F.when(F.col("o_orderstatus") == "F", "cut").when(F.col("o_orderstatus") == "O", "keep"))
 
 
 @query(_STATES_SQL + f"SELECT strftime(o_orderdate, '%Y-%m') AS bucket, {_CELL}, count(*) FILTER (state = 'keep') AS kept FROM o WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0) GROUP BY bucket")

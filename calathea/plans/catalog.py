@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
@@ -41,10 +41,13 @@ def resolution_pair_filter(t: Tables) -> DataFrame:
     return rows.where(sets.screen_sized(F.col("p_size"), F.col("height"), [(5, 10), (7, 21), (12, 30)]))
 
 
-RULES = {
-    "big": F.col("l_quantity") >= 45, "cheap": F.col("l_extendedprice") < 2000, "late": F.col("l_shipdate") >= F.lit("1998-06-01"),
-    "untaxed": F.col("l_tax") == 0, "returned": F.col("l_returnflag") == "R",
-}
+def _rules() -> dict[str, Column]:
+    return {
+        "big": F.col("l_quantity") >= 45, "cheap": F.col("l_extendedprice") < 2000, "late": F.col("l_shipdate") >= F.lit("1998-06-01"),
+        "untaxed": F.col("l_tax") == 0, "returned": F.col("l_returnflag") == "R",
+    }
+
+
 _RULES_SQL = """
 WITH r AS (SELECT l_orderkey * 10 + l_linenumber AS id, unnest(list_filter([
   CASE WHEN l_quantity >= 45 THEN 'big' END, CASE WHEN l_extendedprice < 2000 THEN 'cheap' END, CASE WHEN l_shipdate >= TIMESTAMP '1998-06-01' THEN 'late' END,
@@ -53,7 +56,7 @@ WITH r AS (SELECT l_orderkey * 10 + l_linenumber AS id, unnest(list_filter([
 
 
 def _nominations(t: Tables) -> DataFrame:
-    return sets.nominate(t.lineitem.withColumn("id", F.col("l_orderkey") * 10 + F.col("l_linenumber")), RULES)
+    return sets.nominate(t.lineitem.withColumn("id", F.col("l_orderkey") * 10 + F.col("l_linenumber")), _rules())
 
 
 @query(_RULES_SQL + "SELECT id, string_agg(rule, ',' ORDER BY rule) AS rules FROM (SELECT DISTINCT id, rule FROM r) GROUP BY id")

@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import scalars as S
 
@@ -43,7 +44,10 @@ def jsonl(spark: SparkSession, path: str, schema: str, required: str) -> DataFra
     return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path).where(F.col(required).isNotNull())
 
 
-@F.pandas_udf("array<struct<id:bigint,score:double>>")
+_PAIRS = T.ArrayType(T.StructType([T.StructField("id", T.LongType()), T.StructField("score", T.DoubleType())]))
+
+
+@F.pandas_udf(_PAIRS)
 def unpack_scores(ids, scores):  # noqa: ANN001, ANN201
     """Packed little-endian uint32 ids and float16 scores, paired; the longer one's rest goes."""
     import pandas as pd
