@@ -113,10 +113,10 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op9_jaccard_join"] = r"""
-WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), x -> x <> '') AS ws FROM documents),
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
 g AS (SELECT DISTINCT doc_id, gram FROM (
         SELECT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
-          ELSE list_transform(range(1, len(ws) - 3), i -> array_to_string(ws[i:i+4], ' ')) END) AS gram FROM w)),
+          ELSE list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i+4], ' ')) END) AS gram FROM w)),
 n AS (SELECT w.doc_id, count(g.gram) AS n FROM w LEFT JOIN g USING (doc_id) GROUP BY w.doc_id),
 o AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS i FROM g a JOIN g b ON a.gram = b.gram AND a.doc_id <> b.doc_id GROUP BY 1, 2),
 l AS (SELECT x, y FROM o JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * i >= 75 * (p.n + q.n - i)),
@@ -124,11 +124,11 @@ r(doc_id, near) AS (SELECT doc_id, doc_id FROM n UNION SELECT r.doc_id, l.y FROM
 SELECT n.doc_id, n.n AS n_shingles, min(near) AS component_id FROM n JOIN r USING (doc_id) GROUP BY 1, 2"""
 
 ORACLES["op10_substring_dedup"] = r"""
-WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), x -> x <> '') AS ws FROM documents),
+WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
 s AS (SELECT doc_id, i, array_to_string(ws[i:i+34], ' ') AS win FROM w, unnest(range(1, len(ws) - 33)) AS t(i)),
 r AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY win) AS c FROM s) WHERE c > 1),
-d AS (SELECT DISTINCT doc_id, i + k AS at FROM r, unnest(range(0, 35)) AS t(k)),
-k AS (SELECT w.doc_id, p.at, ws[p.at] AS word, d.at IS NOT NULL AS gone FROM w, unnest(range(1, len(ws) + 1)) AS p(at) LEFT JOIN d ON d.doc_id = w.doc_id AND d.at = p.at)
-SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(count(k.at) FILTER (gone) AS BIGINT) AS n_removed,
-       sha256(coalesce(string_agg(word, ' ' ORDER BY k.at) FILTER (NOT gone), '')) AS kept_sha256
+d AS (SELECT DISTINCT doc_id, i + k AS pos FROM r, unnest(range(0, 35)) AS t(k)),
+k AS (SELECT w.doc_id, p.pos, ws[p.pos] AS word, d.pos IS NOT NULL AS gone FROM w, unnest(range(1, len(ws) + 1)) AS p(pos) LEFT JOIN d ON d.doc_id = w.doc_id AND d.pos = p.pos)
+SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(count(k.pos) FILTER (gone) AS BIGINT) AS n_removed,
+       sha256(coalesce(string_agg(word, ' ' ORDER BY k.pos) FILTER (NOT gone), '')) AS kept_sha256
 FROM w LEFT JOIN k USING (doc_id) GROUP BY w.doc_id, ws"""
