@@ -468,14 +468,15 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     own = leads.join(alike.select(F.col("sig").alias("a"), "m"), "a").select("followers", F.col("a").alias("pivot"), F.col("m").alias("inside"), F.col("a").alias("sig"))
     led = multiplied.join(leads, "a").select("followers", F.col("a").alias("pivot"), F.col("overlap").alias("inside"), F.col("b").alias("sig"))
     pivots = own.unionByName(led).groupBy("sig").agg(F.max(F.struct("followers", "pivot", "inside")).alias("p"))
-    members = members.join(cut(pivots.select("sig", "p.pivot", "p.inside"), "pivots"), "sig", "left")
-    known = F.coalesce("pivot", "sig").alias("pivot"), F.coalesce("inside", "m").alias("inside")
+    members = members.join(cut(pivots.select("sig", "p.followers", "p.pivot", "p.inside"), "pivots"), "sig", "left")
+    known = F.coalesce("pivot", "sig").alias("pivot"), F.coalesce("inside", "m").alias("inside"), F.coalesce("followers", F.lit(0)).alias("followers")
     members = cut(members.select("list", "sig", "n", "m", F.coalesce("label", "sig").alias("label"), *known), "members")
-    mixed = members.groupBy("list").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("list")
-    open_lists = members.join(mixed, "list", "left_semi")
-    deal = F.pmod(F.xxhash64("list"), F.lit(max(1, 4 * blocks)))
+    # lists with a pivot in common share pairs: they are dealt together, so that a pair is made once
+    about = members.groupBy("list").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.max(F.struct("followers", "pivot")).alias("lead"))
+    open_lists = members.join(about.where("low <> high").select("list", F.col("lead.pivot").alias("lead")), "list")
+    deal = F.pmod(F.xxhash64("lead"), F.lit(max(1, 4 * blocks)))
     more = open_lists.withColumn("block", deal).groupBy("block").applyInArrow(_across(num, den), "a long, b long, na long, nb long")
-    more = cut(more.distinct().join(pairs, ["a", "b"], "left_anti").select("a", "b", "na", "nb"), "pairs")
+    more = cut(more.join(pairs, ["a", "b"], "left_anti").select("a", "b", "na", "nb").distinct(), "pairs")
     if not more.isEmpty():
         again = _overlaps(docs, classes, more, size).join(more, ["a", "b"]).where(reaches)
         links = links.unionByName(cut(again, "links"))
