@@ -8,12 +8,18 @@ mix; they stand for words where equality is all that matters.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 
+try:
+    _libc = ctypes.CDLL("libc.so.6")
+except OSError:  # another C library
+    _libc = None
+
 GROUP_BYTES = 1 << 20
 _U = np.uint64
 _SPACE = np.zeros(256, bool)
@@ -88,6 +94,13 @@ def column_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[at[0] : at[-1]], at - at[0]
 
 
+def trim() -> None:
+    """Give memory that the allocators keep back to the system; workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    if _libc is not None:
+        _libc.malloc_trim(0)
+
+
 def groups(column: pa.Array, lower: bool = False, hashes: bool = True, limit: int = GROUP_BYTES) -> Iterator[Words]:
     """The column's documents in groups of whole documents."""
     data, at = column_bytes(column)
@@ -96,6 +109,7 @@ def groups(column: pa.Array, lower: bool = False, hashes: bool = True, limit: in
         last = max(row + 1, int(np.searchsorted(at, at[row] + limit, "right")) - 1)
         yield _split(row, data[at[row] : at[last]], at[row : last + 1] - at[row], lower, hashes)
         row = last
+    trim()
 
 
 def _split(row: int, data: np.ndarray, at: np.ndarray, lower: bool, hashes: bool) -> Words:
