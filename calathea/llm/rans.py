@@ -136,7 +136,7 @@ class FileWriter:
             self.held, self.count = [flat.copy()], len(flat)
 
     def _block(self, ids: np.ndarray) -> None:
-        words, marks = self.coder.encode(ids)
+        words, marks = self.coder.encode(ids, LANES)
         states = np.concatenate([m["states"] for m in marks]).astype("<u8").tobytes()
         raw = states + words.astype("<u4").tobytes()
         self.blocks.append({"at": self.at, "bytes": len(raw), "ids": len(ids), "lanes": LANES, "marks": [(m["step"], m["word"]) for m in marks], "crc": zlib.crc32(raw), "ids_crc": zlib.crc32(ids.astype("<u4").tobytes())})
@@ -207,7 +207,7 @@ def _counts(path: str, end: int) -> Callable:
         size = max(own.tokenizer.get_vocab_size(), end + 1)
         total = np.zeros(size, np.int64)
         for batch in batches:
-            for g in wd.groups(batch.column(0), limit=4 << 20):
+            for g in wd.groups(batch.column(0), limit=tokens.GROUP):
                 total += own.count(g, size)
             total[end] += len(batch.column(0))
         at = np.flatnonzero(total)

@@ -6,7 +6,9 @@ encoded once and kept in a bounded cache of the worker. `check` compares the two
 
 from __future__ import annotations
 
+import json
 import os
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,8 +19,12 @@ from tokenizers import Tokenizer
 from . import words as wd
 
 DEFAULT = public_tokenizers.path("word_bpe_49k.json")
-TABLE_BITS = 22
-JOIN = 20_000
+TABLE_BITS, LOAD = 22, 0.65
+JOIN, GROUP = 5_000, 2 << 20
+# The split of texts that PLAIN relies on.
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Words of which the split makes one piece, or two if punctuation ends them (capital I with a dot lowers to two characters).
+PLAIN = re.compile("[A-Za-zÀ-ÖØ-öø-įı-ɏ]+([.,;:!?]*)")
 _U = np.uint64
 
 
@@ -62,16 +68,46 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
         self.mark, self.mark_id = "<|startoftext|>", self.tokenizer.token_to_id("<|startoftext|>")
+        with open(path, encoding="utf-8") as f:
+            about = json.load(f)
+        split = (about.get("pre_tokenizer") or {}).get("pretokenizers", [{}])[0].get("pattern", {}).get("Regex")
+        self.suffix = about["model"].get("end_of_word_suffix") if split == SPLIT else None
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        if self.suffix:
+            self.ends[[i for t, i in vocabulary.items() if t.endswith(self.suffix)]] = True
         self._clear()
 
     def _clear(self) -> None:
         self.table = WordTable()
         self.at = np.zeros(0, np.int32)
-        self.size = np.zeros(0, np.int32)
+        self.size = np.zeros(0, np.uint8)
         self.flat = np.zeros(0, np.uint16)
 
     def _ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of the words one after another, their counts); a special token parts words encoded in one call."""
+        """(ids of the words one after another, their counts). Plain words go in one text and are told apart by ids
+        that end a piece; the others are."""
+        if not self.suffix:
+            return self._parted(texts)
+        match = [PLAIN.fullmatch(x) for x in texts]
+        plain = np.array([m is not None for m in match], bool)
+        pieces = np.array([1 + bool(m[1]) for m in match if m], np.int64)
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(x for x, m in zip(texts, match, strict=True) if m)], add_special_tokens=False)[0].ids, np.int64)
+        ends = np.flatnonzero(self.ends[ids])
+        if len(ends) != pieces.sum():
+            return self._parted(texts)
+        stops = ends[np.cumsum(pieces) - 1] + 1 if len(pieces) else np.zeros(0, np.int64)
+        counts = np.zeros(len(texts), np.int64)
+        counts[plain] = np.diff(stops, prepend=0)
+        other, size = self._parted([x for x, m in zip(texts, match, strict=True) if not m]) if not plain.all() else (ids[:0], stops[:0])
+        counts[~plain] = size
+        out = np.empty(len(ids) + len(other), np.int64)
+        from_plain = np.repeat(plain, counts)
+        out[from_plain], out[~from_plain] = ids, other
+        return out, counts
+
+    def _parted(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same for any words, a special token between them."""
         if self.mark_id is None or any("<|" in x for x in texts):
             found = [e.ids for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
             return np.array([i for ids in found for i in ids], np.int64), np.array([len(x) for x in found], np.int64)
@@ -86,9 +122,13 @@ class Encoder:
             ids, size = self._ids([raw[s:e].decode("utf-8", "replace") for s, e in zip(starts[k : k + JOIN], ends[k : k + JOIN], strict=True)])
             wide = self.flat.dtype if not len(ids) or ids.max() < 65536 else np.uint32
             flat.append(ids.astype(np.promote_types(wide, self.flat.dtype)))
-            sizes.append(size.astype(np.int32))
+            if len(size) and size.max() > 255 and self.size.dtype == np.uint8:
+                self.size = self.size.astype(np.int64)
+                sizes = [x.astype(np.int64) for x in sizes]
+            sizes.append(size.astype(self.size.dtype))
         self.flat, self.size = np.concatenate(flat), np.concatenate(sizes)
-        self.at = (np.cumsum(self.size, dtype=np.int64) - self.size).astype(np.int64)
+        at = np.cumsum(self.size, dtype=np.int64) - self.size
+        self.at = at.astype(np.int32 if len(self.flat) < 1 << 31 else np.int64)
         self.table.add(h)
 
     def numbers(self, g: wd.Words) -> np.ndarray:
@@ -97,11 +137,11 @@ class Encoder:
         number = self.table.find(h)
         new = np.flatnonzero(number < 0)
         if len(new):
-            if self.table.count + len(new) > 1 << TABLE_BITS - 1:
+            if self.table.count + len(new) > LOAD * (1 << TABLE_BITS):
                 self._clear()
                 new = np.arange(len(h))
             distinct, first = np.unique(h[new], return_index=True)
-            if len(distinct) > 1 << TABLE_BITS - 1:
+            if len(distinct) > LOAD * (1 << TABLE_BITS):
                 self.table = WordTable(int(len(distinct)).bit_length() + 1)
             self._learn(distinct, g, new[first])
             number = self.table.find(h)
@@ -144,7 +184,7 @@ def encoder(path: str = DEFAULT) -> Encoder:
 def encoded(batch_column: pa.Array, end: int | None, path: str = DEFAULT) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(row of the first document, ids, counts) for each group of documents of a column."""
     own = encoder(path)
-    for g in wd.groups(batch_column, limit=4 << 20):
+    for g in wd.groups(batch_column, limit=GROUP):
         yield g.row, *own.encode(g, end)
 
 
