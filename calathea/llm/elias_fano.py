@@ -56,14 +56,22 @@ class EliasFano:
 
     def _zero(self, k: np.ndarray) -> np.ndarray:
         """Place of the k-th zero of the high part, counted from 0; -1 for k = -1."""
-        word = np.searchsorted(self.zeros, np.maximum(k, 0), "right") - 1
-        rest = np.maximum(k, 0) - self.zeros[word]
+        some = np.maximum(k, 0)
+        word = np.searchsorted(self.zeros, some, "right") - 1
+        rest = (some - self.zeros[word]).astype(np.uint8)
         raw = (~self.high[word]).view(np.uint8).reshape(-1, 8)
-        before = np.cumsum(_POP[raw], axis=1, dtype=np.int64)
-        byte = (before <= rest[:, None]).sum(axis=1)
+        upto = np.cumsum(_POP[raw], axis=1, dtype=np.uint8)
+        byte = (upto <= rest[:, None]).sum(axis=1)
         rows = np.arange(len(k))
-        rest = rest - np.where(byte > 0, before[rows, np.maximum(byte - 1, 0)], 0)
-        return np.where(k < 0, -1, word * 64 + byte * 8 + _SELECT[raw[rows, np.minimum(byte, 7)], np.minimum(rest, 7)])
+        rest -= np.where(byte > 0, upto[rows, byte - 1], 0).astype(np.uint8)
+        return np.where(k < 0, -1, word * 64 + byte * 8 + _SELECT[raw[rows, byte], rest])
+
+    def _ones(self, at: np.ndarray) -> np.ndarray:
+        """Length of the run of ones from each place; -1 if it leaves the word."""
+        shift = (at & 63).astype(_U)
+        gap = ~(self.high[at >> 6] >> shift)
+        run = np.bitwise_count((gap & (~gap + _U(1))) - _U(1)).astype(np.int64)
+        return np.where(run + shift.astype(np.int64) >= 64, -1, run)
 
     def find(self, x: np.ndarray) -> np.ndarray:
         """Successor search: the place of each integer in the sequence, -1 where its successor is another."""
@@ -74,8 +82,13 @@ class EliasFano:
         last = int(self.zeros[-1]) - 1
         inside = high <= last
         high = np.minimum(high, last)
-        start, stop = self._zero(high - 1) - high + 1, self._zero(high) - high
-        stop = np.minimum(stop, self.n)
+        first = self._zero(high - 1) + 1
+        start = first - high
+        run = self._ones(first)
+        far = np.flatnonzero(run < 0)
+        if len(far):
+            run[far] = self._zero(high[far]) - first[far]
+        stop = np.minimum(start + run, self.n)
         lo, hi = start, stop.copy()
         while len(open_ := np.flatnonzero(lo < hi)):
             mid = (lo[open_] + hi[open_]) >> 1

@@ -5,7 +5,7 @@ pairs, level 3 the successors of each pair that occurs twice or more. A level's
 to shards by context (of a context with more than SHARD_TOKENS tokens, by ranges of its successors as well, so a hot
 context fills several shards) and written as a trie level: contexts, pointers to their ranges and successors are
 monotone Elias-Fano sequences, a successor being stored relative to the rank of its context; a byte holds each
-quantised smoothed probability, another each context's backoff weight. Counts come from all training documents.
+n-gram's quantised discounted probability, another each context's backoff weight. Counts come from all training documents.
 
 Model. Interpolated absolute discounting: p(w | c) = max(0, count(cw) - D) / count(c) + b(c) p'(w), p' the model of the
 shorter context, b(c) = D * successors(c) / count(c); D = n1 / (n1 + 2 n2) from a shard's counts of once and twice. At
@@ -45,13 +45,16 @@ BLOBS = "shard long, blob binary"
 _BLOCK = pa.schema([("shard", pa.int64()), ("blob", pa.binary())])
 _U = np.uint64
 MAPS = 512
+SLICE = 6 << 20
 
 
 def quantised(log10: np.ndarray) -> np.ndarray:
     return np.clip(np.round(log10 * (STEPS / FLOOR)), 0, STEPS).astype(np.uint8)
 
 
-LOG10 = np.arange(STEPS + 1) * (FLOOR / STEPS)
+#: By byte; the last entry, for -1, is that of n-grams and contexts that aren't stored.
+_DISCOUNTED = np.append(10.0 ** (np.arange(STEPS + 1) * (FLOOR / STEPS)), 0.0)
+_WEIGHT = np.append(_DISCOUNTED[:-1], 1.0)
 
 
 def to_file(uri: str, arrays: dict[str, np.ndarray]) -> None:
@@ -233,18 +236,13 @@ def _write_words(folder: str) -> Callable:
     return run
 
 
-def _numbered(model: Model, text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(id, document, count) of each token of a batch, ends included; unknown words have the vocabulary's size as id."""
-    hs, docs, base = [], [], 0
-    for g in wd.groups(text, lower=True):
-        h, d = _stream(g)
-        hs.append(h)
-        docs.append(d + base)
-        base += g.docs
-    h, back = np.unique(np.concatenate(hs) if hs else np.zeros(0, _U), return_inverse=True)
+def _numbered(model: Model, g: wd.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(id, document, count) of each token of a group, ends included; unknown words have the vocabulary's size as id."""
+    h, doc = _stream(g)
+    h, back = np.unique(h, return_inverse=True)
     ids, counts = model.ids(h)
     ids[ids < 0] = model.vocabulary
-    return ids[back], np.concatenate(docs) if docs else np.zeros(0, np.int64), counts[back]
+    return ids[back], doc, counts[back]
 
 
 def _pairs(ids: np.ndarray, doc: np.ndarray, unknown: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -266,8 +264,8 @@ def _triples(ids: np.ndarray, doc: np.ndarray, at: np.ndarray, back: np.ndarray,
 
 def _count_grams(model: Model, level: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, doc, counts = _numbered(model, batch.column(0))
+        for g in (g for batch in batches for g in wd.groups(batch.column(0), lower=True, limit=SLICE)):
+            ids, doc, counts = _numbered(model, g)
             at, pair, back = _pairs(ids, doc, model.vocabulary)
             if not len(at):
                 continue
@@ -289,8 +287,8 @@ def _count_grams(model: Model, level: int) -> Callable:
             for k, own in _deal(model.shard_of(level, context, bound, word), model.shards[level]):
                 c = context[own]
                 heads = np.flatnonzero(np.append(True, c[1:] != c[:-1]))
-                w = word[own]
-                out.append((k, _squeeze(np.diff(c[heads], prepend=0), np.diff(np.append(heads, len(c))), w & 0xFFFF, w >> 16 & 0xFF, w >> 24, times[own])))
+                w, split = word[own], heads[bound[own[heads]] > SHARD_TOKENS]
+                out.append((k, _squeeze(np.diff(c[heads], prepend=0), np.diff(np.append(heads, len(c))), w & 0xFFFF, w >> 16 & 0xFF, w >> 24, times[own], c[split], bound[own[split]])))
             if out:
                 yield _rows(out)
 
@@ -301,12 +299,13 @@ def _write_grams(model: Model, level: int) -> Callable:
     """One shard of a level: merge the counts, smooth, quantise, write."""
 
     def run(table: pa.Table) -> pa.Table:
-        shard, cs, ws, ts = table.column("shard")[0].as_py(), [], [], []
+        shard, cs, ws, ts, whole = table.column("shard")[0].as_py(), [], [], [], {}
         for blob in table.column("blob").to_pylist():
-            step, n, low, mid, high, times = (x.astype(np.int64) for x in _expand(blob))
+            step, n, low, mid, high, times, split, count = (x.astype(np.int64) for x in _expand(blob))
             cs.append(np.repeat(np.cumsum(step), n))
             ws.append(low | mid << 16 | high << 24)
             ts.append(times)
+            whole.update(zip(split.tolist(), count.tolist(), strict=True))
         c, w, t = (np.concatenate(x) for x in (cs, ws, ts))
         order = np.lexsort((w, c))
         c, w, t = c[order], w[order], t[order]
@@ -316,21 +315,18 @@ def _write_grams(model: Model, level: int) -> Callable:
         heads = np.flatnonzero(np.append(True, c[1:] != c[:-1]))
         sizes = np.diff(np.append(heads, len(c)))
         rank = np.repeat(np.arange(len(heads)), sizes)
-        if level == 2:
-            total = stored = _counts_of(model, c[heads])
-            lower = (_counts_of(model, w) + 1) / (model.tokens + model.vocabulary + 1)
-        else:  # a pair's successors in this shard are all of them, unless its count is so large that ranges split it
-            stored = _pair_counts(model, c[heads])
-            total = np.where(stored > SHARD_TOKENS, stored, np.add.reduceat(t, heads))
-            lower = _pair_probability(model, c[heads][rank] & 0xFFFFFFFF, w)
+        # a context's successors in this shard are all of them, unless its count is so large that ranges split it
+        total, parts = np.add.reduceat(t, heads), np.ones(len(heads), np.int64)
+        for context, count in whole.items():
+            k = np.searchsorted(c[heads], context)
+            total[k], parts[k] = count, -(-count // SHARD_TOKENS)
         once, twice = int((t == 1).sum()), int((t == 2).sum())
         d = min(MOST_D, max(LEAST_D, once / max(1, once + 2 * twice)))
-        weight = np.minimum(1, d * sizes * np.maximum(1, -(-stored // SHARD_TOKENS)) / total)
-        p = np.maximum(0, t - d) / total[rank] + weight[rank] * lower
+        weight = np.minimum(1, d * sizes * parts / total)
         arrays = {f"context.{k}": v for k, v in encode(c[heads], int(c[-1]) + 1).items()}
         arrays |= {f"pointer.{k}": v for k, v in encode(np.append(heads, len(c)), len(c) + 1).items()}
         arrays |= {f"successor.{k}": v for k, v in encode(rank * model.vocabulary + w, len(heads) * model.vocabulary).items()}
-        arrays["probability"], arrays["weight"] = quantised(np.log10(p)), quantised(np.log10(weight))
+        arrays["probability"], arrays["weight"] = quantised(np.log10((t - d) / total[rank])), quantised(np.log10(weight))
         if level < ORDER:
             arrays["log2"] = np.ceil(np.log2(t)).astype(np.uint8)
             arrays["big"] = np.flatnonzero(t > SHARD_TOKENS)
@@ -341,56 +337,30 @@ def _write_grams(model: Model, level: int) -> Callable:
     return run
 
 
-def _counts_of(model: Model, ids: np.ndarray) -> np.ndarray:
-    """Counts of words by id."""
-    own, back = np.unique(ids, return_inverse=True)
-    out = np.zeros(len(own), np.int64)
-    shard = np.searchsorted(model.bases, own, "right") - 1
-    for k in np.unique(shard):
-        at = np.flatnonzero(shard == k)
-        out[at] = mapped(f"{model.folder}/words-{k:05d}")["count"][own[at] - model.bases[k]]
-    return out[back]
-
-
-def _pair_counts(model: Model, pair: np.ndarray) -> np.ndarray:
-    """Pairs' counts as stored: of those that may be split, exact."""
-    return model.grams(2, pair >> 32, _counts_of(model, pair >> 32), pair & 0xFFFFFFFF)[2]
-
-
-def _pair_probability(model: Model, context: np.ndarray, word: np.ndarray) -> np.ndarray:
-    pair, back = np.unique(context << 32 | word, return_inverse=True)
-    code, _, _ = model.grams(2, pair >> 32, _counts_of(model, pair >> 32), pair & 0xFFFFFFFF)
-    return (10.0 ** LOG10[np.maximum(code, 0)])[back]
-
-
 def _score(model: Model) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, doc, counts = _numbered(model, batch.column(2))
-            n = batch.num_rows
-            base = np.log10((counts + 1) / (model.tokens + model.vocabulary + 1))
-            log10 = base.copy()
-            at, pair, back = _pairs(ids, doc, model.vocabulary)
+        for batch, g in ((batch, g) for batch in batches for g in wd.groups(batch.column(2), lower=True, limit=SLICE)):
+            ids, doc, counts = _numbered(model, g)
+            n = g.docs
+            p = (counts + 1) / (model.tokens + model.vocabulary + 1)
+            base = np.log10(p)
             at, pair, back = _pairs(ids, doc, model.vocabulary)
             if len(at):
                 before = np.zeros(len(pair), np.int64)
                 before[back] = counts[at - 1]
                 code, weight, count = model.grams(2, pair >> 32, before, pair & 0xFFFFFFFF)
-                log10[at] += np.where(weight >= 0, LOG10[weight], 0)[back]
-                found = code[back] >= 0
-                log10[at[found]] = LOG10[code[back[found]]]
+                p[at] = p[at] * _WEIGHT[weight][back] + _DISCOUNTED[code][back]
                 third, context, bound, word = _triples(ids, doc, at, back, pair, count)
                 if len(third):
                     order = np.lexsort((word, context))
                     c, w = context[order], word[order]
                     new = np.append(True, (c[1:] != c[:-1]) | (w[1:] != w[:-1]))
                     code, weight, _ = (x[np.cumsum(new) - 1] for x in model.grams(3, c[new], bound[order][new], w[new]))
-                    log10[third[order]] += np.where(weight >= 0, LOG10[weight], 0)
-                    hit = code >= 0
-                    log10[third[order[hit]]] = LOG10[code[hit]]
+                    p[third[order]] = p[third[order]] * _WEIGHT[weight] + _DISCOUNTED[code]
+            log10 = np.log10(p)
             total = lambda x: np.bincount(doc, x, minlength=n)
             yield pa.record_batch({
-                "doc_id": batch.column(0), "held_out": batch.column(1), "n_tokens": pa.array(np.bincount(doc, minlength=n)), "n_known": pa.array(total(counts > 0).astype(np.int64)),
+                "doc_id": batch.column(0).slice(g.row, n), "held_out": batch.column(1).slice(g.row, n), "n_tokens": pa.array(np.bincount(doc, minlength=n)), "n_known": pa.array(total(counts > 0).astype(np.int64)),
                 "train_tokens": pa.array(np.full(n, model.tokens)), "base_score": pa.array(total(base)), "score": pa.array(total(log10)),
             })
 
