@@ -107,11 +107,13 @@ def neighbour_edges(vectors: DataFrame, key: str, vec: str, k: int = 15, least:
 def components(edges: DataFrame, a: str, b: str, rounds: int = 50) -> DataFrame:
     """(node, component): smallest label over the edges' components; labels spread and jump until none changes.
 
-    Each round is written out with a reliable checkpoint when a checkpoint folder is set, and cached otherwise.
+    Each round is written out with a reliable checkpoint where spark.checkpoint.dir is set, and cached otherwise.
     """
     both = edges.select(F.col(a).alias("x"), F.col(b).alias("y")).unionByName(edges.select(F.col(b).alias("x"), F.col(a).alias("y"))).distinct()
-    keep = both.sparkSession.conf.get("spark.checkpoint.dir", None)
-    cut = (lambda df: df.checkpoint()) if keep else (lambda df: df.cache())
+    context, folder = both.sparkSession.sparkContext, both.sparkSession.conf.get("spark.checkpoint.dir", None)
+    if folder and context.getCheckpointDir() is None:
+        context.setCheckpointDir(folder)
+    cut = (lambda df: df.checkpoint()) if folder else (lambda df: df.cache())
     both = cut(both)
     labels = cut(both.groupBy("x").agg(F.least(F.min("y"), F.first("x")).alias("label")))
     for _ in range(rounds):
