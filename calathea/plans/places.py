@@ -85,3 +85,13 @@ def masked_points(t: Tables) -> DataFrame:
 def greedy_merge(t: Tables) -> DataFrame:
     cells = _points(t).groupBy("user_id", F.round("lat", 3).alias("lat"), F.round("lon", 3).alias("lon")).agg(F.count("*").alias("n"))
     return greedy.place_clusters(cells, "user_id")
+
+
+@query("""WITH c AS (SELECT c_custkey AS k, 40 + (c_custkey % 97) * 0.11 AS lat, -3 + (c_custkey % 89) * 0.13 AS lon FROM customer), s AS (SELECT s_suppkey AS p, 38 + (s_suppkey % 13) * 1.1 AS lat, -5 + (s_suppkey % 17) * 0.9 AS lon FROM supplier),
+j AS (SELECT k, p, """ + _KM.format(r=6371.0088, a="c.lat", b="s.lat", c="c.lon", d="s.lon") + """ AS km FROM c, s)
+SELECT k, arg_min(p, (round(km, 6), p)) AS p, round(min(km), 6) AS km FROM j GROUP BY k""")
+def nearest_place(t: Tables) -> DataFrame:
+    c, s = F.col("c_custkey"), F.col("s_suppkey")
+    points = t.customer.select(c.alias("k"), (40 + (c % 97) * 0.11).alias("lat"), (-3 + (c % 89) * 0.13).alias("lon"))
+    spots = t.supplier.select(s.alias("p"), (38 + (s % 13) * 1.1).alias("lat"), (-5 + (s % 17) * 0.9).alias("lon"))
+    return geo.nearest_place(points, "k", spots, "p").select("k", "p", F.round("km", 6).alias("km"))
