@@ -47,10 +47,10 @@ def runs(rows: DataFrame, group: Sequence[str], order: Sequence[str], value: str
     return rows.withColumn(name, F.sum(new).over(w.rowsBetween(W.unboundedPreceding, 0)))
 
 
-def ranged(rows: DataFrame, column: str, parts: int = 64, name: str = "__range") -> DataFrame:
+def ranged(rows: DataFrame, column: str, parts: int = 64, name: str = "__range", like: DataFrame | None = None) -> DataFrame:
     """Numbers about equal ranges of a numeric column, in its order; nulls come first. The bounds are approximate
-    quantiles, so they change how rows are dealt, never a result that adds up over ranges."""
-    bounds = rows.select(F.percentile_approx(F.col(column).cast("double"), [k / parts for k in range(1, parts)], 1000)).first()[0] or []
+    quantiles (of `like`, if given), so they change how rows are dealt, never a result that adds up over ranges."""
+    bounds = (rows if like is None else like).select(F.percentile_approx(F.col(column).cast("double"), [k / parts for k in range(1, parts)], 1000)).first()[0] or []
     below = F.size(F.filter(F.array(*map(F.lit, sorted(set(bounds)))), lambda b: b < F.col(column).cast("double"))) + 1 if bounds else F.lit(1)
     return rows.withColumn(name, F.when(F.col(column).isNull(), 0).otherwise(below))
 
@@ -71,7 +71,7 @@ def numbered(rows: DataFrame, column: str, tie: str, name: str = "rn") -> DataFr
 
 def value_ranks(rows: DataFrame, column: str) -> DataFrame:
     """(value, __count, __below): how often each value occurs, and how many non-null values are below it."""
-    counts = ranged(rows.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("__count")), column)
+    counts = ranged(rows.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("__count")), column, like=rows)
     own = F.sum("__count").over(W.partitionBy("__range").orderBy(column).rowsBetween(W.unboundedPreceding, 0)) - F.col("__count")
     return counts.join(F.broadcast(_before(counts, F.col("__count"))), "__range").select(column, "__count", (F.col("__offset") + own).alias("__below"))
 
