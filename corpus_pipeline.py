@@ -43,7 +43,8 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it; documents of size 0 go, as they bring no words."""
     taken = cut(mix(docs).where("taken > 0").groupBy("doc_id").agg(F.max("copies").alias("copies")), "taken")
     copies = F.explode(F.array_repeat(F.lit(1), F.col("copies")))
-    return docs.join(taken, "doc_id").withColumn("copies", copies).select(docs.columns)
+    # always the same join: the table of copies grows with the documents
+    return docs.join(taken.hint("merge"), "doc_id").withColumn("copies", copies).select(docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
