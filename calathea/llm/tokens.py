@@ -19,13 +19,22 @@ from tokenizers import Tokenizer
 from . import words as wd
 
 DEFAULT = public_tokenizers.path("word_bpe_49k.json")
+_U = np.uint64
 TABLE_BITS, LOAD = 22, 0.65
 JOIN, GROUP = 5_000, 2 << 20
 # The split of texts that PLAIN relies on.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-#: Words of which the split makes one piece, or two if punctuation ends them (capital I with a dot lowers to two characters).
-PLAIN = re.compile("[A-Za-zÀ-ÖØ-öø-įı-ɏ]+([.,;:!?]*)")
-_U = np.uint64
+#: Words of which the split makes a piece of letters, a piece of punctuation, or both in this order (a capital I with
+#: a dot lowers to two characters, and apostrophes begin pieces of their own, so those are left out).
+PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-įı-ɏ]*)([!-&(-/:-@\[-`{-~]*)")
+
+
+def pieces_of(word: str) -> int:
+    """Pieces of a plain word, 0 of any other."""
+    if word.isascii() and word.isalpha():
+        return 1
+    m = PLAIN.fullmatch(word)
+    return bool(m[1]) + bool(m[2]) if m else 0
 
 
 class WordTable:
@@ -89,17 +98,16 @@ class Encoder:
         that end a piece; the others are."""
         if not self.suffix:
             return self._parted(texts)
-        match = [PLAIN.fullmatch(x) for x in texts]
-        plain = np.array([m is not None for m in match], bool)
-        pieces = np.array([1 + bool(m[1]) for m in match if m], np.int64)
-        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(x for x, m in zip(texts, match, strict=True) if m)], add_special_tokens=False)[0].ids, np.int64)
+        each = np.array([pieces_of(x) for x in texts], np.int64)
+        plain, pieces = each > 0, each[each > 0]
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(x for x, n in zip(texts, each.tolist(), strict=True) if n)], add_special_tokens=False)[0].ids, np.int64)
         ends = np.flatnonzero(self.ends[ids])
         if len(ends) != pieces.sum():
             return self._parted(texts)
         stops = ends[np.cumsum(pieces) - 1] + 1 if len(pieces) else np.zeros(0, np.int64)
         counts = np.zeros(len(texts), np.int64)
         counts[plain] = np.diff(stops, prepend=0)
-        other, size = self._parted([x for x, m in zip(texts, match, strict=True) if not m]) if not plain.all() else (ids[:0], stops[:0])
+        other, size = self._parted([x for x, n in zip(texts, each.tolist(), strict=True) if not n]) if not plain.all() else (ids[:0], stops[:0])
         counts[~plain] = size
         out = np.empty(len(ids) + len(other), np.int64)
         from_plain = np.repeat(plain, counts)
