@@ -28,6 +28,7 @@ CASES = {
     "ip": ("at 70.23.22.57,", r"at 2[45]\d\.\d+\.\d+\.\d+,"),
     "ssn": ("id 123-45-6789", r"id 9\d\d-\d\d-\d{4}"),
     "secret": ('token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"', r'token = "[0-9a-f]{40}"'),
+    "password": ("password=b7db7aa4a5fcc78305 ok, password: none", r"password=[0-9a-f]{18} ok, password: none"),
     "title": ("Frau Schneider kam", r"Frau \w+ kam"),
     "cyrillic": ("госпожа Анна Иванова здесь", r"госпожа [а-яА-Я]+ [а-яА-Я-]+а здесь"),
 }
