@@ -10,7 +10,8 @@ its links reach the others as far as their sizes allow. Blocks of the columns ti
 column's sets to the one of matching size with the fewest columns of its own, and keep the columns of three
 or more sets as lists. Tied pairs are multiplied out over all their n-grams, block by block, and pairs under the
 threshold dropped. A second round multiplies out every pair of a list that the links so far leave in different
-components, so no link between components is missed, and the pairs inside one are never spelled out.
+components, so no link between components is missed, and the pairs inside one are not spelled out, except those that may
+reach a set left out of its class so far.
 
 Defined results: a null or wordless text has n_shingles 0 and is a component of itself; a text with fewer words
 than a shingle is one shingle; equal rows are in one class; a null id keeps its row, with a null component unless
@@ -357,6 +358,34 @@ def _across(num: int, den: int) -> Callable:
     return run
 
 
+def _late(num: int, den: int) -> Callable:
+    """Of a block of columns, those of representatives and of each class's smallest set left out (`late`): the pairs of
+    the class's representative that may reach that set."""
+
+    def run(table: pa.Table) -> pa.Table:
+        late = table.column("late").to_numpy(zero_copy_only=False)
+        if not late.any() or late.all():
+            return _PAIRS.empty_table()
+        blobs = np.array(table.column("blob").to_pylist(), object)
+        tok, sig, n = (np.concatenate(x) for x in zip(*map(_unpack, blobs[~late]), strict=True))
+        n, m = n & 0xFFFFFFFF, n >> 32
+        order = np.lexsort((n, tok))
+        tok, sig, n, m = tok[order], sig[order], n[order], m[order]
+        found = []
+        for column, first, size, own in zip(*(np.concatenate(x).tolist() for x in zip(*((*_unpack(b)[:2], _unpack(b)[2] & 0xFFFFFFFF, _unpack(b)[2] >> 32) for b in blobs[late]), strict=True)), strict=True):
+            s, e = np.searchsorted(tok, _U(column), "left"), np.searchsorted(tok, _U(column), "right")
+            s, e = s + np.searchsorted(n[s:e], -(-num * size // den), "left"), s + np.searchsorted(n[s:e], den * size // num, "right")
+            least = np.minimum(own, m[s:e])
+            at = np.flatnonzero((sig[s:e] != first) & (den * least >= num * (size + n[s:e] - least))) + s
+            if len(at):
+                found.append(np.stack([np.full(len(at), first), sig[at]]))
+        pair = np.unique(np.concatenate(found, axis=1), axis=1) if found else np.zeros((2, 0), np.int64)
+        blank = pa.nulls(pair.shape[1], pa.int64())
+        return pa.table([pa.array(pair[0]), pa.array(pair[1]), blank, blank], schema=_PAIRS)
+
+    return run
+
+
 def _wanted_sets(size: int, filled: np.ndarray) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -483,11 +512,30 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         labels = components(links.select("a", "b"))
 
     # a link of overlap o holds for sizes that sum to o * (den + num) / num at most: so far reach those alike
-    reach = lambda own, other: links.select(F.col(own).alias("sig"), (F.floor(F.col("overlap") * (den + num) / num) - F.col(other)).alias("reach"))
-    reached = reach("a", "nb").unionByName(reach("b", "na")).groupBy("sig").agg(F.max("reach").alias("reach"))
-    stands = alike.join(reached, "sig", "left").join(labels.withColumnRenamed("node", "sig"), "sig", "left")
-    own = F.floor(F.col("m") * (den + num) / num) - F.col("n")
-    stands = cut(stands.select("likeness", F.col("sig").alias("first"), F.greatest(own, F.coalesce("reach", own)).alias("reach"), F.coalesce("label", "sig").alias("label")), "stands")
+    def reaching(links: DataFrame) -> DataFrame:
+        reach = lambda own, other: links.select(F.col(own).alias("sig"), (F.floor(F.col("overlap") * (den + num) / num) - F.col(other)).alias("reach"))
+        reached = reach("a", "nb").unionByName(reach("b", "na")).groupBy("sig").agg(F.max("reach").alias("reach"))
+        stands = alike.join(reached, "sig", "left").join(labels.withColumnRenamed("node", "sig"), "sig", "left")
+        own = F.floor(F.col("m") * (den + num) / num) - F.col("n")
+        return cut(stands.select("likeness", F.col("sig").alias("first"), F.greatest(own, F.coalesce("reach", own)).alias("reach"), F.coalesce("label", "sig").alias("label")), "stands")
+
+    stands = reaching(links)
+    # pairs inside a component aren't multiplied, and one of them may reach farther: of each class the smallest set
+    # that is left out is posted, and its representative multiplied with the sets that it meets
+    out = sets.join(stands, "likeness").where("sig <> first and n > reach")
+    least = F.min_by(F.struct("n", "m", "posted"), F.struct("n", "sig")).alias("r")
+    out = cut(out.groupBy(F.col("first").alias("sig")).agg(least).select("sig", "r.*"), "late")
+    if not out.isEmpty():
+        post = lambda x, late: x.select("sig", "n", "m", "posted").mapInArrow(_repost(blocks), BLOBS).withColumn("late", F.lit(late))
+        met = post(out, True).unionByName(post(alike, False)).groupBy("block").applyInArrow(_late(num, den), "a long, b long, na long, nb long")
+        ends = lambda x: x.select(F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high"))
+        met = ends(met).distinct().join(ends(pairs.unionByName(more)), ["low", "high"], "left_anti")
+        size_of = lambda end, n: alike.select(F.col("sig").alias(end), F.col("n").alias(n))
+        met = met.withColumnsRenamed({"low": "a", "high": "b"}).join(size_of("a", "na"), "a").join(size_of("b", "nb"), "b")
+        met = cut(met.select("a", "b", "na", "nb"), "pairs")
+        if not met.isEmpty():
+            within = _overlaps(docs, classes, met, size).join(met, ["a", "b"]).where(reaches)
+            stands = reaching(links.unionByName(cut(within, "links").select(links.columns)))
     joins = (F.col("sig") == F.col("first")) | (F.col("n") <= F.col("reach"))
     placed = sets.select("sig", "n", "likeness").join(stands, "likeness").where(joins).select(F.col("sig").alias("s1"), "label")
     named = classes.join(cut(placed, "placed"), "s1", "left").withColumn("label", F.coalesce("label", "s1"))

@@ -66,3 +66,14 @@ def test_components(spark, edges):
     edges = [e for e in edges if e[0] != e[1]]
     found = {r.node: r.label for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert found == {k: v for k, v in root.items() if any(k in e for e in edges)}
+
+
+def test_links_inside_a_component_reach_sets_alike(spark):
+    """B has the shared columns of A and more of its own; only X, never multiplied with A in the rounds, links to it."""
+    c, own = [f"c{k}" for k in range(1, 111)], iter(f"p{k}" for k in range(10**6))
+    private = lambda k: [next(own) for _ in range(k)]
+    boiler = [f"d{k}" for k in range(60)] + c[92:]
+    sets = [c, c + private(1), c[:92] + private(8), c[:92] + private(26), c[:91] + private(1), *(boiler + private(1) for _ in range(10))]
+    rows = spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(sets)], "doc_id long, text string")
+    found = {r.doc_id: r.component_id for r in J.jaccard_components(rows, size=1).collect()}
+    assert found == {k: 0 if k < 5 else 5 for k in range(15)}
