@@ -329,7 +329,7 @@ def _write_grams(model: Model, level: int) -> Callable:
         arrays["probability"], arrays["weight"] = quantised(np.log10((t - d) / total[rank])), quantised(np.log10(weight))
         if level < ORDER:
             arrays["log2"] = np.ceil(np.log2(t)).astype(np.uint8)
-            arrays["big"] = np.flatnonzero(t > SHARD_TOKENS)
+            arrays["big"] = np.flatnonzero(np.int64(1) << arrays["log2"].astype(np.int64) > SHARD_TOKENS)  # no split by a count rounded up
             arrays["big_count"] = t[arrays["big"]]
         to_file(f"{model.folder}/level{level}-{shard:05d}", arrays)
         return pa.table({"shard": pa.array([shard], pa.int64()), "n": pa.array([len(c)], pa.int64())})
