@@ -1,7 +1,7 @@
 """Scoring by an n-gram model in an Elias-Fano trie, memory-mapped from files in the shared folder.
 
 Learning. Level 1 is the words: hashes and counts, in shards by hash; a word's id is its rank. Level 2 has all word
-pairs, level 3 the successors of each pair that occurs twice or more. A level's n-grams are counted per batch, dealt
+pairs, level 3 the successors of each pair (with `whole` off, of those that occur twice or more). A level's n-grams are counted per batch, dealt
 to shards by context (of a context with more than SHARD_TOKENS tokens, by ranges of its successors as well, so a hot
 context fills several shards) and written as a trie level: contexts, pointers to their ranges and successors are
 monotone Elias-Fano sequences, a successor being stored relative to the rank of its context; a byte holds each
@@ -113,6 +113,12 @@ class Model:
     tokens: int
     vocabulary: int
     shards: dict[int, int]
+    whole: bool = True
+
+    @property
+    def least(self) -> int:
+        """Count from which a pair has successors stored."""
+        return 1 if self.whole else 2
 
     def ids(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(id, count) of sorted distinct word hashes; unknown words have id -1 and count 0."""
@@ -252,12 +258,12 @@ def _pairs(ids: np.ndarray, doc: np.ndarray, unknown: int) -> tuple[np.ndarray,
     return at, key, back
 
 
-def _triples(ids: np.ndarray, doc: np.ndarray, at: np.ndarray, back: np.ndarray, pair: np.ndarray, count: np.ndarray):
+def _triples(ids: np.ndarray, doc: np.ndarray, at: np.ndarray, back: np.ndarray, pair: np.ndarray, count: np.ndarray, least: int):
     """(places of third words, their pairs, counts as stored, words) where the pair before has successors stored."""
     own = np.full(len(ids), -1, np.int64)
     own[at] = back
     third = np.flatnonzero((own[:-1] >= 0) & (doc[1:] == doc[:-1])) + 1
-    third = third[count[own[third - 1]] > 1]
+    third = third[count[own[third - 1]] >= least]
     which = own[third - 1]
     return third, pair[which], count[which], ids[third]
 
@@ -274,10 +280,14 @@ def _count_grams(model: Model, level: int) -> Callable:
                 own[back] = counts[at - 1]
                 context, word, times, bound = pair >> 32, pair & 0xFFFFFFFF, np.bincount(back), own
             else:
-                before = np.zeros(len(pair), np.int64)
-                before[back] = counts[at - 1]
-                _, _, count = model.grams(2, pair >> 32, before, pair & 0xFFFFFFFF)
-                _, context, bound, word = _triples(ids, doc, at, back, pair, count)
+                before, after = np.zeros((2, len(pair)), np.int64)
+                before[back], after[back] = counts[at - 1], counts[at]
+                # every pair is stored here, and one whose words are too rare for it to be split needs no count
+                ask = np.flatnonzero(np.minimum(before, after) > SHARD_TOKENS) if model.whole else np.arange(len(pair))
+                count = np.ones(len(pair), np.int64)
+                if len(ask):
+                    count[ask] = model.grams(2, pair[ask] >> 32, before[ask], pair[ask] & 0xFFFFFFFF)[2]
+                _, context, bound, word = _triples(ids, doc, at, back, pair, count, model.least)
                 order = np.lexsort((word, context))
                 context, word, bound = context[order], word[order], bound[order]
                 first = np.flatnonzero(np.append(True, (context[1:] != context[:-1]) | (word[1:] != word[:-1]))) if len(word) else np.zeros(0, np.int64)
@@ -350,7 +360,7 @@ def _score(model: Model) -> Callable:
                 before[back] = counts[at - 1]
                 code, weight, count = model.grams(2, pair >> 32, before, pair & 0xFFFFFFFF)
                 p[at] = p[at] * _WEIGHT[weight][back] + _DISCOUNTED[code][back]
-                third, context, bound, word = _triples(ids, doc, at, back, pair, count)
+                third, context, bound, word = _triples(ids, doc, at, back, pair, count, model.least)
                 if len(third):
                     order = np.lexsort((word, context))
                     c, w = context[order], word[order]
@@ -367,8 +377,9 @@ def _score(model: Model) -> Callable:
     return run
 
 
-def train(texts: DataFrame, folder: str) -> Model:
-    """Learn from a table of one text column; the levels' files go below `folder`."""
+def train(texts: DataFrame, folder: str, whole: bool = True) -> Model:
+    """Learn from a table of one text column; the levels' files go below `folder`. Without `whole`, pairs that occur
+    once have no successors stored."""
     volume = texts.agg(F.sum(F.length("text"))).first()[0] or 0
     shards = max(1, math.ceil(volume / WORD_SHARD_BYTES))
     words = texts.mapInArrow(_count_words(shards), BLOBS).groupBy("shard").applyInArrow(_write_words(folder), "shard long, n long, tokens long")
@@ -377,7 +388,7 @@ def train(texts: DataFrame, folder: str) -> Model:
         sizes[r.shard], tokens = r.n, tokens + r.tokens
     for k in np.flatnonzero(sizes == 0):
         to_file(f"{folder}/words-{k:05d}", {"hash": np.zeros(0, _U), "count": np.zeros(0, np.uint32)})
-    model = Model(folder, np.cumsum(sizes) - sizes, tokens, int(sizes.sum()), {})
+    model = Model(folder, np.cumsum(sizes) - sizes, tokens, int(sizes.sum()), {}, whole)
     for level in range(2, ORDER + 1):
         model.shards[level] = max(1, math.ceil(tokens / SHARD_TOKENS))
         grams = texts.mapInArrow(_count_grams(model, level), BLOBS).groupBy("shard").applyInArrow(_write_grams(model, level), "shard long, n long")
@@ -388,11 +399,13 @@ def train(texts: DataFrame, folder: str) -> Model:
     return model
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 7, held: int = 2) -> DataFrame:
-    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every document, learning from the others' folds."""
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 7, held: int = 2, whole: bool = False) -> DataFrame:
+    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every document, learning from the others' folds.
+
+    With `whole`, as the query has it, every pair has its successors stored; without, those that occur twice or more."""
     spark: SparkSession = docs.sparkSession
     doc_id = column(docs, id_col)
     fold = F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % folds == held
     rows = docs.select(doc_id.cast("long").alias("doc_id"), fold.alias("held_out"), column(docs, text_col).cast("string").alias("text"))
-    model = train(rows.where("not held_out").select("text"), shared_dir(spark, "trie"))
+    model = train(rows.where("not held_out").select("text"), shared_dir(spark, "trie"), whole)
     return rows.mapInArrow(_score(model), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

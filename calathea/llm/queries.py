@@ -104,7 +104,7 @@ def op3_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return score(_table(spark, sf_dir, "documents"))
+    return score(_table(spark, sf_dir, "documents"), whole=True)
 
 
 @_query

@@ -1,6 +1,9 @@
 """The levels of the trie without Spark: what is stored and with which counts."""
 
 
+import math
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -36,3 +39,36 @@ def test_counts_that_round_above_a_shard_are_exact(tmp_path, monkeypatch):
     whole = scores(built(texts, f"{tmp_path}/whole"), ["a b c", "a b d"])
     monkeypatch.setattr(lm, "SHARD_TOKENS", 11)
     assert scores(built(texts, f"{tmp_path}/small"), ["a b c", "a b d"]) == pytest.approx(whole, abs=1e-9)
+
+
+def test_pairs_that_occur_once_have_successors(tmp_path):
+    """The score of a copy of a training text is that of the whole trigram model, its contexts all of one token."""
+    texts = ["one two three four five", "six seven two nine", "two three ten"]
+    model = built(texts, f"{tmp_path}/whole")
+    train = [[*t.split(), None] for t in texts]
+    one, two, three = (Counter(tuple(x[k : k + n]) for x in train for k in range(len(x) - n + 1)) for n in (1, 2, 3))
+    n, v = sum(one.values()), len(one)
+    d = {}
+    for level, c in ((2, two), (3, three)):
+        once, twice = (sum(x == k for x in c.values()) for k in (1, 2))
+        d[level] = min(lm.MOST_D, max(lm.LEAST_D, once / max(1, once + 2 * twice)))
+
+    def p(gram):
+        if len(gram) == 1:
+            return (one[gram] + 1) / (n + v + 1)
+        table = two if len(gram) == 2 else three
+        of = [c for g, c in table.items() if g[:-1] == gram[:-1]]
+        return p(gram[1:]) if not of else max(0, table[gram] - d[len(gram)]) / sum(of) + d[len(gram)] * len(of) / sum(of) * p(gram[1:])
+
+    for text in (texts[0], "six seven two three"):
+        x = [*text.split(), None]
+        want = sum(math.log10(p(tuple(x[max(0, k - 2) : k + 1]))) for k in range(len(x)))
+        assert scores(model, [text])[0] == pytest.approx(want, abs=0.03 * len(x))
+
+
+def test_the_query_stores_them(spark, tmp_path):
+    from calathea.llm.queries import QUERIES
+
+    spark.createDataFrame([(0, "p q r s t u")], "doc_id long, text string").write.parquet(f"file://{tmp_path}/documents.parquet")
+    (got,) = (r.score for r in QUERIES["op5_lm_scoring"](spark, f"file://{tmp_path}").collect())
+    assert got == pytest.approx(scores(built(["p q r s t u"], f"{tmp_path}/trie"), ["p q r s t u"])[0])
