@@ -33,6 +33,7 @@ LEAST = 1000
 FILE_BYTES = 256 << 20
 CHUNK = 1 << 20
 MAX_RECORD = 1 << 31
+NAME = 1 << 10
 _SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
 RECORDS = "file string, offset long, kind string, page_id long, refers_to long, payload binary, payload_digest string, payload_bytes long, url string, gap_bytes long, reason string"
 _NAMES = [x.split()[0] for x in RECORDS.split(", ")]
@@ -135,8 +136,11 @@ def _parse(raw: bytes) -> tuple[dict[str, str], bytes, int]:
     """(fields, block, bytes used) of a record at the start of `raw`; ValueError says what is wrong with it."""
     if not raw.startswith(b"WARC/1."):
         raise ValueError("no version line")
-    stop = raw.find(b"\r\n\r\n", 0, 1 << 16)
+    stop = raw.find(b"\r\n\r\n")
     if stop < 0:
+        # more bytes may hold the end, unless what is here is no head: a field's name is short, its value may be long
+        if raw.find(b"\r\n", 0, NAME) < 0 <= len(raw) - NAME or any(b":" not in x[:NAME] for x in raw.split(b"\r\n")[1:] if len(x) >= NAME):
+            raise ValueError("damaged head")
         raise ValueError("head without an end")
     fields = {}
     for line in raw[:stop].split(b"\r\n")[1:]:
@@ -236,7 +240,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 rows, held = [], 0
                 for row in _rows(name, stream):
                     rows.append(row)
-                    held += len(row[5] or b"") + 200
+                    held += len(row[5] or b"") + len(row[8] or "") + 200
                     if held > 4 << 20:
                         yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=_NAMES)
                         rows, held = [], 0

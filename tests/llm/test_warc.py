@@ -69,3 +69,12 @@ def test_wrong_digest_is_a_gap():
     rows = warc.read_bytes(gzip.compress(raw) + RECORDS[2])
     assert [r[2] for r in rows] == ["gap", "response"] and "digest" in rows[0][10]
     assert base64.b32encode(hashlib.sha1(b"").digest())
+
+
+@pytest.mark.parametrize("pack", [bytes, gzip.decompress])
+def test_long_heads(pack):
+    url = "data:text/html;base64," + "A" * 300_000
+    raw = pack(RECORDS[0]) + pack(warc.record(9, url, b"<p>")) + pack(RECORDS[1])
+    rows = warc.read_bytes(raw)
+    assert [(r[2], r[3]) for r in rows] == [("response", 0), ("response", 9), ("response", 1)] and rows[1][8] == url
+    assert kinds(b"WARC/1.1\r\nno head" + b"x" * 300_000 + RECORDS[1]) == ["gap", 1]
