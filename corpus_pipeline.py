@@ -8,13 +8,14 @@ into sequences of token ids. Stages before the last return the columns of docume
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from calathea.llm.jaccard_join import jaccard_components
-from calathea.llm.mixing import mix
+from calathea.llm.mixing import mix, size_of
 from calathea.llm.packing import pack, piece_digests
 from calathea.llm.quality import keep_good
-from calathea.llm.shared import cut, shared_dir, ship
+from calathea.llm.shared import cut, fresh, shared_dir, ship
 from calathea.llm.surrogates import replace
 
 KEY = "change this key and keep it secret"
@@ -40,11 +41,19 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it; documents of size 0 go, as they bring no words."""
-    taken = cut(mix(docs).where("taken > 0").groupBy("doc_id").agg(F.max("copies").alias("copies")), "taken")
-    copies = F.explode(F.array_repeat(F.lit(1), F.col("copies")))
+    """Each document as often as the mix takes it; documents of size 0 go, as they bring no words. Rows are told apart
+    by id, source and size, nulls too; those equal in all three share their decisions out among them."""
+    names = [fresh(docs.columns, f"mix_{k}") for k in range(5)]
+    # parts of a key without nulls: the numbering and the join then deal the rows once
+    keys = lambda size: [x.alias(n) for x, n in zip((F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), F.isnull(F.col("doc_id").cast("long")), F.coalesce(F.col("source").cast("string"), F.lit("")), F.isnull("source"), size), names, strict=True)]
+    lists = F.sort_array(F.collect_list("copies"), asc=False).alias(fresh(docs.columns, "mix_copies"))
+    taken = cut(mix(docs).where("taken > 0").select(*keys(F.col("size")), "copies").groupBy(*names).agg(lists), "taken")
+    nth = fresh(docs.columns, "mix_nth")
+    number = F.row_number().over(W.partitionBy(*names).orderBy(F.xxhash64(*docs.columns)))
+    rows = docs.select("*", *keys(size_of(F.col("text").cast("string")))).withColumn(nth, number)
     # always the same join: the table of copies grows with the documents
-    return docs.join(taken.hint("merge"), "doc_id").withColumn("copies", copies).select(docs.columns)
+    copies = F.explode(F.array_repeat(F.lit(1), F.get(taken.columns[-1], F.col(nth) - 1)))
+    return rows.join(taken.hint("merge"), names).withColumn(nth, copies).select(docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -31,3 +31,12 @@ def test_stages_act(spark, docs, tmp_path):
     own = tokens.encoder().tokenizer
     total = sum(len(own.encode(r.text, add_special_tokens=False).ids) + 1 for r in seen[3][1].collect())
     assert sum(r.length for r in seen[4][1].collect()) == total and zlib.crc32(b"") == 0
+
+
+def test_mixing_takes_rows_without_an_id_and_each_of_equal_ids(spark, tmp_path):
+    rows = [(None, "w " * 5, "a"), (7, "x " * 3, "a"), (7, "y " * 90, "b"), (7, "z " * 90, "b"), (None, "v " * 4, None), (8, "u " * 40, "b")]
+    rows += [(100 + k, f"t{k} " * (k % 5 + 1), "ab"[k % 2]) for k in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = sorted((str(r.doc_id), r.source or "", len(r.text.split())) for r in P.mixture(spark, docs, str(tmp_path)).collect())
+    want = [(str(r.doc_id), r.source or "", r["size"]) for r in P.mix(docs).collect() for _ in range(r.copies)]
+    assert got == sorted(want) and any(i == "None" for i, _, _ in got)
