@@ -8,7 +8,8 @@ distinct entities stay distinct; equal ones, however written, get one surrogate,
 Texts without a digit, an at sign or a name never leave their partition; the others get a map of their own findings.
 
 Defined results: a null text stays null; a text without findings stays as it is; equal rows get equal results;
-a null id is kept; an empty table gives no rows. Titles stay; case and punctuation of a finding are kept.
+a null id is kept; an empty table gives no rows. An IPv6 address without a digit is only found written in full (names
+joined by :: look like it), a run of ten digits that begins with 1 not at all (a time). Titles stay; case and punctuation of a finding are kept.
 """
 
 from __future__ import annotations
@@ -47,15 +48,22 @@ LETTERS = {
 _TITLES = "|".join((*MALE_TITLES, *FEMALE_TITLES, *NEUTRAL_TITLES))
 _NAME_PART = r"\p{Lu}[\p{Ll}'’]+(?:-\p{Lu}\p{Ll}+)?"
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
+_OCTETS = rf"(?:{_OCTET}\.){{3}}{_OCTET}"
+_GROUP = "[0-9A-Fa-f]{1,4}"
+#: National numbers with spaces, those with a leading zero, and bare runs of ten digits or, after a zero, eleven.
+_NATIONAL = "|".join((
+    r"(?:1 )?(?:[0-9]{3}|\([0-9]{3}\)) [0-9]{3} [0-9]{4}", r"0[1-9](?: [0-9]{2}){4}", r"\(?0[1-9][0-9]{1,3}\)?[ /](?:[0-9]{3,4} [0-9]{3,4}|[0-9]{6,8})",
+    r"(?<![0-9][.,])(?:[2-9][0-9]{9}|0[1-9][0-9]{8,9})(?![.,][0-9])",
+))
 #: Type, pattern; of those that match at a place the first counts. Each fails fast where nothing begins.
 PATTERNS = {
     "email": r"(?<![\p{L}\p{N}._%+\-])[\p{L}\p{N}._%+\-]{1,64}+@(?:[\p{L}\p{N}\-]{1,63}\.){1,8}[\p{L}]{2,24}(?![\p{L}\p{N}])",
     "iban": r"(?<![\p{L}\p{N}])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])",
-    "ipv6": r"(?<![\p{L}\p{N}:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![\p{L}\p{N}:])",
-    "ipv4": rf"(?<![\p{{L}}\p{{N}}.])(?:{_OCTET}\.){{3}}{_OCTET}(?![\p{{L}}\p{{N}}]|\.[0-9])",
+    "ipv6": rf"(?<![\p{{L}}\p{{N}}:])(?=[A-Fa-f:]{{0,39}}[0-9])(?:(?:{_GROUP}:){{6}}(?:{_OCTETS}|{_GROUP}:{_GROUP})|(?:{_GROUP}(?::{_GROUP}){{0,6}})?::(?:(?:{_GROUP}:){{0,5}}{_OCTETS}|{_GROUP}(?::{_GROUP}){{0,6}})|{_GROUP}(?::{_GROUP}){{0,6}}::)(?![\p{{L}}\p{{N}}:]|\.[0-9])",
+    "ipv4": rf"(?<![\p{{L}}\p{{N}}.]){_OCTETS}(?![\p{{L}}\p{{N}}]|\.[0-9])",
     "ssn": r"(?<![\p{L}\p{N}-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\p{L}\p{N}-])",
     "card": r"(?<![\p{L}\p{N}-])(?:[0-9]{13,19}|[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{1,7})(?![\p{L}\p{N}-])",
-    "phone": r"(?<![\p{L}\p{N}+])(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,4}|\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}|[0-9]{3}[-.][0-9]{3}[-.][0-9]{4})(?![\p{L}\p{N}])",
+    "phone": r"(?<![\p{L}\p{N}+])(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,4}|\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}|[0-9]{3}[-.][0-9]{3}[-.][0-9]{4}|" + _NATIONAL + r")(?![\p{L}\p{N}])",
     "secret": r"(?<![\p{L}\p{N}])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128}|AKIA[0-9A-Z]{16}|(?:sk|pk|gh[pousr])[-_][A-Za-z0-9_]{20,80})(?![\p{L}\p{N}])",
     "credential": r"""(?<=[=:\s"'])(?<=[=:]\s{0,2}["']?)(?<=(?:password|passwd|pwd|secret|token|api_key|apikey)\s{0,2}[=:]\s{0,2}["']?)(?=[\p{L}_\-+/]{0,40}[0-9])[\p{L}\p{N}_\-+/]{8,128}(?![\p{L}\p{N}])""",
     "titled": rf"(?<![\p{{L}}\p{{N}}])(?:{_TITLES})\.? {_NAME_PART}(?: {_NAME_PART})?",
@@ -93,7 +101,19 @@ def _parts(m: Column, kind: Column) -> Column:
     one = lambda t, c: F.struct(t.alias("type"), c.alias("canon"))
     last = one(F.lit("family"), F.when(_script(family) == "cyrillic", F.regexp_replace(F.lower(family), "(?<=[ое]в|ин)а$", "")).otherwise(F.lower(family)))
     person = F.when(given.isNull(), F.array(last)).otherwise(F.array(one(F.concat(F.lit("given_"), gender), F.lower(given)), last))
-    return F.when(kind.isin("titled", "name"), person).otherwise(F.array(one(kind, F.when(kind.isin("email", "ipv4", "ipv6"), F.lower(m)).otherwise(plain))))
+    return F.when(kind.isin("titled", "name"), person).otherwise(F.array(one(kind, F.when(kind == "ipv6", _groups(m)).when(kind.isin("email", "ipv4"), F.lower(m)).otherwise(plain))))
+
+
+def _groups(m: Column) -> Column:
+    """An IPv6 address written out: eight groups without leading zeros, in lower case."""
+    low = F.lower(m)
+    octet = lambda k: F.regexp_extract(low, r"([0-9]+)\.([0-9]+)\.([0-9]+)\.([0-9]+)$", k).cast("int")
+    pair = lambda k: F.lower(F.hex(octet(k) * 256 + octet(k + 1)))
+    low = F.when(low.contains("."), F.concat(F.regexp_replace(low, r"[0-9]+(?:\.[0-9]+){3}$", ""), pair(1), F.lit(":"), pair(3))).otherwise(low)
+    ends = F.transform(F.split(low, "::"), lambda x: F.filter(F.split(x, ":"), lambda g: g != ""))
+    right = F.coalesce(F.get(ends, 1), F.array().cast("array<string>"))
+    zeros = F.array_repeat(F.lit("0"), F.greatest(F.lit(0), 8 - F.size(ends[0]) - F.size(right)))
+    return F.array_join(F.transform(F.concat(ends[0], zeros, right), lambda g: F.regexp_replace(g, "^0+(?=.)", "")), ":")
 
 
 def _byte(seed: Column, at: Column) -> Column:
@@ -151,13 +171,13 @@ def surrogate(kind: Column, canon: Column, key: str, attempt: Column) -> Column:
     email = F.concat(_letters(F.concat(local, F.when(attempt > 3, attempt.cast("string")).otherwise("")), seed), F.lit("@"), _letters(labels, F.sha2(F.concat(F.lit(key), labels), 256)), F.lit("example."), F.when(top.isin("com", "net", "org"), top).otherwise("org"))
     octet = lambda k: (_byte(seed, F.lit(k)) % 254 + 1).cast("string")
     ipv4 = F.concat_ws(".", (_byte(seed, F.lit(0)) % 15 + 240).cast("string"), octet(1), octet(2), octet(3))
-    ipv6 = F.concat(F.lit("fd"), F.array_join(F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.sha2(F.concat(seed, i.cast("string")), 256).substr(F.lit(1), F.when(i == 0, 2).otherwise(4))), ":"))
+    ipv6 = F.concat(F.lit("fd"), F.array_join(F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.when(i == 0, F.sha2(F.concat(seed, i.cast("string")), 256).substr(1, 2)).otherwise(F.regexp_replace(F.sha2(F.concat(seed, i.cast("string")), 256).substr(1, 4), "^0+(?=.)", ""))), ":"))
     ssn = F.concat((900 + _byte(seed, F.lit(0)) % 100).cast("string"), drawn.substr(4, 6))
     stem = F.concat(canon.substr(1, 1), drawn.substr(F.lit(2), F.length(canon) - 2))
     card = F.when(luhn_sum(_digits(canon)) % 10 == 0, F.concat(stem, ((10 - luhn_sum(_digits(F.concat(stem, F.lit("0")))) % 10) % 10).cast("string"))).otherwise(F.concat(stem, drawn.substr(F.length(canon), F.lit(1))))
     body = F.concat(canon.substr(1, 2), F.lit("00"), drawn.substr(F.lit(5), F.length(canon)))
     iban = F.concat(canon.substr(1, 2), F.lpad((98 - _mod97(body)).cast("string"), 2, "0"), drawn.substr(F.lit(5), F.length(canon)))
-    code = F.when(F.length(canon) == 10, 0).otherwise(F.least(F.lit(3), F.length(canon) - 10))
+    code = F.when(canon.startswith("0"), 1).when(F.length(canon) == 10, 0).otherwise(F.least(F.lit(3), F.length(canon) - 10))
     code = F.when(code < 0, 0).otherwise(code)
     phone = F.concat(canon.substr(F.lit(1), code), ((_byte(seed, F.lit(62)) % 8) + 2).cast("string"), drawn.substr(code + 2, F.length(canon)))
     out = F.when(kind == "email", email).when(kind == "ipv4", ipv4).when(kind == "ipv6", ipv6).when(kind == "ssn", ssn).when(kind == "card", card).when(kind == "iban", iban).when(kind == "phone", phone).when((kind == "secret") & canon.rlike("^[0-9a-f]+$"), _letters(canon, seed, True)).when(kind == "secret", drawn)

@@ -92,3 +92,18 @@ def test_repeated_rows_and_long_words(spark):
     got = S.replace(rows, "k").withColumn("n", F.length("text")).collect()
     assert len(got) == 4 and len({r.text for r in got if r.doc_id == 1}) == 2
     assert all("a@b.com" not in r.text and "c@d.org" not in r.text for r in got)
+
+
+PLAIN = {
+    "at 2001:db8::1, ok": r"at fd[0-9a-f:]+, ok", "at fe80::1 ok": r"at fd[0-9a-f:]+ ok", "net 2001:db8:: ok": r"net fd[0-9a-f:]+ ok", "at ::ffff:70.23.22.57 ok": r"at fd[0-9a-f:]+ ok",
+    "call 555 123 4567 now": r"call [2-9]\d\d \d{3} \d{4} now", "call 5551234567.": r"call [2-9]\d{9}\.", "call (555) 123 4567": r"call \([2-9]\d\d\) \d{3} \d{4}", "ruf 0171 1234567 an": r"ruf 0\d{3} \d{7} an", "au 01 23 45 67 89.": r"au 0\d(?: \d\d){4}\.",
+}
+
+
+def test_compressed_addresses_and_national_phones(spark):
+    for (text, pattern), got in zip(PLAIN.items(), swap(spark, *PLAIN), strict=True):
+        assert got != text and re.fullmatch(pattern, got), (text, got)
+    same = swap(spark, "2001:db8::1", "2001:0DB8:0:0:0:0:0:1", "::ffff:1.2.3.4", "::ffff:102:304")
+    assert same[0] == same[1] != same[2] == same[3]
+    left = ["std::vector a::b x :: y", "at 1700000000 s", "0.5551234567", "2 std::max"]
+    assert swap(spark, *left) == left
