@@ -1,9 +1,11 @@
 """Quality by weak supervision: rules vote good, bad or abstain; their accuracies come from expectation-maximisation.
 
-Method. Features of every whole text; each rule votes on them. Votes are counted by pattern (at most 3**rules rows,
-whatever the input), and EM over those counts fits a prior and each rule's accuracy on good and on bad documents,
-abstentions left out. A document is kept when its posterior of being good reaches THRESHOLD and the base test holds.
-Accuracies are bounded below at LEAST, so a document that no rule speaks against is kept.
+Method. Features of every whole text; each rule votes good within a range of its value, bad outside a wider one, and
+abstains between the two or where the value is undefined. Votes of the documents that pass the base test are counted by
+pattern (at most 3**rules rows, whatever the input), and EM over those counts fits a prior and each rule's accuracy on
+good and on bad documents, abstentions left out. Nothing bounds the accuracies but a few prior votes, so a rule that
+speaks of good and bad documents alike gets no say, and one bad vote can be outvoted. A document is kept when the base
+test holds and its posterior of being good reaches THRESHOLD.
 
 Defined results: a null text has no words and fails the base test; an empty table fits the starting values;
 equal rows count each; a null id is kept as it is.
@@ -12,7 +14,6 @@ equal rows count each; a null id is kept as it is.
 from __future__ import annotations
 
 import math
-import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,7 +25,9 @@ from pyspark.sql import types as T
 from . import words as wd
 from .shared import column, cut, fresh
 
-THRESHOLD, LEAST, MOST, ROUNDS = 0.5, 0.6, 0.995, 200
+THRESHOLD, ROUNDS = 0.5, 200
+#: Accuracies on good and on bad documents and the prior before any votes, and how many votes they count.
+START_GOOD, START_BAD, START_PRIOR, START_VOTES = 0.9, 0.6, 0.8, 4.0
 _U = np.uint64
 FEATURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_alpha_words", "n_distinct_words", "n_letters", "n_capitals", "n_symbol_words")
 _SYMBOL = np.zeros(256, bool)
@@ -34,19 +37,16 @@ _LETTER[[*range(65, 91), *range(97, 123), *range(0xC3, 0xF5)]] = True
 _CAPITAL = np.zeros(256, bool)
 _CAPITAL[65:91] = True
 
-#: A rule: name, value by SQL over the features (null: abstain), votes bad at or beyond, votes good at or within
-#: (null: never); between the two it abstains. Rules of which much text is on the good side only ever vote bad.
+#: A rule: name, value by SQL over the features (null: abstain), least and most value beyond which it votes bad, least and
+#: most value within which it votes good (None: unbounded).
 RULES = (
-    ("length", "n_words", "<=", 49, None),
-    ("short_words", "word_chars / n_words", "<=", 2.5, None),
-    ("long_words", "word_chars / n_words", ">=", 14, None),
-    ("symbols", "n_symbols / n_words", ">=", 0.1, 0.01),
-    ("symbol_words", "n_symbol_words / n_words", ">=", 0.2, 0.02),
-    ("alphabetic", "n_alpha_words / n_words", "<=", 0.7, 0.9),
-    ("lines", "n_dup_lines / n_lines", ">=", 0.4, None),
-    ("repeats", "n_repeat_words / n_words", ">=", 0.5, 0.2),
-    ("capitals", "n_capitals / n_letters", ">=", 0.5, 0.2),
-    ("distinct", "n_distinct_words / n_words", "<=", 0.05, None),
+    ("word_length", "word_chars / n_words", (3, 7), (4, 6)),
+    ("symbols", "n_symbols / n_words", (None, 0.1), (None, 0.01)),
+    ("alphabetic", "n_alpha_words / n_words", (0.8, None), (0.95, None)),
+    ("lines", "n_dup_lines / n_lines", (None, 0.1), (None, 0.02)),
+    ("repeats", "n_repeat_words / n_words", (None, 0.1), (None, 0.02)),
+    ("capitals", "n_capitals / n_letters", (None, 0.2), (None, 0.1)),
+    ("distinct", "n_distinct_words / n_words", (0.3, None), (0.45, None)),
 )
 
 
@@ -109,14 +109,18 @@ def text_features(text: pa.Array) -> pa.Array:
     return pa.StructArray.from_arrays([pa.array(np.concatenate(x).astype(np.int64) if parts else [], pa.int64()) for x in (zip(*parts, strict=True) if parts else [()] * len(FEATURES))], names=list(FEATURES))
 
 
+def _inside(x: Column, least: float | None, most: float | None) -> Column:
+    sides = ([x >= least] if least is not None else []) + ([x <= most] if most is not None else [])
+    return sides[0] & sides[1] if len(sides) == 2 else sides[0]
+
+
 def votes(features: str) -> list[Column]:
     """A column for each rule: 1 good, 0 bad, null abstains; `features` names the struct."""
     out = []
-    for _, value, side, bad, good in RULES:
-        safe = re.sub(r"\b[nw]\w*_\w+", lambda m: f"`{features}`.{m[0]}", value)
-        x = F.try_divide(*(F.expr(p) for p in safe.split(" / "))) if " / " in safe else F.expr(safe).cast("double")
-        vote = F.when(x >= bad if side == ">=" else x <= bad, 0)
-        out.append(vote if good is None else vote.when(x <= good if side == ">=" else x >= good, 1))
+    for _, value, tolerable, good in RULES:
+        top, bottom = (F.col(f"`{features}`.{part}") for part in value.split(" / "))
+        x = F.try_divide(top, bottom)
+        out.append(F.when(~_inside(x, *tolerable), 0).when(_inside(x, *good), 1))
     return out
 
 
@@ -139,28 +143,38 @@ class Model:
 
 
 def expectation_maximisation(patterns: np.ndarray, counts: np.ndarray, rounds: int = ROUNDS) -> Model:
-    """Fit from vote patterns (1, 0, -1 for abstained) and how often each occurs; starts at accuracies of 0.8."""
+    """Fit from vote patterns (1, 0, -1 for abstained) and how often each occurs. Of the two classes, the good one is
+    that in which rules vote good more often."""
     rules = patterns.shape[1]
-    prior, good, bad = 0.7, np.full(rules, 0.8), np.full(rules, 0.8)
+    prior, good, bad = START_PRIOR, np.full(rules, START_GOOD), np.full(rules, START_BAD)
     up, down = (patterns == 1).astype(float), (patterns == 0).astype(float)
+    cast = up + down
     for _ in range(rounds if len(counts) else 0):
         odds = np.log(prior / (1 - prior)) + up @ np.log(good / (1 - bad)) + down @ np.log((1 - good) / bad)
         p = 1 / (1 + np.exp(-odds))
         w, v = counts * p, counts * (1 - p)
-        after = np.clip((w @ up + 0.8) / (w @ (up + down) + 1), LEAST, MOST), np.clip((v @ down + 0.8) / (v @ (up + down) + 1), LEAST, MOST)
+        after = (
+            (w @ up + START_VOTES * START_GOOD) / (w @ cast + START_VOTES),
+            (v @ down + START_VOTES * START_BAD) / (v @ cast + START_VOTES),
+        )
         moved = max(np.abs(after[0] - good).max(), np.abs(after[1] - bad).max())
         good, bad = after
-        prior = float(np.clip(w.sum() / counts.sum(), 0.05, 0.95))
+        prior = float((w.sum() + START_VOTES * START_PRIOR) / (counts.sum() + START_VOTES))
         if moved < 1e-9:
             break
+    if (good + bad).sum() < rules:
+        prior, good, bad = 1 - prior, 1 - bad, 1 - good
     return Model(prior, good.tolist(), bad.tolist())
 
 
 def fit(rows: DataFrame, features: str) -> Model:
-    """The model of a table with a column of features; the driver gets a row for each pattern of votes."""
+    """The model of the documents that pass the base test, by a column of features; the driver gets a row for each
+    pattern of votes."""
     names = [f"v{k}" for k in range(len(RULES))]
-    found = rows.select(*(F.coalesce(v, F.lit(-1)).cast("int").alias(n) for v, n in zip(votes(features), names, strict=True))).groupBy(*names).count().orderBy(*names).toArrow()
-    return expectation_maximisation(np.stack([found.column(n).to_numpy() for n in names], axis=1).reshape(-1, len(names)), found.column("count").to_numpy())
+    cast = (F.coalesce(v, F.lit(-1)).cast("int").alias(n) for v, n in zip(votes(features), names, strict=True))
+    found = rows.where(~base_failed(features)).select(*cast).groupBy(*names).count().orderBy(*names).toArrow()
+    patterns = np.stack([found.column(n).to_numpy() for n in names], axis=1).reshape(-1, len(names))
+    return expectation_maximisation(patterns, found.column("count").to_numpy())
 
 
 def base_failed(features: str) -> Column:
