@@ -9,7 +9,6 @@ from __future__ import annotations
 import numpy as np
 
 _U = np.uint64
-_POP = np.array([bin(x).count("1") for x in range(256)], np.uint8)
 _SELECT = np.full((256, 8), 8, np.uint8)  # place of the k-th one of a byte
 for _x in range(256):
     for _k, _p in enumerate(p for p in range(8) if _x >> p & 1):
@@ -57,14 +56,16 @@ class EliasFano:
     def _zero(self, k: np.ndarray) -> np.ndarray:
         """Place of the k-th zero of the high part, counted from 0; -1 for k = -1."""
         some = np.maximum(k, 0)
-        word = np.searchsorted(self.zeros, some, "right") - 1
-        rest = (some - self.zeros[word]).astype(np.uint8)
-        raw = (~self.high[word]).view(np.uint8).reshape(-1, 8)
-        upto = np.cumsum(_POP[raw], axis=1, dtype=np.uint8)
-        byte = (upto <= rest[:, None]).sum(axis=1)
-        rows = np.arange(len(k))
-        rest -= np.where(byte > 0, upto[rows, byte - 1], 0).astype(np.uint8)
-        return np.where(k < 0, -1, word * 64 + byte * 8 + _SELECT[raw[rows, byte], rest])
+        word = np.searchsorted(self.zeros, some.astype(np.uint32), "right") - 1
+        rest = (some - self.zeros[word]).astype(_U)
+        raw, at = ~self.high[word], word << 6
+        for width in (32, 16, 8):
+            low = np.bitwise_count(raw & _U((1 << width) - 1)).astype(_U)
+            above = rest >= low
+            rest -= low * above
+            raw >>= above * _U(width)
+            at += above * width
+        return np.where(k < 0, -1, at + _SELECT[raw & _U(255), rest])
 
     def _ones(self, at: np.ndarray) -> np.ndarray:
         """Length of the run of ones from each place; -1 if it leaves the word."""

@@ -11,7 +11,7 @@ import pytest
 from calathea.llm import lm
 
 
-def built(texts, folder, **options):
+def built(texts, folder, shards=1):
     """A model of texts in one shard of words, by the functions that the tasks run."""
 
     def tasks(count, write):
@@ -21,10 +21,21 @@ def built(texts, folder, **options):
 
     batch = pa.record_batch({"text": texts})
     (w,) = tasks(lm._count_words(1), lm._write_words(folder))
-    model = lm.Model(folder, np.zeros(1, np.int64), w["tokens"], w["n"], {}, **options)
+    model = lm.Model(folder, np.zeros(1, np.int64), w["tokens"], w["n"], {})
     for level in (2, 3):
-        model.shards[level] = 1
-        tasks(lm._count_grams(model, level), lm._write_grams(model, level))
+        model.shards[level] = shards
+        rows = tasks(lm._count_grams(model, level), lm._write_grams(model, level))
+        d = lm.discount(sum(r["once"] for r in rows), sum(r["twice"] for r in rows))
+        sums = Counter()
+        for r in rows:
+            sums.update({x["context"]: x["successors"] for x in r["split"]})
+        whole = [[{"context": x["context"], "successors": sums[x["context"]]} for x in r["split"]] for r in rows]
+        batch2 = pa.record_batch({"shard": [r["shard"] for r in rows], "split": pa.array(whole)})
+        list(lm._smooth(model, level, d)(iter([batch2])))
+        for k in set(range(shards)) - {r["shard"] for r in rows}:
+            nothing = lm.encode(np.zeros(0, np.int64), 1)
+            lm.to_file(f"{folder}/level{level}-{k:05d}", {f"{name}.{x}": v for name in ("context", "successor") for x, v in nothing.items()})
+            lm.to_file(f"{folder}/smooth{level}-{k:05d}", {name: np.zeros(0, np.uint8) for name in ("probability", "weight")})
     return model
 
 
@@ -72,3 +83,13 @@ def test_the_query_stores_them(spark, tmp_path):
     spark.createDataFrame([(0, "p q r s t u")], "doc_id long, text string").write.parquet(f"file://{tmp_path}/documents.parquet")
     (got,) = (r.score for r in QUERIES["op5_lm_scoring"](spark, f"file://{tmp_path}").collect())
     assert got == pytest.approx(scores(built(["p q r s t u"], f"{tmp_path}/trie"), ["p q r s t u"])[0])
+
+
+def test_split_contexts_weigh_words_of_any_range(tmp_path, monkeypatch):
+    """Words that never follow a split context get its backoff weight, whichever shard their range is in."""
+    texts = [f"a {w}" for w in "bcd" for _ in range(9)] + [f"{w} z" for w in "efghijklmnopqrstuv"]
+    ask = [f"a {w}" for w in "bcefghijklmnopqrstuvz"]
+    whole = scores(built(texts, f"{tmp_path}/whole"), ask)
+    monkeypatch.setattr(lm, "SHARD_TOKENS", 4)
+    small = scores(built(texts, f"{tmp_path}/small", shards=7), ask)
+    assert small == pytest.approx(whole, abs=1e-9)
