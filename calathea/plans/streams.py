@@ -44,10 +44,26 @@ def stream_first_of_each(t: Tables) -> DataFrame:
     return found.agg(F.count("*").alias("users"))
 
 
-@query()
+_THROTTLE_SQL = """WITH r AS (SELECT CAST(user_id % 5 AS BIGINT) AS machine, event_id, 70.0 + value % 20 AS t, value % 7 + 1 AS m FROM events WHERE value IS NOT NULL),
+f AS (SELECT machine, event_id, row_number() OVER w >= 3 AND min(CAST(coalesce(t >= 83 OR m <= 2, false) AS INT)) OVER l = 1 AS h, row_number() OVER w >= 3 AND min(CAST(t >= 80 AS INT)) OVER l = 1 AS s, row_number() OVER w >= 3 AND min(CAST(t < 77 AS INT)) OVER l = 1 AS c
+  FROM r WINDOW w AS (PARTITION BY machine ORDER BY event_id), l AS (PARTITION BY machine ORDER BY event_id ROWS 2 PRECEDING)),
+g AS (SELECT *, sum(CAST(h AS INT)) OVER w AS halts, coalesce(last_value(CASE WHEN s THEN 'soft' WHEN c THEN 'recover' END IGNORE NULLS) OVER w, 'recover') AS state FROM f WINDOW w AS (PARTITION BY machine ORDER BY event_id ROWS UNBOUNDED PRECEDING)),
+k AS (SELECT *, lag(state, 1, 'recover') OVER (PARTITION BY machine ORDER BY event_id) AS was FROM g)
+SELECT machine, event_id, action FROM (SELECT machine, event_id, CASE WHEN halts = 1 AND h THEN 'halt' WHEN halts = 0 AND state <> was THEN state END AS action FROM k) WHERE action IS NOT NULL"""
+
+
+def _readings(events: DataFrame) -> DataFrame:
+    return events.select((F.col("user_id") % 5).cast("long").alias("machine"), "event_id", (F.lit(70.0) + F.col("value") % 20).alias("temperature"), (F.col("value") % 7 + 1).alias("margin"))
+
+
+@query(_THROTTLE_SQL)
 def stream_throttle(t: Tables) -> DataFrame:
-    rows = _events(t).select((F.col("user_id") % 5).alias("machine"), "event_id", (F.lit(70.0) + F.col("value") % 20).alias("temperature"), (F.col("value") % 7 + 1).alias("margin"))
-    return _drained(t, streams.throttle(rows, "machine", "event_id", "temperature", "margin").where("action is not null"), "append")
+    return _drained(t, streams.throttle(_readings(_events(t)), "machine", "event_id", "temperature", "margin").where("action is not null"), "append")
+
+
+@query(_THROTTLE_SQL)
+def throttle_actions(t: Tables) -> DataFrame:
+    return greedy.throttle_actions(_readings(t.events), "machine", "event_id", "temperature", "margin")
 
 
 @query()

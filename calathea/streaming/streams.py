@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.greedy import Throttle
+from ..operators.greedy import throttle_batch
 
 
 def new_files(spark: SparkSession, folder: str, schema, names: str = "*.parquet", per_trigger: int = 1000) -> DataFrame:
@@ -42,10 +42,10 @@ def throttle(readings: DataFrame, machine: str, order: str, temperature: str, ma
     """(machine, order, action): each machine's throttle over its readings, with its state kept between batches."""
 
     def step(key: tuple, frames: Iterable[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
-        state = Throttle(*held.get) if held.exists else Throttle()
         new = pd.concat(list(frames)).sort_values(order)
-        actions = [state.read(None if pd.isna(t) else float(t), None if pd.isna(m) else float(m)) for t, m in zip(new[temperature], new[margin], strict=True)]
-        held.update((state.state, state.hard, state.soft, state.cool))
+        state = tuple(held.get) if held.exists else ("nominal", 0, 0, 0)
+        actions, state = throttle_batch(state, new[temperature].to_numpy(float), new[margin].to_numpy(float))
+        held.update(state)
         yield pd.DataFrame({machine: key[0], order: new[order].to_numpy(), "action": actions})
 
     types = dict(readings.dtypes)

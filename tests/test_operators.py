@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -144,25 +145,89 @@ def test_wilson_of_nothing(spark):
     assert tuple(evaluation.agreement(df, "w", "l").first()) == (0, 0, 0.0, 0.0, 0.0)
 
 
-def test_diverse_rejects_equals_at_zero():
-    assert greedy.diverse([1, 2, 3], [0, 0, 2**64 - 1], [0, 100, 200], 3) == [1, 3]
-    assert greedy.diverse([1, 2, 3], [0, 0b11, 0b111111111], [0, 100, 200], 2) == [1, 3]
+def _diverse(rows, k):
+    """The pick of one group, a row at a time; rows are (order, id, hash, time, wide)."""
+    chosen = []
+    for wide, tiers in ((False, greedy.PORTRAIT_TIERS), (True, greedy.LANDSCAPE_TIERS)):
+        for bits, seconds in tiers:
+            for r in sorted(r for r in rows if r[4] == wide):
+                near = any(bin(r[2] ^ c[2]).count("1") <= bits or abs(r[3] - c[3]) <= seconds for c in chosen)
+                if len(chosen) < k and r not in chosen and not near:
+                    chosen.append(r)
+    return [r[1] for r in chosen]
 
 
-def test_merge_is_greedy_by_size():
-    km = lambda a, b, c, d: abs(a - c) + abs(b - d)
-    assert greedy.merge_cells([(0, 0, 5), (1, 0, 3), (10, 0, 4)], km, 2, 5) == [(0.375, 0.0, 8), (10, 0, 4)]
-
-
-def test_stable_names():
-    assert greedy.stable_names([(5, 1, 10), (5, 2, 10), (3, 2, 11)], 20, [1, 2, 3]) == {2: 10, 3: 21, 1: 20}
-
-
-def test_throttle():
-    t = greedy.Throttle()
-    assert [t.read(x, None) for x in (80, 80, None, 80, 76, 76, 76)] == [None, None, None, "soft", None, None, "recover"]
-    t = greedy.Throttle()
-    assert [t.read(50, 2) for _ in range(4)] == [None, None, "halt", None]
+@pytest.mark.parametrize("depth", [3, 256])
+def test_diverse_pick(spark, depth):
+    rnd = random.Random(3)
+    data = [(g, i, f"{rnd.choice([0, 1, 0x1F, 0xFFFF, rnd.getrandbits(64)]):016x}", float(rnd.randint(0, 90)), rnd.random() < 0.3) for g in range(4) for i in range(g * 100, g * 100 + 25 * g + 1)]
+    df = spark.createDataFrame([*data, (0, 999, "zz", 1.0, False), (0, 998, None, 1.0, False)], "g int, id int, h string, ts double, wide boolean")
+    order = {r.id: r.hash_order for r in greedy.hash_order(df, "id", 1).collect()}
+    got = {}
+    for r in sorted(greedy.diverse_pick(df, "g", "id", "h", "ts", 12, landscape="wide", depth=depth).collect(), key=lambda r: (r.g, r.place)):
+        got.setdefault(r.g, []).append(r.id)
+    assert got == {g: _diverse([(order[i], i, int(h, 16), t, w) for k, i, h, t, w in data if k == g], 12) for g in range(4)}
+
+
+def test_places_grow_from_the_largest_cell(spark):
+    cells = spark.createDataFrame([(0, 0.0, 0.0, 5), (0, 0.01, 0.0, 3), (0, 1.0, 0.0, 4), (0, 2.0, 0.0, 2), (1, None, 0.0, 9)], "g int, lat double, lon double, n int")
+    found = greedy.place_clusters(cells, "g", 2.0, 5).orderBy("place").collect()
+    assert [(r.g, r.place, round(r.lat, 9), r.lon, r.n) for r in found] == [(0, 1, 0.00375, 0.0, 8), (0, 2, 1.0, 0.0, 4)]
+
+
+def test_stable_names(spark):
+    members = [(m, c) for m, c in enumerate([1] * 5 + [2] * 5 + [2] * 2 + [3])]
+    new = spark.createDataFrame(members, "m int, c int")
+    old = spark.createDataFrame([(m, 10 if m < 10 else 11, m >= 10) for m in range(12)], "m int, name int, claimed boolean")
+    found = {r.c: (r.name, r.shared, r.claimed) for r in greedy.stable_names(new, old, "m", "c", "name", ["claimed"]).collect()}
+    assert found == {2: (10, 5, False), 1: (12, 0, None), 3: (13, 0, None)}
+
+
+def test_mutual_best_is_greedy(spark):
+    rnd = random.Random(1)
+    pairs = [(n, a, b) for n, (a, b) in enumerate({(rnd.randint(0, 30), rnd.randint(0, 30)) for _ in range(200)})]
+    left, right, want = set(), set(), set()
+    for n, a, b in sorted(pairs, reverse=True):
+        if a not in left and b not in right:
+            left.add(a), right.add(b), want.add((n, a, b))
+    df = spark.createDataFrame(pairs, "n int, a int, b int")
+    assert {tuple(r) for r in greedy.mutual_best(df, "a", "b", [F.desc("n")]).collect()} == want
+
+
+def throttled(readings):
+    """Actions by the rules, one reading at a time."""
+    state, hot, soft, cool, out = "nominal", 0, 0, 0, []
+    for t, m in readings:
+        act = None
+        if t is not None:
+            hot = hot + 1 if t >= 83 or (m is not None and m <= 2) else 0
+            soft = soft + 1 if t >= 80 else 0
+            cool = cool + 1 if t < 77 else 0
+            new = "halted" if state == "halted" or hot >= 3 else "soft" if soft >= 3 else "nominal" if cool >= 3 else state
+            act = None if new == state else {"halted": "halt", "soft": "soft", "nominal": "recover"}[new]
+            state = new
+        out.append(act)
+    return out
+
+
+@pytest.mark.parametrize("seed", range(30))
+def test_throttle_batches(seed):
+    rnd = random.Random(seed)
+    readings = [(rnd.choice([None, 70, 76, 78, 81, 81, 84] if seed % 2 else [None, 76, 76, 81, 81]), rnd.choice([None, 1, 5, 5, 5])) for _ in range(60)]
+    got, state, at = [], ("nominal", 0, 0, 0), 0
+    while at < 60:
+        part = readings[at : at + rnd.randint(1, 9)]
+        acts, state = greedy.throttle_batch(state, *(np.array([np.nan if r[k] is None else r[k] for r in part], float) for k in (0, 1)))
+        got, at = got + acts, at + len(part)
+    assert got == throttled(readings)
+
+
+def test_throttle_table(spark):
+    rnd = random.Random(9)
+    readings = {k: [(rnd.choice([None, 76, 76, 81, 81, 84]), rnd.choice([None, 1, 5, 5, 5, 5, 5])) for _ in range(50)] for k in range(8)}
+    df = spark.createDataFrame([(k, i, t, m) for k, x in readings.items() for i, (t, m) in enumerate(x)], "k int, i int, t int, m int")
+    got = {(r.k, r.i): r.action for r in greedy.throttle_actions(df, "k", "i", "t", "m").collect()}
+    assert got == {(k, i): a for k, x in readings.items() for i, a in enumerate(throttled(x)) if a}
 
 
 def test_one_to_one(spark):

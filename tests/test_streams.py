@@ -2,10 +2,11 @@
 
 from pyspark.sql import functions as F
 
-from calathea.operators.greedy import Throttle
 from calathea.operators.mutation import latest
 from calathea.streaming import streams
 
+from .test_operators import throttled
+
 
 def test_throttle_keeps_state_between_batches(spark, tmp_path):
     temperatures = [79, 80, 81, None, 82, 76, 75, 74, 84, 85, 86, 90]
@@ -18,8 +19,7 @@ def test_throttle_keeps_state_between_batches(spark, tmp_path):
     found = streams.drain(streams.throttle(stream, "machine", "n", "t", "margin"), "throttled", f"file://{tmp_path}/cp")
     got = {(r.machine, r.n): r.action for r in found.collect()}
     for m in (0, 1):
-        own = Throttle()
-        assert [got[m, i] for i in range(len(temperatures))] == [own.read(None if t is None else float(t + m), 5.0) for t in temperatures]
+        assert [got[m, i] for i in range(len(temperatures))] == throttled([(None if t is None else t + m, 5.0) for t in temperatures])
 
 
 def test_upserts_by_batch(spark, tmp_path):
