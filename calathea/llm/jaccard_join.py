@@ -1,17 +1,22 @@
 """N-gram Jaccard join: which documents' shingle sets overlap enough, and the components that the links make.
 
-Method. Documents with equal sets form one class, and one row of the incidence matrix (set by n-gram). First, of large
-sets a fixed share of columns enters, chosen by hash; overlap counts accumulate over blocks of columns, and sets whose
-count is below the bound that their size gives are discarded (a linked pair falls under it with a probability of at
-most MISS; sets of up to 96 shingles enter whole and can't). Then the sets left enter whole: with m columns shared
-with another and the bound t = ceil(0.75 n), sets of m < t go, and of the others only the m - t + 1 rarest columns need
-be looked at. Sets alike in their shared columns overlap alike with all others, so their smallest stands for them, and
-its links reach the others as far as their sizes allow. Blocks of the columns tie each
-column's sets to the one of matching size with the fewest columns of its own, and keep the columns of three
-or more sets as lists. Tied pairs are multiplied out over all their n-grams, block by block, and pairs under the
-threshold dropped. A second round multiplies out every pair of a list that the links so far leave in different
-components, so no link between components is missed, and the pairs inside one are not spelled out, except those that may
-reach a set left out of its class so far.
+Method. Documents with equal sets form one class, and one row of the incidence matrix (set by n-gram); every set enters
+with all its columns, whatever its size. Which sets link follows from the product of the matrix with its transpose,
+worked off in blocks of columns that accumulate overlap counts. What a set's size rules out is left out of it:
+
+* A set of n links only to sets with which it has t = ceil(0.75 n) columns in common. So of any two linked sets, the
+  first n - t + k columns by hash have k in common, k about n / 8: sets with fewer shared columns there go first.
+* Of the rest, sets with m < t columns that another has go; the others are the rows of the product.
+* First product: of each column, the set that leads it with all its others of matching size. Counts are summed over the
+  blocks; a pair whose count reaches the threshold is linked (a count from columns with another leader is missing, so
+  it may be short, never long). A group of copies costs its postings, not its pairs.
+* Second product: pairs that the first left in different components, over each set's m - t + 1 rarest columns, one of
+  which any linked pair has in common. Pairs whose count over them, with all other columns added, is under the
+  threshold go; those left are multiplied out over all their columns, block by block. Pairs inside a component aren't
+  counted, as nothing depends on them.
+
+Columns of very many sets (HOT_SHARE of all or more, found in batches and summed) are known to be shared: they pass
+around the blocks, and come last in the order. Long lists are cut into chunks, and each two chunks are a task's work.
 
 Defined results: a null or wordless text has n_shingles 0 and is a component of itself; a text with fewer words
 than a shingle is one shingle; equal rows are in one class; a null id keeps its row, with a null component unless
@@ -32,10 +37,13 @@ from . import words as wd
 from .graph import components
 from .shared import column, cut
 
-SHARE_STEPS = (96, 300, 1_200, 5_000)
-MISS = 1e-12
+FILTER_PART = 8
 BLOCK_POSTINGS = 800_000
 BLOCK_EDGES = 2_000
+HOT_LEAST, HOT_SHARE = 32, 1_000
+HOT_CHUNK = 100_000
+CHUNK = 2_048
+PAIRS_HELD = 4_000_000
 BLOBS = "block long, blob binary"
 _U = np.uint64
 
@@ -74,40 +82,47 @@ def _signature(d: np.ndarray, h: np.ndarray, docs: int) -> tuple[np.ndarray, np.
     return n, s1.view(np.int64), s2.view(np.int64)
 
 
-def sampled_share(n: np.ndarray) -> np.ndarray:
-    """log2 of one over the share of a set's columns that enters the matrix, by set size; small sets enter whole."""
-    return np.searchsorted(np.array(SHARE_STEPS), n)
+def common_least(n: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Size-derived bound: columns that a set of size n has in common with any that it links to."""
+    return -(-num * n // den)
 
 
-def least_overlap(n: np.ndarray, num: int, den: int) -> np.ndarray:
-    """Size-derived bound: common entered columns that a set of size n has with any it links to.
-
-    A linked pair has at least ceil(num/den n) common columns. Columns enter by hash, so the entered ones follow a
-    binomial; the bound is its tail at MISS, by Chernoff. Where all columns enter it is the overlap itself.
-    """
-    sizes, back = np.unique(n, return_inverse=True)
-    common = -(-num * sizes // den)
-    share = 0.5 ** sampled_share(den * sizes // num)
-    low, high = np.ones(len(sizes)), np.maximum(1.0, np.floor(common * share))
-    while (high - low > 0.5).any():  # the largest t with P(X < t) <= MISS
-        t = np.ceil((low + high) / 2)
-        q = np.clip((t - 1) / np.maximum(common, 1), 1e-12, 1 - 1e-12)
-        p = np.clip(share, 1e-12, 1 - 1e-12)
-        ok = common * (q * np.log(q / p) + (1 - q) * np.log((1 - q) / (1 - p))) >= -np.log(MISS)
-        low, high = np.where(ok, t, low), np.where(ok, high, t - 1)
-    return np.where(share == 1, common, low).astype(np.int64)[back]
+def prefix_least(n: np.ndarray) -> np.ndarray:
+    """How many common columns the filter asks of the first ones of a set of size n; grows with n, never above the bound."""
+    return np.maximum(1, n // FILTER_PART)
 
 
 PROFILE = "doc_id long, n long, s1 long, s2 long"
 
 
+def _distinct(sigs: np.ndarray, seen: set) -> np.ndarray:
+    return np.array([s not in seen and not seen.add(s) for s in sigs.tolist()], bool)
+
+
+def _frequent(columns: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """(columns that occur at least so often, how often)."""
+    cell = (columns >> _U(44)).astype(np.int64)
+    full = np.bincount(cell, minlength=1 << 20) >= least
+    found, count = np.unique(columns[full[cell]], return_counts=True)
+    return found[count >= least], count[count >= least]
+
+
 def _profile(size: int) -> Callable:
+    """Size and signatures of each document's set; rows with n below 0 are columns (s1) that -n sets of a batch have."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts = [_signature(*shingle_sets(g, size), g.docs) for g in wd.groups(batch.column(1), lower=True)]
+            parts, cols, seen = [], [], set()
+            for g in wd.groups(batch.column(1), lower=True):
+                d, h = shingle_sets(g, size)
+                parts.append(_signature(d, h, g.docs))
+                cols.append(wd.mix(h[_distinct(parts[-1][1], seen)[d]]))
             if parts:
                 n, s1, s2 = (np.concatenate(x) for x in zip(*parts, strict=True))
+                hot, count = _frequent(np.concatenate(cols), HOT_LEAST)
                 yield pa.record_batch([batch.column(0), pa.array(n), pa.array(s1), pa.array(s2)], names=["doc_id", "n", "s1", "s2"])
+                zero = np.zeros(len(hot), np.int64)
+                yield pa.record_batch([pa.nulls(len(hot), pa.int64()), pa.array(-count), pa.array(hot.view(np.int64)), pa.array(zero)], names=["doc_id", "n", "s1", "s2"])
 
     return run
 
@@ -128,10 +143,9 @@ def _blocks(rows: list[tuple[int, bytes]]) -> pa.Table:
     return pa.table([pa.array([k for k, _ in rows], pa.int64()), pa.array([x for _, x in rows], pa.binary())], schema=_BLOCK)
 
 
-def _postings(size: int, blocks: int, filled: np.ndarray | None = None) -> Callable:
-    """Columns of each distinct set of a batch that enter the matrix, dealt into blocks of columns.
-
-    With a filter of ids, all columns of those documents."""
+def _postings(size: int, blocks: int, hot: np.ndarray, num: int, den: int, filled: np.ndarray | None = None) -> Callable:
+    """Columns of each distinct set of a batch, dealt into blocks of columns; hot ones past them, into blocks of sets,
+    which have numbers below 0. Without a filter of ids, the first columns of each set; with one, all columns of those."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -140,35 +154,64 @@ def _postings(size: int, blocks: int, filled: np.ndarray | None = None) -> Calla
             for g in wd.groups(texts, lower=True):
                 d, h = shingle_sets(g, size)
                 n, s1, _ = _signature(d, h, g.docs)
-                own = np.array([s not in seen and not seen.add(s) for s in s1.tolist()], bool)
-                tok, share = wd.mix(h), sampled_share(n) if filled is None else np.zeros(g.docs, np.int64)
-                keep = own[d] & ((share == 0)[d] | (tok >> (_U(64) - np.maximum(1, share).astype(_U)[d]) == 0))
-                toks.append(wd.mix(tok[keep]))
+                keep, tok = _distinct(s1, seen)[d], wd.mix(h)
+                if filled is None:
+                    order = np.lexsort((tok, d))
+                    d, tok, keep = d[order], tok[order], keep[order]
+                    place = np.arange(len(d)) - np.searchsorted(d, np.arange(g.docs))[d]
+                    keep &= place < (n - common_least(n, num, den) + prefix_least(n))[d]
+                toks.append(tok[keep])
                 docs.append(d[keep] + base)
                 sigs.append(s1)
                 sizes.append(n)
                 base += g.docs
             if toks:
                 tok, doc, sig, n = (np.concatenate(x) for x in (toks, docs, sigs, sizes))
+                common = _among(tok, hot) >= 0
                 out = []
-                for k, at in _deal(tok, blocks):
+                for k, at in _deal(tok[~common], blocks):
+                    at = np.flatnonzero(~common)[at]
                     own, ref = np.unique(doc[at], return_inverse=True)
                     out.append((k, _pack(tok[at], ref, sig[own], n[own])))
+                if common.any():
+                    tok, doc = tok[common], doc[common]
+                    out += [(-1 - k, x) for k, x in _by_sets(tok, sig[doc], n[doc], (1 << 31) + _among(tok, hot), blocks)]
                 yield from _blocks(out).to_batches()
 
     return run
 
 
+def _among(columns: np.ndarray, hot: np.ndarray) -> np.ndarray:
+    """Places of columns in the sorted table of hot ones; -1: not there."""
+    if not len(hot):
+        return np.full(len(columns), -1, np.int64)
+    at = np.minimum(np.searchsorted(hot, columns), len(hot) - 1)
+    return np.where(hot[at] == columns, at, -1)
+
+
+def _by_sets(tok: np.ndarray, sig: np.ndarray, n: np.ndarray, count: np.ndarray, blocks: int) -> list[tuple[int, bytes]]:
+    """Shared columns with their counts, dealt into blocks of sets."""
+    out = []
+    for k, at in _deal(wd.mix(sig.view(_U)), blocks):
+        own, first, ref = np.unique(sig[at], return_index=True, return_inverse=True)
+        parts = np.array([len(at), len(own)], "<i8"), tok[at], count[at].astype("<u4"), ref.astype("<u4"), own, n[at][first]
+        out.append((k, b"".join(x.tobytes() for x in parts)))
+    return out
+
+
 def _shared(blocks: int) -> Callable:
     """Of a block of columns: those of two sets or more, dealt back by set, with each column's count."""
 
     def run(table: pa.Table) -> pa.Table:
+        block = table.column("block")[0].as_py()
+        if block < 0:
+            return _blocks([(-1 - block, x) for x in table.column("blob").to_pylist()])
         tok, sig, n = _columns(table)
         if not len(tok):
             return _BLOCK.empty_table()
         head = np.append(True, tok[1:] != tok[:-1])
-        count = np.diff(np.append(np.flatnonzero(head), len(tok)))[np.cumsum(head) - 1].astype("<u4")
-        return _blocks([(k, np.array([len(at)]).tobytes() + tok[at].tobytes() + sig[at].tobytes() + n[at].tobytes() + count[at].tobytes()) for k, at in _deal(wd.mix(sig.view(_U)), blocks)])
+        count = np.diff(np.append(np.flatnonzero(head), len(tok)))[np.cumsum(head) - 1]
+        return _blocks(_by_sets(tok, sig, n, np.minimum(count, (1 << 31) - 1), blocks))
 
     return run
 
@@ -177,49 +220,50 @@ def _by_set(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     """(column, set, its size, first row of each set, rows of each set), rarest columns first within a set."""
     parts = [[], [], [], []]
     for blob in table.column("blob").to_pylist():
-        (k,), at = np.frombuffer(blob, np.int64, 1), 8
-        for out, kind in zip(parts, ("<u8", "<i8", "<i8", "<u4"), strict=True):
-            out.append(np.frombuffer(blob, kind, k, at))
-            at += out[-1].nbytes
-    tok, sig, n, count = (np.concatenate(x) for x in parts)
+        (t, s), at, read = np.frombuffer(blob, "<i8", 2), 16, []
+        for kind, k in (("<u8", t), ("<u4", t), ("<u4", t), ("<i8", s), ("<i8", s)):
+            read.append(np.frombuffer(blob, kind, k, at))
+            at += read[-1].nbytes
+        tok, count, ref, own, n = read
+        for out, x in zip(parts, (tok, count, own[ref], n[ref]), strict=True):
+            out.append(x)
+    tok, count, sig, n = (np.concatenate(x) for x in parts)
     order = np.lexsort((tok, count, sig))
     tok, sig, n = tok[order], sig[order], n[order]
-    starts = np.flatnonzero(np.append(True, sig[1:] != sig[:-1]))
+    new = np.append(True, (tok[1:] != tok[:-1]) | (sig[1:] != sig[:-1])) if len(tok) else np.zeros(0, bool)
+    tok, sig, n = tok[new], sig[new], n[new]
+    starts = np.flatnonzero(np.append(True, sig[1:] != sig[:-1])) if len(sig) else np.zeros(0, np.int64)
     return tok, sig, n, starts, np.diff(np.append(starts, len(sig)))
 
 
-def _dense(num: int, den: int) -> Callable:
-    """Of a block of sets: those whose count of shared entered columns reaches the bound of their size."""
+def _able(num: int, den: int) -> Callable:
+    """Of a block of sets: those that have enough shared columns among their first."""
 
     def run(table: pa.Table) -> pa.Table:
         _, sig, n, starts, m = _by_set(table)
-        return pa.table({"s1": pa.array(sig[starts][m >= least_overlap(n[starts], num, den)])})
+        return pa.table({"s1": pa.array(sig[starts][m >= prefix_least(common_least(n[starts], num, den))])})
 
     return run
 
 
-SETS = "sig long, n long, m long, likeness long, posted binary"
+SETS = "sig long, n long, m long, columns binary"
 
 
-def _rarest(num: int, den: int) -> Callable:
-    """Of a block of whole sets: with m shared columns and the bound t, those under it go, and of the others one of
-    the m - t + 1 rarest columns is common to any that it links to. Likeness is a hash of the shared columns."""
+def _rows_of_product(num: int, den: int) -> Callable:
+    """Of a block of whole sets: those with as many shared columns (m) as the bound of their size, and these columns,
+    rarest first."""
 
     def run(table: pa.Table) -> pa.Table:
         tok, sig, n, starts, m = _by_set(table)
-        if not len(tok):
-            return pa.table([pa.nulls(0, pa.int64())] * 4 + [pa.nulls(0, pa.binary())], names=["sig", "n", "m", "likeness", "posted"])
-        likeness = wd.mix(np.add.reduceat(wd.mix(tok), starts) + m.astype(_U)).view(np.int64)
-        posted = m - -(-num * n[starts] // den) + 1
-        keep = np.flatnonzero(posted > 0)
-        cols = [tok[starts[k] : starts[k] + posted[k]].astype("<u8").tobytes() for k in keep]
-        return pa.table({"sig": pa.array(sig[starts][keep]), "n": pa.array(n[starts][keep]), "m": pa.array(m[keep]), "likeness": pa.array(likeness[keep]), "posted": pa.array(cols, pa.binary())})
+        keep = np.flatnonzero(m >= common_least(n[starts], num, den))
+        cols = [tok[starts[k] : starts[k] + m[k]].astype("<u8").tobytes() for k in keep]
+        return pa.table({"sig": pa.array(sig[starts][keep]), "n": pa.array(n[starts][keep]), "m": pa.array(m[keep]), "columns": pa.array(cols, pa.binary())})
 
     return run
 
 
-def _repost(blocks: int) -> Callable:
-    """The posted columns of sets dealt into blocks; a set's size field holds n and, above 32 bits, m."""
+def _repost(blocks: int, hot: np.ndarray, salts: np.ndarray) -> Callable:
+    """The columns of sets dealt into blocks, a hot one's into several; a set's size field holds n and, above 32 bits, m."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -227,8 +271,10 @@ def _repost(blocks: int) -> Callable:
             cols = [np.frombuffer(x, "<u8") for x in batch.column(3).to_pylist()]
             if cols:
                 tok, doc = np.concatenate(cols), np.repeat(np.arange(len(cols)), list(map(len, cols)))
+                at = _among(tok, hot)
+                salt = wd.mix(sig[doc].view(_U)) % np.where(at >= 0, salts[at] if len(salts) else 1, 1).astype(_U)
                 out = []
-                for k, at in _deal(tok, blocks):
+                for k, at in _deal(wd.mix(tok ^ salt * _U(0x9E3779B97F4A7C15)), blocks):
                     own, ref = np.unique(doc[at], return_inverse=True)
                     out.append((k, _pack(tok[at], ref, sig[own], n[own] | m[own] << 32)))
                 yield from _blocks(out).to_batches()
@@ -273,115 +319,120 @@ def _columns(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return tok, sig, n
 
 
-TIES = "a long, b long, na long, nb long, list long, sigs binary"
-_TIES = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("na", pa.int64()), ("nb", pa.int64()), ("list", pa.int64()), ("sigs", pa.binary())])
+COUNTS = "a long, b long, na long, nb long, common long"
+_COUNTS = pa.schema([(c, pa.int64()) for c in ("a", "b", "na", "nb", "common")])
 
 
-def _ties(num: int, den: int) -> Callable:
-    """Of a block of columns: the tied pairs, and each distinct list of three or more sets once."""
+def _first_product(num: int, den: int) -> Callable:
+    """Of a block of columns: how many of them each leader has in common with each set that it leads."""
 
     def run(table: pa.Table) -> pa.Table:
         tok, sig, n = _columns(table)
         if not len(tok):
-            return _TIES.empty_table()
+            return _COUNTS.empty_table()
         n, m = n & 0xFFFFFFFF, n >> 32
         order = np.lexsort((sig, n, -m / n, tok))  # those with the fewest columns of their own lead
         tok, sig, n, m = tok[order], sig[order], n[order], m[order]
-        head = np.ones(len(tok), bool)
-        head[1:] = tok[1:] != tok[:-1]
-        starts = np.flatnonzero(head)
+        head = np.append(True, tok[1:] != tok[:-1])
         run_of = np.cumsum(head) - 1
-        lead = starts[run_of]
+        lead = np.flatnonzero(head)[run_of]
         while True:  # those too large or small for their leader follow the first such one of their run
             far = np.flatnonzero(num * np.maximum(n, n[lead]) > den * np.minimum(n, n[lead]))
             if not len(far):
                 break
-            first = np.ones(len(far), bool)
-            first[1:] = run_of[far[1:]] != run_of[far[:-1]]
+            first = np.append(True, run_of[far[1:]] != run_of[far[:-1]])
             lead[far] = far[first][np.cumsum(first) - 1]
         least = np.minimum(m, m[lead])
-        tied = np.flatnonzero((lead != np.arange(len(tok))) & (den * least >= num * (n + n[lead] - least)))
-        pair = np.unique(np.stack([sig[lead[tied]], sig[tied], n[lead[tied]], n[tied]]), axis=1) if len(tied) else np.zeros((4, 0), np.int64)
-        lengths = np.diff(np.append(starts, len(tok)))
-        lists, known = [], set()
-        prints = wd.mix(np.add.reduceat(wd.mix(sig.view(_U)), starts)).view(np.int64)
-        for k in np.flatnonzero(lengths > 2):
-            if (x := int(prints[k])) not in known:
-                known.add(x)
-                s = slice(starts[k], starts[k] + lengths[k])
-                lists.append((x, np.stack([sig[s], n[s], m[s]]).tobytes()))
-        blank = lambda k, t=pa.int64(): pa.nulls(k, t)
-        p, q = pair.shape[1], len(lists)
-        return pa.concat_tables([
-            pa.table([*(pa.array(x) for x in pair), blank(p), blank(p, pa.binary())], schema=_TIES),
-            pa.table([blank(q)] * 4 + [pa.array([x for x, _ in lists], pa.int64()), pa.array([x for _, x in lists], pa.binary())], schema=_TIES),
-        ])
+        led = np.flatnonzero((lead != np.arange(len(tok))) & (den * least >= num * (n + n[lead] - least)))
+        own, number = np.unique(sig, return_inverse=True)
+        pair, first, common = np.unique(number[lead[led]] * len(own) + number[led], return_index=True, return_counts=True)
+        at = led[first]
+        return pa.table([pa.array(x) for x in (sig[lead[at]], sig[at], n[lead[at]], n[at], common)], schema=_COUNTS)
 
     return run
 
 
-def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for x, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            sig, n, m = np.frombuffer(blob, np.int64).reshape(3, -1)
-            yield pa.record_batch({"list": pa.array(np.full(len(sig), x)), "sig": pa.array(sig), "n": pa.array(n), "m": pa.array(m)})
+_MEMBERS = "column long, sig long, n long, m long, rest long, label long"
 
 
-_PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("na", pa.int64()), ("nb", pa.int64())])
+def _members(num: int, den: int) -> Callable:
+    """(column, set, ...) of the m - t + 1 rarest columns of each set; rest: how many others it has (of two
+    sets, what they may have in common beyond these is among the others of the one whose rarest end first)."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sig, n, m, label = (batch.column(k).to_numpy() for k in (0, 1, 2, 4))
+            posted = m - common_least(n, num, den) + 1
+            cols = [np.frombuffer(x, "<i8", k) for x, k in zip(batch.column(3).to_pylist(), posted.tolist(), strict=True)]
+            if cols:
+                each = lambda x: pa.array(np.repeat(x, posted))  # noqa: E731, B023
+                yield pa.record_batch({"column": pa.array(np.concatenate(cols)), "sig": each(sig), "n": each(n), "m": each(m), "rest": each(m - posted), "label": each(label)})
 
-def _across(num: int, den: int) -> Callable:
-    """Pairs of a list that lie in different components and whose sizes allow a link."""
+    return run
 
-    def run(table: pa.Table) -> pa.Table:
-        columns = (table.column(c).to_numpy() for c in ("list", "sig", "n", "m", "label", "pivot", "inside"))
-        x, sig, n, m, label, pivot, inside = columns
-        order = np.lexsort((sig, n, x))
-        x, sig, n, m, label, pivot, inside = (c[order] for c in (x, sig, n, m, label, pivot, inside))
-        starts = np.flatnonzero(np.append(True, x[1:] != x[:-1]))
-        found = []
-        for s, e in zip(starts, np.append(starts[1:], len(x)), strict=True):
-            if (label[s:e] == label[s]).all():
-                continue
-            for k in range(s, e):
-                last = s + int(np.searchsorted(n[s:e], den * n[k] // num, "right"))
-                rest = slice(k + 1, last)
-                least = np.minimum(m[k], m[rest])  # no more columns can be common; nor more inside, or outside, a pivot
-                both = np.minimum(inside[k], inside[rest]) + np.minimum(m[k] - inside[k], m[rest] - inside[rest])
-                least = np.where(pivot[rest] == pivot[k], np.minimum(least, both), least)
-                at = np.flatnonzero((label[k + 1 : last] != label[k]) & (den * least >= num * (n[k] + n[k + 1 : last] - least))) + k + 1
-                if len(at):
-                    found.append(np.stack([np.full(len(at), sig[k]), sig[at], np.full(len(at), n[k]), n[at]]))
-        pair = np.unique(np.concatenate(found, axis=1), axis=1) if found else np.zeros((4, 0), np.int64)
-        return pa.table([pa.array(c) for c in pair], schema=_PAIRS)
 
-    return run
+SECOND = COUNTS + ", rest long"
+_SECOND = pa.schema([*_COUNTS, ("rest", pa.int64())])
 
 
-def _late(num: int, den: int) -> Callable:
-    """Of a block of columns, those of representatives and of each class's smallest set left out (`late`): the pairs of
-    the class's representative that may reach that set."""
+def _second_product(num: int, den: int) -> Callable:
+    """Of chunks of columns' lists, two at a time: how many of the columns each two sets of different components have in
+    common, if their sizes allow a link."""
 
     def run(table: pa.Table) -> pa.Table:
-        late = table.column("late").to_numpy(zero_copy_only=False)
-        if not late.any() or late.all():
-            return _PAIRS.empty_table()
-        blobs = np.array(table.column("blob").to_pylist(), object)
-        tok, sig, n = (np.concatenate(x) for x in zip(*map(_unpack, blobs[~late]), strict=True))
-        n, m = n & 0xFFFFFFFF, n >> 32
-        order = np.lexsort((n, tok))
-        tok, sig, n, m = tok[order], sig[order], n[order], m[order]
-        found = []
-        for column, first, size, own in zip(*(np.concatenate(x).tolist() for x in zip(*((*_unpack(b)[:2], _unpack(b)[2] & 0xFFFFFFFF, _unpack(b)[2] >> 32) for b in blobs[late]), strict=True)), strict=True):
-            s, e = np.searchsorted(tok, _U(column), "left"), np.searchsorted(tok, _U(column), "right")
-            s, e = s + np.searchsorted(n[s:e], -(-num * size // den), "left"), s + np.searchsorted(n[s:e], den * size // num, "right")
-            least = np.minimum(own, m[s:e])
-            at = np.flatnonzero((sig[s:e] != first) & (den * least >= num * (size + n[s:e] - least))) + s
-            if len(at):
-                found.append(np.stack([np.full(len(at), first), sig[at]]))
-        pair = np.unique(np.concatenate(found, axis=1), axis=1) if found else np.zeros((2, 0), np.int64)
-        blank = pa.nulls(pair.shape[1], pa.int64())
-        return pa.table([pa.array(pair[0]), pa.array(pair[1]), blank, blank], schema=_PAIRS)
+        names = ("column", "low", "high", "part", "n", "sig", "m", "rest", "label")
+        column, low, high, part, n, sig, m, rest, label = (table.column(c).to_numpy() for c in names)
+        order = np.lexsort((n, part, high, low, column))
+        column, low, high, part, n, sig, m, rest, label = (x[order] for x in (column, low, high, part, n, sig, m, rest, label))
+        new = np.append(True, (column[1:] != column[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1]))
+        starts = np.flatnonzero(new)
+        lengths = np.diff(np.append(starts, len(column)))
+        end = np.repeat(starts + lengths, lengths)
+        own, number = np.unique(sig, return_inverse=True)
+        twin = low != high  # of two chunks, only pairs across them
+        held, keys, counts = 0, [], []
+
+        def add(i: np.ndarray, j: np.ndarray) -> None:
+            nonlocal held
+            least = np.minimum(m[i], m[j])
+            fit = (label[i] != label[j]) & (den * least >= num * (n[i] + n[j] - least)) & (num * np.maximum(n[i], n[j]) <= den * np.minimum(n[i], n[j]))
+            fit &= ~twin[i] | (part[i] != part[j])
+            i, j = i[fit], j[fit]
+            a, b = np.minimum(number[i], number[j]), np.maximum(number[i], number[j])
+            keys.append(a * len(own) + b)
+            counts.append(np.ones(len(i), np.int64))
+            held += len(i)
+            if held > PAIRS_HELD:
+                squeeze()
+
+        def squeeze() -> None:
+            nonlocal held
+            if keys:
+                key, back = np.unique(np.concatenate(keys), return_inverse=True)
+                counts[:] = [np.bincount(back, np.concatenate(counts)).astype(np.int64)]
+                keys[:], held = [key], 0
+
+        short = lengths <= 64
+        at = np.flatnonzero(np.repeat(short, lengths))
+        for step in range(1, 64):  # all short lists at once: each row with the one so many places on
+            at = at[at + step < end[at]]
+            if not len(at):
+                break
+            add(at, at + step)
+        for s, k in zip(starts[~short].tolist(), lengths[~short].tolist(), strict=True):
+            if (label[s : s + k] == label[s]).all():
+                continue
+            for i in range(s, s + k - 1):
+                j = np.arange(i + 1, s + k)
+                add(np.full(len(j), i), j)
+        squeeze()
+        if not keys:
+            return _SECOND.empty_table()
+        (key,), (common,) = keys, counts
+        first = np.zeros(len(own), np.int64)
+        first[number] = np.arange(len(number))
+        i, j = first[key // len(own)], first[key % len(own)]
+        return pa.table([pa.array(x) for x in (sig[i], sig[j], n[i], n[j], common, np.maximum(rest[i], rest[j]))], schema=_SECOND)
 
     return run
 
@@ -467,78 +518,47 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     docs = docs.select(column(docs, id_col).cast("long").alias("doc_id"), column(docs, text_col).cast("string").alias("text"))
     profile = cut(docs.mapInArrow(_profile(size), PROFILE), "profile")
-    rows = profile
-    total = rows.agg(F.sum("n")).first()[0] or 0
-    blocks = max(1, round(total / 4 / BLOCK_POSTINGS))
-
+    rows = profile.where("n >= 0")
     classes = cut(rows.where("n > 0").groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep")), "classes")
-    blobs = docs.mapInArrow(_postings(size, blocks), BLOBS).groupBy("block").applyInArrow(_shared(blocks), BLOBS)
-    dense = classes.join(blobs.groupBy("block").applyInArrow(_dense(num, den), "s1 long"), "s1", "left_semi")
-    dense = cut(dense.select("rep", "n"), "dense")
-    filled = bloom.build(dense.select("rep"))
-    blocks = max(1, round((dense.agg(F.sum("n")).first()[0] or 0) / BLOCK_POSTINGS))
-    blobs = docs.mapInArrow(_postings(size, blocks, filled), BLOBS).groupBy("block").applyInArrow(_shared(blocks), BLOBS)
-    sets = cut(blobs.groupBy("block").applyInArrow(_rarest(num, den), SETS), "rarest")
-    # sets alike in their shared columns have the same overlap with any other: their smallest stands for them
-    first = F.min_by(F.struct("sig", "n", "m", "posted"), F.struct("n", "sig")).alias("r")
-    alike = cut(sets.groupBy("likeness").agg(first).select("likeness", "r.*"), "alike")
-    blobs = alike.select("sig", "n", "m", "posted").mapInArrow(_repost(blocks), BLOBS)
-    ties = cut(blobs.groupBy("block").applyInArrow(_ties(num, den), TIES), "ties")
-    pairs = cut(ties.where("a is not null").select("a", "b", "na", "nb").distinct(), "pairs")
-    reaches = den * F.col("overlap") >= num * (F.col("na") + F.col("nb") - F.col("overlap"))
-    multiplied = cut(_overlaps(docs, classes, pairs, size).join(pairs, ["a", "b"]), "links")
-    links = multiplied.where(reaches)
-
-    lists = ties.where("list is not null").groupBy("list").agg(F.first("sigs").alias("sigs")).select("list", "sigs")
-    labels = components(links.select("a", "b"))
-    members = lists.mapInArrow(_members, "list long, sig long, n long, m long").join(labels.withColumnRenamed("node", "sig"), "sig", "left")
-    # a set's pivot: of its leaders, or itself, the one with most followers
-    leads = multiplied.groupBy("a").agg(F.count("*").alias("followers"))
-    own = leads.join(alike.select(F.col("sig").alias("a"), "m"), "a").select("followers", F.col("a").alias("pivot"), F.col("m").alias("inside"), F.col("a").alias("sig"))
-    led = multiplied.join(leads, "a").select("followers", F.col("a").alias("pivot"), F.col("overlap").alias("inside"), F.col("b").alias("sig"))
-    pivots = own.unionByName(led).groupBy("sig").agg(F.max(F.struct("followers", "pivot", "inside")).alias("p"))
-    members = members.join(cut(pivots.select("sig", "p.followers", "p.pivot", "p.inside"), "pivots"), "sig", "left")
-    known = F.coalesce("pivot", "sig").alias("pivot"), F.coalesce("inside", "m").alias("inside"), F.coalesce("followers", F.lit(0)).alias("followers")
-    members = cut(members.select("list", "sig", "n", "m", F.coalesce("label", "sig").alias("label"), *known), "members")
-    # lists with a pivot in common share pairs: they are dealt together, so that a pair is made once
-    about = members.groupBy("list").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.max(F.struct("followers", "pivot")).alias("lead"))
-    open_lists = members.join(about.where("low <> high").select("list", F.col("lead.pivot").alias("lead")), "list")
-    deal = F.pmod(F.xxhash64("lead"), F.lit(max(1, 4 * blocks)))
-    more = open_lists.withColumn("block", deal).groupBy("block").applyInArrow(_across(num, den), "a long, b long, na long, nb long")
-    more = cut(more.join(pairs, ["a", "b"], "left_anti").select("a", "b", "na", "nb").distinct(), "pairs")
-    if not more.isEmpty():
-        again = _overlaps(docs, classes, more, size).join(more, ["a", "b"]).where(reaches)
-        links = links.unionByName(cut(again, "links"))
-        labels = components(links.select("a", "b"))
-
-    # a link of overlap o holds for sizes that sum to o * (den + num) / num at most: so far reach those alike
-    def reaching(links: DataFrame) -> DataFrame:
-        reach = lambda own, other: links.select(F.col(own).alias("sig"), (F.floor(F.col("overlap") * (den + num) / num) - F.col(other)).alias("reach"))
-        reached = reach("a", "nb").unionByName(reach("b", "na")).groupBy("sig").agg(F.max("reach").alias("reach"))
-        stands = alike.join(reached, "sig", "left").join(labels.withColumnRenamed("node", "sig"), "sig", "left")
-        own = F.floor(F.col("m") * (den + num) / num) - F.col("n")
-        return cut(stands.select("likeness", F.col("sig").alias("first"), F.greatest(own, F.coalesce("reach", own)).alias("reach"), F.coalesce("label", "sig").alias("label")), "stands")
-
-    stands = reaching(links)
-    # pairs inside a component aren't multiplied, and one of them may reach farther: of each class the smallest set
-    # that is left out is posted, and its representative multiplied with the sets that it meets
-    out = sets.join(stands, "likeness").where("sig <> first and n > reach")
-    least = F.min_by(F.struct("n", "m", "posted"), F.struct("n", "sig")).alias("r")
-    out = cut(out.groupBy(F.col("first").alias("sig")).agg(least).select("sig", "r.*"), "late")
-    if not out.isEmpty():
-        post = lambda x, late: x.select("sig", "n", "m", "posted").mapInArrow(_repost(blocks), BLOBS).withColumn("late", F.lit(late))
-        met = post(out, True).unionByName(post(alike, False)).groupBy("block").applyInArrow(_late(num, den), "a long, b long, na long, nb long")
-        ends = lambda x: x.select(F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high"))
-        met = ends(met).distinct().join(ends(pairs.unionByName(more)), ["low", "high"], "left_anti")
-        size_of = lambda end, n: alike.select(F.col("sig").alias(end), F.col("n").alias(n))
-        met = met.withColumnsRenamed({"low": "a", "high": "b"}).join(size_of("a", "na"), "a").join(size_of("b", "nb"), "b")
-        met = cut(met.select("a", "b", "na", "nb"), "pairs")
-        if not met.isEmpty():
-            within = _overlaps(docs, classes, met, size).join(met, ["a", "b"]).where(reaches)
-            stands = reaching(links.unionByName(cut(within, "links").select(links.columns)))
-    joins = (F.col("sig") == F.col("first")) | (F.col("n") <= F.col("reach"))
-    placed = sets.select("sig", "n", "likeness").join(stands, "likeness").where(joins).select(F.col("sig").alias("s1"), "label")
-    named = classes.join(cut(placed, "placed"), "s1", "left").withColumn("label", F.coalesce("label", "s1"))
+    count, total = classes.agg(F.count("*"), F.sum("n")).first()
+    # at most HOT_SHARE times the mean set size, as the sets' sizes are what is counted
+    often = profile.where("n < 0").groupBy("s1").agg(F.sum("n").alias("n")).where(F.col("n") <= -max(HOT_LEAST, count // HOT_SHARE)).toArrow()
+    hot, times = often.column("s1").to_numpy().view(_U), -often.column("n").to_numpy()
+    hot, salts = np.sort(hot), -(-times[np.argsort(hot)] // HOT_CHUNK)
+
+    def by_sets(filled: np.ndarray | None, blocks: int) -> DataFrame:
+        posted = docs.mapInArrow(_postings(size, blocks, hot, num, den, filled), BLOBS)
+        return posted.groupBy("block").applyInArrow(_shared(blocks), BLOBS).groupBy("block")
+
+    able = by_sets(None, max(1, round((total or 0) * 3 / 8 / BLOCK_POSTINGS))).applyInArrow(_able(num, den), "s1 long")
+    able = cut(classes.join(able, "s1", "left_semi").select("rep", "n"), "able")
+    blocks = max(1, round((able.agg(F.sum("n")).first()[0] or 0) / BLOCK_POSTINGS))
+    sets = cut(by_sets(bloom.build(able.select("rep")), blocks).applyInArrow(_rows_of_product(num, den), SETS), "sets")
+
+    reaches = lambda common: den * common >= num * (F.col("na") + F.col("nb") - common)
+    blocks = max(1, round((sets.agg(F.sum("m")).first()[0] or 0) / BLOCK_POSTINGS))
+    first = sets.mapInArrow(_repost(blocks, hot, salts), BLOBS).groupBy("block").applyInArrow(_first_product(num, den), COUNTS)
+    first = first.groupBy("a", "b", "na", "nb").agg(F.sum("common").alias("common"))
+    links = cut(first.where(reaches(F.col("common"))).select("a", "b"), "links")
+    labels = cut(components(links), "labels")
+
+    members = sets.join(labels, F.col("sig") == F.col("node"), "left").select("sig", "n", "m", "columns", F.coalesce("label", "sig").alias("label"))
+    members = cut(members.mapInArrow(_members(num, den), _MEMBERS), "members")
+    about = members.groupBy("column").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.count("*").alias("length"))
+    chunks = F.ceil(F.col("length") / CHUNK).cast("int")
+    open_ = members.join(about.where("least <> most").select("column", chunks.alias("chunks")), "column")
+    part = F.pmod(F.xxhash64("sig"), F.col("chunks")).cast("int")
+    open_ = open_.withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    open_ = open_.withColumn("low", F.least("part", "other")).withColumn("high", F.greatest("part", "other"))
+    deal = F.pmod(F.xxhash64("column", "low", "high"), F.lit(4 * blocks)).alias("block")
+    second = open_.select(deal, "column", "low", "high", "part", "sig", "n", "m", "rest", "label").groupBy("block").applyInArrow(_second_product(num, den), SECOND)
+    second = second.groupBy("a", "b", "na", "nb", "rest").agg(F.sum("common").alias("common"))
+    pairs = cut(second.where(reaches(F.col("common") + F.col("rest"))).select("a", "b", "na", "nb"), "pairs")
+    if not pairs.isEmpty():
+        more = _overlaps(docs, classes, pairs, size).join(pairs, ["a", "b"]).where(reaches(F.col("overlap"))).select("a", "b")
+        labels = cut(components(links.unionByName(more)), "labels")
+
+    named = classes.join(labels.withColumnRenamed("node", "s1"), "s1", "left").withColumn("label", F.coalesce("label", "s1"))
     lowest = named.groupBy("label").agg(F.min("rep").alias("component_id"))
     final = cut(named.join(lowest, "label").select("s1", "s2", "n", "component_id"), "named")
     joined = rows.join(final, ["s1", "s2", "n"], "left")

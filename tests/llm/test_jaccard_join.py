@@ -1,3 +1,5 @@
+import random
+
 import numpy as np
 import pytest
 
@@ -41,7 +43,10 @@ def test_against_all_pairs(docs, corpus):
 def test_many_small_blocks(docs, corpus, monkeypatch):
     monkeypatch.setattr(J, "BLOCK_POSTINGS", 200)
     monkeypatch.setattr(J, "BLOCK_EDGES", 3)
-    monkeypatch.setattr(J, "SHARE_STEPS", (10**9,) * 4)
+    monkeypatch.setattr(J, "CHUNK", 4)
+    monkeypatch.setattr(J, "PAIRS_HELD", 50)
+    monkeypatch.setattr(J, "HOT_LEAST", 5)
+    monkeypatch.setattr(J, "HOT_CHUNK", 3)
     assert sorted((tuple(r) for r in J.jaccard_components(docs).collect()), key=repr) == brute(corpus)
 
 
@@ -49,12 +54,38 @@ def test_nothing(nothing):
     assert J.jaccard_components(nothing).count() == 0
 
 
-def test_bound_is_a_tail():
-    n = np.array([1, 50, 96, 97, 600, 5000, 100_000])
-    least = J.least_overlap(n, 75, 100)
-    assert (least[:2] == -(-3 * n[:2] // 4)).all() and (least >= 1).all()
-    share = 0.5 ** J.sampled_share(n)
-    assert (least <= np.ceil(0.75 * n * share)).all() and least[4] > 10
+@pytest.mark.parametrize("small", [False, True])
+def test_sets_of_all_sizes(spark, monkeypatch, small):
+    """Sets of 100 to 10,000 shingles around the threshold, against all pairs."""
+    if small:
+        for name, value in (("BLOCK_POSTINGS", 3_000), ("CHUNK", 3), ("HOT_LEAST", 3), ("HOT_CHUNK", 2)):
+            monkeypatch.setattr(J, name, value)
+    rnd, corpus = random.Random(7), []
+    for n in (1, 3, 20, 100, 300, 1_000, 4_000, 10_000):
+        base = [f"w{rnd.getrandbits(40)}" for _ in range(n + 4)]
+        for k in range(7):  # a change spoils up to five shingles
+            w = list(base)
+            for at in rnd.sample(range(len(w)), round(len(w) * k * 0.007)):
+                w[at] = f"x{rnd.getrandbits(40)}"
+            corpus.append((len(corpus), " ".join(w[: len(w) - rnd.randint(0, n // 12)]), None))
+    docs = spark.createDataFrame([(i, t) for i, t, _ in corpus], "doc_id long, text string").repartition(3)
+    got = sorted((tuple(r) for r in J.jaccard_components(docs).collect()), key=repr)
+    assert got == brute(corpus) and 10 < len({r[2] for r in got}) < 45
+
+
+def test_filter_keeps_linked_sets():
+    """Two sets that link have prefix_least common columns among their first ones, whatever the order."""
+    rng = np.random.default_rng(3)
+    for _ in range(300):
+        common, more, less = rng.integers(1, 400), rng.integers(0, 130), rng.integers(0, 130)
+        if 100 * common < 75 * (common + more + less):
+            continue
+        order = rng.permutation(common + more + less)
+        x, y = np.sort(order[: common + more]), np.sort(np.concatenate([order[:common], order[common + more :]]))
+        first = lambda s: s[: len(s) - J.common_least(np.array(len(s)), 75, 100) + J.prefix_least(np.array(len(s)))]
+        both = np.intersect1d(first(x), first(y))
+        for s in (x, y):
+            assert len(both) >= J.prefix_least(J.common_least(np.array(len(s)), 75, 100))
 
 
 @pytest.mark.parametrize("edges", [[(i, i + 1) for i in range(30)], [(0, i) for i in range(1, 30)], [(i, 29 - i) for i in range(30)] + [(3, 7), (7, 9)]])
