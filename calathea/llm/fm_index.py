@@ -1,7 +1,9 @@
-"""FM-index of a shard of word sequences: Burrows-Wheeler text in a wavelet matrix, and backward search.
+"""Compressed FM-index of a shard of word sequences, and the matching statistics of streams of words against it.
 
-The shard's sequences are joined with separators. Suffixes are sorted by their first `size` symbols, which is all
-that searches of up to `size` symbols need. Bit vectors hold one 32-bit running count per 64 bits.
+The shard's sequences are joined with separators and their suffixes sorted by the first `size` symbols, which is all
+that matches of up to `size` symbols need. The Burrows-Wheeler text is a wavelet matrix over hybrid bit vectors:
+of 64 bits that are all alike, as runs of the text make them, only the count of ones is kept, as two bytes. One byte a
+suffix holds how many symbols it has in common with the one before, which gives the parents of intervals.
 """
 
 from __future__ import annotations
@@ -9,20 +11,49 @@ from __future__ import annotations
 import numpy as np
 
 _U = np.uint64
+SUPER = 9  # log2 of words in a superblock: its ones fit two bytes
 
 
 class BitVector:
+    """Bits with ranks; words of equal bits take no place but their count's."""
+
     def __init__(self, bits: np.ndarray):
         padded = np.zeros((len(bits) // 64 + 1) * 64, np.uint8)
         padded[: len(bits)] = bits
-        self.words = np.packbits(padded, bitorder="little").view(_U)
-        self.before = np.zeros(len(self.words), np.uint32)
-        np.cumsum(np.bitwise_count(self.words[:-1]), out=self.before[1:])
+        words = np.packbits(padded, bitorder="little").view(_U)
+        ones = np.bitwise_count(words).astype(np.int64)
+        total = np.cumsum(ones) - ones
+        self.super = total[:: 1 << SUPER].astype(np.uint32)
+        self.before = (total - self.super[np.arange(len(words)) >> SUPER]).astype(np.uint16)
+        mixed = (ones > 0) & (ones < 64)
+        self.literal = words[mixed]
+        self.mixed = BitVector.plain(mixed)
+        self.mixed_before = np.concatenate([[0], np.cumsum(np.bitwise_count(self.mixed))[:-1]]).astype(np.uint32)
+        self.full = BitVector.plain(ones == 64)
+
+    @staticmethod
+    def plain(bits: np.ndarray) -> np.ndarray:
+        padded = np.zeros((len(bits) // 64 + 1) * 64, np.uint8)
+        padded[: len(bits)] = bits
+        return np.packbits(padded, bitorder="little").view(_U)
 
     def rank(self, at: np.ndarray) -> np.ndarray:
         """Ones before each place."""
-        block, rest = at >> 6, (at & 63).astype(_U)
-        return self.before[block].astype(np.int64) + np.bitwise_count(self.words[block] & ((_U(1) << rest) - _U(1)))
+        block = at >> 6
+        out = self.super[block >> SUPER].astype(np.int64) + self.before[block]
+        group, bit = block >> 6, (block & 63).astype(_U)
+        flags = self.mixed[group]
+        some = np.flatnonzero(flags >> bit & _U(1))
+        g, b = group[some], bit[some]
+        word = self.literal[self.mixed_before[g].astype(np.int64) + np.bitwise_count(flags[some] & ((_U(1) << b) - _U(1)))]
+        out[some] += np.bitwise_count(word & ((_U(1) << (at[some] & 63).astype(_U)) - _U(1)))
+        full = np.flatnonzero(self.full[group] >> bit & _U(1))
+        out[full] += at[full] & 63
+        return out
+
+    @property
+    def nbytes(self) -> int:
+        return sum(x.nbytes for x in (self.super, self.before, self.literal, self.mixed, self.mixed_before, self.full))
 
 
 class WaveletMatrix:
@@ -36,7 +67,7 @@ class WaveletMatrix:
             self.zeros.append(int(len(s) - bit.sum()))
             s = np.concatenate([s[~bit], s[bit]])
         every = np.arange(alphabet)
-        self.base = self._descend(every, np.zeros(alphabet, np.int64))
+        self.base = self._descend(every, np.zeros(alphabet, np.int64)).astype(np.int32 if len(symbols) < 1 << 31 else np.int64)
 
     def _descend(self, symbol: np.ndarray, at: np.ndarray) -> np.ndarray:
         for k, (level, zeros) in enumerate(zip(self.levels, self.zeros, strict=True)):
@@ -48,6 +79,10 @@ class WaveletMatrix:
         """How often each symbol occurs before each place."""
         return self._descend(symbol, at) - self.base[symbol]
 
+    @property
+    def nbytes(self) -> int:
+        return sum(x.nbytes for x in self.levels)
+
 
 def _ranks(first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(order by (first, second), dense rank of each entry)."""
@@ -67,10 +102,25 @@ def _shift(rank: np.ndarray, by: int) -> np.ndarray:
     return out
 
 
+def _common(text: np.ndarray, order: np.ndarray, size: int) -> np.ndarray:
+    """How many symbols each sorted suffix has in common with the one before, `size` at most."""
+    out, same = np.zeros(len(order), np.uint8), np.arange(1, len(order))
+    for k in range(size):
+        a, b = order[same] + k, order[same - 1] + k
+        same = same[(a < len(text)) & (b < len(text))]
+        same = same[text[order[same] + k] == text[order[same - 1] + k]]
+        if not len(same):
+            break
+        out[same] = k + 1
+    return out
+
+
 class FMIndex:
-    """Index of sequences (flat words and lengths) with a weight each, for searches of `size` words."""
+    """Index of sequences (flat words and lengths) with a weight each, for matches of up to `size` words."""
 
     def __init__(self, flat: np.ndarray, lengths: np.ndarray, weights: np.ndarray, size: int):
+        if size > 255:
+            raise ValueError("matches of more than 255 words")
         self.size = size
         self.alphabet = np.unique(flat)
         total = len(flat) + len(lengths)
@@ -80,51 +130,56 @@ class FMIndex:
         text = np.zeros(total, np.int64)
         text[~separator] = np.searchsorted(self.alphabet, flat) + 1
         weight = np.repeat(weights, lengths + 1)
-        rank, width, shorter, order = text, 1, None, np.argsort(text, kind="stable")
+        rank, width, order = text, 1, np.argsort(text, kind="stable")
         while width < size:
-            if width * 2 >= size:
-                _, shorter = _ranks(rank, _shift(rank, size - 1 - width)) if size - 1 > width else (None, rank)
             step = min(width, size - width)
             order, rank = _ranks(rank, _shift(rank, step))
             width += step
-        group = shorter[order] if shorter is not None else np.zeros(total, np.int64)
-        new = np.ones(total, bool)
-        new[1:] = group[1:] != group[:-1]
-        heads = np.append(np.flatnonzero(new), total)
-        self._class = np.cumsum(new) - 1
-        self._heads = heads
+        self.common = _common(text, order, size)
         self.starts_of = np.searchsorted(text[order], np.arange(len(self.alphabet) + 1))
         self.bwt = WaveletMatrix(text[order - 1], len(self.alphabet) + 1)
         self.weight_before = np.concatenate([[0], np.cumsum(weight[order])])
         self.total = total
+        self._heads: dict[int, np.ndarray] = {}
 
     def extend(self, symbol: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Backward search: the rows of `symbol` followed by what the rows low:high begin with."""
         both = self.bwt.rank(np.concatenate([symbol, symbol]), np.concatenate([low, high])) + np.tile(self.starts_of[symbol], 2)
         return both[: len(low)], both[len(low) :]
 
-    def shorten(self, low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """From rows that share `size` symbols, those that share the first size - 1."""
-        k = self._class[low]
-        return self._heads[k], self._heads[k + 1]
-
-    def window_weights(self, flat: np.ndarray, lengths: np.ndarray, piece: int = 128) -> np.ndarray:
-        """For each word of the streamed sequences, the summed weight of the indexed places where the window of
-        `size` words from it begins; 0 where no whole window begins. Right to left, one backward step a word."""
-        size, out = self.size, np.zeros(len(flat), np.int64)
-        at = np.searchsorted(self.alphabet, flat)
-        known = at < len(self.alphabet)
-        known[known] = self.alphabet[at[known]] == flat[known]
-        symbols = np.where(known, at + 1, -1)
+    def parent(self, low: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The rows that share their first `length` symbols with a row."""
+        start, stop = np.zeros(len(low), np.int64), np.full(len(low), self.total)
+        for n in np.unique(length).tolist():
+            if n:
+                if n not in self._heads:
+                    self._heads[n] = np.flatnonzero(self.common < n).astype(np.int32 if self.total < 1 << 31 else np.int64)
+                heads, at = self._heads[n], np.flatnonzero(length == n)
+                k = np.searchsorted(heads, low[at], "right")
+                start[at] = heads[k - 1]
+                stop[at] = np.where(k < len(heads), heads[np.minimum(k, len(heads) - 1)], self.total)
+        return start, stop
+
+    def matching_statistics(self, flat: np.ndarray, lengths: np.ndarray, least: int = 1, piece: int = 128) -> tuple[np.ndarray, np.ndarray]:
+        """For each word of the streamed sequences: the length of the longest match from it, `size` at most, that occurs
+        at indexed places of a summed weight of `least` or more, and that weight.
+
+        From right to left, one backward step a word; where a step fails, the match is cut at its right end to the
+        longest that goes on. Sequences are cut into pieces that overlap by size - 1, all worked off side by side.
+        """
+        size, out, weights = self.size, np.zeros(len(flat), np.uint8), np.zeros(len(flat), np.int64)
+        at = np.minimum(np.searchsorted(self.alphabet, flat), max(0, len(self.alphabet) - 1))
+        known = self.alphabet[at] == flat if len(self.alphabet) else np.zeros(len(flat), bool)
+        symbols = np.where(known, at + 1, 0)
         ends = np.cumsum(lengths)
-        counts = np.maximum(0, lengths - size + 1)
-        pieces = -(-counts // piece)
+        pieces = -(-lengths // piece)
         owner = np.repeat(np.arange(len(lengths)), pieces)
         nth = np.arange(len(owner)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
         first = (ends - lengths)[owner] + nth * piece
-        stop = np.minimum(first + piece, (ends - lengths)[owner] + counts[owner]) + size - 1
+        stop = np.minimum(first + piece + size - 1, ends[owner])
+        own = np.minimum(first + piece, ends[owner])  # words from here on are the next piece's
         order = np.argsort(first - stop, kind="stable")
-        first, stop = first[order], stop[order]
+        first, stop, own = first[order], stop[order], own[order]
         low, high = np.zeros(len(first), np.int64), np.full(len(first), self.total)
         have = np.zeros(len(first), np.int64)
         for step in range(int((stop - first).max()) if len(first) else 0):
@@ -132,36 +187,38 @@ class FMIndex:
             lo, hi, n = low[:live], high[:live], have[:live]
             where = stop[:live] - 1 - step
             full = np.flatnonzero(n == size)
-            lo[full], hi[full] = self.shorten(lo[full])
+            lo[full], hi[full] = self.parent(lo[full], n[full] - 1)
             n[full] -= 1
             s = symbols[where]
-            good = s > 0
-            a, b = self.extend(np.where(good, s, 1), lo, hi)
-            good &= a < b
-            bad = np.flatnonzero(~good)
-            lo[:], hi[:] = a, b
-            n += 1
+            a, b = self.extend(s, lo, hi)
+            fine = (s > 0) & (self._weight(a, b) >= least)
+            bad = np.flatnonzero(~fine)
             if len(bad):
-                # a mismatch: the longest match that may go on is looked for from here
-                self._restart(symbols, where, stop[:live], bad, lo, hi, n)
-            done = np.flatnonzero(n == size)
-            out[where[done]] = self.weight_before[hi[done]] - self.weight_before[lo[done]]
-        return out
-
-    def _restart(self, symbols, where, stop, bad, lo, hi, n) -> None:
-        """After a failed step: shorter and shorter right ends, until the words from `where` occur."""
-        for k in bad:
-            length = int(n[k]) - 1
-            while True:
-                a, b = np.zeros(1, np.int64), np.full(1, self.total)
-                for j in range(int(where[k]) + length - 1, int(where[k]) - 1, -1):
-                    if symbols[j] <= 0:
-                        a, b = b, b
-                        break
-                    a, b = self.extend(symbols[j : j + 1], a, b)
-                    if a[0] >= b[0]:
-                        break
-                if length <= 0 or a[0] < b[0]:
-                    break
-                length -= 1
-            lo[k], hi[k], n[k] = (a[0], b[0], length) if length > 0 else (0, self.total, 0)
+                a[bad], b[bad], n[bad] = self._cut(s[bad], lo[bad], n[bad], least)
+            n[fine] += 1
+            lo[:], hi[:] = a, b
+            done = np.flatnonzero(where < own[:live])
+            out[where[done]] = n[done]
+            weights[where[done]] = np.where(n[done] > 0, self._weight(lo[done], hi[done]), 0)
+        return out, weights
+
+    def _weight(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        return np.where(low < high, self.weight_before[high] - self.weight_before[low], 0)
+
+    def _cut(self, symbol: np.ndarray, low: np.ndarray, n: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """After failed steps: (rows, length) of the longest matches of the symbol and what is left of the match behind
+        it. The shorter what is left, the more rows it has, so its length is found by halving."""
+        a, b, length = np.zeros(len(symbol), np.int64), np.full(len(symbol), self.total), np.zeros(len(symbol), np.int64)
+        fewest, most = np.zeros(len(symbol), np.int64), n.copy()  # lengths left that may go on: from fewest, below most
+        open_ = np.flatnonzero((symbol > 0) & (most > 0))
+        # a symbol that doesn't go on alone, with nothing left behind it, has no match
+        while len(open_):
+            middle = (fewest[open_] + most[open_]) >> 1
+            x, y = self.extend(symbol[open_], *self.parent(low[open_], middle))
+            fine = self._weight(x, y) >= least
+            good = open_[fine]
+            a[good], b[good], length[good] = x[fine], y[fine], middle[fine] + 1
+            fewest[good] = middle[fine] + 1
+            most[open_[~fine]] = middle[~fine]
+            open_ = open_[fewest[open_] < most[open_]]
+        return a, b, length

@@ -1,10 +1,12 @@
 """Substring dedup: words under a window of `size` words that occurs elsewhere in the corpus, by FM-index shards.
 
 Method. Each window of 35 words picks its least 8-gram by hash as its anchor, so equal windows have equal anchors.
-Anchors are dealt into blocks; those that occur once are done. Around the others, the passages that their windows
-cover are routed to the anchor's shard, equal passages once with a count. A shard is an FM-index (`fm_index`); its
-passages are streamed through backward search, and windows whose indexed places weigh two or more are reported.
-Every occurrence of a window reaches one shard exactly once: passages of a document in a shard are disjoint.
+Anchors are dealt into blocks, an anchor that a batch has several times as one entry; those that occur once are done.
+Around the others, the passages that their windows cover are routed to the anchor's shard, equal passages once with a
+count. A shard is a compressed FM-index (`fm_index`) of its passages. The documents' passages are streamed through it by
+backward search, which gives their matching statistics: how far from each word on the text occurs at two places or
+more. Where they reach the window's length an interval begins; intervals are reported. Every occurrence of a window
+reaches one shard exactly once: passages of a document in a shard are disjoint.
 Members of a passage stay with the documents and get the reported runs by a join, so a passage that many documents
 share never gathers them in one task. Bloom filters of fixed size only spare the shuffle of texts without findings.
 
@@ -30,8 +32,8 @@ from .shared import column, cut
 GRAM = 8
 BLOCK_ANCHORS = 1_000_000
 SHARD_WORDS = 1_000_000
+NO_RANK = (1 << 32) - 1
 _U = np.uint64
-_PLACE_BITS = 27
 BLOBS = "block long, blob binary"
 _BLOCK = pa.schema([("block", pa.int64()), ("blob", pa.binary())])
 
@@ -42,22 +44,21 @@ def anchors(g: wd.Words, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     none = np.zeros(0, np.int64)
     if len(g.hashes) < size:
         return none, none.astype(_U), none, none, none
-    low = (gram & ~_U((1 << _PLACE_BITS) - 1)) | np.arange(len(gram), dtype=_U)
-    width = 1
-    while width * 2 <= span:
-        low = np.minimum(low[:-width], low[width:])
-        width *= 2
-    if width < span:
-        low = np.minimum(low[: len(low) - (span - width)], low[span - width :])
+    at, width = np.arange(len(gram)), 1  # place of the least gram of a growing width, the leftmost of equal ones
+    while width < span:
+        step = min(width, span - width)
+        left = gram[:-step] <= gram[step:]
+        gram, at = np.where(left, gram[:-step], gram[step:]), np.where(left, at[:-step], at[step:])
+        width += step
     doc = g.doc_of_word()
-    windows = np.flatnonzero(doc[: len(low)] == doc[size - 1 :])
-    at = (low[windows] & _U((1 << _PLACE_BITS) - 1)).astype(np.int64)
+    windows = np.flatnonzero(doc[: len(at)] == doc[size - 1 :])
+    at, least = at[windows], gram[windows]
     new = np.append(True, at[1:] != at[:-1]) if len(at) else np.zeros(0, bool)
     first = np.flatnonzero(new)
     last = np.append(first[1:], len(at)) - 1
     d = doc[windows[first]] if len(first) else none
     rank = np.arange(len(first)) - np.searchsorted(d, d)
-    return d, gram[at[first]], windows[first], windows[last], rank
+    return d, least[first], windows[first], windows[last], rank
 
 
 def _deal(key: np.ndarray, blocks: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -87,12 +88,19 @@ def _anchor_rows(size: int, blocks: int) -> Callable:
                 ranks.append(rank)
             if hs:
                 h, row, rank = wd.mix(np.concatenate(hs)), np.concatenate(rows), np.concatenate(ranks).astype("<u4")
-                out = []
+                # anchors that the batch has twice are answered here; one entry without a row tells the others
+                order = np.argsort(h, kind="stable")
+                same = h[order][1:] == h[order][:-1]
+                again = np.zeros(len(h), bool)
+                again[order[1:][same]] = again[order[:-1][same]] = True
+                out = [(-1 - int(row[again][0] % blocks), np.stack([row[again], rank[again]]).astype("<i8").tobytes())] if again.any() else []
+                marks = np.unique(h[again])
+                h, row, rank = np.append(h[~again], marks), np.append(row[~again], np.zeros(len(marks), np.int64)), np.append(rank[~again], np.full(len(marks), NO_RANK, "<u4"))
                 for k, at in _deal(h, blocks):
                     at = at[np.argsort(row[at], kind="stable")]
                     own, ref = np.unique(row[at], return_inverse=True)
                     low = h[at] & _U(0xFFFFFFFFFFFF)
-                    parts = [np.array([len(at), len(own)], "<i8"), (low & _U(0xFFFFFFFF)).astype("<u4"), (low >> _U(32)).astype("<u2"), ref.astype("<u4" if len(own) > 65535 else "<u2"), own, rank[at].astype("<u2" if rank[at].max() < 65536 else "<u4")]
+                    parts = [np.array([len(at), len(own)], "<i8"), (low & _U(0xFFFFFFFF)).astype("<u4"), (low >> _U(32)).astype("<u2"), ref.astype("<u4" if len(own) > 65535 else "<u2"), own, rank[at].astype("<u4")]
                     out.append((k, b"".join(x.tobytes() for x in parts)))
                 yield from _blocks(out).to_batches()
 
@@ -105,21 +113,27 @@ def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     for kind, k in (("<u4", n), ("<u2", n), ("<u4" if m > 65535 else "<u2", n), ("<i8", m)):
         out.append(np.frombuffer(blob, kind, k, at))
         at += out[-1].nbytes
-    rank = np.frombuffer(blob, "<u2" if len(blob) - at == 2 * n else "<u4", n, at)
+    rank = np.frombuffer(blob, "<u4", n, at)
     low, high, ref, own = out
     return low.astype(_U) | high.astype(_U) << _U(32), own[ref], rank.astype(np.int64)
 
 
 def _repeated(table: pa.Table) -> pa.Table:
     """Of a block of anchors: by document, the ranks of those that occur twice or more."""
-    h, row, rank = (np.concatenate(x) for x in zip(*map(_unpack, table.column("blob").to_pylist()), strict=True))
-    order = np.argsort(h, kind="stable")
-    same = h[order][1:] == h[order][:-1]
-    often = np.zeros(len(h), bool)
-    often[1:] |= same
-    often[:-1] |= same
-    at = order[often]
-    pair = np.unique(np.stack([row[at], rank[at]]), axis=1)
+    if table.column("block")[0].as_py() < 0:
+        row, rank = np.concatenate([np.frombuffer(x, "<i8").reshape(2, -1) for x in table.column("blob").to_pylist()], axis=1)
+        order = np.lexsort((rank, row))
+        pair = np.stack([row[order], rank[order]])
+    else:
+        h, row, rank = (np.concatenate(x) for x in zip(*map(_unpack, table.column("blob").to_pylist()), strict=True))
+        order = np.argsort(h, kind="stable")
+        same = h[order][1:] == h[order][:-1]
+        often = rank == NO_RANK
+        often[order[1:][same]] = often[order[:-1][same]] = True
+        known = np.unique(h[rank == NO_RANK])
+        often |= np.isin(h, known)
+        at = np.flatnonzero(often & (rank != NO_RANK))
+        pair = np.unique(np.stack([row[at], rank[at]]), axis=1)
     starts = np.flatnonzero(np.append(True, pair[0, 1:] != pair[0, :-1])) if pair.shape[1] else np.zeros(0, np.int64)
     ranks = [x.astype("<u4").tobytes() for x in np.split(pair[1], starts[1:])] if len(starts) else []
     return pa.table({"key": pa.array(pair[0, starts]), "ranks": pa.array(ranks, pa.binary())})
@@ -138,7 +152,8 @@ def _passages(size: int, shards: int) -> Callable:
                 flat = (g.hashes >> _U(32)).astype("<u4")
                 for k in range(g.docs):
                     here = bounds[k] + np.unique(np.concatenate([np.frombuffer(x, "<u4") for x in lists[g.row + k]]))
-                    if not len(here) or here[-1] >= bounds[k + 1]:
+                    here = here[here < bounds[k + 1]]  # ranks beyond are of another document with this key
+                    if not len(here):
                         continue
                     shard = ((wd.mix(h[here]) >> _U(32)) * _U(shards) >> _U(32)).astype(np.int64)
                     order = np.argsort(shard, kind="stable")
@@ -163,14 +178,15 @@ def _passages(size: int, shards: int) -> Callable:
 
 
 def _search(size: int) -> Callable:
-    """One shard: index its passages, stream them through it, report the runs of repeated windows."""
+    """One shard: index its passages, stream them through it, report the intervals of repeated windows."""
 
     def run(table: pa.Table) -> pa.Table:
         blobs = table.column("words").to_pylist()
         lengths = np.array([len(x) // 4 for x in blobs])
         flat = np.frombuffer(b"".join(blobs), "<u4")
         index = FMIndex(flat, lengths, table.column("count").to_numpy(), size)
-        often = index.window_weights(flat, lengths) >= 2
+        reach, _ = index.matching_statistics(flat, lengths, least=2)
+        often = reach >= size
         ends = np.cumsum(lengths)
         edge = np.diff(np.concatenate([[0], often, [0]]).astype(np.int8))
         first, last = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1) - 1

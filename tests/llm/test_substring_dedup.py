@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 from calathea.llm import substring_dedup as D
-from calathea.llm.fm_index import FMIndex, WaveletMatrix
+from calathea.llm.fm_index import BitVector, FMIndex, WaveletMatrix
 
 from .conftest import words
 
@@ -50,21 +50,51 @@ def test_wavelet_ranks():
 
 
 @pytest.mark.parametrize("size", [1, 2, 5, 8])
-def test_window_weights(size):
+@pytest.mark.parametrize("least", [1, 2, 5])
+def test_matching_statistics(size, least):
     rng = np.random.default_rng(size)
-    lengths = rng.integers(1, 40, 30)
+    lengths = rng.integers(0, 40, 30)
     flat = rng.integers(0, 3, lengths.sum()).astype(np.uint32)
+    flat[::17] = 9
     weights = rng.integers(1, 4, 30)
     index = FMIndex(flat, lengths, weights, size)
     count, at = Counter(), 0
     for n, w in zip(lengths, weights, strict=True):
-        for k in range(at, at + n - size + 1):
-            count[tuple(flat[k : k + size])] += w
+        for long in range(1, size + 1):
+            for k in range(at, at + n - long + 1):
+                count[tuple(flat[k : k + long])] += w
         at += n
     other = rng.integers(0, 4, lengths.sum()).astype(np.uint32)  # streamed texts that the index doesn't hold
+    seen = set()
     for text in (flat, other):
-        got, at = index.window_weights(text, lengths, 16), 0
+        (got, weight), at = index.matching_statistics(text, lengths, least, 16), 0
         for n in lengths:
             for k in range(at, at + n):
-                assert got[k] == (count[tuple(text[k : k + size])] if k + size <= at + n else 0)
+                want = max((x for x in range(1, min(size, at + n - k) + 1) if count[tuple(text[k : k + x])] >= least), default=0)
+                assert got[k] == want and weight[k] == (count[tuple(text[k : k + want])] if want else 0)
+                seen.add(want)
             at += n
+    assert seen == set(range(size + 1)) if size < 8 else len(seen) > 4
+
+
+def test_uniform_words_take_no_place():
+    bits = np.zeros(1 << 16, bool)
+    bits[1 << 14 : 1 << 15] = True
+    bits[(1 << 15) + 77] = True
+    v, at = BitVector(bits), np.arange(0, (1 << 16) + 1, 13)
+    assert (v.rank(at) == np.concatenate([[0], np.cumsum(bits)])[at]).all()
+    assert v.nbytes < (1 << 16) / 8 / 2 and len(v.literal) == 1
+
+
+def test_an_anchor_of_many_rows(spark, monkeypatch):
+    """A passage that most documents share, over many batches and blocks."""
+    monkeypatch.setattr(D, "BLOCK_ANCHORS", 200)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        shared = " ".join(f"p{k}" for k in range(50))
+        corpus = [(i, f"{'x' * (i % 9)} {shared} " + " ".join(f"u{i}x{k}" for k in range(i % 50)), None) for i in range(120)]
+        corpus += [(200 + i, " ".join(f"v{i}x{k}" for k in range(60)), None) for i in range(40)]
+        rows = spark.createDataFrame([(i, t) for i, t, _ in corpus], "doc_id long, text string").repartition(4)
+        assert sorted((tuple(r) for r in D.remove_repeats(rows).collect()), key=repr) == brute(corpus)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
