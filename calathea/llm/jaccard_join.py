@@ -11,9 +11,11 @@ worked off in blocks of columns that accumulate overlap counts. What a set's siz
   blocks; a pair whose count reaches the threshold is linked (a count from columns with another leader is missing, so
   it may be short, never long). A group of copies costs its postings, not its pairs.
 * Second product: pairs that the first left in different components, over each set's m - t + 1 rarest columns, one of
-  which any linked pair has in common. Pairs whose count over them, with all other columns added, is under the
-  threshold go; those left are multiplied out over all their columns, block by block. Pairs inside a component aren't
-  counted, as nothing depends on them.
+  which any linked pair has in common. Each set brings a bit map of its columns, of twice as many bits or more: bits
+  that only one of two sets has are columns that the other lacks, so they bound the overlap, and pairs under the
+  threshold aren't counted. Pairs whose count, with all other columns added, is under the threshold go as well; those
+  left are multiplied out over all their columns, block by block. Pairs inside a component aren't counted, as nothing
+  depends on them.
 
 Columns of very many sets (HOT_SHARE of all or more, found in batches and summed) are known to be shared: they pass
 around the blocks, and come last in the order. Long lists are cut into chunks, and each two chunks are a task's work.
@@ -29,6 +31,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -246,7 +249,46 @@ def _able(num: int, den: int) -> Callable:
     return run
 
 
-SETS = "sig long, n long, m long, columns binary"
+SETS = "sig long, n long, m long, columns binary, bits binary"
+
+
+def _map_size(n: np.ndarray) -> np.ndarray:
+    """log2 of the bits in the map of a set of size n: at least two for each column, 64 at least."""
+    return np.maximum(6, np.ceil(np.log2(2.0 * np.maximum(1, n))).astype(np.int64))
+
+
+def _bit_map(columns: np.ndarray, log2: int) -> np.ndarray:
+    bits = np.zeros(1 << log2, bool)
+    bits[(wd.mix(columns) & _U((1 << log2) - 1)).astype(np.int64)] = True
+    return np.packbits(bits, bitorder="little").view(_U)
+
+
+class _Maps:
+    """Bit maps of sets by number, at their own size and folded to the half of it; sizes of sets to compare differ by
+    less than that."""
+
+    def __init__(self, n: np.ndarray, raw: list[bytes]):
+        self.log2 = _map_size(n)
+        self.rows: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for k in np.unique(np.concatenate([self.log2, self.log2 - 1])).tolist():
+            at = np.flatnonzero((self.log2 == k) | (self.log2 == k + 1))
+            place = np.zeros(len(n), np.int64)
+            place[at] = np.arange(len(at))
+            half = [np.frombuffer(raw[i], _U) for i in at.tolist()]
+            if k >= 6:
+                self.rows[k] = place, np.stack([x if len(x) == 1 << (k - 6) else x[: len(x) // 2] | x[len(x) // 2 :] for x in half])
+
+    def only(self, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """How many columns of set i, at least, set j lacks, and the other way round, for pairs of sets."""
+        a, b = np.zeros((2, len(i)), np.int64)
+        size = np.minimum(self.log2[i], self.log2[j])
+        for k in np.unique(size).tolist():
+            place, rows = self.rows[k]
+            here = np.flatnonzero(size == k)
+            for at in np.array_split(here, max(1, len(here) * rows.shape[1] >> 22)):
+                x, y = rows[place[i[at]]], rows[place[j[at]]]
+                a[at], b[at] = np.bitwise_count(x & ~y).sum(axis=1, dtype=np.int64), np.bitwise_count(y & ~x).sum(axis=1, dtype=np.int64)
+        return a, b
 
 
 def _rows_of_product(num: int, den: int) -> Callable:
@@ -256,8 +298,9 @@ def _rows_of_product(num: int, den: int) -> Callable:
     def run(table: pa.Table) -> pa.Table:
         tok, sig, n, starts, m = _by_set(table)
         keep = np.flatnonzero(m >= common_least(n[starts], num, den))
-        cols = [tok[starts[k] : starts[k] + m[k]].astype("<u8").tobytes() for k in keep]
-        return pa.table({"sig": pa.array(sig[starts][keep]), "n": pa.array(n[starts][keep]), "m": pa.array(m[keep]), "columns": pa.array(cols, pa.binary())})
+        cols = [tok[starts[k] : starts[k] + m[k]].astype("<u8") for k in keep]
+        bits = [_bit_map(x, k).tobytes() for x, k in zip(cols, _map_size(n[starts][keep]).tolist(), strict=True)]
+        return pa.table({"sig": pa.array(sig[starts][keep]), "n": pa.array(n[starts][keep]), "m": pa.array(m[keep]), "columns": pa.array([x.tobytes() for x in cols], pa.binary()), "bits": pa.array(bits, pa.binary())})
 
     return run
 
@@ -377,9 +420,13 @@ _SECOND = pa.schema([*_COUNTS, ("rest", pa.int64())])
 
 def _second_product(num: int, den: int) -> Callable:
     """Of chunks of columns' lists, two at a time: how many of the columns each two sets of different components have in
-    common, if their sizes allow a link."""
+    common, if their sizes and bit maps allow a link. Rows without a column bring the maps, one for each set."""
 
     def run(table: pa.Table) -> pa.Table:
+        brings = pc.is_null(table.column("column"))
+        maps, table = table.filter(brings), table.filter(pc.invert(brings))
+        if not table.num_rows:
+            return _SECOND.empty_table()
         names = ("column", "low", "high", "part", "n", "sig", "m", "rest", "label")
         column, low, high, part, n, sig, m, rest, label = (table.column(c).to_numpy() for c in names)
         order = np.lexsort((n, part, high, low, column))
@@ -389,6 +436,9 @@ def _second_product(num: int, den: int) -> Callable:
         lengths = np.diff(np.append(starts, len(column)))
         end = np.repeat(starts + lengths, lengths)
         own, number = np.unique(sig, return_inverse=True)
+        known = np.argsort(maps.column("sig").to_numpy())
+        raw = maps.column("bits").take(pa.array(known)).to_pylist()
+        bits = _Maps(maps.column("n").to_numpy()[known], raw)
         twin = low != high  # of two chunks, only pairs across them
         held, keys, counts = 0, [], []
 
@@ -398,6 +448,10 @@ def _second_product(num: int, den: int) -> Callable:
             fit = (label[i] != label[j]) & (den * least >= num * (n[i] + n[j] - least)) & (num * np.maximum(n[i], n[j]) <= den * np.minimum(n[i], n[j]))
             fit &= ~twin[i] | (part[i] != part[j])
             i, j = i[fit], j[fit]
+            here, there = bits.only(number[i], number[j])
+            least = np.minimum(m[i] - here, m[j] - there)
+            fit = den * least >= num * (n[i] + n[j] - least)
+            i, j = i[fit], j[fit]
             a, b = np.minimum(number[i], number[j]), np.maximum(number[i], number[j])
             keys.append(a * len(own) + b)
             counts.append(np.ones(len(i), np.int64))
@@ -551,7 +605,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     open_ = open_.withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     open_ = open_.withColumn("low", F.least("part", "other")).withColumn("high", F.greatest("part", "other"))
     deal = F.pmod(F.xxhash64("column", "low", "high"), F.lit(4 * blocks)).alias("block")
-    second = open_.select(deal, "column", "low", "high", "part", "sig", "n", "m", "rest", "label").groupBy("block").applyInArrow(_second_product(num, den), SECOND)
+    open_ = cut(open_.select(deal, "column", "low", "high", "part", "sig", "n", "m", "rest", "label"), "open")
+    maps = open_.select("block", "sig").distinct().join(sets.select("sig", "n", "bits"), "sig")
+    second = open_.unionByName(maps, allowMissingColumns=True).groupBy("block").applyInArrow(_second_product(num, den), SECOND)
     second = second.groupBy("a", "b", "na", "nb", "rest").agg(F.sum("common").alias("common"))
     pairs = cut(second.where(reaches(F.col("common") + F.col("rest"))).select("a", "b", "na", "nb"), "pairs")
     if not pairs.isEmpty():

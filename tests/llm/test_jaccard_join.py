@@ -50,6 +50,19 @@ def test_many_small_blocks(docs, corpus, monkeypatch):
     assert sorted((tuple(r) for r in J.jaccard_components(docs).collect()), key=repr) == brute(corpus)
 
 
+def test_bit_maps_bound_what_a_set_lacks():
+    rng = np.random.default_rng(5)
+    sets = [rng.integers(0, 1 << 60, n).astype(np.uint64) for n in (3, 40, 47, 60, 64, 65, 300, 380, 400, 3000, 4000)]
+    sets = [np.unique(np.concatenate([x, sets[max(0, k - 1)][: len(x) // 2]])) for k, x in enumerate(sets)]
+    n = np.array([len(x) for x in sets])
+    maps = J._Maps(n, [J._bit_map(x, int(k)).tobytes() for x, k in zip(sets, J._map_size(n), strict=True)])
+    pairs = np.array([(i, j) for i in range(len(sets)) for j in range(len(sets)) if 75 * max(n[i], n[j]) <= 100 * min(n[i], n[j])])
+    a, b = maps.only(pairs[:, 0], pairs[:, 1])
+    for (i, j), x, y in zip(pairs.tolist(), a.tolist(), b.tolist(), strict=True):
+        lacks = len(np.setdiff1d(sets[i], sets[j]))
+        assert lacks * 0.4 - 3 <= x <= lacks and y <= len(np.setdiff1d(sets[j], sets[i]))
+
+
 def test_nothing(nothing):
     assert J.jaccard_components(nothing).count() == 0
 
