@@ -1,15 +1,19 @@
 """Surrogates for personal data, in DataFrame operations only.
 
-Method. One pattern finds entities in every whole text: e-mail and IP addresses, phone, card, account and social
-security numbers, secrets, and names after a title or of known parts. Distinct entities, by type and canonical form,
-get keyed surrogates of their type: names of the same gender and script, numbers of the same layout with valid check
-digits. A round of checks redraws those that equal another's surrogate or any entity of the corpus, until none do, so
-distinct entities stay distinct; equal ones, however written, get one surrogate, laid out as each is written.
-Texts without a digit, an at sign or a name never leave their partition; the others get a map of their own findings.
+Method. One pattern finds entities in every whole text, in one pass that marks them: e-mail and IP addresses, phone,
+card, account and social security numbers, secrets, and names after a title, after a known given name, or where one is
+introduced. Distinct entities, by type and canonical form, get keyed surrogates of their type: names of the same gender
+and script, numbers of the same layout with valid check digits. Rounds of checks redraw those that equal another's
+surrogate or any entity of the corpus, from a space that widens with each attempt, until none do; so distinct entities
+stay distinct, and equal ones, however written, get one surrogate, laid out as each is written.
+A person is a given name with a family name, whatever title stands before; most titles and names decide the gender. The
+names of a text's persons are replaced where they stand alone in it, too.
+Texts without a finding never leave their partition; the others are joined with their own replacements, by place.
 
 Defined results: a null text stays null; a text without findings stays as it is; equal rows get equal results;
 a null id is kept; an empty table gives no rows. An IPv6 address without a digit is only found written in full (names
-joined by :: look like it), a run of ten digits that begins with 1 not at all (a time). Titles stay; case and punctuation of a finding are kept.
+joined by :: look like it), a run of ten digits that begins with 1 not at all (a time). Titles stay; case and
+punctuation of a finding are kept. Bare names are found as their text writes them elsewhere, not in other cases.
 """
 
 from __future__ import annotations
@@ -20,7 +24,10 @@ from pyspark.sql import functions as F
 
 from .shared import column, cut, fresh
 
-ROUNDS = 24
+ROUNDS = 64
+#: Characters that mark findings, and what stands for those that a text has already.
+OPEN, CLOSE, ESCAPE = "\u0001", "\u0002", "\u0003"
+ESCAPED = {ESCAPE: ESCAPE + "\u0006", OPEN: ESCAPE + "\u0004", CLOSE: ESCAPE + "\u0005"}
 
 # Titles and names.
 MALE_TITLES = ("Mr", "Mister", "Herr", "Señor", "Monsieur", "Sir", "господин", "κύριος")
@@ -34,10 +41,22 @@ GIVEN = {
     ("greek", "m"): "Γιώργος Νίκος Δημήτρης Κώστας Γιάννης Αλέξανδρος".split(),
     ("greek", "f"): "Μαρία Ελένη Κατερίνα Σοφία Άννα Ειρήνη".split(),
 }
-FAMILY = {
-    "latin": "Smith Johnson Brown Miller Wilson Taylor Clark Walker Young Hill Müller Schmidt Schneider Fischer Weber Martin Bernard Dubois García Fernández López Romero Torres Navarro".split(),
-    "cyrillic": "Иванов Петров Смирнов Кузнецов Попов Соколов".split(),
-    "greek": "Παπαδόπουλος Νικολάου Γεωργίου Ιωάννου Δημητρίου Οικονόμου".split(),
+# What surrogate names are made of, by script: beginnings, vowels, consonants between, and the ends of
+# family names and of male, female and other given names.
+SOUNDS = {
+    "latin": {
+        "first": "B Br D Dr F G Gr H K L M N P R S St T V W".split(), "vowel": "a e i o u".split(), "middle": "b d l ld lm m n nd r rd rl s st t v".split(),
+        "family": "berg croft dale en er ford ing ley lund man mann mer ner son stein ton well wick wood worth".split(),
+        "m": "an ard bert en ic in mund or ric us".split(), "f": "a elle ia ina ine issa ora elia ette ya".split(), "n": "el ey is le ris y".split(),
+    },
+    "cyrillic": {
+        "first": "Б Бр В Г Д Ж З К Л М Н П Р С Т Ф Х".split(), "vowel": "а е и о у".split(), "middle": "б в г д з к л м н п р с т".split(),
+        "family": "анов елов ешин инов ихин оров ушин аков".split(), "m": "ад ан ем ий ил ислав омир ор".split(), "f": "ана ея ила ина ия ора ислава ета".split(), "n": "ани еки или оши".split(),
+    },
+    "greek": {
+        "first": "Β Γ Δ Ζ Θ Κ Λ Μ Ν Π Ρ Σ Τ Φ Χ".split(), "vowel": "α ε ι ο ου".split(), "middle": "β γ δ θ κ λ μ ν ρ σ τ".split(),
+        "family": "άκης ίδης όγλου όπουλος άτος ιάδης".split(), "m": "ίας ος ων έας".split(), "f": "ία ίνη ούλα άνθη".split(), "n": "ι ώ".split(),
+    },
 }
 LETTERS = {
     "latin": "abcdefghijklmnopqrstuvwxyz",
@@ -46,7 +65,8 @@ LETTERS = {
 }
 
 _TITLES = "|".join((*MALE_TITLES, *FEMALE_TITLES, *NEUTRAL_TITLES))
-_NAME_PART = r"\p{Lu}[\p{Ll}'’]+(?:-\p{Lu}\p{Ll}+)?"
+_NAME_PART = r"\p{Lu}(?:['’]\p{Lu})?\p{Ll}+(?:-\p{Lu}\p{Ll}+)?"
+_INTRODUCED = "|".join(("[Mm]y name is", "[Nn]ame:", "[Ss]igned by", "[Ii]ch heiße", "[Mm]ein Name ist", "[Mm]e llamo", "[Jj]e m[’']appelle", "Меня зовут", "Με λένε"))
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 _OCTETS = rf"(?:{_OCTET}\.){{3}}{_OCTET}"
 _GROUP = "[0-9A-Fa-f]{1,4}"
@@ -67,20 +87,39 @@ PATTERNS = {
     "secret": r"(?<![\p{L}\p{N}])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128}|AKIA[0-9A-Z]{16}|(?:sk|pk|gh[pousr])[-_][A-Za-z0-9_]{20,80})(?![\p{L}\p{N}])",
     "credential": r"""(?<=[=:\s"'])(?<=[=:]\s{0,2}["']?)(?<=(?:password|passwd|pwd|secret|token|api_key|apikey)\s{0,2}[=:]\s{0,2}["']?)(?=[\p{L}_\-+/]{0,40}[0-9])[\p{L}\p{N}_\-+/]{8,128}(?![\p{L}\p{N}])""",
     "titled": rf"(?<![\p{{L}}\p{{N}}])(?:{_TITLES})\.? {_NAME_PART}(?: {_NAME_PART})?",
-    "name": rf"(?<![\p{{L}}\p{{N}}])(?:{'|'.join(x for v in GIVEN.values() for x in v)}) (?:{'|'.join(x + 'а?' * (k == 'cyrillic') for k, v in FAMILY.items() for x in v)})(?![\p{{L}}\p{{N}}])",
+    "name": rf"(?<![\p{{L}}\p{{N}}])(?:{'|'.join(x for v in GIVEN.values() for x in v)}) {_NAME_PART}(?![\p{{L}}\p{{N}}])",
+    "introduced": rf"(?<=(?:{_INTRODUCED})\s)(?:{_NAME_PART} )?{_NAME_PART}(?![\p{{L}}\p{{N}}])",
 }
 _ALL = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: What every finding has one of; a look at the first letter spares most places the names.
-_HINT = rf"[0-9@]|(?=[A-ZÀ-ÞΆ-ΫЀ-Яг\u03ba])(?:AKIA[A-Z]{{16}}|{PATTERNS['titled']}|{PATTERNS['name']})|(?:sk|pk|gh[pousr])[-_][A-Za-z_]{{20}}"
+_HINT = rf"[0-9@]|(?=[A-ZÀ-ÞΆ-ΫЀ-Яг\u03ba])(?:AKIA[A-Z]{{16}}|{PATTERNS['titled']}|{PATTERNS['name']}|{PATTERNS['introduced']})|(?:sk|pk|gh[pousr])[-_][A-Za-z_]{{20}}"
 
 
-def _findings(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(_ALL), F.lit(0))
+def _marked(text: Column) -> Column:
+    """The text with its findings between marks."""
+    safe = text
+    for plain, other in ESCAPED.items():
+        safe = F.replace(safe, F.lit(plain), F.lit(other))
+    safe = F.when(text.rlike(f"[{OPEN}{CLOSE}{ESCAPE}]"), safe).otherwise(text)
+    return F.regexp_replace(safe, _ALL, f"{OPEN}$0{CLOSE}")
+
+
+def _unescaped(text: Column) -> Column:
+    out = text
+    for plain, other in reversed(ESCAPED.items()):
+        out = F.replace(out, F.lit(other), F.lit(plain))
+    return F.when(text.contains(ESCAPE), out).otherwise(text)
+
+
+def _parts_of(marked: Column) -> Column:
+    """What lies between marks: at even places what is no finding, at odd ones the findings."""
+    return F.split(marked, f"[{OPEN}{CLOSE}]", -1)
 
 
 def _kind(m: Column) -> Column:
-    """The type of a finding: that of the first pattern that matches the whole of it; a credential is a secret."""
-    out = F.lit("secret")
+    """The type of a finding: that of the first pattern that matches the whole of it; of those found by what stands
+    before them, a name is a name and the rest are secrets."""
+    out = F.when(m.rlike(rf"^{_NAME_PART}(?: {_NAME_PART})?$"), "name").otherwise("secret")
     for kind, p in reversed(PATTERNS.items()):
         out = F.when(m.rlike(rf"^(?:{p})$"), kind).otherwise(out)
     return out
@@ -90,18 +129,28 @@ def _script(s: Column) -> Column:
     return F.when(s.rlike(r"\p{IsCyrillic}"), "cyrillic").when(s.rlike(r"\p{IsGreek}"), "greek").otherwise("latin")
 
 
+def _names(m: Column) -> Column:
+    """Given name and family name of a finding as written, or the only name."""
+    return F.split(F.regexp_replace(m, rf"^(?:{_TITLES})\.? ", ""), " ")
+
+
 def _parts(m: Column, kind: Column) -> Column:
-    """The entities of a finding, as (type, canonical form): one, or a name's given name and family name."""
+    """The entities of a finding, as (type, canonical form, gender: above 0 male, below 0 female): one, or of a person
+    the family name and the person."""
     plain = F.lower(F.regexp_replace(m, r"[^\p{L}\p{N}]", ""))
-    names = F.split(F.regexp_replace(m, rf"^(?:{_TITLES})\.? ", ""), " ")
+    names = _names(m)
     title = F.regexp_extract(m, rf"^({_TITLES})\.? ", 1)
-    given, family = F.when(F.size(names) > 1, names[0]), F.element_at(names, -1)
-    known = lambda g: given.isin(*(x for (_, k), v in GIVEN.items() if k == g for x in v))
-    gender = F.when(title.isin(*MALE_TITLES), "m").when(title.isin(*FEMALE_TITLES), "f").when(known("m"), "m").when(known("f"), "f").otherwise("n")
-    one = lambda t, c: F.struct(t.alias("type"), c.alias("canon"))
-    last = one(F.lit("family"), F.when(_script(family) == "cyrillic", F.regexp_replace(F.lower(family), "(?<=[ое]в|ин)а$", "")).otherwise(F.lower(family)))
-    person = F.when(given.isNull(), F.array(last)).otherwise(F.array(one(F.concat(F.lit("given_"), gender), F.lower(given)), last))
-    return F.when(kind.isin("titled", "name"), person).otherwise(F.array(one(kind, F.when(kind == "ipv6", _groups(m)).when(kind.isin("email", "ipv4"), F.lower(m)).otherwise(plain))))
+    first, family = F.lower(names[0]), F.element_at(names, -1)
+    known = lambda g: names[0].isin(*(x for (_, k), v in GIVEN.items() if k == g for x in v))
+    gender = F.when(title.isin(*MALE_TITLES), 3).when(title.isin(*FEMALE_TITLES), -3)
+    gender = gender.when(known("m") & ~known("f"), 1).when(known("f") & ~known("m"), -1).otherwise(0)
+    one = lambda t, c, g: F.struct(F.lit(t).alias("type"), c.alias("canon"), g.alias("gender"))
+    low = F.when(_script(family) == "cyrillic", F.regexp_replace(F.lower(family), "(?<=[ое]в|ин)а$", "")).otherwise(F.lower(family))
+    single = F.when((title == "") & (known("m") | known("f")), one("given", first, gender)).otherwise(one("family", low, F.lit(0)))
+    person = F.array(one("family", low, F.lit(0)), one("person", F.concat_ws(" ", first, low), gender))
+    canon = F.when(kind == "ipv6", _groups(m)).when(kind.isin("email", "ipv4"), F.lower(m)).otherwise(plain)
+    other = F.array(F.struct(kind.alias("type"), canon.alias("canon"), F.lit(0).alias("gender")))
+    return F.when(~kind.isin("titled", "name", "introduced"), other).when(F.size(names) > 1, person).otherwise(F.array(single))
 
 
 def _groups(m: Column) -> Column:
@@ -122,11 +171,27 @@ def _byte(seed: Column, at: Column) -> Column:
     return F.conv(digest.substr((at % 32 * 2 + 1).cast("int"), F.lit(2)), 16, 10).cast("int")
 
 
-def _pick(items: list[str], seed: Column, at: int) -> Column:
-    n = _byte(seed, F.lit(at)) * 256 + _byte(seed, F.lit(at + 1))
+def _pick(items: list[str], seed: Column, at: Column) -> Column:
+    n = _byte(seed, at) * 256 + _byte(seed, at + 1)
     return F.element_at(F.array(*map(F.lit, items)), (n % len(items) + 1).cast("int"))
 
 
+def _sounding(script: str, end: str, seed: Column, syllables: Column) -> Column:
+    """A name of a script, made of so many syllables and an end."""
+    of = SOUNDS[script]
+    syllable = lambda i: F.concat(_pick(of["vowel"], seed, 4 * i), _pick(of["middle"], seed, 4 * i + 2))
+    inner = F.array_join(F.transform(F.sequence(F.lit(1), syllables), syllable), "")
+    return F.lower(F.concat(_pick(of["first"], seed, F.lit(0)), inner, _pick(of[end], seed, F.lit(2))))
+
+
+def _given(gender: str, script: str, seed: Column, attempt: Column) -> Column:
+    """A given name: a usual one, then two of them, then made ones that get longer."""
+    usual = GIVEN[script, "m"] + GIVEN[script, "f"] if gender == "n" else GIVEN[script, gender]
+    one, two = _pick(usual, seed, F.lit(0)), _pick(usual, seed, F.lit(2))
+    made = _sounding(script, gender, seed, attempt - 1)
+    return F.lower(F.when(attempt == 0, one).when(attempt == 1, F.concat(one, F.lit("-"), two)).otherwise(made))
+
+
 def _letters(s: Column, seed: Column, hexadecimal: bool = False) -> Column:
     """Each letter and digit replaced by a keyed one of its kind; the rest stays."""
     if hexadecimal:
@@ -160,8 +225,9 @@ def _mod97(s: Column) -> Column:
     return F.aggregate(F.filter(F.split(moved, ""), lambda c: c != ""), F.lit(0), lambda a, c: (a * F.when(c.rlike("[0-9]"), 10).otherwise(100) + value(c)) % 97)
 
 
-def surrogate(kind: Column, canon: Column, key: str, attempt: Column) -> Column:
-    """The keyed surrogate of an entity, in canonical form; attempts give others."""
+def surrogate(kind: Column, canon: Column, key: str, attempt: Column, gender: Column) -> Column:
+    """The keyed surrogate of an entity, in canonical form (of a person, the given name); attempts give others, from
+    ever larger spaces where the form doesn't fix it."""
     seed = F.sha2(F.concat_ws("|", F.lit(key), kind, canon, attempt.cast("string")), 256)
     drawn = _letters(canon, seed)
     local, domain = F.split(canon, "@")[0], F.split(canon, "@")[1]
@@ -181,69 +247,111 @@ def surrogate(kind: Column, canon: Column, key: str, attempt: Column) -> Column:
     code = F.when(code < 0, 0).otherwise(code)
     phone = F.concat(canon.substr(F.lit(1), code), ((_byte(seed, F.lit(62)) % 8) + 2).cast("string"), drawn.substr(code + 2, F.length(canon)))
     out = F.when(kind == "email", email).when(kind == "ipv4", ipv4).when(kind == "ipv6", ipv6).when(kind == "ssn", ssn).when(kind == "card", card).when(kind == "iban", iban).when(kind == "phone", phone).when((kind == "secret") & canon.rlike("^[0-9a-f]+$"), _letters(canon, seed, True)).when(kind == "secret", drawn)
-    for script in FAMILY:
-        double = lambda items: F.lower(F.when(attempt > 1, F.concat(_pick(items, seed, 0), F.lit("-"), _pick(items, seed, 4), F.when(attempt > 3, _letters(F.lit("aaaaa"[:3]), seed)).otherwise(""))).otherwise(_pick(items, seed, 0)))
+    for script in SOUNDS:
         here = _script(canon) == script
-        both = GIVEN[script, "m"] + GIVEN[script, "f"]
-        for g, items in (("m", GIVEN[script, "m"]), ("f", GIVEN[script, "f"]), ("n", both)):
-            out = out.when(here & (kind == f"given_{g}"), double(items))
-        out = out.when(here & (kind == "family"), double(FAMILY[script]))
+        out = out.when(here & (kind == "family"), _sounding(script, "family", seed, attempt + 2))
+        for g, of in (("m", gender > 0), ("f", gender < 0), ("n", gender == 0)):
+            out = out.when(here & kind.isin("person", "given") & of, _given(g, script, seed, attempt))
     return out
 
 
 def assign(entities: DataFrame, key: str) -> DataFrame:
-    """(type, canon, sur) of distinct entities (type, canon): rounds of draws until no surrogate equals another's or
-    any entity of its type. Types that may be mistaken for each other (given names) count as one."""
-    family = F.regexp_replace("type", "^given_.*", "given")
-    state = cut(entities.withColumn("attempt", F.lit(0)), "entities")
+    """(type, canon, sur) of distinct entities (type, canon, gender): rounds of draws until no surrogate equals another's
+    of its space, or a real entity. A person's space is that of its family's given names, of which only its own is
+    barred; family names differ from all real ones, and so do persons."""
+    family = F.regexp_extract("canon", " (.*)$", 1)
+    space = F.when(F.col("type") == "person", F.concat(F.lit("person "), family)).otherwise(F.col("type"))
+    state = cut(entities.select("type", "canon", "gender", space.alias("space"), F.lit(0).alias("attempt")), "entities")
+    barred = F.when(F.col("type") == "person", F.substring_index("canon", " ", 1)).otherwise(F.col("canon"))
+    real = state.where("type <> 'person'").select("space", F.col("canon").alias("sur")).distinct().withColumn("real", F.lit(True))
+    first = W.partitionBy("space", "sur").orderBy("canon")
     for _ in range(ROUNDS):
-        drawn = state.withColumn("sur", surrogate(F.col("type"), F.col("canon"), key, F.col("attempt"))).withColumn("space", family)
-        real = entities.select(family.alias("space"), F.col("canon").alias("sur")).distinct().withColumn("real", F.lit(True))
-        first = W.partitionBy("space", "sur").orderBy("type", "canon")
-        checked = drawn.join(real, ["space", "sur"], "left").withColumn("lost", F.col("real").isNotNull() | (F.row_number().over(first) > 1))
-        checked = cut(checked.select("type", "canon", "sur", "attempt", "lost"), "surrogates")
+        drawn = state.withColumn("sur", surrogate(F.col("type"), F.col("canon"), key, F.col("attempt"), F.col("gender")))
+        taken = F.col("real").isNotNull() | (F.col("sur") == barred) | (F.row_number().over(first) > 1)
+        checked = drawn.join(real, ["space", "sur"], "left").withColumn("lost", taken).drop("real")
+        checked = cut(checked, "surrogates")
         if checked.where("lost").isEmpty():
             return checked.select("type", "canon", "sur")
-        state = checked.select("type", "canon", (F.col("attempt") + F.col("lost").cast("int")).alias("attempt"))
+        state = checked.withColumn("attempt", F.col("attempt") + F.col("lost").cast("int")).drop("lost", "sur")
     raise RuntimeError("surrogates keep colliding")
 
 
+def _like(new: Column, old: Column) -> Column:
+    """A name in the case of another."""
+    upper = (old == F.upper(old)) & (F.length(old) > 1)
+    capital = F.array_join(F.transform(F.split(new, "-"), F.initcap), "-")
+    return F.when(upper, F.upper(new)).when(old.rlike(r"^\p{Lu}"), capital).otherwise(new)
+
+
+def _family_like(new: Column, old: Column) -> Column:
+    name = _like(new, old)
+    return F.when(old.rlike("[ое]ва$|ина$") & name.rlike("[ое]в$|ин$"), F.concat(name, F.lit("а"))).otherwise(name)
+
+
+def _bare(m: Column, kind: Column, sur: Column) -> Column:
+    """Of a name, what its parts become where they stand alone: (as written, new), the family name first."""
+    names = _names(m)
+    pair = lambda old, new: F.struct(old.alias("old"), new.alias("new"))
+    family = F.element_at(names, -1)
+    both = F.array(pair(family, _family_like(sur[0], family)), pair(names[0], _like(sur[1], names[0])))
+    alone = F.array(pair(family, _family_like(sur[0], family)))
+    none = F.array().cast("array<struct<old:string,new:string>>")
+    return F.when(~kind.isin("titled", "name", "introduced"), none).when(F.size(names) > 1, both).otherwise(alone)
+
+
 def _lay_out(m: Column, kind: Column, sur: Column) -> Column:
     """The surrogates (array, as by _parts) in the layout of the finding."""
-    like = lambda s, o: F.when((o == F.upper(o)) & (F.length(o) > 1), F.upper(s)).when(o.rlike(r"^\p{Lu}"), F.array_join(F.transform(F.split(s, "-"), F.initcap), "-")).otherwise(s)
     chars = F.filter(F.split(m, ""), lambda c: c != "")
     before = lambda i: F.length(F.regexp_replace(m.substr(F.lit(1), i + 1), r"[^\p{L}\p{N}]", ""))
-    filled = F.array_join(F.transform(chars, lambda c, i: F.when(c.rlike(r"[\p{L}\p{N}]"), F.when(c.rlike(r"\p{Lu}"), F.upper(sur[0].substr(before(i), F.lit(1)))).otherwise(sur[0].substr(before(i), F.lit(1)))).otherwise(c)), "")
+    own = lambda i: sur[0].substr(before(i), F.lit(1))
+    fill = lambda c, i: F.when(c.rlike(r"\p{Lu}"), F.upper(own(i))).when(c.rlike(r"[\p{L}\p{N}]"), own(i)).otherwise(c)
+    filled = F.array_join(F.transform(chars, fill), "")
+    bare = _bare(m, kind, sur)
     title = F.regexp_extract(m, rf"^((?:{_TITLES})\.? )", 1)
-    names = F.split(F.regexp_replace(m, rf"^(?:{_TITLES})\.? ", ""), " ")
-    feminine = F.element_at(names, -1).rlike("[ое]ва$|ина$")
-    family = like(F.element_at(sur, -1), F.element_at(names, -1))
-    family = F.when(feminine & family.rlike("[ое]в$|ин$"), F.concat(family, F.lit("а"))).otherwise(family)
-    person = F.concat(title, F.when(F.size(names) > 1, F.concat(like(sur[0], names[0]), F.lit(" "))).otherwise(""), family)
-    return F.when(kind.isin("titled", "name"), person).when(kind.isin("email", "ipv4", "ipv6"), F.when((m == F.upper(m)) & (kind == "email") & m.rlike(r"\p{L}"), F.upper(sur[0])).otherwise(sur[0])).otherwise(filled)
+    person = F.concat(title, F.when(F.size(bare) > 1, F.concat(bare[1]["new"], F.lit(" "))).otherwise(""), bare[0]["new"])
+    address = F.when((m == F.upper(m)) & (kind == "email") & m.rlike(r"\p{L}"), F.upper(sur[0])).otherwise(sur[0])
+    return F.when(kind.isin("titled", "name", "introduced"), person).when(kind.isin("email", "ipv4", "ipv6"), address).otherwise(filled)
+
+
+def _with_bare(text: Column, bare: Column) -> Column:
+    """A stretch of text with the names of `bare` replaced, longer ones first."""
+    edge = r"[\p{L}\p{N}]"
+    names = F.concat(F.lit(f"(?<!{edge})(?:"), F.array_join(F.transform(bare, lambda b: b["old"]), "|"), F.lit(f")(?!{edge})"))
+    found = F.regexp_extract_all(text, names, F.lit(0))
+    new = lambda x: F.filter(bare, lambda b: b["old"] == x)[0]["new"]
+    woven = F.transform(F.split(text, names, -1), lambda g, i: F.concat(g, F.when(i < F.size(found), new(F.get(found, i))).otherwise("")))
+    return F.when(F.size(bare) > 0, F.array_join(woven, "")).otherwise(text)
 
 
 def replace(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text", count_col: str | None = None) -> DataFrame:
     """The documents with surrogates in the text; `count_col` adds the number of findings. Keep `key` secret."""
     text = column(docs, text_col).cast("string")
-    name = fresh(docs.columns, "surrogate_key")
-    rows = docs.withColumn(name, F.xxhash64(column(docs, id_col).cast("string"), text))
-    hint = F.coalesce(text.rlike(_HINT), F.lit(False))
-    some = rows.where(hint).select(F.col(name).alias("key"), F.array_distinct(_findings(text)).alias("found")).where("size(found) > 0")
-    mentions = cut(some.select("key", F.explode("found").alias("m")).distinct(), "mentions")
+    marked, one, two, new, bare = (fresh(docs.columns, f"surrogate_{x}") for x in ("marked", "key", "check", "new", "bare"))
+    plain = [column(docs, c) for c in docs.columns]
+    # the one pass of the pattern over the texts; its result is kept, so that no later step repeats it
+    rows = cut(docs.select(*plain, F.when(text.rlike(_HINT), _marked(text)).alias(marked)), "marked")
+    some = F.coalesce(F.col(marked).contains(OPEN), F.lit(False))
+    keys = F.xxhash64(column(docs, id_col).cast("string"), text).alias(one), F.hash(column(docs, id_col).cast("string"), text).alias(two)
+    found = F.filter(_parts_of(F.col(marked)), lambda x, i: i % 2 == 1)
+    mentions = cut(rows.where(some).select(*keys, F.posexplode(found).alias("at", "m")).distinct(), "mentions")
     forms = mentions.select("m").distinct().withColumn("kind", _kind(F.col("m")))
     forms = cut(forms.withColumn("parts", _parts(F.col("m"), F.col("kind"))), "forms")
-    flat = forms.select("m", "kind", F.posexplode("parts").alias("at", "part")).select("m", "kind", "at", "part.type", "part.canon")
-    known = assign(flat.select("type", "canon").distinct(), key)
-    laid = flat.join(known, ["type", "canon"]).groupBy("m", "kind").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "sur"))), lambda x: x["sur"]).alias("sur"))
-    laid = cut(laid.select("m", _lay_out(F.col("m"), F.col("kind"), F.col("sur")).alias("new")), "laid")
-    maps = mentions.join(laid, "m").groupBy("key").agg(F.map_from_entries(F.collect_set(F.struct("m", "new"))).alias("map"))
-    maps = maps.select(F.col("key").alias(fresh(docs.columns, "mentions_key")), F.col("map").alias(fresh(docs.columns, "mentions_map")))
-    k, v = maps.columns
-    joined = rows.where(hint).join(maps, F.col(name) == F.col(k), "left")
-    gaps, found = F.split(text, _ALL, -1), _findings(text)
-    woven = F.array_join(F.transform(gaps, lambda g, i: F.concat(g, F.when(i < F.size(found), F.col(v)[F.get(found, i)]).otherwise(""))), "")
-    changed = F.when(F.col(v).isNull(), text).otherwise(woven)
-    count = F.when(F.col(v).isNull(), 0).otherwise(F.size(found))
-    pick = lambda new, n: [new.alias(c) if c == text_col else column(docs, c) for c in docs.columns] + ([n.cast("int").alias(count_col)] if count_col else [])
-    return joined.select(*pick(changed, count)).unionByName(rows.where(~hint).select(*pick(text, F.lit(0))))
+    flat = forms.select("m", "kind", F.posexplode("parts").alias("nth", "part")).select("m", "kind", "nth", "part.*")
+    known = assign(flat.groupBy("type", "canon").agg(F.sum("gender").alias("gender")), key)
+    sur = F.transform(F.array_sort(F.collect_list(F.struct("nth", "sur"))), lambda x: x["sur"])
+    laid = cut(flat.join(known, ["type", "canon"]).groupBy("m", "kind").agg(sur.alias("sur")), "laid")
+    args = F.col("m"), F.col("kind"), F.col("sur")
+    laid = cut(laid.select("m", _lay_out(*args).alias("new"), _bare(*args).alias("bare")), "laid")
+    in_order = F.transform(F.array_sort(F.collect_list(F.struct("at", "new"))), lambda x: x["new"]).alias(new)
+    own = mentions.join(laid, "m").groupBy(one, two).agg(in_order, F.flatten(F.collect_set("bare")).alias("all"))
+    longest = lambda a, b: F.when(F.length(a["old"]) != F.length(b["old"]), F.length(b["old"]) - F.length(a["old"])).when(a < b, -1).when(a > b, 1).otherwise(0)
+    own = own.select(one, two, new, F.array_sort(F.array_distinct("all"), longest).alias(bare))
+    joined = rows.where(some).withColumns({one: keys[0], two: keys[1]}).join(own, [one, two])
+    part = lambda p, i: F.when(i % 2 == 1, F.get(F.col(new), F.shiftright(i, 1))).otherwise(_with_bare(p, F.col(bare)))
+    woven = _unescaped(F.array_join(F.transform(_parts_of(F.col(marked)), part), ""))
+
+    def pick(text: Column, n: Column) -> list[Column]:
+        count = [n.cast("int").alias(count_col)] if count_col else []
+        return [text.alias(c) if c == text_col else column(docs, c) for c in docs.columns] + count
+
+    return joined.select(*pick(woven, F.size(new))).unionByName(rows.where(~some).select(*pick(text, F.lit(0))))
