@@ -1,9 +1,9 @@
 """Compressed FM-index of a shard of word sequences, and the matching statistics of streams of words against it.
 
 The shard's sequences are joined with separators and their suffixes sorted by the first `size` symbols, which is all
-that matches of up to `size` symbols need. The Burrows-Wheeler text is a wavelet matrix over hybrid bit vectors:
-of 64 bits that are all alike, as runs of the text make them, only the count of ones is kept, as two bytes. One byte a
-suffix holds how many symbols it has in common with the one before, which gives the parents of intervals.
+that matches of up to `size` symbols need. The Burrows-Wheeler text is a wavelet tree in the shape of a prefix code:
+a word of frequency f among n takes about log2(n / f) bits, and as many steps of a rank. One byte a suffix holds how
+many symbols it has in common with the one before, which gives the parents of intervals.
 """
 
 from __future__ import annotations
@@ -15,73 +15,93 @@ SUPER = 9  # log2 of words in a superblock: its ones fit two bytes
 
 
 class BitVector:
-    """Bits with ranks; words of equal bits take no place but their count's."""
+    """Bits with ranks: two bytes of counts for eight of bits."""
 
     def __init__(self, bits: np.ndarray):
         padded = np.zeros((len(bits) // 64 + 1) * 64, np.uint8)
         padded[: len(bits)] = bits
-        words = np.packbits(padded, bitorder="little").view(_U)
-        ones = np.bitwise_count(words).astype(np.int64)
+        self.words = np.packbits(padded, bitorder="little").view(_U)
+        ones = np.bitwise_count(self.words).astype(np.int64)
         total = np.cumsum(ones) - ones
-        self.super = total[:: 1 << SUPER].astype(np.uint32)
-        self.before = (total - self.super[np.arange(len(words)) >> SUPER]).astype(np.uint16)
-        mixed = (ones > 0) & (ones < 64)
-        self.literal = words[mixed]
-        self.mixed = BitVector.plain(mixed)
-        self.mixed_before = np.concatenate([[0], np.cumsum(np.bitwise_count(self.mixed))[:-1]]).astype(np.uint32)
-        self.full = BitVector.plain(ones == 64)
-
-    @staticmethod
-    def plain(bits: np.ndarray) -> np.ndarray:
-        padded = np.zeros((len(bits) // 64 + 1) * 64, np.uint8)
-        padded[: len(bits)] = bits
-        return np.packbits(padded, bitorder="little").view(_U)
+        self.super = total[:: 1 << SUPER].copy()
+        self.before = (total - self.super[np.arange(len(ones)) >> SUPER]).astype(np.uint16)
 
     def rank(self, at: np.ndarray) -> np.ndarray:
         """Ones before each place."""
-        block = at >> 6
-        out = self.super[block >> SUPER].astype(np.int64) + self.before[block]
-        group, bit = block >> 6, (block & 63).astype(_U)
-        flags = self.mixed[group]
-        some = np.flatnonzero(flags >> bit & _U(1))
-        g, b = group[some], bit[some]
-        word = self.literal[self.mixed_before[g].astype(np.int64) + np.bitwise_count(flags[some] & ((_U(1) << b) - _U(1)))]
-        out[some] += np.bitwise_count(word & ((_U(1) << (at[some] & 63).astype(_U)) - _U(1)))
-        full = np.flatnonzero(self.full[group] >> bit & _U(1))
-        out[full] += at[full] & 63
-        return out
+        block, rest = at >> 6, (at & 63).astype(_U)
+        inside = np.bitwise_count(self.words[block] & ((_U(1) << rest) - _U(1)))
+        return self.super[block >> SUPER] + self.before[block] + inside
 
     @property
     def nbytes(self) -> int:
-        return sum(x.nbytes for x in (self.super, self.before, self.literal, self.mixed, self.mixed_before, self.full))
+        return self.words.nbytes + self.super.nbytes + self.before.nbytes
+
 
+class WaveletTree:
+    """Occurrences of symbols in a sequence. All nodes' bits are one vector, level by level; a symbol leaves the tree
+    where its code ends."""
 
-class WaveletMatrix:
     def __init__(self, symbols: np.ndarray, alphabet: int):
-        self.levels, self.zeros = [], []
-        self.depth = max(1, int(alphabet - 1).bit_length())
-        s = symbols
-        for level in reversed(range(self.depth)):
-            bit = (s >> level & 1).astype(bool)
-            self.levels.append(BitVector(bit))
-            self.zeros.append(int(len(s) - bit.sum()))
-            s = np.concatenate([s[~bit], s[bit]])
-        every = np.arange(alphabet)
-        self.base = self._descend(every, np.zeros(alphabet, np.int64)).astype(np.int32 if len(symbols) < 1 << 31 else np.int64)
-
-    def _descend(self, symbol: np.ndarray, at: np.ndarray) -> np.ndarray:
-        for k, (level, zeros) in enumerate(zip(self.levels, self.zeros, strict=True)):
-            ones = level.rank(at)
-            at = np.where(symbol >> (self.depth - 1 - k) & 1, zeros + ones, at - ones)
-        return at
+        count = np.maximum(1, np.bincount(symbols, minlength=alphabet))
+        self.length = np.maximum(1, np.ceil(np.log2(count.sum() / count))).astype(np.uint8)
+        self.depth = int(self.length.max())
+        order = np.argsort(self.length, kind="stable")
+        share = np.int64(1) << (self.depth - self.length[order].astype(np.int64))
+        self.code = np.empty(alphabet, np.int64)  # codes fill up to the depth with zeros, shorter ones first
+        self.code[order] = np.cumsum(share) - share
+        code, length = self.code[symbols], self.length[symbols]
+        bits, self.children, starts, base = [], [], [], 0
+        node = np.zeros(len(symbols), np.int64)
+        for level in range(self.depth):
+            bit = code >> (self.depth - 1 - level) & 1
+            bits.append(bit.astype(bool))
+            first = np.flatnonzero(np.append(True, node[1:] != node[:-1])) if len(node) else np.zeros(1, np.int64)
+            starts.append(base + first)
+            base += len(bit)
+            # stably by bit within each node
+            zeros = np.cumsum(1 - bit) - (1 - bit)
+            sizes = np.diff(np.append(first, len(bit)))
+            within = np.diff(np.append(zeros[first], len(bit) - bit.sum())) if len(node) else np.zeros(1, np.int64)
+            begin = np.repeat(first, sizes)
+            left = begin + zeros - np.repeat(zeros[first], sizes) if len(node) else begin
+            right = np.repeat(first + within, sizes) + np.arange(len(bit)) - left
+            to = np.empty(len(bit), np.int64)
+            to[np.where(bit == 0, left, right)] = np.arange(len(bit))
+            to = to[length[to] > level + 1]
+            key = 2 * node[to] + bit[to]
+            code, length = code[to], length[to]
+            new = np.append(True, key[1:] != key[:-1]) if len(key) else np.zeros(0, bool)
+            child = np.full(2 * len(first), -1, np.int32)
+            child[key[new]] = np.arange(int(new.sum()))
+            self.children.append(child)
+            node = np.cumsum(new) - 1
+        self.bits = BitVector(np.concatenate(bits))
+        self.starts = [x.astype(np.int32 if base < 1 << 31 else np.int64) for x in starts]
+        self.ones = [self.bits.rank(x).astype(x.dtype) for x in self.starts]
 
     def rank(self, symbol: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """How often each symbol occurs before each place."""
-        return self._descend(symbol, at) - self.base[symbol]
+        """How often each symbol occurs before each of its places; `at` has a row for each place of a symbol."""
+        length = self.length[symbol]
+        order = np.argsort(self.depth - length, kind="stable")  # long codes first: those that go on are a slice
+        code, out = self.code[symbol[order]], np.ascontiguousarray(at[:, order], np.int64)
+        going = len(symbol) - np.concatenate([[0], np.cumsum(np.bincount(length, minlength=self.depth + 1))])
+        node = np.zeros(len(symbol), np.int32)
+        for level in range(self.depth):
+            k = going[level + 1]
+            if not k:
+                break
+            bit = (code[:k] >> (self.depth - 1 - level) & 1).astype(bool)
+            n = node[:k]
+            ones = self.bits.rank(out[:, :k] + self.starts[level][n]) - self.ones[level][n]
+            out[:, :k] = np.where(bit, ones, out[:, :k] - ones)
+            node[:k] = self.children[level][2 * n + bit]
+        result = np.empty_like(out)
+        result[:, order] = out
+        return result
 
     @property
     def nbytes(self) -> int:
-        return sum(x.nbytes for x in self.levels)
+        return self.bits.nbytes + sum(x.nbytes for part in (self.starts, self.ones, self.children) for x in part)
 
 
 def _ranks(first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -137,15 +157,19 @@ class FMIndex:
             width += step
         self.common = _common(text, order, size)
         self.starts_of = np.searchsorted(text[order], np.arange(len(self.alphabet) + 1))
-        self.bwt = WaveletMatrix(text[order - 1], len(self.alphabet) + 1)
+        self.bwt = WaveletTree(text[order - 1], len(self.alphabet) + 1)
         self.weight_before = np.concatenate([[0], np.cumsum(weight[order])])
         self.total = total
+        # rows that share all but the last symbol, which whole matches are cut to: found directly
+        new = self.common < max(1, size - 1) if size > 1 else np.arange(total) == 0
+        kind = np.int32 if total < 1 << 31 else np.int64
+        self._almost, self._starts = (np.cumsum(new) - 1).astype(kind), np.append(np.flatnonzero(new), total).astype(kind)
         self._heads: dict[int, np.ndarray] = {}
 
     def extend(self, symbol: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Backward search: the rows of `symbol` followed by what the rows low:high begin with."""
-        both = self.bwt.rank(np.concatenate([symbol, symbol]), np.concatenate([low, high])) + np.tile(self.starts_of[symbol], 2)
-        return both[: len(low)], both[len(low) :]
+        low, high = self.bwt.rank(symbol, np.stack([low, high])) + self.starts_of[symbol]
+        return low, high
 
     def parent(self, low: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The rows that share their first `length` symbols with a row."""
@@ -187,7 +211,8 @@ class FMIndex:
             lo, hi, n = low[:live], high[:live], have[:live]
             where = stop[:live] - 1 - step
             full = np.flatnonzero(n == size)
-            lo[full], hi[full] = self.parent(lo[full], n[full] - 1)
+            k = self._almost[lo[full]]
+            lo[full], hi[full] = self._starts[k], self._starts[k + 1]
             n[full] -= 1
             s = symbols[where]
             a, b = self.extend(s, lo, hi)

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 from calathea.llm import substring_dedup as D
-from calathea.llm.fm_index import BitVector, FMIndex, WaveletMatrix
+from calathea.llm.fm_index import BitVector, FMIndex, WaveletTree
 
 from .conftest import words
 
@@ -41,12 +41,15 @@ def test_kept_text(docs):
     assert rows[0].kept == " ".join(words(docs.where("doc_id = 0").first().text))
 
 
-def test_wavelet_ranks():
+@pytest.mark.parametrize("skew", [0, 1, 2])
+def test_wavelet_ranks(skew):
     rng = np.random.default_rng(0)
-    s = rng.integers(0, 13, 700)
-    w, at = WaveletMatrix(s, 13), rng.integers(0, 701, 200)
-    c = rng.integers(0, 13, 200)
-    assert (w.rank(c, at) == [(s[:k] == x).sum() for k, x in zip(at, c, strict=True)]).all()
+    s = (rng.random(700) ** (1 + 2 * skew) * 13).astype(np.int64)
+    w, at = WaveletTree(s, 14), rng.integers(0, 701, (2, 200))
+    c = rng.integers(0, 14, 200)
+    assert (w.rank(c, at) == [[(s[:k] == x).sum() for k, x in zip(row, c, strict=True)] for row in at]).all()
+    one = WaveletTree(np.zeros(5, np.int64), 1)
+    assert one.rank(np.zeros(3, np.int64), np.array([[0, 2, 5]])).tolist() == [[0, 2, 5]]
 
 
 @pytest.mark.parametrize("size", [1, 2, 5, 8])
@@ -77,13 +80,17 @@ def test_matching_statistics(size, least):
     assert seen == set(range(size + 1)) if size < 8 else len(seen) > 4
 
 
-def test_uniform_words_take_no_place():
-    bits = np.zeros(1 << 16, bool)
-    bits[1 << 14 : 1 << 15] = True
-    bits[(1 << 15) + 77] = True
-    v, at = BitVector(bits), np.arange(0, (1 << 16) + 1, 13)
-    assert (v.rank(at) == np.concatenate([[0], np.cumsum(bits)])[at]).all()
-    assert v.nbytes < (1 << 16) / 8 / 2 and len(v.literal) == 1
+def test_the_tree_is_compressed():
+    """Bits follow the entropy of the words, not the size of their alphabet."""
+    rng = np.random.default_rng(2)
+    s = np.minimum(rng.geometric(0.02, 200_000) - 1, 4095)
+    p = np.bincount(s) / len(s)
+    entropy = -(p[p > 0] * np.log2(p[p > 0])).sum()
+    w = WaveletTree(s, 4096)
+    assert 8 * w.nbytes < 1.3 * len(s) * (entropy + 0.6) + 8 * 60 * 4096 and entropy < 8
+    bits = rng.random(70_000) < 0.3
+    at = np.arange(0, 70_001, 7)
+    assert (BitVector(bits).rank(at) == np.concatenate([[0], np.cumsum(bits)])[at]).all()
 
 
 def test_an_anchor_of_many_rows(spark, monkeypatch):
