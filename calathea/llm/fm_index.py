@@ -11,6 +11,8 @@ from __future__ import annotations
 import numpy as np
 
 _U = np.uint64
+#: Lengths of shared beginnings up to which a row's parent is looked up, as matches that fail are mostly short.
+DIRECT = 6
 SUPER = 9  # log2 of words in a superblock: its ones fit two bytes
 
 
@@ -162,9 +164,9 @@ class FMIndex:
         self.total = total
         # rows that share all but the last symbol, which whole matches are cut to: found directly
         new = self.common < max(1, size - 1) if size > 1 else np.arange(total) == 0
-        kind = np.int32 if total < 1 << 31 else np.int64
+        self._kind = kind = np.int32 if total < 1 << 31 else np.int64
         self._almost, self._starts = (np.cumsum(new) - 1).astype(kind), np.append(np.flatnonzero(new), total).astype(kind)
-        self._heads: dict[int, np.ndarray] = {}
+        self._heads: dict[int, tuple] = {}
 
     def extend(self, symbol: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Backward search: the rows of `symbol` followed by what the rows low:high begin with."""
@@ -174,14 +176,18 @@ class FMIndex:
     def parent(self, low: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The rows that share their first `length` symbols with a row."""
         start, stop = np.zeros(len(low), np.int64), np.full(len(low), self.total)
-        for n in np.unique(length).tolist():
+        order = np.argsort(length.astype(np.uint8), kind="stable")
+        edges = np.searchsorted(length[order], np.arange(self.size + 1))
+        for n in np.flatnonzero(np.diff(edges)).tolist():
             if n:
                 if n not in self._heads:
-                    self._heads[n] = np.flatnonzero(self.common < n).astype(np.int32 if self.total < 1 << 31 else np.int64)
-                heads, at = self._heads[n], np.flatnonzero(length == n)
-                k = np.searchsorted(heads, low[at], "right")
-                start[at] = heads[k - 1]
-                stop[at] = np.where(k < len(heads), heads[np.minimum(k, len(heads) - 1)], self.total)
+                    new = self.common < n
+                    number = (np.cumsum(new) - 1).astype(self._kind) if n <= DIRECT else None
+                    self._heads[n] = np.append(np.flatnonzero(new), self.total).astype(self._kind), number
+                heads, number = self._heads[n]
+                at = order[edges[n] : edges[n + 1]]
+                k = number[low[at]] if number is not None else np.searchsorted(heads, low[at].astype(self._kind), "right") - 1
+                start[at], stop[at] = heads[k], heads[k + 1]
         return start, stop
 
     def matching_statistics(self, flat: np.ndarray, lengths: np.ndarray, least: int = 1, piece: int = 128) -> tuple[np.ndarray, np.ndarray]:
