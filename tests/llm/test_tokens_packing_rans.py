@@ -75,9 +75,27 @@ def test_nothing_packed(nothing):
     assert packing.pack(nothing).count() == 0
 
 
+def test_small_partitions_pack_by_the_rule(spark):
+    """Of many small partitions, what is left open is placed in a second round by the same rule."""
+    rows = spark.createDataFrame([(k, "w " * (1 + k * 37 % 90)) for k in range(600)], "doc_id long, text string").repartition(60)
+    found = packing.pack(rows, size=64).collect()
+    total = sum(r.length for r in found)
+    second = [r for r in found if r.sequence_id >> 59]
+    cuts = sum(r.start % 64 > 0 for r in second)  # whole windows are cut off at multiples of the size
+    assert total == sum(2 + k * 37 % 90 for k in range(600)) and len(second) > 100 and cuts < 0.2 * len(second)
+
+
 @settings(max_examples=50, deadline=None)
-@given(st.lists(st.integers(1, 40), max_size=60), st.sampled_from([4, 8, 16]))
-def test_packer_pads_nothing(sizes, window):
+@given(st.lists(st.integers(1, 40), max_size=60), st.sampled_from([4, 8, 16]), st.sampled_from([2, 5, 8192]))
+def test_packer_pads_nothing(sizes, window, most):
+    packing.MAX_OPEN, usual = most, packing.MAX_OPEN
+    try:
+        _pads_nothing(sizes, window)
+    finally:
+        packing.MAX_OPEN = usual
+
+
+def _pads_nothing(sizes, window):
     out = []
     p = packing.SumOfSquares(window, out.append)
     for d, n in enumerate(sizes):
