@@ -7,6 +7,7 @@ half-even uses ``bround``; parsing that may fail uses ``try_`` functions, as ANS
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from html.entities import name2codepoint
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -68,8 +69,11 @@ def camera_epoch(text: Column) -> Column:
 
 
 def iso_epoch(text: Column) -> Column:
-    """Epoch seconds of an ISO time; naive means UTC (the session's zone is UTC)."""
-    return F.unix_timestamp(F.try_to_timestamp(text))
+    """Epoch seconds of an ISO time, whatever the session's zone; naive means UTC, a date alone its midnight."""
+    t = F.trim(text)
+    zoned = t.rlike(r"(?:[Zz]|[0-9]{2}[+-][0-9]{2}:?[0-9]{0,2})$") & t.rlike("[0-9]:[0-9]")
+    whole = F.when(zoned, t).when(t.rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}$"), F.concat(t, F.lit("T00:00:00Z"))).otherwise(F.concat(t, F.lit("Z")))
+    return F.unix_timestamp(F.try_to_timestamp(whole))
 
 
 def first_filled(*columns: Column) -> Column:
@@ -157,12 +161,36 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
+def unescape(text: Column) -> Column:
+    """Character references resolved, in one pass: &#65; &#x41; and the named ones of HTML 4, each with its semicolon."""
+    pattern = r"&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,7});"
+    names = F.create_map(*(F.lit(x) for name, code in sorted(name2codepoint.items()) for x in (name, chr(code))))
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+
+    def resolved(e: Column) -> Column:
+        name = e.substr(F.lit(2), F.length(e) - 2)
+        digits = F.when(name.rlike("^#[xX]"), F.conv(name.substr(F.lit(3), F.length(name)), 16, 10)).otherwise(name.substr(F.lit(2), F.length(name)))
+        code = digits.try_cast("int")
+        fine = code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+        of_code = F.when(fine, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
+        return F.coalesce(F.when(name.startswith("#"), of_code).otherwise(names[name]), e)
+
+    gaps = F.split(text, pattern, -1)
+    woven = F.transform(gaps, lambda g, i: F.concat(g, F.when(i < F.size(found), resolved(F.get(found, i))).otherwise("")))
+    return F.when(text.contains("&"), F.array_join(woven, "")).otherwise(text)
+
+
 def canonical_text(text: Column) -> Column:
-    """Underscores to spaces, ASCII punctuation away, lower case, single spaces, trimmed."""
-    bare = F.regexp_replace(F.translate(text, "_", " "), r"""[!"#$%&'()*+,\-./:;<=>?@\[\\\]^`{|}~]""", "")
+    """Character references resolved, underscores to spaces, ASCII punctuation away, lower case, single spaces, trimmed."""
+    bare = F.regexp_replace(F.translate(unescape(text), "_", " "), r"""[!"#$%&'()*+,\-./:;<=>?@\[\\\]^`{|}~]""", "")
     return F.trim(F.regexp_replace(F.lower(bare), r"\s+", " "))
 
 
+def prompt_pair(vector: Column, good: Column, bad: Column, temperature: float = 0.05) -> Column:
+    """How much nearer a vector is to one prompt's vector than to the other's: the softmax of both dot products."""
+    return softmax2(dot(vector, good), dot(vector, bad), temperature)
+
+
 def softmax2(a: Column, b: Column, temperature: float = 0.05) -> Column:
     """Share of a in the softmax of two scores."""
     top = F.greatest(a, b)
@@ -201,8 +229,14 @@ def size_band(size: Column) -> Column:
 
 
 def json_object(text: Column) -> Column:
-    """The outermost braces of a text with words around them."""
-    return F.regexp_extract(text, r"(?s)(\{.*\})", 1)
+    """The first object of a text with words around it: from the first brace to the one that closes it; null without."""
+    start = F.instr(text, "{")
+    chars = F.split(F.when(start > 0, text.substr(start, F.length(text))), "")
+    step = lambda c: F.when(c == "{", 1).when(c == "}", -1).otherwise(0)
+    # the state is depth and, once it is 0 again, the length so far
+    state = F.aggregate(chars, F.struct(F.lit(0).alias("depth"), F.lit(0).alias("n"), F.lit(False).alias("closed")), lambda a, c: F.when(a["closed"], a).otherwise(
+        F.struct((a["depth"] + step(c)).alias("depth"), (a["n"] + F.length(c)).alias("n"), ((c == "}") & (a["depth"] == 1)).alias("closed"))))
+    return F.when(state["closed"], text.substr(start, state["n"]))
 
 
 def repaired_array(items: Column) -> Column:
@@ -226,6 +260,23 @@ def sample_times(duration: Column, count: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), count - 1), lambda i: duration * (i + 0.5) / count)
 
 
+def seek_centres(duration: Column) -> Column:
+    """Where to look for faces in a clip: centres of parts of 4 s, from 30 s on of 5 s, six at most; the start of a clip
+    of no or unknown length."""
+    parts = F.least(F.lit(6), F.greatest(F.lit(1), F.ceil(duration / F.when(duration < 30, 4.0).otherwise(5.0)))).cast("int")
+    return F.when(duration > 0, F.transform(sample_times(duration, parts), lambda x: F.round(x, 3))).otherwise(F.array(F.lit(0.0)))
+
+
+def share_of(part: Column, whole: Column) -> Column:
+    """part / whole, 1 at most, null of nothing."""
+    return F.least(F.lit(1.0), F.try_divide(part.cast("double"), whole.cast("double")))
+
+
+def place_4dp(coordinate: Column) -> Column:
+    """A coordinate to four places (some ten metres), half away from zero."""
+    return F.round(coordinate, 4)
+
+
 def interval_total(starts: Column, ends: Column, stop: Column) -> Column:
     """Summed length of intervals; one without an end closes at `stop`."""
     return F.aggregate(F.transform(starts, lambda s, i: F.greatest(F.lit(0.0), F.coalesce(F.get(ends, i), stop) - s)), F.lit(0.0), lambda a, x: a + x)
@@ -272,6 +323,7 @@ def reason(rule: Column, templates: Mapping[str, str], value: Column) -> Column:
     return out
 
 
+# Extensions of videos, and in least_plausible_bytes the bytes a pixel, a still and any file have at least.
 VIDEO_TYPES = ("MP4", "MOV", "M4V", "AVI", "3GP", "MPG", "MKV", "WEBM")
 
 

@@ -193,3 +193,93 @@ def item_details(rows: DataFrame, key: str, width: str, height: str, size: str,
     dims = F.format_string("%d × %d (%.1f MP)", F.col(width), F.col(height), F.col(width) * F.col(height) / 1e6)
     camera = F.concat_ws(" ", make, model)
     return rows.select(key, F.coalesce(F.when(F.col(width).isNotNull() & F.col(height).isNotNull(), dims), dash).alias("dims"), F.coalesce(F.when(F.col(size).isNotNull(), F.format_string("%.1f MB", F.col(size) / 1e6)), dash).alias("megabytes"), F.when(camera == "", dash).otherwise(camera).alias("camera"))
+
+
+def shared_item(flag: Column, name: Column) -> Column:
+    """Whether an asset is flagged as shared or has a mark of shared items in its name."""
+    from ..functions import scalars as S
+
+    return F.coalesce(flag, F.lit(False)) | F.coalesce(S.shared_flag(name), F.lit(False))
+
+
+def in_dated_folder(path: Column) -> Column:
+    """Whether a path leads through a folder of a year and one of its months."""
+    return F.coalesce(path.rlike("/[0-9]{4}/[0-9]{2}/"), F.lit(False))
+
+
+def copies(rows: DataFrame, digest: str, ts: str, path: str, key: str) -> DataFrame:
+    """Rows of contents that occur twice or more, with keep_rank: dated ones first, then those in dated folders, then by
+    key; rank 1 is kept."""
+    w = W.partitionBy(digest)
+    order = F.col(ts).isNull(), ~in_dated_folder(F.col(path)), F.col(key)
+    ranked = rows.where(F.col(digest).isNotNull()).withColumn("__n", F.count("*").over(w)).withColumn("keep_rank", F.row_number().over(w.orderBy(*order)))
+    return ranked.where("__n > 1").drop("__n")
+
+
+def in_period(year: Column, month: Column, y: int | None, m: int | None) -> Column:
+    """Whether a row is of a month, of a year without a month, or (y null) undated."""
+    if y is None:
+        return year.isNull()
+    return F.coalesce(year == y, F.lit(False)) & (month.isNull() if m is None else F.coalesce(month == m, F.lit(False)))
+
+
+def seen(rows: DataFrame, key: str, hidden: DataFrame, vault: DataFrame, reveal: bool) -> DataFrame:
+    """Rows that a view shows: none that is hidden, or, where hidden ones are to be revealed, none of the vault."""
+    return rows.join((vault if reveal else hidden).select(F.col(hidden.columns[0] if not reveal else vault.columns[0]).alias(key)), key, "left_anti")
+
+
+def keepers_first(rows: DataFrame, group: Sequence[str], key: str, keeper: Column, seed: int, k: int) -> DataFrame:
+    """(group, key, place): k rows of each group in keyed random order, keepers before others."""
+    w = W.partitionBy(*group).orderBy(~F.coalesce(keeper, F.lit(False)), F.xxhash64(key, F.lit(seed)), key)
+    return rows.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k).select(*group, key, "place")
+
+
+def anchors(rows: DataFrame, group: Sequence[str], key: str, live: str, cap: int = 300) -> DataFrame:
+    """(group, key): at most `cap` anchors of each group: the live ones first, in order of keys; what room they leave goes
+    to the others, at even steps of their order, both ends included."""
+    w = W.partitionBy(*group, live)
+    ranked = rows.withColumn("__at", F.row_number().over(w.orderBy(key)) - 1).withColumn("__n", F.count("*").over(w))
+    ranked = ranked.withColumn("__need", F.greatest(F.lit(0), cap - F.count_if(F.col(live)).over(W.partitionBy(*group))))
+    need = F.col("__need")
+    # place i of the sample is row floor(i * (n - 1) / (need - 1)); the place that a row could be, and whether it is
+    last, steps = F.greatest(F.lit(1), F.col("__n") - 1), F.greatest(F.lit(1), need - 1)
+    place = F.expr("(__at * greatest(1, __need - 1) + greatest(1, __n - 1) - 1) div greatest(1, __n - 1)")
+    drawn = (F.col("__n") <= need) | ((need == 1) & (F.col("__at") == 0)) | ((need > 1) & (F.floor(place * last / steps + 1e-9) == F.col("__at")))
+    return ranked.where(F.when(F.col(live), F.col("__at") < cap).otherwise(drawn & (need > 0))).select(*group, key)
+
+
+def by_day(rows: DataFrame, ts: str, key: str) -> DataFrame:
+    """In order of time, undated first, then key."""
+    return rows.orderBy(F.coalesce(F.col(ts), F.lit(0)), key)
+
+
+def worst_first(rows: DataFrame, score: str, ts: str, key: str) -> DataFrame:
+    """In order of score, unscored last, then time, then key."""
+    return rows.orderBy(F.col(score).asc_nulls_last(), ts, key)
+
+
+def newest(rows: DataFrame, key: str, k: int | None = None) -> DataFrame:
+    """Newest (greatest) keys first, all or the first k."""
+    out = rows.orderBy(F.desc(key))
+    return out if k is None else out.limit(k)
+
+
+def overlap_and_rest(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
+    """(key, part) of the first set's keys: both, or first only."""
+    marks = b.select(key).distinct().withColumn("__b", F.lit(True))
+    return a.select(key).distinct().join(marks, key, "left").select(key, F.when(F.col("__b"), "both").otherwise("first").alias("part"))
+
+
+def without_chips(rows: DataFrame, key: str, categories: DataFrame, category: str, chosen: Sequence[str]) -> DataFrame:
+    """Rows that are in none of the chosen categories."""
+    return rows.join(categories.where(F.col(category).isin(*chosen)).select(key), key, "left_anti")
+
+
+def dense_ids(rows: DataFrame, cell: Sequence[str], chain: str, start: str, name: str = "cluster_id") -> DataFrame:
+    """(cell, chain, start, size, cluster_id): chains numbered from 1 in order of cell and start, over all of them; each
+    range of cells is numbered in a task of its own."""
+    from .windows import numbered
+
+    found = rows.groupBy(*cell, chain).agg(F.min(start).alias("start"), F.count("*").alias("size"))
+    order = F.struct(*cell, "start", chain)
+    return numbered(found.withColumn("__order", order), cell[0], "__order", name).drop("__order")

@@ -93,3 +93,9 @@ def histogram(rows: DataFrame, column: str, low: float, high: float, parts: int)
     """(part, n) of equal parts; the last one holds its upper edge."""
     at = F.least(F.floor((F.col(column) - low) / (high - low) * parts), F.lit(parts - 1)).cast("int")
     return rows.where(F.col(column).between(low, high)).groupBy(at.alias("part")).agg(F.count("*").alias("n"))
+
+
+def faithfulness(rows: DataFrame, a: str, b: str) -> DataFrame:
+    """(n, max_abs, mean_abs): how far two models' scores of the same rows are apart."""
+    gap = F.abs(F.col(a) - F.col(b))
+    return rows.where(gap.isNotNull()).agg(F.count("*").alias("n"), F.max(gap).alias("max_abs"), F.avg(gap).alias("mean_abs"))

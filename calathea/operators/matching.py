@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import scalars as S
+
 
 def nearest(left: DataFrame, right: DataFrame, on: Sequence[str], left_at: str, right_at: str, left_key: str, tie: str, tolerance: float | None = None) -> DataFrame:
     """Each left row with the right row of its group that is nearest along a number; ties go to the smaller `tie`.
@@ -72,3 +74,111 @@ def within(rows: DataFrame, value: str, ranges: DataFrame, low: str, high: str,
     so no pair beyond a shared cell is made."""
     cells = ranges.withColumn("__cell", F.explode(F.sequence(F.floor(F.col(low) / width), F.floor(F.col(high) / width))))
     return rows.withColumn("__cell", F.floor(F.col(value) / width)).join(cells, "__cell").where((F.col(value) >= F.col(low)) & (F.col(value) < F.col(high))).drop("__cell")
+
+
+#: Tier, confidence, of matches that sizes tighten.
+SIZED_TIERS = {"date": 1.0, "only_size": 0.97, "size": 0.96, "date_tz": 0.95, "unique": 0.85, "clip": 0.8, "only": 0.6}
+
+
+def sized(assets: DataFrame, records: DataFrame, near: float = 2, zone: float = 90_000) -> DataFrame:
+    """(asset, record, tier, confidence): the record of each asset's file name, by tiers that file sizes tighten.
+
+    assets (asset, name, size, at, is_clip), records (record, name, base, size, at); names in lower case. A size
+    promotes and never vetoes: within 2 s the record of the asset's own size goes first; then an only record of that
+    size; then tiers as in `tiered`. A name unknown to the records is tried without a collision suffix that is the
+    asset's size; a clip without a record by name takes its still's, by the stem without the clip's mark. The rest is
+    refused: tier null is of known names that stay ambiguous, other assets have no row.
+    """
+    names = records.groupBy("name").agg(F.count("*").alias("__nr"), F.min("record").alias("__only"))
+    own = assets.withColumn("__na", F.count("*").over(W.partitionBy("name"))).withColumn("__clean", S.strip_collision(F.col("name"), F.col("size")))
+    known = own.join(names.select("name").withColumn("__known", F.lit(True)), "name", "left")
+    looked = known.withColumn("__own", F.coalesce("__known", F.lit(False))).withColumn("name", F.when(F.col("__own"), F.col("name")).otherwise(F.col("__clean"))).drop("__known", "__clean")
+    found = looked.join(names, "name", "left")
+    sizes = records.where("size is not null").groupBy("name", "size").agg(F.count("*").alias("__ns"), F.min("record").alias("__sized"))
+    found = found.join(sizes, ["name", "size"], "left")
+    dated = looked.where("at is not null").select("asset", "name", "size", "at")
+    by_name = nearest(dated, records.select("name", "record", "at"), ["name"], "at", "at", "asset", "record").select("asset", F.col("match_record").alias("__dated"), F.col("gap").alias("__gap"))
+    by_size = nearest(dated.where("size is not null"), records.select("name", "size", "record", "at"), ["name", "size"], "at", "at", "asset", "record")
+    by_size = by_size.select("asset", F.col("match_record").alias("__both"), F.col("gap").alias("__size_gap"))
+    found = found.join(by_name, "asset", "left").join(by_size, "asset", "left")
+
+    clips = looked.where("is_clip").select("asset", S.live_base(F.col("name")).alias("base"), "size", "at")
+    base_sizes = records.where("size is not null").groupBy("base", "size").agg(F.count("*").alias("__ns"), F.min("record").alias("__clip_sized"))
+    near_base = nearest(clips.where("at is not null").select("asset", "base", "at"), records.select("base", "record", "at"), ["base"], "at", "at", "asset", "record")
+    clip = clips.join(base_sizes.where("__ns = 1").drop("__ns"), ["base", "size"], "left").join(near_base.select("asset", F.col("match_record").alias("__clip_dated")), "asset", "left")
+    found = found.join(clip.select("asset", F.coalesce("__clip_sized", "__clip_dated").alias("__clip")), "asset", "left")
+
+    has = F.col("__nr").isNotNull()
+    tier = (
+        F.when(has & (F.col("__gap") <= near), "date").when(F.col("__ns") == 1, F.when(F.col("__nr") > 1, "size").otherwise("only_size"))
+        .when(has & (F.col("__gap") <= zone), "date_tz").when(F.col("__own") & (F.col("__nr") == 1) & (F.col("__na") == 1), "unique")
+        .when((F.col("__nr") == 1) & F.col("at").isNull(), "only").when(~has & F.col("__clip").isNotNull(), "clip")
+    )
+    best = F.when(F.col("__size_gap") <= near, F.col("__both")).otherwise(F.col("__dated"))
+    record = F.when(F.col("tier") == "date", best).when(F.col("tier").isin("size", "only_size"), F.col("__sized")).when(F.col("tier") == "date_tz", F.col("__dated")).when(F.col("tier") == "clip", F.col("__clip")).when(F.col("tier").isNotNull(), F.col("__only"))
+    table = F.create_map(*(F.lit(x) for kv in SIZED_TIERS.items() for x in kv))
+    named = found.withColumn("tier", tier).where(has | F.col("tier").isNotNull())
+    return named.select("asset", record.alias("record"), "tier", table[F.col("tier")].alias("confidence"))
+
+
+def single_asset(bridge: DataFrame, assets: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(uuid, asset, reason): the one asset of each wanted record, or why there is none.
+
+    bridge (uuid, asset), assets (asset, is_clip, kind), wanted (uuid, kind; kind: image or video). An only asset is
+    taken; of several, the only one that is no clip; of several of these, the only one of the wanted kind.
+    """
+    members = bridge.select("uuid", "asset").distinct().join(assets, "asset", "left").join(wanted.select("uuid", F.col("kind").alias("__kind")), "uuid")
+    still = F.col("asset").isNotNull() & ~F.coalesce(F.col("is_clip"), F.lit(False))
+    fits = still & (F.col("kind") == F.col("__kind"))
+    found = members.groupBy("uuid").agg(F.count("*").alias("n"), F.min("asset").alias("one"), F.count_if(still).alias("stills"), F.min(F.when(still, F.col("asset"))).alias("still"), F.count_if(fits).alias("fits"), F.min(F.when(fits, F.col("asset"))).alias("fit"))
+    out = wanted.select("uuid").distinct().join(found, "uuid", "left")
+    asset = F.when(F.col("n") == 1, F.col("one")).when(F.col("stills") == 1, F.col("still")).when((F.col("stills") > 1) & (F.col("fits") == 1), F.col("fit"))
+    reason = F.when(F.col("n").isNull(), "unresolved").when(F.col("asset").isNotNull(), None).when(F.col("stills") > 1, "several stills").otherwise("no still")
+    return out.withColumn("asset", asset).select("uuid", "asset", reason.alias("reason"))
+
+
+def elsewhere(records: DataFrame, assets: DataFrame) -> DataFrame:
+    """(record, asset, status, candidates): which catalogued asset a file listed elsewhere is.
+
+    Both: key (record, asset), stem, ext, size, at, duration. Candidates share stem and extension, or size and time.
+    An only one of the same size wins, then an only one that agrees in size, time and, if known, length within a second;
+    an only candidate of another size is SIZE_MISMATCH, several are AMBIGUOUS, none is NO_MATCH.
+    """
+    of = lambda c: F.col(c).alias(f"__{c}")
+    right = assets.select("asset", of("stem"), of("ext"), of("size"), of("at"), of("duration"))
+    named = records.join(right, (F.col("stem") == F.col("__stem")) & (F.col("ext") == F.col("__ext")))
+    timed = records.join(right, (F.col("size") == F.col("__size")) & (F.col("at") == F.col("__at")))
+    pairs = named.unionByName(timed).dropDuplicates(["record", "asset"])
+    same = F.coalesce(F.col("size") == F.col("__size"), F.lit(False))
+    full = same & F.coalesce(F.col("at") == F.col("__at"), F.lit(False)) & (F.col("duration").isNull() | F.coalesce(F.abs(F.col("duration") - F.col("__duration")) < 1, F.lit(False)))
+    found = pairs.groupBy("record").agg(F.count("*").alias("candidates"), F.min("asset").alias("__one"), F.count_if(same).alias("__same"), F.min(F.when(same, F.col("asset"))).alias("__sized"), F.count_if(full).alias("__full"), F.min(F.when(full, F.col("asset"))).alias("__whole"))
+    asset = F.when(F.col("__same") == 1, F.col("__sized")).when(F.col("__full") == 1, F.col("__whole")).when(F.col("candidates") == 1, F.col("__one"))
+    status = F.when(F.col("candidates").isNull(), "NO_MATCH").when((F.col("__same") == 1) | (F.col("__full") == 1), "OK").when((F.col("candidates") == 1) & (F.col("__same") == 0), "SIZE_MISMATCH").otherwise("AMBIGUOUS")
+    out = records.select("record").join(found, "record", "left")
+    return out.select("record", asset.alias("asset"), status.alias("status"), F.coalesce("candidates", F.lit(0)).alias("candidates"))
+
+
+def by_folder(assets: DataFrame, still: str = "HEIC", clip: str = "MOV") -> DataFrame:
+    """(still, clip): stills and the clips of their folder and stem, the clip's mark aside; of several clips of a stem
+    the last one. assets (asset, folder, stem, ext), stems in lower case."""
+    clips = assets.where(F.col("ext") == clip)
+    names = F.array_distinct(F.array("stem", F.regexp_replace("stem", "_hevc$", "")))
+    last = clips.select("folder", F.explode(names).alias("stem"), "asset").groupBy("folder", "stem").agg(F.max("asset").alias("clip"))
+    return assets.where(F.col("ext") == still).join(last, ["folder", "stem"]).select(F.col("asset").alias("still"), "clip")
+
+
+def inherited(bridge: DataFrame, facts: DataFrame, uuid: str = "uuid") -> DataFrame:
+    """Facts of records (labels, persons, scores) for each asset that a record has."""
+    return bridge.join(facts, uuid).drop(uuid).distinct()
+
+
+def method_counts(matches: DataFrame, method: str = "tier") -> DataFrame:
+    """(method, n) of matches, refused ones as null."""
+    return matches.groupBy(method).agg(F.count("*").alias("n"))
+
+
+def unjudged(pairs: DataFrame, judged: DataFrame, a: str, b: str, priority: str, seed: int) -> DataFrame:
+    """Pairs not yet judged either way round, with their place: by priority, then in keyed random order."""
+    done = judged.select(F.least(a, b).alias("__a"), F.greatest(a, b).alias("__b")).distinct()
+    left = pairs.withColumn("__a", F.least(a, b)).withColumn("__b", F.greatest(a, b)).join(done, ["__a", "__b"], "left_anti").drop("__a", "__b")
+    return left.orderBy(F.desc(priority), F.xxhash64(a, b, F.lit(seed)), a, b)

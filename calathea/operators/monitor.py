@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 STALL_S = 1800
@@ -28,6 +29,34 @@ def stage_rates(events: DataFrame, stage: str, at: str, now: Column, total: Colu
     return out.select(stage, "done", rate.alias("rate"), F.when(rate > 0, F.greatest(F.lit(0), F.col("__total") - F.col("done")) / rate).alias("eta_s"))
 
 
+# What messages of storage faults say, and addresses of private networks.
+STORAGE_FAULTS = (
+    "input/output error", "i/o error", "errno 5", r"\beio\b", "stale file handle", "estale", "not respond", "timed? ?out", "connection reset",
+    "host is down", "broken pipe", "resource temporarily unavailable", "transport endpoint", "no such device",
+)
+PRIVATE_ADDRESSES = (
+    r"127\.", r"10\.", r"100\.(?:6[4-9]|[7-9]\d|1[01]\d|12[0-7])\.", r"192\.168\.", r"172\.(?:1[6-9]|2\d|3[01])\.", "::1$",
+)
+
+
 def storage_fault(message: Column) -> Column:
     """Whether an error message speaks of the storage rather than of the file."""
-    return F.coalesce(message.rlike(r"(?i)input/output error|stale file handle|transport endpoint|no such device|connection (reset|timed out)|host is down"), F.lit(False))
+    return F.coalesce(message.rlike("(?i)" + "|".join(STORAGE_FAULTS)), F.lit(False))
+
+
+def private_address(address: Column) -> Column:
+    """Whether an address is of a private network or the machine itself."""
+    return F.coalesce(address.rlike("^(?:" + "|".join(PRIVATE_ADDRESSES) + ")"), F.lit(False))
+
+
+def fault_class(message: Column, timed_out: Column) -> Column:
+    """storage faults are worth another try at once, timeouts are not, other faults are the file's."""
+    return F.when(F.coalesce(timed_out, F.lit(False)), "timeout").when(storage_fault(message), "storage").when(message.isNotNull(), "file")
+
+
+def breaker(results: DataFrame, group: str, order: str, fault: str, limit: int) -> DataFrame:
+    """(group, opened): where a run of `limit` storage faults in a row first ends; such a group is to stop."""
+    w = W.partitionBy(group).orderBy(order)
+    bad = F.coalesce(F.col(fault) == "storage", F.lit(False)).cast("int")
+    run = (F.min(bad).over(w.rowsBetween(1 - limit, 0)) == 1) & (F.row_number().over(w) >= limit)
+    return results.withColumn("__open", run).where("__open").groupBy(group).agg(F.min(order).alias("opened"))

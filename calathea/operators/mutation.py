@@ -44,22 +44,57 @@ def redirected(decisions: DataFrame, bridge: DataFrame, source: str, target: str
 
 
 def publish(rows: DataFrame, path: str, least: int = 1, keep: str | None = None) -> int:
-    """Write beside the target, check the count, move the old version to `keep` if given, and swap; returns the count."""
+    """Write beside the target, check the count, and swap: the old version is moved aside, to `keep` if given, and deleted
+    only when the new one has its name. A run that was broken off between leaves the old version under `<path>.old`,
+    which the next run puts back first. Returns the count."""
     spark = rows.sparkSession
     jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    target, part = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(path.rstrip("/") + ".next")
-    fs = target.getFileSystem(conf)
+    named = lambda end: jvm.org.apache.hadoop.fs.Path(path.rstrip("/") + end)
+    target, part, old = named(""), named(".next"), named(".old")
+    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def move(source, to) -> None:  # noqa: ANN001
+        if not fs.rename(source, to):
+            raise OSError(f"cannot rename {source} to {to}")
+
+    if fs.exists(old) and not fs.exists(target):
+        move(old, target)
     rows.write.mode("overwrite").parquet(part.toString())
     n = spark.read.parquet(part.toString()).count()
     if n < least:
         fs.delete(part, True)
         raise ValueError(f"{n} rows, at least {least} wanted")
+    fs.delete(old, True)
     if fs.exists(target):
+        move(target, old)
+    move(part, target)
+    if fs.exists(old):
         if keep:
-            fs.delete(jvm.org.apache.hadoop.fs.Path(keep), True)
-            fs.rename(target, jvm.org.apache.hadoop.fs.Path(keep))
+            last = jvm.org.apache.hadoop.fs.Path(keep)
+            fs.delete(last, True)
+            move(old, last)
         else:
-            fs.delete(target, True)
-    fs.rename(part, target)
+            fs.delete(old, True)
     return n
+
+
+def claimed(clusters: DataFrame, claims: DataFrame, cluster: str = "cluster", person: str = "person") -> DataFrame:
+    """Clusters with the person that claims them; a cluster that is claimed already keeps its person, and of several new
+    claims the smallest person's holds."""
+    first = claims.groupBy(cluster).agg(F.min(person).alias("__new"))
+    return clusters.join(first, cluster, "left").withColumn(person, F.coalesce(person, "__new")).select(clusters.columns)
+
+
+def dismissed(clusters: DataFrame, ids: DataFrame, cluster: str = "cluster", flag: str = "dismissed") -> DataFrame:
+    """Clusters with those of the ids marked as dismissed; earlier marks stay."""
+    marks = ids.select(cluster).distinct().withColumn("__now", F.lit(True))
+    return clusters.join(marks, cluster, "left").withColumn(flag, F.coalesce(F.col(flag), F.lit(False)) | F.coalesce("__now", F.lit(False))).select(clusters.columns)
+
+
+def paired_anew(assets: DataFrame, pairs: DataFrame, still: str = "still", clip: str = "clip", key: str = "asset") -> DataFrame:
+    """Assets with is_still, is_clip and partner set from the pairs alone: what earlier runs set is forgotten."""
+    first = lambda a, b: pairs.groupBy(F.col(a).alias(key)).agg(F.min(b).alias("__partner"))
+    sides = first(still, clip).withColumn("__side", F.lit("still")).unionByName(first(clip, still).withColumn("__side", F.lit("clip")))
+    kept = [c for c in assets.columns if c not in ("is_still", "is_clip", "partner")]
+    of = lambda side: F.coalesce(F.col("__side") == side, F.lit(False))
+    return assets.select(kept).join(sides, key, "left").select(*kept, of("still").alias("is_still"), of("clip").alias("is_clip"), F.col("__partner").alias("partner"))

@@ -1,20 +1,22 @@
 """Vectors: exact search, neighbour edges, components, centroids, assignment.
 
-Searches of a bounded set of query vectors scan the table once: the queries travel to the data, at most MAX_QUERIES at
-a time, and each partition keeps its best. Scores are summed in double precision in one order.
+Searches scan the table once for each block of queries: the queries travel to the data, about MAX_QUERIES at a time, and
+each partition keeps its best. Scores are summed in double precision in one order.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from .durable import written
 
 MAX_QUERIES = 4_096
 _HITS = "query long, id long, score double"
@@ -52,17 +54,22 @@ def _scan(keys: np.ndarray, vectors: np.ndarray, k: int | None, least: float | N
 def search(vectors: DataFrame, key: str, vec: str, queries: DataFrame, k: int, least: float | None = None, own: bool = False) -> DataFrame:
     """(query, id, score, rank): the k most similar of each query vector, ties to the smaller id.
 
-    `queries` (key, vector) must be a set of at most MAX_QUERIES; it is checked. Without `own` the query's id is left out.
+    `queries` (key, vector) go through the table in blocks of about MAX_QUERIES, a scan for each; the vectors of a block
+    travel to every task. Without `own` the query's id is left out.
     """
-    asked = queries.limit(MAX_QUERIES + 1).toArrow()
-    if asked.num_rows > MAX_QUERIES:
-        raise ValueError("too many queries for one scan; use neighbour_edges or an index")
-    if not asked.num_rows:
+    n = queries.count()
+    parts = max(1, -(-n // MAX_QUERIES))
+    found = []
+    for part in range(parts):
+        asked = queries.where(F.pmod(F.xxhash64(key), F.lit(parts)) == part).toArrow()
+        if asked.num_rows:
+            run = _scan(asked.column(0).to_numpy().astype(np.int64), _matrix(asked.column(1).combine_chunks()), k + (not own), least, own)
+            hits = vectors.select(F.col(key).cast("long"), F.col(vec)).mapInArrow(run, _HITS)
+            ranked = hits.withColumn("rank", F.row_number().over(W.partitionBy("query").orderBy(F.desc("score"), "id"))).where(F.col("rank") <= k)
+            found.append(ranked if parts == 1 else written(ranked, "hits"))
+    if not found:
         return vectors.sparkSession.createDataFrame([], _HITS + ", rank int")
-    keys = asked.column(0).to_numpy().astype(np.int64)
-    found = vectors.select(F.col(key).cast("long"), F.col(vec)).mapInArrow(_scan(keys, _matrix(asked.column(1).combine_chunks()), k + (not own), least, own), _HITS)
-    ranked = found.withColumn("rank", F.row_number().over(W.partitionBy("query").orderBy(F.desc("score"), "id")))
-    return ranked.where(F.col("rank") <= k)
+    return functools.reduce(DataFrame.unionByName, found)
 
 
 def _pairs(k: int, least: float) -> Callable:
@@ -107,13 +114,10 @@ def neighbour_edges(vectors: DataFrame, key: str, vec: str, k: int = 15, least:
 def components(edges: DataFrame, a: str, b: str, rounds: int = 50) -> DataFrame:
     """(node, component): smallest label over the edges' components; labels spread and jump until none changes.
 
-    Each round is written out with a reliable checkpoint where spark.checkpoint.dir is set, and cached otherwise.
+    Each round is written to the shared folder.
     """
     both = edges.select(F.col(a).alias("x"), F.col(b).alias("y")).unionByName(edges.select(F.col(b).alias("x"), F.col(a).alias("y"))).distinct()
-    context, folder = both.sparkSession.sparkContext, both.sparkSession.conf.get("spark.checkpoint.dir", None)
-    if folder and context.getCheckpointDir() is None:
-        context.setCheckpointDir(folder)
-    cut = (lambda df: df.checkpoint()) if folder else (lambda df: df.cache())
+    cut = written
     both = cut(both)
     labels = cut(both.groupBy("x").agg(F.least(F.min("y"), F.first("x")).alias("label")))
     for _ in range(rounds):
@@ -147,10 +151,62 @@ def assign(vectors: DataFrame, key: str, vec: str, centres: DataFrame, group: st
     return vectors.select(key, best.alias("b")).select(key, F.col("b.g").alias(group), F.col("b.s").alias("score"))
 
 
+def _best_of(keys: np.ndarray, groups: list, vectors: np.ndarray) -> Callable:
+    names, number = np.unique(np.array(groups, dtype=object).astype(str), return_inverse=True)
+    first = [groups[int(np.flatnonzero(number == k)[0])] for k in range(len(names))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                v, out = _matrix(batch.column(1)), np.full((len(names), batch.num_rows), -np.inf)
+                for i, g in enumerate(number.tolist()):
+                    np.maximum(out[g], (v * vectors[i]).sum(axis=1), out=out[g])
+                for k, g in enumerate(first):
+                    yield pa.record_batch({"grp": pa.array([str(g)] * batch.num_rows), "id": batch.column(0), "score": pa.array(out[k])})
+
+    return run
+
+
 def best_anchor(vectors: DataFrame, key: str, vec: str, anchors: DataFrame, anchor_key: str, group: str, k: int, excluded: DataFrame | None = None) -> DataFrame:
-    """(group, key, score, rank): rows by their best similarity to any anchor of a group, excluded ones left out."""
-    asked = anchors.select(F.col(anchor_key).cast("long"), F.col(vec))
-    hits = search(vectors if excluded is None else vectors.join(excluded, key, "left_anti"), key, vec, asked, 10**6, own=True)
-    named = hits.join(F.broadcast(anchors.select(F.col(anchor_key).cast("long").alias("query"), group).limit(MAX_QUERIES)), "query")
-    best = named.groupBy(group, F.col("id").alias(key)).agg(F.max("score").alias("score"))
+    """(group, key, score, rank): the k rows nearest to each group, by their best similarity to any of its anchors,
+    excluded rows left out. Anchors are a set of at most MAX_QUERIES; it is checked. A row is reduced to its best score
+    of each group where it is scanned, and a group's best rows to k before they are shuffled."""
+    asked = anchors.select(F.col(anchor_key).cast("long"), F.col(vec), group).limit(MAX_QUERIES + 1).toArrow()
+    if asked.num_rows > MAX_QUERIES:
+        raise ValueError("too many anchors for one scan")
+    kind = dict(anchors.dtypes)[group]
+    rows = vectors if excluded is None else vectors.join(excluded, key, "left_anti")
+    if not asked.num_rows:
+        return rows.sparkSession.createDataFrame([], f"{group} {kind}, {key} long, score double, rank int")
+    run = _best_of(asked.column(0).to_numpy(), asked.column(2).to_pylist(), _matrix(asked.column(1).combine_chunks()))
+    best = rows.select(F.col(key).cast("long"), F.col(vec)).mapInArrow(run, "grp string, id long, score double")
+    best = best.select(F.col("grp").cast(kind).alias(group), F.col("id").alias(key), "score")
     return best.withColumn("rank", F.row_number().over(W.partitionBy(group).orderBy(F.desc("score"), key))).where(F.col("rank") <= k)
+
+
+def cluster_table(members: DataFrame, cluster: str, key: str, vec: str, asset: str, ts: str, least: int = 2, shown: int = 4) -> tuple[DataFrame, DataFrame]:
+    """Clusters of at least `least` members: (cluster, size, assets, days, first, last, centroid, shown: the members
+    nearest to the centroid), and (key, cluster, cos) of their members. Days are of UTC; unknown times count for none."""
+    big = members.groupBy(cluster).agg(F.count("*").alias("__n")).where(F.col("__n") >= least).drop("__n")
+    rows = members.join(big, cluster)
+    centre = centroids(rows, cluster, vec, unit=False).select(cluster, "centroid")
+    near = rows.join(centre, cluster).select(key, cluster, S.dot(F.col(vec), F.col("centroid")).alias("cos"))
+    best = near.withColumn("__r", F.row_number().over(W.partitionBy(cluster).orderBy(F.desc("cos"), key))).where(F.col("__r") <= shown)
+    best = best.groupBy(cluster).agg(F.transform(F.array_sort(F.collect_list(F.struct("__r", F.col(key).alias("k")))), lambda x: x["k"]).alias("shown"))
+    day = F.to_date(F.timestamp_seconds(F.floor(F.col(ts) / 86_400) * 86_400))
+    facts = rows.groupBy(cluster).agg(F.count("*").alias("size"), F.count_distinct(asset).alias("assets"), F.count_distinct(F.floor(F.col(ts) / 86_400)).alias("days"), F.min(day).alias("first"), F.max(day).alias("last"))
+    return facts.join(centre, cluster).join(best, cluster), near
+
+
+def nearest_person(members: DataFrame, cluster: str, key: str, vec: str, cos: str, persons: DataFrame, person: str, sample: int = 60, sure: float = 0.45) -> DataFrame:
+    """(cluster, person, score, confident): the person whose centroid is nearest to the mean of the members nearest to
+    each cluster's own; the score goes with it, as the nearest person is often no match."""
+    first = members.withColumn("__r", F.row_number().over(W.partitionBy(cluster).orderBy(F.desc(cos), key))).where(F.col("__r") <= sample)
+    means = centroids(first, cluster, vec, unit=False).select(cluster, "centroid")
+    found = assign(means, cluster, "centroid", persons, person)
+    return found.select(cluster, person, "score", (F.col("score") >= sure).alias("confident"))
+
+
+def uncertain(score: Column, low: float = 0.5, high: float = 0.6) -> Column:
+    """Whether a similarity is in the band that is neither a match nor none."""
+    return (score >= low) & (score < high)

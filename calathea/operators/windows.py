@@ -47,12 +47,27 @@ def runs(rows: DataFrame, group: Sequence[str], order: Sequence[str], value: str
     return rows.withColumn(name, F.sum(new).over(w.rowsBetween(W.unboundedPreceding, 0)))
 
 
-def ranged(rows: DataFrame, column: str, parts: int = 64, name: str = "__range", like: DataFrame | None = None) -> DataFrame:
-    """Numbers about equal ranges of a numeric column, in its order; nulls come first. The bounds are approximate
-    quantiles (of `like`, if given), so they change how rows are dealt, never a result that adds up over ranges."""
-    bounds = (rows if like is None else like).select(F.percentile_approx(F.col(column).cast("double"), [k / parts for k in range(1, parts)], 1000)).first()[0] or []
-    below = F.size(F.filter(F.array(*map(F.lit, sorted(set(bounds)))), lambda b: b < F.col(column).cast("double"))) + 1 if bounds else F.lit(1)
-    return rows.withColumn(name, F.when(F.col(column).isNull(), 0).otherwise(below))
+RANGE_ROWS, LEAST_RANGES, MOST_RANGES = 5_000_000, 64, 4_096
+
+
+def ranged(rows: DataFrame, column: str, name: str = "__range", like: DataFrame | None = None) -> DataFrame:
+    """Numbers ranges of a numeric column, in its order, of about RANGE_ROWS rows, LEAST_RANGES at least and MOST_RANGES at
+    most; nulls come first. The bounds are approximate quantiles (of `like`, if given), so they change how rows are
+    dealt, never a result that adds up over ranges."""
+    value = F.col(column).cast("double")
+    steps = [k / MOST_RANGES for k in range(1, MOST_RANGES)]
+    n, bounds = (rows if like is None else like).agg(F.count("*"), F.percentile_approx(value, steps, 10 * MOST_RANGES)).first()
+    parts = min(MOST_RANGES, max(LEAST_RANGES, n // RANGE_ROWS))
+    bounds = sorted(set((bounds or [])[:: max(1, MOST_RANGES // parts)]))
+    below = lambda xs: F.size(F.filter(xs, lambda b: b < value))
+    array = lambda xs: F.array(*map(F.lit, xs)) if xs else F.array().cast("array<double>")
+    # two steps, so that a row is compared with twice the root of the bounds
+    width = max(1, round(len(bounds) ** 0.5))
+    groups = [bounds[k : k + width] for k in range(0, len(bounds), width)]
+    coarse = below(array([g[-1] for g in groups]))
+    fine = below(F.get(F.array(*map(array, groups)), coarse)) if groups else F.lit(0)
+    at = F.when(coarse < len(groups), coarse * width + fine).otherwise(F.lit(len(bounds))) + 1
+    return rows.withColumn(name, F.when(F.col(column).isNull(), 0).otherwise(at))
 
 
 def _before(ranges: DataFrame, amount: Column) -> DataFrame:

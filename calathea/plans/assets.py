@@ -30,10 +30,10 @@ def screenshot_documents(t: Tables) -> DataFrame:
     return assets.screenshots_or_documents(labels, items, "id", "kind")
 
 
-@query("""WITH c AS (SELECT o_orderkey AS still, o_totalprice AS still_size FROM orders WHERE o_orderstatus = 'F' AND o_orderkey % 50 = 0)
+@query("""WITH c AS (SELECT o_orderkey AS still, o_totalprice AS still_size FROM orders WHERE o_orderstatus = 'F')
 SELECT still, still_size, still AS id, 'still' AS role FROM c UNION ALL SELECT still, still_size, l_partkey, 'live_motion' FROM c JOIN lineitem ON l_orderkey = still WHERE l_linenumber = 1""")
 def export_manifest(t: Tables) -> DataFrame:
-    cut = t.orders.where("o_orderstatus = 'F' and o_orderkey % 50 = 0").select(F.col("o_orderkey").alias("key"), F.col("o_totalprice").alias("size"))
+    cut = t.orders.where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("key"), F.col("o_totalprice").alias("size"))
     clips = t.lineitem.where("l_linenumber = 1").select(F.col("l_orderkey").alias("a"), F.col("l_partkey").alias("b"))
     return assets.manifest(cut, clips, "key", "size", "a", "b")
 

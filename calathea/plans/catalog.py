@@ -192,9 +192,9 @@ def resume_work_list(t: Tables) -> DataFrame:
 
 
 @query(r"""
-SELECT doc_id, trim(regexp_replace(lower(regexp_replace(replace(text, '_', ' '), '[!"#$%&''()*+,\-./:;<=>?@\[\\\]^`{|}~]', '', 'g')), '[ \t\n\x0B\f\r]+', ' ', 'g')) AS canon FROM documents WHERE lang = 'en'""")
+SELECT doc_id, trim(regexp_replace(lower(regexp_replace(replace(text, '_', ' '), '[!"#$%&''()*+,\-./:;<=>?@\[\\\]^`{|}~]', '', 'g')), '[ \t\n\x0B\f\r]+', ' ', 'g')) AS canon FROM documents""")
 def text_canonical(t: Tables) -> DataFrame:
-    return t.documents.where("lang = 'en'").select("doc_id", S.canonical_text(F.col("text")).alias("canon"))
+    return t.documents.select("doc_id", S.canonical_text(F.col("text")).alias("canon"))
 
 
 @query("""

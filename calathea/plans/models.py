@@ -22,9 +22,9 @@ def _scored(t: Tables) -> DataFrame:
 
 
 @query(f"""SELECT query, id, round(s, 9) AS score, CAST(r AS INTEGER) AS rank FROM (SELECT q.vec_id AS query, v.vec_id AS id, {_DOT.format(a='q.embedding', b='v.embedding')} AS s,
-row_number() OVER (PARTITION BY q.vec_id ORDER BY {_DOT.format(a='q.embedding', b='v.embedding')} DESC, v.vec_id) AS r FROM embeddings q JOIN embeddings v ON q.vec_id <> v.vec_id WHERE q.vec_id % 50 = 0) WHERE r <= 10""")
+row_number() OVER (PARTITION BY q.vec_id ORDER BY {_DOT.format(a='q.embedding', b='v.embedding')} DESC, v.vec_id) AS r FROM embeddings q JOIN embeddings v ON q.vec_id <> v.vec_id WHERE q.vec_id % 20 = 0) WHERE r <= 10""")
 def knn_topk(t: Tables) -> DataFrame:
-    few = t.embeddings.where("vec_id % 50 = 0").select("vec_id", "embedding")
+    few = t.embeddings.where("vec_id % 20 = 0").select("vec_id", "embedding")
     return vectors.search(t.embeddings, "vec_id", "embedding", few, 10).select("query", "id", F.round("score", 9).alias("score"), "rank")
 
 

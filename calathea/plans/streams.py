@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import greedy
+from ..operators.durable import folder
 from ..registry import Tables, query
 from ..streaming import streams
 
@@ -19,9 +17,7 @@ def _events(t: Tables) -> DataFrame:
 
 
 def _drained(t: Tables, stream: DataFrame, mode: str) -> DataFrame:
-    base = t.spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp()
-    name = f"s{uuid.uuid4().hex}"
-    return streams.drain(stream, name, f"{base}/streams/{name}", mode)
+    return streams.drain(stream, "drained", folder(t.spark, "streams"), mode)
 
 
 @query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round(count(*) / 3600.0, 9) AS rate FROM events GROUP BY 1, 2")

@@ -2,6 +2,13 @@
 
 from __future__ import annotations
 
+import csv
+import io
+import json
+import posixpath
+import tarfile
+import time
+import uuid
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -32,11 +39,19 @@ def csv_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
         return spark.createDataFrame([], schema)
 
 
-def csv_after_junk(spark: SparkSession, path: str, columns: Sequence[str], key_pattern: str) -> DataFrame:
-    """Rows of a CSV whose first field looks like a key, whatever stands before or between; columns are text."""
-    lines = spark.read.text(path).where(F.col("value").rlike(f"^{key_pattern},"))
+def csv_after_junk(spark: SparkSession, path: str, needed: Sequence[str], key_pattern: str, first: str = "uuid") -> DataFrame:
+    """The rows of CSV files that have other text before their header: the header is the first line that begins with
+    the column `first`, and rows are the lines after it whose first field looks like a key. All columns are text; it is
+    an error if a needed one is missing."""
+    lines = spark.read.text(path)
+    headers = lines.where(F.col("value").startswith(f"{first},")).select(F.col("value")).distinct().limit(2).collect()
+    if len(headers) != 1:
+        raise ValueError(f"{path}: {len(headers) or 'no'} header lines that begin with {first}")
+    columns = next(csv.reader([headers[0].value]))
+    if missing := [c for c in needed if c not in columns]:
+        raise ValueError(f"{path}: no column {', '.join(missing)}")
     fields = F.from_csv("value", F.lit(", ".join(f"`{c}` string" for c in columns)), {"mode": "PERMISSIVE"})
-    return lines.select(fields.alias("r")).select("r.*")
+    return lines.where(F.col("value").rlike(f"^{key_pattern},")).select(fields.alias("r")).select("r.*")
 
 
 def jsonl(spark: SparkSession, path: str, schema: str, required: str) -> DataFrame:
@@ -47,17 +62,28 @@ def jsonl(spark: SparkSession, path: str, schema: str, required: str) -> DataFra
 _PAIRS = T.ArrayType(T.StructType([T.StructField("id", T.LongType()), T.StructField("score", T.DoubleType())]))
 
 
-@F.pandas_udf(_PAIRS)
-def unpack_scores(ids, scores):  # noqa: ANN001, ANN201
-    """Packed little-endian uint32 ids and float16 scores, paired; the longer one's rest goes."""
-    import pandas as pd
+def _flat(column: pa.Array, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """(all numbers of packed cells, how many whole ones each cell has); null cells have none."""
+    cells = column.cast(pa.large_binary()).fill_null(b"")
+    _, offsets, data = cells.buffers()
+    at = np.frombuffer(offsets, np.int64)[cells.offset : cells.offset + len(cells) + 1]
+    size = np.dtype(kind).itemsize
+    counts = np.diff(at) // size
+    raw = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+    step = np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts)
+    start = np.repeat(at[:-1], counts) + step * size
+    return np.ascontiguousarray(raw[start[:, None] + np.arange(size)]).view(kind).ravel() if len(start) else np.zeros(0, kind), counts
 
-    def one(a, b):
-        x = np.frombuffer(a or b"", "<u4", (len(a or b"") // 4))
-        y = np.frombuffer(b or b"", "<f2", (len(b or b"") // 2))
-        return [{"id": int(i), "score": float(s)} for i, s in zip(x, y, strict=False)]
 
-    return pd.Series([one(a, b) for a, b in zip(ids, scores, strict=True)])
+@F.arrow_udf(_PAIRS)
+def unpack_scores(ids: pa.Array, scores: pa.Array) -> pa.Array:
+    """Packed little-endian uint32 ids and float16 scores, paired; the longer one's rest goes."""
+    (i, ni), (x, nx) = _flat(ids, "<u4"), _flat(scores, "<f2")
+    n = np.minimum(ni, nx)
+    step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+    take = lambda values, counts: values[np.repeat(np.cumsum(counts) - counts, n) + step]
+    pairs = pa.StructArray.from_arrays([pa.array(take(i, ni).astype(np.int64)), pa.array(take(x, nx).astype(np.float64))], names=["id", "score"])
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pairs)
 
 
 def packed_labels(items: DataFrame, key: str, ids: str, scores: str, lexicon: DataFrame) -> DataFrame:
@@ -91,9 +117,70 @@ def vector_shards(spark: SparkSession, path: str, provenance: dict[str, str]) ->
     return raw.mapInArrow(_shards(provenance), "path string, asset_id long, embedding array<float>, det_score float")
 
 
-def write_csv(rows: DataFrame, path: str, overwrite: bool = True) -> None:
-    """A CSV with a header; one file, as manifests are short. Without `overwrite` an existing one is an error."""
-    rows.coalesce(1).write.mode("overwrite" if overwrite else "errorifexists").option("header", True).csv(path)
+def write_csv(rows: DataFrame, path: str, overwrite: bool = True, most: int = 5_000_000) -> None:
+    """A CSV with a header; one file up to `most` rows, as people read manifests, and beyond that parts of so many.
+    Without `overwrite` an existing one is an error."""
+    out = rows.coalesce(1) if rows.limit(most + 1).count() <= most else rows.repartition(max(2, -(-rows.count() // most)))
+    out.write.mode("overwrite" if overwrite else "errorifexists").option("header", True).csv(path)
+
+
+def write_jsonl(rows: DataFrame, path: str, overwrite: bool = False) -> None:
+    """JSON lines, nulls left out; each partition writes its rows as they come."""
+    rows.write.mode("overwrite" if overwrite else "errorifexists").json(path)
+
+
+def bundle(spark: SparkSession, path: str, schema: str, required: str, name: str = "records.jsonl", index: str = "index.sqlite") -> tuple[DataFrame, str | None, dict]:
+    """(records, path of the search index or None, manifest) of a bundle: a folder, or a .tgz of one, which is unpacked
+    beside it in the same store. The manifest may name the index; records without `required` go."""
+    fs, hadoop = _store(spark, path)
+    folder = path.rstrip("/")
+    if not fs.getFileStatus(hadoop(path)).isDirectory():
+        folder = f"{folder}.unpacked-{uuid.uuid4().hex[:8]}"
+        _unpack(spark, path, folder)
+    manifest = {}
+    if fs.exists(hadoop(f"{folder}/manifest.json")):
+        manifest = json.loads(bytes(spark.read.format("binaryFile").load(f"{folder}/manifest.json").first().content))
+    if not fs.exists(hadoop(f"{folder}/{name}")):
+        raise ValueError(f"{path}: no {name}")
+    other = f"{folder}/{(manifest.get('search_index') or {}).get('filename') or index}"
+    return jsonl(spark, f"{folder}/{name}", schema, required), other if fs.exists(hadoop(other)) else None, manifest
+
+
+def _store(spark: SparkSession, path: str):  # noqa: ANN202
+    """(file system of a path, function from a path to the file system's)."""
+    jvm = spark.sparkContext._jvm
+    hadoop = jvm.org.apache.hadoop.fs.Path
+    return hadoop(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), hadoop
+
+
+def _unpack(spark: SparkSession, path: str, folder: str) -> None:
+    """The plain files of a .tgz, a bundle's few, as files of a folder; names that lead out of it are an error."""
+    fs, hadoop = _store(spark, path)
+    raw = bytes(spark.read.format("binaryFile").load(path).first().content)
+    with tarfile.open(fileobj=io.BytesIO(raw)) as t:
+        for member in t:
+            name = posixpath.normpath(member.name)
+            if name.startswith(("/", "..")):
+                raise ValueError(f"{path}: unsafe name {member.name}")
+            if member.isfile():
+                out = fs.create(hadoop(f"{folder}/{name}"))
+                source = t.extractfile(member)
+                while block := source.read(1 << 20):
+                    out.write(bytearray(block))
+                out.close()
+
+
+class CachedCount:
+    """How many files a folder has, counted at most once in so many seconds; their contents aren't read."""
+
+    def __init__(self, spark: SparkSession, path: str, seconds: float = 600):
+        self.spark, self.path, self.seconds = spark, path, seconds
+        self.value, self.at = None, 0.0
+
+    def get(self) -> int:
+        if self.value is None or time.monotonic() - self.at > self.seconds:
+            self.value, self.at = files(self.spark, self.path).select("path").count(), time.monotonic()
+        return self.value
 
 
 def append_processed(rows: DataFrame, keys: DataFrame, path: str, manifest: str) -> None:
@@ -103,12 +190,60 @@ def append_processed(rows: DataFrame, keys: DataFrame, path: str, manifest: str)
 
 
 def snapshot(tables: dict[str, DataFrame], path: str) -> DataFrame:
-    """Copies of tables below a folder, and their manifest (name, rows, checksum)."""
+    """Copies of tables below a folder, and their manifest (name, rows, checksum, sha256: of the files' digests in order
+    of names), which is written as `manifest` beside them."""
     spark = next(iter(tables.values())).sparkSession
     found = []
     for name, rows in tables.items():
         rows.write.mode("errorifexists").parquet(f"{path}/{name}")
         copy = spark.read.parquet(f"{path}/{name}")
         r = copy.agg(F.count("*").alias("n"), F.sum(F.xxhash64(*copy.columns).cast("decimal(38,0)")).alias("c")).first()
-        found.append((name, r.n, str(r.c)))
-    return spark.createDataFrame(found, "name string, rows long, checksum string")
+        found.append((name, r.n, str(r.c), _digest(spark, f"{path}/{name}")))
+    out = spark.createDataFrame(found, "name string, rows long, checksum string, sha256 string")
+    out.write.json(f"{path}/manifest")
+    return out
+
+
+def _digest(spark: SparkSession, path: str) -> str:
+    raw = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(path)
+    own = raw.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.sha2("content", 256).alias("digest"))
+    return own.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("name", "digest"))), lambda x: x["digest"]), ""), 256)).first()[0]
+
+
+def intact(spark: SparkSession, path: str) -> DataFrame:
+    """(name, intact) of a snapshot's tables: whether their files are those of its manifest."""
+    rows = spark.read.json(f"{path}/manifest").select("name", "sha256").collect()
+    return spark.createDataFrame([(r.name, _digest(spark, f"{path}/{r.name}") == r.sha256) for r in rows], "name string, intact boolean")
+
+
+def retain(spark: SparkSession, path: str, keep: int) -> list[str]:
+    """Delete all but the `keep` last folders of a place, by name (snapshots are named by time); returns those deleted."""
+    fs, hadoop = _store(spark, path)
+    names = sorted(x.getPath().getName() for x in fs.listStatus(hadoop(path)) if x.isDirectory())
+    gone = names[: max(0, len(names) - keep)]
+    for name in gone:
+        fs.delete(hadoop(f"{path.rstrip('/')}/{name}"), True)
+    return gone
+
+
+def mirror(spark: SparkSession, source: str, target: str, days: float, now: float) -> list[str]:
+    """Copy a snapshot below the target if its files are intact there, then delete the target's folders that are older
+    than so many days; returns those deleted. The copy just made stays, whatever its age."""
+    fs, hadoop = _store(spark, target)
+    name = hadoop(source).getName()
+    part, final = hadoop(f"{target.rstrip('/')}/.{name}.part"), hadoop(f"{target.rstrip('/')}/{name}")
+    fs.delete(part, True)
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    spark.sparkContext._jvm.org.apache.hadoop.fs.FileUtil.copy(_store(spark, source)[0], hadoop(source), fs, part, False, conf)
+    if not all(r.intact for r in intact(spark, part.toString()).collect()):
+        raise ValueError(f"the copy of {source} differs from its manifest")
+    fs.delete(final, True)
+    if not fs.rename(part, final):
+        raise OSError(f"{target}: cannot rename the copy")
+    gone = []
+    for x in fs.listStatus(hadoop(target)):
+        own = x.getPath().getName()
+        if x.isDirectory() and own != name and not own.startswith(".") and x.getModificationTime() / 1000 < now - days * 86_400:
+            fs.delete(x.getPath(), True)
+            gone.append(own)
+    return sorted(gone)

@@ -55,10 +55,15 @@ def throttle(readings: DataFrame, machine: str, order: str, temperature: str, ma
 
 
 def drain(stream: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
-    """Run a stream over what is there now and give its rows from a table in memory; for tests and small reports."""
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return stream.sparkSession.table(name)
+    """Run a stream over what is there now and give its rows, from a table beside its checkpoint: of a stream in complete
+    mode the last state, in append mode all batches. A batch that is run again overwrites its own rows."""
+    path = f"{checkpoint}-{name}-rows"
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(path if mode == "complete" else f"{path}/batch={number}")
+
+    stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(path)
 
 
 def upsert_batches(stream: DataFrame, path: str, key: str, order: str, checkpoint: str) -> None:

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from calathea.operators import evaluation, geo, greedy, matching, monitor, mutation, rollups, sets, vectors, windows
+from calathea.operators import assets, evaluation, geo, greedy, maps, matching, monitor, mutation, rollups, sets, vectors, windows
 
 
 def rows(df):
@@ -233,3 +233,79 @@ def test_throttle_table(spark):
 def test_one_to_one(spark):
     df = spark.createDataFrame([(0, 1, 10, 5, 1), (0, 1, 11, 9, 1), (0, 2, 10, 1, 2), (0, 2, 11, 7, 2)], "g int, a int, b int, cost int, o int")
     assert rows(greedy.one_to_one(df, "g", "a", "b", "cost", "o")) == [(1, 10, 5), (2, 11, 7)]
+
+
+def test_ranges_are_in_order(spark, monkeypatch):
+    monkeypatch.setattr(windows, "RANGE_ROWS", 7)
+    df = spark.createDataFrame([(float(i * i % 997),) for i in range(2000)] + [(None,)] + [(5.0,)] * 300, "x double")
+    found = windows.ranged(df, "x").groupBy("__range").agg(F.min("x").alias("a"), F.max("x").alias("b"), F.count("*").alias("n")).orderBy("__range").collect()
+    assert found[0].a is None and all(p.b < q.a for p, q in zip(found[1:], found[2:], strict=False)) and 100 < len(found) < 400
+    assert sorted(r.rn for r in windows.numbered(df.withColumn("t", F.monotonically_increasing_id()), "x", "t").collect()) == list(range(1, 2302))
+
+
+def test_nearest_place_across_the_meridian(spark):
+    points = spark.createDataFrame([(1, 0.0, 179.9), (2, 10.0, -179.8), (3, 0.0, 0.0)], "k int, lat double, lon double")
+    places = spark.createDataFrame([(1, 0.0, 179.5), (2, 0.0, -179.95), (3, 10.0, 179.9), (4, 60.0, 100.0)], "p int, lat double, lon double")
+    found = {r.k: (r.p, round(r.km, 1)) for r in geo.nearest_place(points, "k", places, "p").collect()}
+    assert found[1] == (2, 16.7) and found[2][0] == 3 and found[3][0] == 4
+
+
+def test_residences(spark):
+    homes = spark.createDataFrame([("2020-01", "2020-12", 0.0, 0.0, 40.0, ["Old"]), ("2022-01", None, 0.0, 1.0, 40.0, ["New"]), ("2019-01", "2019-02", None, None, 40.0, ["Attic"])], "start string, end string, lat double, lon double, radius_km double, areas array<string>")
+    points = spark.createDataFrame([(1, "2020-05", 0.0, 0.1, "x"), (2, "2020-05", 5.0, 0.0, "Old"), (3, "2021-11", 0.0, 1.0, "x"), (4, "2021-02", 0.0, 0.0, "x"), (5, None, 0.0, 0.5, "x"), (6, "2019-01", 0.0, 0.0, "Attic"), (7, "2023-01", 0.0, 0.0, "New")], "k int, ym string, lat double, lon double, title string")
+    found = {r.k: (r.home, round(r.dist)) for r in maps.residence(points, "k", homes).collect()}
+    assert found == {1: (True, 11), 2: (True, 556), 3: (False, 0), 4: (False, 0), 5: (False, 56), 6: (True, 0), 7: (True, 111)}
+    assert {r.dist for r in maps.residence(points, "k", homes.limit(0)).collect()} == {0.0}
+
+
+def test_anchors_live_first(spark):
+    rows_ = [(g, k, k % 10 < live) for g, n, live in ((1, 1000, 1), (2, 50, 2), (3, 900, 5)) for k in range(n)]
+    df = spark.createDataFrame(rows_, "g int, k int, live boolean")
+    got = {}
+    for r in assets.anchors(df, ["g"], "k", "live", 300).collect():
+        got.setdefault(r.g, set()).add(r.k)
+    live = {g: sorted(k for h, k, a in rows_ if h == g and a) for g in (1, 2, 3)}
+    assert len(got[1]) == 300 and set(live[1]) <= got[1] and {1, 999} <= got[1]
+    assert len(got[2]) == 50 and got[3] == set(live[3][:300])
+
+
+def test_a_broken_publish_is_put_right(spark, tmp_path):
+    path = f"file://{tmp_path}/t"
+    mutation.publish(spark.range(3), path)
+    (tmp_path / "t").rename(tmp_path / "t.old")  # a run that ended between its two moves
+    with pytest.raises(ValueError, match="0 rows"):
+        mutation.publish(spark.range(0), path)
+    assert spark.read.parquet(path).count() == 3
+    assert mutation.publish(spark.range(5), path, keep=f"file://{tmp_path}/k") == 5
+    assert spark.read.parquet(path).count() == 5 and spark.read.parquet(f"file://{tmp_path}/k").count() == 3 and not (tmp_path / "t.old").exists()
+
+
+def test_claims_and_dismissals(spark):
+    clusters = spark.createDataFrame([(1, "ann", False), (2, None, None), (3, None, True)], "cluster int, person string, dismissed boolean")
+    claims = spark.createDataFrame([(1, "bob"), (2, "dan"), (2, "cleo")], "cluster int, person string")
+    assert {r.cluster: r.person for r in mutation.claimed(clusters, claims).collect()} == {1: "ann", 2: "cleo", 3: None}
+    assert {r.cluster: r.dismissed for r in mutation.dismissed(clusters, claims.where("cluster = 1")).collect()} == {1: True, 2: False, 3: True}
+
+
+def test_views_in_order(spark):
+    df = spark.createDataFrame([(1, 5, None), (2, None, 0.5), (3, 4, 0.9)], "id int, ts int, score double")
+    ids = lambda x: [r.id for r in x.collect()]
+    assert ids(assets.by_day(df, "ts", "id")) == [2, 3, 1] and ids(assets.worst_first(df, "score", "ts", "id")) == [2, 3, 1] and ids(assets.newest(df, "id", 2)) == [3, 2]
+
+
+def test_search_in_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(0)
+    v = rng.normal(size=(60, 8))
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id long, v array<double>")
+    whole = rows(vectors.search(df, "id", "v", df, 3))
+    monkeypatch.setattr(vectors, "MAX_QUERIES", 9)
+    assert rows(vectors.search(df, "id", "v", df, 3)) == whole and len(whole) == 180
+    with pytest.raises(ValueError, match="too many anchors"):
+        vectors.best_anchor(df, "id", "v", df.withColumn("g", F.lit("a")), "id", "g", 2)
+
+
+def test_best_anchor_keeps_all_groups(spark):
+    df = spark.createDataFrame([(i, [float(i == j) for j in range(4)]) for i in range(4)] + [(9, [0.6, 0.8, 0.0, 0.0])], "id long, v array<double>")
+    marks = spark.createDataFrame([(i, [float(i == j) for j in range(4)], 7 + (i == 2)) for i in range(3)], "id long, v array<double>, g int")
+    found = {(r.g, r.rank): (r.id, round(r.score, 6)) for r in vectors.best_anchor(df, "id", "v", marks, "id", "g", 2, marks.select("id").where("id < 2")).collect()}
+    assert found == {(7, 1): (9, 0.8), (7, 2): (2, 0.0), (8, 1): (2, 1.0), (8, 2): (3, 0.0)}

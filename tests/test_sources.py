@@ -7,8 +7,10 @@ from calathea.sources import readers
 def test_csv_sources(spark, tmp_path):
     assert readers.csv_or_empty(spark, f"file://{tmp_path}/none.csv", "a int").count() == 0
     (tmp_path / "x.csv").write_text("junk\nuuid,name\n0a1b2c3d-0000,one\nnot a row\n0a1b2c3e-0000,two\n")
-    found = readers.csv_after_junk(spark, f"file://{tmp_path}/x.csv", ["uuid", "name"], "[0-9a-f]{8}-[0-9a-f]{4}")
+    found = readers.csv_after_junk(spark, f"file://{tmp_path}/x.csv", ["name"], "[0-9a-f]{8}-[0-9a-f]{4}")
     assert [r.name for r in found.orderBy("name").collect()] == ["one", "two"]
+    with pytest.raises(ValueError, match="no column date"):
+        readers.csv_after_junk(spark, f"file://{tmp_path}/x.csv", ["date"], "[0-9a-f]{8}-")
 
 
 def test_jsonl_drops_bad_lines(spark, tmp_path):
@@ -38,3 +40,51 @@ def test_shards_check_provenance(spark, tmp_path):
     assert readers.vector_shards(spark, f"file://{tmp_path}", {"model": "m1"}).count() == 2
     with pytest.raises(Exception, match="not m2"):
         readers.vector_shards(spark, f"file://{tmp_path}", {"model": "m2"}).count()
+
+
+def test_bundles(spark, tmp_path):
+    import json
+    import tarfile
+
+    inner = tmp_path / "b"
+    inner.mkdir()
+    (inner / "records.jsonl").write_text('{"uuid": "a"}\n{"n": 1}\n')
+    (inner / "manifest.json").write_text(json.dumps({"search_index": {"filename": "own.sqlite"}}))
+    (inner / "own.sqlite").write_bytes(b"x")
+    with tarfile.open(tmp_path / "b.tgz", "w:gz") as t:
+        for f in inner.iterdir():
+            t.add(f, f.name)
+    for path in (inner, tmp_path / "b.tgz"):
+        records, index, manifest = readers.bundle(spark, f"file://{path}", "uuid string, n int", "uuid")
+        assert [r.uuid for r in records.collect()] == ["a"] and index.endswith("own.sqlite") and "search_index" in manifest
+    (inner / "records.jsonl").unlink()
+    with pytest.raises(ValueError, match="no records"):
+        readers.bundle(spark, f"file://{inner}", "uuid string", "uuid")
+
+
+def test_snapshots_are_kept_and_mirrored(spark, tmp_path):
+    for day in ("2024-01-01", "2024-01-02", "2024-01-03"):
+        readers.snapshot({"t": spark.range(3), "u": spark.range(2)}, f"file://{tmp_path}/s/{day}")
+    assert all(r.intact for r in readers.intact(spark, f"file://{tmp_path}/s/2024-01-02").collect())
+    (tmp_path / "m" / "2020-01-01").mkdir(parents=True)
+    import os
+
+    os.utime(tmp_path / "m" / "2020-01-01", (0, 0))
+    gone = readers.mirror(spark, f"file://{tmp_path}/s/2024-01-03", f"file://{tmp_path}/m", 30, 10**9)
+    assert gone == ["2020-01-01"] and sorted(os.listdir(tmp_path / "m")) == ["2024-01-03"]
+    assert readers.retain(spark, f"file://{tmp_path}/s", 2) == ["2024-01-01"]
+    part = next((tmp_path / "s" / "2024-01-02" / "t").glob("*.parquet"))
+    part.write_bytes(part.read_bytes()[:-1] + b"x")
+    (tmp_path / "s" / "2024-01-02" / "t" / f".{part.name}.crc").unlink(missing_ok=True)
+    assert {r.name: r.intact for r in readers.intact(spark, f"file://{tmp_path}/s/2024-01-02").collect()} == {"t": False, "u": True}
+
+
+def test_json_lines_and_counts(spark, tmp_path):
+    readers.write_jsonl(spark.range(3), f"file://{tmp_path}/j")
+    assert readers.jsonl(spark, f"file://{tmp_path}/j", "id long", "id").count() == 3
+    readers.write_csv(spark.range(30).repartition(3), f"file://{tmp_path}/c", most=10)
+    assert spark.read.option("header", True).csv(f"file://{tmp_path}/c").count() == 30
+    counted = readers.CachedCount(spark, f"file://{tmp_path}/c", 3600)
+    n = counted.get()
+    (tmp_path / "c" / "more.txt").write_text("x")
+    assert counted.get() == n
