@@ -3,7 +3,8 @@
 Index. The tree is fitted on at most SAMPLE distinct vectors, lifted by one coordinate so that the largest inner
 product is the smallest distance; every row is indexed: each distinct vector descends to a leaf, and keeps the ids of
 its rows. Of equal vectors only the k + 1 smallest ids can be among anyone's k nearest, ties going to the smaller id,
-so no more are carried; that loses nothing. Consecutive leaves make blocks of about BLOCK vectors, a larger leaf several.
+so no more are carried; that loses nothing. Consecutive leaves make blocks of about BLOCK vectors, a larger leaf several;
+a block that more than QUERIES queries visit is worked off in as many parts, each with the block's vectors.
 Search. Each distinct query walks the tree with a priority queue, nearest node first, up to a number of leaves. The
 number is calibrated: for a sample of queries the true neighbours are found by a scan of everything, and leaf visits
 widen until their recall reaches RECALL. Blocks then score their queries against the leaves these visit; scores are
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 from .shared import column, cut
 
 SAMPLE, CALIBRATION, RECALL = 20_000, 256, 0.96
-BRANCH, LEAF, BLOCK = 12, 32, 4_096
+BRANCH, LEAF, BLOCK, QUERIES = 12, 32, 4_096, 4_096
 
 
 @dataclass
@@ -227,6 +228,13 @@ def _score(k: int) -> Callable:
     return run
 
 
+def _some(rows: DataFrame, key: str, seed: int, n: int) -> DataFrame:
+    """n rows by keyed hash, or all if fewer. A bound on the hash keeps all but about twice as many from being sorted."""
+    share = min(1.0, (2 * n + 100) / max(1, rows.count()))
+    drawn = F.shiftrightunsigned(F.xxhash64(key, F.lit(seed)), 11) / F.lit(float(1 << 53))
+    return rows.where(drawn < share).orderBy(drawn, key).limit(n)
+
+
 def search(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", every: int = 20, k: int = 20) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest of each row whose id is divisible by `every`, among all other rows."""
     rows = vectors.select(column(vectors, id_col).cast("long").alias("id"), column(vectors, vec_col).cast("array<double>").alias("vec"))
@@ -244,13 +252,13 @@ def search(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding
     # equal ids with unlike vectors would share a class id: number such classes on by their vectors
     classes = cut(classes.withColumn("cid", F.xxhash64("vec")), "classes")
     lift = classes.agg(F.max(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x))).first()[0] ** 0.5
-    picked = _matrix(classes.orderBy(F.xxhash64("cid", F.lit(1))).limit(SAMPLE).select("vec").toArrow().column("vec").combine_chunks())
+    picked = _matrix(_some(classes, "cid", 1, SAMPLE).select("vec").toArrow().column("vec").combine_chunks())
     tree = build(picked, lift)
     index = cut(classes.select("cid", "vec").mapInArrow(_leaves(tree), "cid long, leaf long, vec array<double>"), "index")
 
     asked = rows.where(F.col("id") % every == 0).select(F.col("id").alias("query_id"), F.xxhash64("vec").alias("q"), "vec")
     distinct = cut(asked.groupBy("q").agg(F.first("vec").alias("vec")), "queries")
-    trial = distinct.orderBy(F.xxhash64("q", F.lit(2))).limit(CALIBRATION).toArrow()
+    trial = _some(distinct, "q", 2, CALIBRATION).toArrow()
     if not trial.num_rows:
         return empty
     names, points = trial.column("q").to_numpy(), _matrix(trial.column("vec").combine_chunks())
@@ -271,18 +279,22 @@ def search(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding
             block, held = block + 1, 0
     table = rows.sparkSession.createDataFrame([(leaf, b[0], len(b)) for leaf, b in block_of.items()], "leaf long, start long, parts int")
     placed = index.join(F.broadcast(table), "leaf").select((F.col("start") + F.pmod("cid", "parts")).alias("block"), "cid", "leaf", "vec", F.lit(None).cast("array<long>").alias("leaves"))
-    walks = distinct.select("q", "vec").mapInArrow(_walks(tree, limit, block_of), "block long, cid long, leaf long, vec array<double>, leaves array<long>")
-    found = placed.unionByName(walks).groupBy("block").applyInArrow(_score(k + 1), _FOUND)
+    walks = cut(distinct.select("q", "vec").mapInArrow(_walks(tree, limit, block_of), "block long, cid long, leaf long, vec array<double>, leaves array<long>"), "walks")
+    shares = walks.groupBy("block").agg(F.ceil(F.count("*") / QUERIES).alias("shares"))
+    placed = placed.join(shares, "block").withColumn("share", F.explode(F.sequence(F.lit(0), (F.col("shares") - 1).cast("int"))))
+    walks = walks.join(shares, "block").withColumn("share", F.pmod("cid", "shares").cast("int"))
+    both = placed.select(walks.columns).unionByName(walks)
+    found = both.groupBy("block", "share").applyInArrow(_score(k + 1), _FOUND)
 
     nearest = W.partitionBy("q").orderBy(F.desc("score"), F.col("ids")[0])
     best = found.select("q", "cid", "score").join(classes.select("cid", "ids"), "cid")
     best = best.withColumn("nth", F.row_number().over(nearest)).where(f"nth <= {k + 1}")
-    spread = best.select("q", "score", F.explode("ids").alias("vec_id"))
+    spread = best.select("q", "score", "cid", F.explode("ids").alias("vec_id"))
     top = spread.withColumn("nth", F.row_number().over(W.partitionBy("q").orderBy(F.desc("score"), "vec_id"))).where(f"nth <= {k + 1}")
-    lists = cut(top.groupBy("q").agg(F.array_sort(F.collect_list(F.struct("nth", "vec_id", "score"))).alias("list")), "lists")
+    lists = cut(top.groupBy("q").agg(F.array_sort(F.collect_list(F.struct("nth", "vec_id", "score", "cid"))).alias("list")), "lists")
     own = asked.select("query_id", "q").join(lists, "q")
-    # the query's own row goes once
-    at = F.array_position(F.transform("list", lambda x: x["vec_id"]), F.col("query_id"))
+    # the query's own row goes once: that of its id among those of its vector
+    at = F.array_position(F.transform("list", lambda x: (x["vec_id"] == F.col("query_id")) & (x["cid"] == F.col("q"))), True)
     others = F.slice(F.filter("list", lambda x, i: (i + 1) != at), 1, k)
     return own.select("query_id", F.posexplode(others).alias("rank", "x")).select("query_id", (F.col("rank") + 1).cast("int").alias("rank"), "x.vec_id", "x.score")
 

@@ -66,6 +66,20 @@ def test_blocks_of_large_leaves(spark, monkeypatch):
     assert recall(spark, [(i, rng.normal(size=6).tolist()) for i in range(600)]) >= 0.9
 
 
+def test_many_queries_of_a_block(spark, monkeypatch):
+    monkeypatch.setattr(ann, "QUERIES", 3)
+    rng = np.random.default_rng(5)
+    assert recall(spark, [(i * 5, rng.normal(size=6).tolist()) for i in range(300)]) >= 0.9
+
+
+def test_own_row_among_equal_ids(spark):
+    """Of two rows of one id, each query leaves out its own and finds the other."""
+    rows = [(20, [1.0, 0.0]), (20, [0.9, 0.1]), (1, [0.5, 0.5])]
+    found = ann.search(frame(spark, rows)).collect()
+    first = [(r.vec_id, round(r.score, 6)) for r in found if r["rank"] == 1]
+    assert sorted(first) == [(20, 0.9), (20, 0.9)] and len(found) == 4
+
+
 def test_tree_visits_every_leaf_once():
     rng = np.random.default_rng(4)
     x = rng.normal(size=(500, 5))
