@@ -41,12 +41,13 @@ from .graph import components
 from .shared import column, cut
 
 FILTER_PART = 8
-BLOCK_POSTINGS = 800_000
+BLOCK_POSTINGS = 500_000
 BLOCK_EDGES = 2_000
 HOT_LEAST, HOT_SHARE = 32, 1_000
 HOT_CHUNK = 100_000
 CHUNK = 2_048
 PAIRS_HELD = 4_000_000
+POSTINGS_HELD = 1_500_000
 BLOBS = "block long, blob binary"
 _U = np.uint64
 
@@ -111,21 +112,30 @@ def _frequent(columns: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _profile(size: int) -> Callable:
-    """Size and signatures of each document's set; rows with n below 0 are columns (s1) that -n sets of a batch have."""
+    """Size and signatures of each document's set; rows with n below 0 are columns (s1) that -n sets of a stretch of
+    documents have."""
+
+    def frequent(cols: list[np.ndarray]) -> pa.RecordBatch:
+        hot, count = _frequent(np.concatenate(cols), HOT_LEAST)
+        zero = np.zeros(len(hot), np.int64)
+        return pa.record_batch([pa.nulls(len(hot), pa.int64()), pa.array(-count), pa.array(hot.view(np.int64)), pa.array(zero)], names=["doc_id", "n", "s1", "s2"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts, cols, seen = [], [], set()
+            parts, cols, held, seen = [], [], 0, set()
             for g in wd.groups(batch.column(1), lower=True):
                 d, h = shingle_sets(g, size)
                 parts.append(_signature(d, h, g.docs))
                 cols.append(wd.mix(h[_distinct(parts[-1][1], seen)[d]]))
+                held += len(cols[-1])
+                if held > POSTINGS_HELD:
+                    yield frequent(cols)
+                    cols, held = [], 0
             if parts:
                 n, s1, s2 = (np.concatenate(x) for x in zip(*parts, strict=True))
-                hot, count = _frequent(np.concatenate(cols), HOT_LEAST)
                 yield pa.record_batch([batch.column(0), pa.array(n), pa.array(s1), pa.array(s2)], names=["doc_id", "n", "s1", "s2"])
-                zero = np.zeros(len(hot), np.int64)
-                yield pa.record_batch([pa.nulls(len(hot), pa.int64()), pa.array(-count), pa.array(hot.view(np.int64)), pa.array(zero)], names=["doc_id", "n", "s1", "s2"])
+            if cols:
+                yield frequent(cols)
 
     return run
 
@@ -150,9 +160,21 @@ def _postings(size: int, blocks: int, hot: np.ndarray, num: int, den: int, fille
     """Columns of each distinct set of a batch, dealt into blocks of columns; hot ones past them, into blocks of sets,
     which have numbers below 0. Without a filter of ids, the first columns of each set; with one, all columns of those."""
 
+    def dealt(parts: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
+        tok, doc, sig, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+        common = _among(tok, hot) >= 0
+        out, rare = [], np.flatnonzero(~common)
+        for k, at in _deal(tok[rare], blocks):
+            own, ref = np.unique(doc[rare[at]], return_inverse=True)
+            out.append((k, _pack(tok[rare[at]], ref, sig[own], n[own])))
+        if common.any():
+            tok, doc = tok[common], doc[common]
+            out += [(-1 - k, x) for k, x in _by_sets(tok, sig[doc], n[doc], (1 << 31) + _among(tok, hot), blocks)]
+        yield from _blocks(out).to_batches()
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            toks, docs, sigs, sizes, base, seen = [], [], [], [], 0, set()
+            parts, base, held, seen = [], 0, 0, set()
             texts = batch.column(1) if filled is None else batch.column(1).filter(pa.array(bloom.test(filled, batch.column(0))))
             for g in wd.groups(texts, lower=True):
                 d, h = shingle_sets(g, size)
@@ -163,23 +185,13 @@ def _postings(size: int, blocks: int, hot: np.ndarray, num: int, den: int, fille
                     d, tok, keep = d[order], tok[order], keep[order]
                     place = np.arange(len(d)) - np.searchsorted(d, np.arange(g.docs))[d]
                     keep &= place < (n - common_least(n, num, den) + prefix_least(n))[d]
-                toks.append(tok[keep])
-                docs.append(d[keep] + base)
-                sigs.append(s1)
-                sizes.append(n)
-                base += g.docs
-            if toks:
-                tok, doc, sig, n = (np.concatenate(x) for x in (toks, docs, sigs, sizes))
-                common = _among(tok, hot) >= 0
-                out = []
-                for k, at in _deal(tok[~common], blocks):
-                    at = np.flatnonzero(~common)[at]
-                    own, ref = np.unique(doc[at], return_inverse=True)
-                    out.append((k, _pack(tok[at], ref, sig[own], n[own])))
-                if common.any():
-                    tok, doc = tok[common], doc[common]
-                    out += [(-1 - k, x) for k, x in _by_sets(tok, sig[doc], n[doc], (1 << 31) + _among(tok, hot), blocks)]
-                yield from _blocks(out).to_batches()
+                parts.append((tok[keep], d[keep] + base, s1, n))
+                base, held = base + g.docs, held + len(parts[-1][0])
+                if held > POSTINGS_HELD:
+                    yield from dealt(parts)
+                    parts, base, held = [], 0, 0
+            if parts:
+                yield from dealt(parts)
 
     return run
 

@@ -44,6 +44,7 @@ def test_many_small_blocks(docs, corpus, monkeypatch):
     monkeypatch.setattr(J, "BLOCK_POSTINGS", 200)
     monkeypatch.setattr(J, "BLOCK_EDGES", 3)
     monkeypatch.setattr(J, "CHUNK", 4)
+    monkeypatch.setattr(J, "POSTINGS_HELD", 500)
     monkeypatch.setattr(J, "PAIRS_HELD", 50)
     monkeypatch.setattr(J, "HOT_LEAST", 5)
     monkeypatch.setattr(J, "HOT_CHUNK", 3)
