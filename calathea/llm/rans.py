@@ -4,7 +4,8 @@ Folder: table.rtab, one frequency table that all files share, and part-NNNNN.ran
 A file is independent blocks, then an index and a trailer. A block codes up to BLOCK ids in LANES interleaved
 states of 64 bits, renormalised by 32-bit words; its index entry holds the place, counts, checksums of the words and
 of the ids, and checkpoints (step, word, all states) from which decoding may begin within it. So blocks, and halves
-of blocks, decode in parallel. The index also lists the documents (id, count of ids, whether the id is null).
+of blocks, decode in parallel: a file is read by several tasks, each from a checkpoint on, which give the documents
+that begin in their segments. The index also lists the documents (id, count of ids, whether the id is null).
 
     table:   "RTAB" u32 vocabulary, u32 precision, vocabulary x u32 frequencies, u32 crc32 of all before
     file:    blocks ... index (JSON head and arrays) u64 length of the index, u32 crc32 of the index, "RANS"
@@ -24,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import tokens
@@ -32,7 +34,7 @@ from .shared import column, cut, filesystem, publish
 
 LANES, BLOCK, PRECISION = 2_048, 1 << 19, 20
 LOWEST = 1 << 31
-FILE_IDS = 1 << 22
+FILE_IDS, UNIT_IDS, MOST_TASKS = 1 << 22, 3 << 19, 20_000
 _U = np.uint64
 
 
@@ -87,7 +89,7 @@ class Coder:
         return words, [{"step": t, "word": int(at[t]), "states": saved[t]} for t in sorted(saved)]
 
     def decode(self, words: np.ndarray, count: int, lanes: int, checkpoint: dict) -> np.ndarray:
-        """The ids from a checkpoint to the block's end."""
+        """The ids from a checkpoint up to the count-th of the block, which is its last or the last of a step."""
         x, at, first = checkpoint["states"].astype(_U).copy(), checkpoint["word"], checkpoint["step"]
         out = np.empty(count - first * lanes, np.uint32)
         low, p = _U((1 << self.precision) - 1), _U(self.precision)
@@ -172,33 +174,61 @@ class FileReader:
         arrays = zlib.decompress(index[4 + head :])
         self.docs, self.sizes, self.null = np.frombuffer(arrays, "<i8", n), np.frombuffer(arrays, "<i8", n, 8 * n), np.frombuffer(arrays, np.uint8, n, 16 * n)
 
-    def block(self, k: int, checkpoint: int = 0) -> np.ndarray:
-        """Ids of block k from one of its checkpoints on; whole blocks are checked against both checksums."""
-        b = self.blocks[k]
-        self.source.seek(b["at"])
-        raw = self.source.read(b["bytes"])
-        if zlib.crc32(raw) != b["crc"]:
-            raise ValueError(f"damaged block {k}")
+        # segments: (block, its checkpoint, first id in the block, the one after the last)
+        self.segments = []
+        for k, b in enumerate(self.blocks):
+            stops = [step * b["lanes"] for step, _ in b["marks"][1:]] + [b["ids"]]
+            self.segments += [(k, c, b["marks"][c][0] * b["lanes"], stop) for c, stop in enumerate(stops)]
+        self._raw: tuple[int, bytes] = (-1, b"")
+        self._whole: tuple[int, int, int] = (-1, -1, 0)
+
+    def _block(self, k: int) -> bytes:
+        if self._raw[0] != k:
+            b = self.blocks[k]
+            self.source.seek(b["at"])
+            raw = self.source.read(b["bytes"])
+            if zlib.crc32(raw) != b["crc"]:
+                raise ValueError(f"damaged block {k}")
+            self._raw = k, raw
+        return self._raw[1]
+
+    def segment(self, j: int) -> np.ndarray:
+        """Ids of a segment. The words' checksum is checked, and that of a block's ids when all its segments have come."""
+        k, c, start, stop = self.segments[j]
+        b, raw = self.blocks[k], self._block(k)
         lanes, n = b["lanes"], len(b["marks"])
         states = np.frombuffer(raw, "<u8", n * lanes).reshape(n, lanes)
-        step, word = b["marks"][checkpoint]
-        ids = self.coder.decode(np.frombuffer(raw, "<u4", offset=8 * n * lanes), b["ids"], lanes, {"step": step, "word": word, "states": states[checkpoint]})
-        if not checkpoint and zlib.crc32(ids.astype("<u4").tobytes()) != b["ids_crc"]:
-            raise ValueError(f"block {k} decodes to other ids")
+        step, word = b["marks"][c]
+        ids = self.coder.decode(np.frombuffer(raw, "<u4", offset=8 * n * lanes), stop, lanes, {"step": step, "word": word, "states": states[c]})
+        block, last, crc = self._whole
+        if not c or (block, last) == (k, c - 1):
+            self._whole = k, c, zlib.crc32(ids.astype("<u4").tobytes(), crc if c else 0)
+            if c == n - 1 and self._whole[2] != b["ids_crc"]:
+                raise ValueError(f"block {k} decodes to other ids")
         return ids
 
-    def documents(self) -> Iterator[tuple[int | None, np.ndarray]]:
-        """(id, ids) of each document; memory holds a document and a block."""
-        rest, k = np.zeros(0, np.uint32), 0
-        for doc, size, null in zip(self.docs.tolist(), self.sizes.tolist(), self.null.tolist(), strict=True):
-            parts, have = [rest], len(rest)
-            while have < size:
-                parts.append(self.block(k))
+    def block(self, k: int, checkpoint: int = 0) -> np.ndarray:
+        """Ids of block k from one of its checkpoints on."""
+        return np.concatenate([self.segment(j) for j, x in enumerate(self.segments) if x[0] == k and x[1] >= checkpoint])
+
+    def documents(self, first: int = 0, last: int | None = None) -> Iterator[tuple[int | None, int, np.ndarray]]:
+        """(id, place of its first id in the file, ids) of each document that begins in segments first:last; memory holds a
+        document and a block."""
+        edges = np.concatenate([[0], np.cumsum([stop - start for _, _, start, stop in self.segments])])
+        begin, end = int(edges[first]), int(edges[len(self.segments) if last is None else last])
+        starts = np.cumsum(self.sizes) - self.sizes
+        here = np.flatnonzero((starts >= begin) & (starts < end))
+        rest, at, j = np.zeros(0, np.uint32), begin, first  # rest: ids from `at` on
+        for k in here.tolist():
+            start, size = int(starts[k]), int(self.sizes[k])
+            parts, have = [rest], at + len(rest)
+            while have < start + size:
+                parts.append(self.segment(j))
                 have += len(parts[-1])
-                k += 1
+                j += 1
             flat = np.concatenate(parts) if len(parts) > 1 else rest
-            yield None if null else doc, flat[:size]
-            rest = flat[size:]
+            yield None if self.null[k] else int(self.docs[k]), start, flat[start - at : start - at + size]
+            rest, at = flat[start - at + size :], start + size
 
 
 def _counts(path: str, end: int) -> Callable:
@@ -232,16 +262,16 @@ def _write(folder: str, path: str, end: int) -> Callable:
                     for k, x in enumerate(np.split(ids, np.cumsum(counts)[:-1])):
                         writer.add(docs[row + k], x)
             writer.close()
-            about.update(docs=len(writer.docs), ids=int(sum(writer.sizes)))
+            about.update(docs=len(writer.docs), ids=int(sum(writer.sizes)), segments=sum(len(b["marks"]) for b in writer.blocks))
 
         publish(name, fill)
-        yield pa.record_batch({"part": pa.array([part], pa.int64()), "path": pa.array([name]), "docs": pa.array([about["docs"]], pa.int64()), "ids": pa.array([about["ids"]], pa.int64())})
+        yield pa.record_batch({"part": pa.array([part], pa.int64()), "path": pa.array([name]), "docs": pa.array([about["docs"]], pa.int64()), "ids": pa.array([about["ids"]], pa.int64()), "segments": pa.array([about["segments"]], pa.int64())})
 
     return run
 
 
 def write_ids(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text", end: int = 2, tokenizer: str = tokens.DEFAULT) -> DataFrame:
-    """Write the table's ids below `folder`; returns the files (part, path, docs, ids), a row each."""
+    """Write the table's ids below `folder`; returns the files (part, path, docs, ids, segments), a row each."""
     rows = docs.select(column(docs, id_col).cast("long").alias("doc_id"), column(docs, text_col).cast("string").alias("text"))
     found = rows.select("text").mapInArrow(_counts(tokenizer, end), "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros(int(max(found.column("token").to_pylist(), default=end)) + 1, np.int64)  # a row for each id of the vocabulary at most
@@ -249,7 +279,7 @@ def write_ids(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: st
     publish(f"{folder}/table.rtab", lambda out: out.write(table_bytes(scaled(counts))))
     parts = max(1, -(-int(counts.sum()) // FILE_IDS))
     ordered = rows.repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-    return cut(ordered.mapInArrow(_write(folder, tokenizer, end), "part long, path string, docs long, ids long"), "rans")
+    return cut(ordered.mapInArrow(_write(folder, tokenizer, end), "part long, path string, docs long, ids long, segments long"), "rans")
 
 
 def _read(folder: str) -> Callable:
@@ -258,13 +288,12 @@ def _read(folder: str) -> Callable:
         with fs.open_input_stream(at) as f:
             coder = read_table(f.read())
         for batch in batches:
-            for name, start in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for name, base, first, last in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
                 fs, at = filesystem(name)
                 with fs.open_input_file(at) as f:
                     rows, held = [], 0
-                    for doc, ids in FileReader(f, f.size(), coder).documents():
-                        rows.append((doc, start, ids.astype("<u4").tobytes()))
-                        start += len(ids)
+                    for doc, start, ids in FileReader(f, f.size(), coder).documents(first, last):
+                        rows.append((doc, base + start, ids.astype("<u4").tobytes()))
                         held += len(ids)
                         if held > 2 << 20:
                             yield _rows(rows)
@@ -281,10 +310,16 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def read_ids(spark: SparkSession, folder: str, files: DataFrame) -> DataFrame:
-    """(doc_id, start, ids) of the files that write_ids returned; a task a file."""
-    rows, start = [], 0
-    for r in files.orderBy("part").select("path", "ids").collect():  # a row for each file
-        rows.append((r.path, start))
-        start += r.ids
-    frame = spark.createDataFrame(rows, "path string, start long")
-    return frame.repartition(max(1, len(rows))).mapInArrow(_read(folder), "doc_id long, start long, ids binary")
+    """(doc_id, start, ids) of the files that write_ids returned, in units of about UNIT_IDS ids, each from a checkpoint on.
+
+    Where a file's ids start is summed up over groups of files and then within each, so no task sees all files."""
+    rows = files.withColumn("grp", F.floor(F.col("part") / 1_024))
+    before = lambda w: F.coalesce(F.sum("ids").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    groups = rows.groupBy("grp").agg(F.sum("ids").alias("ids")).select("grp", before(W.orderBy("grp")).alias("base"))
+    placed = rows.withColumn("own", before(W.partitionBy("grp").orderBy("part"))).join(groups, "grp")
+    units = F.least(F.greatest(F.lit(1), F.col("segments")), F.greatest(F.lit(1), F.ceil(F.col("ids") / UNIT_IDS)))
+    placed = placed.withColumn("units", units).withColumn("unit", F.explode(F.sequence(F.lit(0).cast("long"), F.col("units") - 1)))
+    edge = lambda k: F.floor((F.col("unit") + k) * F.col("segments") / F.col("units")).cast("long")
+    placed = cut(placed.select("path", (F.col("base") + F.col("own")).alias("start"), edge(0).alias("first"), edge(1).alias("last")), "units")
+    parts = max(1, min(MOST_TASKS, placed.count()))
+    return placed.repartition(parts, "path", "first").mapInArrow(_read(folder), "doc_id long, start long, ids binary")

@@ -142,6 +142,35 @@ def test_files_give_the_ids_back(spark, docs, ids):
     assert sorted((repr(r.doc_id), bytes(r.ids)) for r in got) == sorted((repr(i), np.array([*x, 2], "<u4").tobytes()) for i, x in ids)
 
 
+def test_files_read_from_checkpoints(spark, docs, ids, monkeypatch):
+    """Many small files of small blocks, each read in units that begin within blocks."""
+    for name, value in (("BLOCK", 900), ("LANES", 16), ("FILE_IDS", 9_000), ("UNIT_IDS", 700)):
+        monkeypatch.setattr(rans, name, value)
+    folder = shared_dir(spark, "t")
+    coder, out = rans.Coder(rans.scaled(np.ones(50, np.int64))), io.BytesIO()
+    writer = rans.FileWriter(out, coder)
+    own = [np.random.default_rng(k).integers(0, 50, n).astype(np.uint32) for k, n in enumerate((3, 900, 1, 2000, 40, 5, 700, 444, 1))]
+    for k, x in enumerate(own):
+        writer.add(k, x)
+    writer.close()
+    reader = rans.FileReader(out, len(out.getvalue()), coder)
+    n = len(reader.segments)
+    assert n > 8 and any(c for _, c, _, _ in reader.segments)
+    for parts in range(1, n + 1):
+        edges = [k * n // parts for k in range(parts + 1)]
+        found = [x for a, b in zip(edges, edges[1:], strict=False) for x in rans.FileReader(out, len(out.getvalue()), coder).documents(a, b)]
+        assert [d for d, _, _ in found] == list(range(9)) and all((x == y).all() for (_, _, x), y in zip(found, own, strict=True))
+        assert [s for _, s, _ in found] == [sum(map(len, own[:k])) for k in range(9)]
+    monkeypatch.undo()
+    monkeypatch.setattr(rans, "UNIT_IDS", 700)
+    got = rans.read_ids(spark, folder, rans.write_ids(docs, folder)).orderBy("start").collect()
+    at = 0
+    for r in got:
+        assert r.start == at
+        at += len(r.ids) // 4
+    assert sorted((repr(r.doc_id), bytes(r.ids)) for r in got) == sorted((repr(i), np.array([*x, 2], "<u4").tobytes()) for i, x in ids)
+
+
 def test_no_files(spark, nothing):
     folder = shared_dir(spark, "t")
     assert rans.read_ids(spark, folder, rans.write_ids(nothing, folder)).count() == 0
@@ -169,7 +198,7 @@ def test_damage_is_found(monkeypatch):
     w.close()
     raw = bytearray(out.getvalue())
     r = rans.FileReader(io.BytesIO(bytes(raw)), len(raw), coder)
-    assert [(d, len(x)) for d, x in r.documents()] == [(5, 1300), (None, 700)] and len(r.blocks) == 4
+    assert [(d, s, len(x)) for d, s, x in r.documents()] == [(5, 0, 1300), (None, 1300, 700)] and len(r.blocks) == 4
     assert (r.block(2) == ids[1000:1500]).all() and (r.block(2, 1) == ids[1500 - len(r.block(2, 1)) : 1500]).all()
     raw[r.blocks[1]["at"] + 3] ^= 1
     with pytest.raises(ValueError, match="damaged block 1"):
