@@ -7,6 +7,9 @@ documents folds in one pass and leaves at most one fraction; these residuals go
 level, until a source has one left, which a last draw rounds. Blocks fold from large to small, so that a small one is left. So a source's words miss its target by less than its
 largest document, whatever its size. Blocks are dealt by hash within a source, so a hot source fills many blocks.
 
+Equal rows (of one source, id and size) are counted, not gathered: each brings as many items as it has rows, and gets
+back how many of them are rounded up; where its rows lie, so many of them take one copy more.
+
 Targets: source k in order of code points (null last) weighs 1, 2, 3, repeating; targets share all words by weight,
 none above 3 times its source's words, what is cut off shared again by weight among the others.
 
@@ -24,6 +27,7 @@ from pyspark.sql import functions as F
 from .shared import column, cut
 
 BLOCK = 64
+CHUNK = 1_000
 WORD = r"[^\x20\x09-\x0D]+"
 EPSILON = 1e-9
 
@@ -90,10 +94,15 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     goal = goal.withColumn("wish", F.when(F.abs(wish - F.round(wish)) < EPSILON, F.round(wish)).otherwise(wish))
     goal = goal.withColumn("base", F.floor("wish").cast("int")).withColumn("part", F.col("wish") - F.col("base"))
     joined = rows.join(goal, rows["source"].eqNullSafe(goal["source"])).drop(goal["source"])
-    # copies of a row get numbers of their own only through the fold: equal rows tie, in any order to the same effect
-    joined = cut(joined.withColumn("tie", F.xxhash64(F.lit(seed), "doc_id", "size")), "joined")
-
-    open_ = joined.where((F.col("part") > 0) & (F.col("size") > 0)).select("source", F.col("doc_id").alias("id"), "size", F.col("part").alias("mass"), "tie", "docs")
+    # rows that are equal here have one key; where each lies is written with it, and so the same whatever is run again
+    joined = cut(joined.withColumn("id", F.xxhash64(F.lit(seed), "doc_id", "size")).withColumn("part_id", F.spark_partition_id()), "joined")
+
+    open_ = joined.where((F.col("part") > 0) & (F.col("size") > 0)).groupBy("source", "id", "docs", "part").agg(F.first("size").alias("size"), F.count("*").alias("rows"))
+    many = open_.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("rows") - 1) / CHUNK))))
+    many = many.where("rows > 1").repartition("source", "id", "chunk")
+    nth = F.explode(F.sequence(F.col("chunk") * CHUNK, F.least(F.col("rows"), (F.col("chunk") + 1) * CHUNK) - 1))
+    numbers = open_.where("rows = 1").withColumn("chunk", F.lit(0).cast("long")).unionByName(many).withColumn("nth", nth)
+    open_ = numbers.select("source", "id", "size", F.col("part").alias("mass"), F.when(F.col("nth") == 0, F.col("id")).otherwise(F.xxhash64("id", "nth")).alias("tie"), "docs")
     decided, level = None, 0
     while True:
         blocks = F.greatest(F.lit(1), F.ceil(F.col("docs") / BLOCK))
@@ -110,12 +119,14 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
             break
         open_ = left.select("source", "r.open.id", "r.open.size", "r.open.mass", "r.open.tie", "docs")
         level += 1
-    # equal rows (same id, size and source) share their decisions in any order: they are numbered on both sides
-    same = W.partitionBy("source", "id", "tie").orderBy("up")
-    decided = decided.withColumn("n", F.row_number().over(same)).withColumnRenamed("source", "s")
-    number = W.partitionBy("source", "doc_id", "tie").orderBy("size")
-    numbered = joined.withColumn("n", F.row_number().over(number))
-    on = numbered["source"].eqNullSafe(decided["s"]) & numbered["doc_id"].eqNullSafe(decided["id"]) & (numbered["tie"] == decided["tie"]) & (numbered["n"] == decided["n"])
-    result = numbered.join(decided.drop("size"), on, "left")
-    copies = F.col("base") + F.coalesce("up", F.lit(0))
+    ups = decided.groupBy(F.col("source").alias("s"), F.col("id").alias("i")).agg(F.sum("up").cast("long").alias("ups"))
+    # the first so many of equal rows: by where they lie, and then within
+    places = joined.groupBy("source", "id", "part_id").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(W.partitionBy("source", "id").orderBy("part_id").rowsBetween(W.unboundedPreceding, -1))
+    places = places.select(F.col("source").alias("ps"), F.col("id").alias("pi"), F.col("part_id").alias("pp"), F.coalesce(before, F.lit(0)).alias("before"))
+    own = joined.withColumn("nth", F.row_number().over(W.partitionBy("source", "id", "part_id").orderBy("doc_id")))
+    own = own.join(places, own["source"].eqNullSafe(places["ps"]) & (own["id"] == places["pi"]) & (own["part_id"] == places["pp"]))
+    result = own.join(ups, own["source"].eqNullSafe(ups["s"]) & (own["id"] == ups["i"]), "left")
+    up = (F.col("before") + F.col("nth") <= F.col("ups")).cast("int")
+    copies = F.col("base") + F.coalesce(up, F.lit(0))
     return result.select("doc_id", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).cast("long").alias("taken"), "source")

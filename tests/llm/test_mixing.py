@@ -54,3 +54,16 @@ def test_nothing_and_no_words(spark, nothing):
     assert M.mix(nothing).count() == 0
     rows = spark.createDataFrame([(1, None, "a"), (2, " ", None)], "doc_id long, text string, source string")
     assert sorted(tuple(r) for r in M.mix(rows).select("doc_id", "size", "target", "taken").collect()) == [(1, 0, 0.0, 0), (2, 0, 0.0, 0)]
+
+
+def test_many_equal_rows(spark, monkeypatch):
+    """A row that most of a source's rows repeat is rounded in chunks; how its copies fall doesn't depend on partitions."""
+    monkeypatch.setattr(M, "CHUNK", 7)
+    rows = [(5, "w w w", "a")] * 200 + [(None, "x x", "a")] * 90 + [(k, "y " * (k % 7 + 1), "ab"[k % 2]) for k in range(60)] + [(900 + k, "z " * 9, None) for k in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    runs = [sorted(map(repr, M.mix(d).select("doc_id", "size", "source", "taken").collect())) for d in (df.repartition(1), df.repartition(5), df.repartition(11))]
+    assert runs[0] == runs[1] == runs[2] and len(runs[0]) == len(rows)
+    found = M.mix(df).groupBy("source").agg(F.sum("taken").alias("n"), F.max("target").alias("t"), F.max("size").alias("m")).collect()
+    assert all(abs(r.n - r.t) <= r.m for r in found)
+    equal = M.mix(df).where("doc_id = 5 and source = 'a' and size = 3").groupBy("copies").count().collect()
+    assert sum(r["count"] for r in equal) == 200 and len(equal) <= 2
