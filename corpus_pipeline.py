@@ -46,13 +46,17 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     names = [fresh(docs.columns, f"mix_{k}") for k in range(5)]
     # parts of a key without nulls: the numbering and the join then deal the rows once
     keys = lambda size: [x.alias(n) for x, n in zip((F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), F.isnull(F.col("doc_id").cast("long")), F.coalesce(F.col("source").cast("string"), F.lit("")), F.isnull("source"), size), names, strict=True)]
-    lists = F.sort_array(F.collect_list("copies"), asc=False).alias(fresh(docs.columns, "mix_copies"))
-    taken = cut(mix(docs).where("taken > 0").select(*keys(F.col("size")), "copies").groupBy(*names).agg(lists), "taken")
+    # of equal rows, some take one copy more than the others
+    most, many, least = (fresh(docs.columns, f"mix_{x}") for x in ("most", "many", "least"))
+    mixed = mix(docs).where("size > 0").select(*keys(F.col("size")), "copies")
+    mixed = mixed.groupBy(*names).agg(F.max("copies").alias(most), F.min("copies").alias(least), F.sum("copies").alias(many), F.count("*").alias("n"))
+    more = F.when(F.col(most) > F.col(least), F.col(many) - F.col(least) * F.col("n")).otherwise(F.col("n"))
+    taken = cut(mixed.where(F.col(most) > 0).select(*names, most, least, more.alias(many)), "taken")
     nth = fresh(docs.columns, "mix_nth")
     number = F.row_number().over(W.partitionBy(*names).orderBy(F.xxhash64(*docs.columns)))
     rows = docs.select("*", *keys(size_of(F.col("text").cast("string")))).withColumn(nth, number)
     # always the same join: the table of copies grows with the documents
-    copies = F.explode(F.array_repeat(F.lit(1), F.get(taken.columns[-1], F.col(nth) - 1)))
+    copies = F.explode(F.array_repeat(F.lit(1), F.when(F.col(nth) <= F.col(many), F.col(most)).otherwise(F.col(least)).cast("int")))
     return rows.join(taken.hint("merge"), names).withColumn(nth, copies).select(docs.columns)
 
 
