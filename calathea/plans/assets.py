@@ -120,15 +120,37 @@ def ranked_candidates(t: Tables) -> DataFrame:
     return found.where("n >= 50").orderBy(F.desc("n"), "user_id").limit(25)
 
 
-@query()
-def head_scores(t: Tables) -> DataFrame:
+def _layers() -> list[tuple[np.ndarray, np.ndarray]]:
     rng = np.random.default_rng(0)
-    layers = [(rng.normal(size=(a, b)) / np.sqrt(a), rng.normal(size=b) / 10) for a, b in ((64, 32), (32, 16), (16, 1))]
-    return assets.head_scores(t.embeddings, "vec_id", "embedding", layers)
+    return [(rng.normal(size=(a, b)) / np.sqrt(a), rng.normal(size=b) / 10) for a, b in ((64, 32), (32, 16), (16, 1))]
+
+
+def _head_sql() -> str:
+    """The head's layers as nested lists, one step a table expression; the error function as in the operator."""
+    t = "(1 / (1 + 0.3275911 * abs(x) / sqrt(2)))"
+    erf = f"(1 - ((((1.061405429 * {t} - 1.453152027) * {t} + 1.421413741) * {t} - 0.284496736) * {t} + 0.254829592) * {t} * exp(-x * x / 2))"
+    layers, steps = _layers(), ["h0 AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS h FROM embeddings)"]
+    for k, (w, b) in enumerate(layers):
+        units = ", ".join(f"{{'w': {column.tolist()}, 'b': {bias}}}" for column, bias in zip(w.T, b.tolist(), strict=True))
+        linear = f"list_transform([{units}], lambda u: list_dot_product(h, u.w) + u.b)"
+        steps.append(f"l{k} AS (SELECT vec_id, {linear} AS h FROM h{k})")
+        if k < len(layers) - 1:
+            steps.append(f"h{k + 1} AS (SELECT vec_id, list_transform(h, lambda x: x * 0.5 * (1 + sign(x) * {erf})) AS h FROM l{k})")
+    return f"WITH {', '.join(steps)} SELECT vec_id, round(1 / (1 + exp(-h[1])), 6) AS score FROM l{len(layers) - 1}"
+
+
+@query(_head_sql())
+def head_scores(t: Tables) -> DataFrame:
+    return assets.head_scores(t.embeddings, "vec_id", "embedding", _layers()).withColumn("score", F.round("score", 6))
 
 
-@query()
+@query("""WITH r AS (SELECT event_id AS id, CASE WHEN event_id % 5 = 0 THEN event_id // 10 END AS uuid, event_id // 4 AS stem, event_id % 2 = 0 AS is_mov, CAST(epoch(ts) AS BIGINT) AS tm, event_id % 4 = 0 AS live FROM events),
+s AS (SELECT max(CASE WHEN NOT is_mov THEN id END) AS still, max(CASE WHEN is_mov THEN id END) AS mov FROM r WHERE uuid IS NOT NULL GROUP BY uuid HAVING count(*) FILTER (NOT is_mov) = 1 AND count(*) FILTER (is_mov) = 1),
+p AS (SELECT m.id AS mov, f.id AS still, abs(f.tm - m.tm) AS cost, count(*) OVER (PARTITION BY m.id) AS n FROM r m JOIN r f USING (stem) WHERE m.is_mov AND m.live AND NOT f.is_mov AND m.id NOT IN (SELECT mov FROM s) AND f.id NOT IN (SELECT still FROM s)),
+b AS (SELECT *, row_number() OVER (PARTITION BY mov ORDER BY cost, still) AS k FROM p WHERE n = 1 OR cost <= 86400)
+SELECT still, mov, 'uuid' AS method, 1.0::DOUBLE AS confidence FROM s UNION ALL SELECT still, mov, 'name', 0.9::DOUBLE FROM b WHERE k = 1""")
 def live_pairs(t: Tables) -> DataFrame:
+    """Each stem has one live clip, so that SQL can choose its still; several clips of a stem are tested by hand."""
     e = F.col("event_id")
     rows = t.events.select(
         e.alias("id"), F.when(e % 5 == 0, F.concat(F.lit("u"), F.floor(e / 10))).alias("uuid"), F.concat(F.lit("IMG_"), F.floor(e / 4), F.when(e % 2 == 0, "_HEVC.MOV").otherwise(".HEIC")).alias("name"),

@@ -229,7 +229,9 @@ def size_labels(t: Tables) -> DataFrame:
     return t.part.select("p_partkey", S.human_bytes(n).alias("size"), S.size_band(n).alias("band"))
 
 
-@query()
+@query("""
+WITH a AS (SELECT p_partkey, instr(lower(p_name), 'a') AS a, lower(p_name) AS s FROM part), e AS (SELECT *, instr(substr(s, a + 1), 'e') AS e FROM a WHERE a > 0), o AS (SELECT *, instr(substr(s, a + e + 1), 'o') AS o FROM e WHERE e > 0)
+SELECT p_partkey, CAST(1000 - 4 * (a - 1) - (e - 1) - (o - 1) AS INTEGER) AS score FROM o WHERE o > 0""")
 def fuzzy_subsequence(t: Tables) -> DataFrame:
     return t.part.select("p_partkey", S.fuzzy_score("aeo", F.col("p_name")).alias("score")).where("score >= 0")
 
