@@ -20,8 +20,8 @@ from . import words as wd
 
 DEFAULT = public_tokenizers.path("word_bpe_49k.json")
 _U = np.uint64
-TABLE_BITS, LOAD = 21, 0.65
-JOIN, GROUP = 5_000, 2 << 20
+TABLE_BITS, LOAD = 22, 0.65
+JOIN, GROUP = 5_000, 1 << 20
 # The split of texts that PLAIN relies on.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Words of which the split makes a piece of letters, a piece of punctuation, or both in this order (a capital I with
