@@ -84,6 +84,8 @@ def _features(g: wd.Words) -> list[np.ndarray]:
 
 def _lines(g: wd.Words) -> tuple[np.ndarray, np.ndarray]:
     """(lines with a word, those equal to an earlier line) of each document."""
+    if not len(g.data):
+        return np.zeros(g.docs, np.int64), np.zeros(g.docs, np.int64)
     breaks = np.flatnonzero(g.data == 10)
     starts = np.unique(np.concatenate([g.doc_at[:-1], breaks + 1]))
     starts = starts[starts < len(g.data)]

@@ -83,7 +83,9 @@ def op2_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     archives = warc.write(_table(spark, sf_dir, "pages"), shared_dir(spark, "op4"))
-    found = warc.read(archives).where("kind <> 'gap'")
+    # of archives just written, a gap is a lost page
+    lost = F.raise_error(F.concat(F.lit("gap in "), "file", F.lit(": "), "reason"))
+    found = warc.read(archives).withColumn("kind", F.when(F.col("kind") == "gap", lost.cast("string")).otherwise(F.col("kind")))
     return found.select("page_id", "payload_bytes", "payload_digest", F.col("kind").alias("record_type"), "refers_to")
 
 

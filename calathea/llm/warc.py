@@ -32,6 +32,7 @@ VERSION = b"WARC/1.1"
 LEAST = 1000
 FILE_BYTES = 256 << 20
 CHUNK = 1 << 20
+#: Cells of a table hold no more; a larger record in a foreign archive is a gap.
 MAX_RECORD = 1 << 31
 NAME = 1 << 10
 _SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
