@@ -34,7 +34,7 @@ from .shared import column, cut, filesystem, publish
 
 LANES, BLOCK, PRECISION = 2_048, 1 << 19, 20
 LOWEST = 1 << 31
-FILE_IDS, UNIT_IDS, MOST_TASKS = 1 << 22, 3 << 19, 20_000
+FILE_IDS, UNIT_IDS, MOST_TASKS = 1 << 22, 1 << 21, 20_000
 _U = np.uint64
 
 
