@@ -144,7 +144,7 @@ def test_files_give_the_ids_back(spark, docs, ids):
 
 def test_files_read_from_checkpoints(spark, docs, ids, monkeypatch):
     """Many small files of small blocks, each read in units that begin within blocks."""
-    for name, value in (("BLOCK", 900), ("LANES", 16), ("FILE_IDS", 9_000), ("UNIT_IDS", 700)):
+    for name, value in (("BLOCK", 900), ("LANES", 16), ("FILE_BYTES", 9_000), ("UNIT_IDS", 700)):
         monkeypatch.setattr(rans, name, value)
     folder = shared_dir(spark, "t")
     coder, out = rans.Coder(rans.scaled(np.ones(50, np.int64))), io.BytesIO()
