@@ -10,7 +10,7 @@ that begin in their segments. The index also lists the documents (id, count of i
     table:   "RTAB" u32 vocabulary, u32 precision, vocabulary x u32 frequencies, u32 crc32 of all before
     file:    blocks ... index (JSON head and arrays) u64 length of the index, u32 crc32 of the index, "RANS"
 
-Defined results: a null text is an empty document; equal ids follow each other by text; a null id comes first and
+Defined results: a null text is an empty document; equal ids follow each other by their token ids; a null id comes first and
 stays null; an empty table gives a folder with a table and no rows. A damaged block raises ValueError.
 """
 
@@ -23,7 +23,6 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -34,7 +33,7 @@ from .shared import column, cut, filesystem, publish
 
 LANES, BLOCK, PRECISION = 2_048, 1 << 19, 20
 LOWEST = 1 << 31
-FILE_BYTES, UNIT_IDS, MOST_TASKS = 1 << 24, 1 << 21, 20_000
+FILE_IDS, UNIT_IDS, MOST_TASKS = 1 << 22, 1 << 21, 20_000
 _U = np.uint64
 
 
@@ -231,90 +230,79 @@ class FileReader:
             rest, at = flat[start - at + size :], start + size
 
 
-_IDS = pa.schema([("doc_id", pa.int64()), ("ids", pa.large_binary())])
-PARTS = "part long, source string, docs long, ids long, tokens binary, counts binary"
+CODED = "doc_id long, ids binary"
 
 
-def _encode(folder: str, path: str, end: int) -> Callable:
-    """A partition's ids in a compressed stream of its own, and how often each occurs: texts are encoded once, before the
-    frequencies are known."""
+def _width(path: str, end: int) -> str:
+    """The narrowest type that holds all ids."""
+    return "<u2" if max(tokens.encoder(path).tokenizer.get_vocab_size(), end + 1) <= 1 << 16 else "<u4"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, docs = TaskContext.get().partitionId(), 0
-        name, total = f"{folder}/ids/{part:05d}.arrow", np.zeros(max(tokens.encoder(path).tokenizer.get_vocab_size(), end + 1), np.int64)
 
-        def fill(out) -> None:
-            nonlocal docs
-            with pa.ipc.new_stream(out, _IDS, options=pa.ipc.IpcWriteOptions(compression="zstd")) as stream:
-                for batch in batches:
-                    for row, ids, counts in tokens.encoded(batch.column(1), end, path):
-                        total[:] += np.bincount(ids, minlength=len(total))
-                        at = np.concatenate([[0], np.cumsum(counts) * 4])
-                        raw = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(counts), [None, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(ids.astype("<u4"))])
-                        stream.write_batch(pa.record_batch([batch.column(0).slice(row, len(counts)), raw], schema=_IDS))
-                        docs += len(counts)
+def _encode(path: str, end: int) -> Callable:
+    """(id, ids) of each document, the end id last."""
 
-        publish(name, fill)
-        at = np.flatnonzero(total)
-        yield pa.record_batch({
-            "part": pa.array([part], pa.int64()), "source": [name], "docs": pa.array([docs], pa.int64()), "ids": pa.array([int(total.sum())], pa.int64()),
-            "tokens": pa.array([at.astype("<i8").tobytes()], pa.binary()), "counts": pa.array([total[at].astype("<i8").tobytes()], pa.binary()),
-        })
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = _width(path, end)
+        size = np.dtype(kind).itemsize
+        for batch in batches:
+            for row, ids, counts in tokens.encoded(batch.column(1), end, path):
+                at = np.concatenate([[0], np.cumsum(counts) * size]).astype(np.int32)
+                raw = pa.BinaryArray.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(at), pa.py_buffer(ids.astype(kind))])
+                yield pa.record_batch([batch.column(0).slice(row, len(counts)), raw], names=["doc_id", "ids"])
 
     return run
 
 
-def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for at, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            yield pa.record_batch({"token": pa.array(np.frombuffer(at, "<i8")), "n": pa.array(np.frombuffer(n, "<i8"))})
+def _counts(path: str, end: int) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind, total = _width(path, end), np.zeros(1, np.int64)
+        for batch in batches:
+            for ids in batch.column(0):
+                n = np.bincount(np.frombuffer(ids.as_buffer(), kind))
+                total = np.pad(total, (0, max(0, len(n) - len(total))))
+                total[: len(n)] += n
+        at = np.flatnonzero(total)
+        yield pa.record_batch({"token": pa.array(at), "n": pa.array(total[at])})
 
+    return run
 
-def _write(folder: str) -> Callable:
-    """The file of each stream of ids, coded by the shared table."""
 
+def _write(folder: str, path: str, end: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, at = filesystem(f"{folder}/table.rtab")
         with fs.open_input_stream(at) as f:
             coder = read_table(f.read())
-        for batch in batches:
-            for part, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                name, about = f"{folder}/part-{part:05d}.rans", {}
-
-                def fill(out, source=source, about=about) -> None:
-                    writer = FileWriter(out, coder)
-                    fs, at = filesystem(source)
-                    with fs.open_input_stream(at) as f, pa.ipc.open_stream(f) as stream:
-                        for rows in stream:
-                            for doc, ids in zip(rows.column(0).to_pylist(), rows.column(1), strict=True):
-                                writer.add(doc, np.frombuffer(ids.as_buffer(), "<u4"))
-                    writer.close()
-                    about.update(docs=len(writer.docs), ids=int(sum(writer.sizes)), segments=sum(len(b["marks"]) for b in writer.blocks))
-
-                publish(name, fill)
-                numbers = [pa.array([about[k]], pa.int64()) for k in ("docs", "ids", "segments")]
-                yield pa.record_batch([pa.array([part], pa.int64()), pa.array([name]), *numbers], names=["part", "path", "docs", "ids", "segments"])
+        kind, part = _width(path, end), TaskContext.get().partitionId()
+        name, about = f"{folder}/part-{part:05d}.rans", {}
+
+        def fill(out) -> None:
+            writer = FileWriter(out, coder)
+            for batch in batches:
+                for doc, ids in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                    writer.add(doc, np.frombuffer(ids.as_buffer(), kind).astype(np.uint32))
+            writer.close()
+            about.update(docs=len(writer.docs), ids=int(sum(writer.sizes)), segments=sum(len(b["marks"]) for b in writer.blocks))
+
+        publish(name, fill)
+        numbers = [pa.array([about[k]], pa.int64()) for k in ("docs", "ids", "segments")]
+        yield pa.record_batch([pa.array([part], pa.int64()), pa.array([name]), *numbers], names=["part", "path", "docs", "ids", "segments"])
 
     return run
 
 
 def write_ids(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text", end: int = 2, tokenizer: str = tokens.DEFAULT) -> DataFrame:
-    """Write the table's ids below `folder`; returns the files (part, path, docs, ids, segments), a row each."""
+    """Write the table's ids below `folder`; returns the files (part, path, docs, ids, segments), a row each.
+
+    Texts are encoded once, where they lie; only their ids are sorted."""
     rows = docs.select(column(docs, id_col).cast("long").alias("doc_id"), column(docs, text_col).cast("string").alias("text"))
-    volume = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = max(1, -(-volume // FILE_BYTES))
-    ordered = rows.repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-    coded = cut(ordered.mapInArrow(_encode(folder, tokenizer, end), PARTS), "ids")
-    found = coded.select("tokens", "counts").mapInArrow(_frequencies, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).toArrow()
+    coded = cut(rows.mapInArrow(_encode(tokenizer, end), CODED), "ids")
+    found = coded.select("ids").mapInArrow(_counts(tokenizer, end), "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros(int(max(found.column("token").to_pylist(), default=end)) + 1, np.int64)  # a row for each id of the vocabulary at most
     counts[found.column("token").to_numpy()] = found.column("n").to_numpy()
     publish(f"{folder}/table.rtab", lambda out: out.write(table_bytes(scaled(counts))))
-    tasks = max(1, min(MOST_TASKS, parts))
-    files = cut(coded.select("part", "source").repartition(tasks, "part").mapInArrow(_write(folder), "part long, path string, docs long, ids long, segments long"), "rans")
-    fs, path = filesystem(f"{folder}/ids")
-    if fs.get_file_info(path).type != pafs.FileType.NotFound:
-        fs.delete_dir(path)
-    return files
+    parts = max(1, -(-int(counts.sum()) // FILE_IDS))
+    ordered = coded.repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "ids")
+    return cut(ordered.mapInArrow(_write(folder, tokenizer, end), "part long, path string, docs long, ids long, segments long"), "rans")
 
 
 def _read(folder: str) -> Callable:
