@@ -60,10 +60,10 @@ def drain(stream: DataFrame, name: str, checkpoint: str, mode: str = "append") -
     path = f"{checkpoint}-{name}-rows"
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(path if mode == "complete" else f"{path}/batch={number}")
+        batch.write.mode("overwrite").parquet(path if mode == "complete" else f"{path}/{number}")
 
     stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
-    return stream.sparkSession.read.schema(stream.schema).parquet(path)
+    return stream.sparkSession.read.schema(stream.schema).option("recursiveFileLookup", True).parquet(path)
 
 
 def upsert_batches(stream: DataFrame, path: str, key: str, order: str, checkpoint: str) -> None:
