@@ -17,6 +17,7 @@ from .jaccard_join import jaccard_components
 from .lm import score
 from .mixing import mix
 from .packing import pack, piece_digests
+from .prefix_trie import prefix_trie
 from .quality import assess
 from .rans import read_ids, write_ids
 from .shared import shared_dir, ship
@@ -123,6 +124,37 @@ SELECT doc_id, min(doc_id) OVER (PARTITION BY h) AS keep_id, count(*) OVER (PART
 FROM t"""
 
 
+@_query
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(_table(spark, sf_dir, "conversations"))
+
+
+def _crc32(text: str) -> str:
+    """crc32 in SQL, bit by bit: DuckDB has none."""
+    step = lambda c: f"CASE WHEN {c} & 1 = 1 THEN xor({c} >> 1, 3988292384) ELSE {c} >> 1 END"
+    byte = f"list_reduce(list_prepend(xor(acc, b), range(8)), lambda c, i: {step('c')})"
+    return f"xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(1, length({text}) + 1), lambda i: CAST(ascii(substr({text}, i, 1)) AS BIGINT))), lambda acc, b: {byte}), 4294967295)"
+
+
+ORACLES["op12_prefix_trie"] = f"""
+WITH own AS (SELECT conv_id, list({{'role': coalesce(role, ''), 'text': coalesce(text, '')}} ORDER BY turn NULLS FIRST) AS t FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+hs AS (SELECT *, {_crc32("CAST(conv_id AS VARCHAR)")} % 6 AS h FROM own),
+paths AS (SELECT a.conv_id, list_concat(coalesce(d.t, [])[:a.h], a.t[a.h + 1:]) AS p FROM hs a LEFT JOIN own d ON d.conv_id = a.conv_id - a.conv_id % 100),
+steps AS (SELECT conv_id, CAST(unnest(range(0, len(p) + 1)) AS BIGINT) AS depth, p FROM paths),
+nodes AS (SELECT p[:depth] AS k, depth, min(conv_id) AS conv_id, count(*) AS n_convs,
+            sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (len(p) = depth), '')) AS ends_sha256
+          FROM steps GROUP BY 1, 2),
+kids AS (SELECT k[:depth - 1] AS k, depth - 1 AS depth, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY 1, 2),
+own_nodes AS (SELECT n.*, coalesce(c.n, 0) AS n_children, CASE WHEN n.depth > 0 THEN (n.n_convs - 1) * length(n.k[n.depth].text) ELSE 0 END AS saved
+              FROM nodes n LEFT JOIN kids c ON c.k = n.k AND c.depth = n.depth),
+up AS (SELECT unnest(range(0, depth + 1)) AS d, k, saved, (n_children = 0)::INT AS leaf FROM own_nodes),
+totals AS (SELECT k[:d] AS k, d AS depth, sum(leaf) AS n_leaves, sum(saved) AS saved FROM up GROUP BY 1, 2)
+SELECT n.conv_id, n.depth, a.conv_id AS parent_conv_id, CAST(n.n_convs AS BIGINT) AS n_convs, CAST(n.n_children AS BIGINT) AS n_children,
+       CAST(t.n_leaves AS BIGINT) AS n_leaves, CAST(t.saved AS BIGINT) AS saved_tokens, n.ends_sha256
+FROM own_nodes n JOIN totals t ON t.k = n.k AND t.depth = n.depth
+LEFT JOIN nodes a ON a.depth = n.depth - 1 AND a.k = n.k[:n.depth - 1] AND n.depth > 0"""
+
+
 @_query
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
