@@ -2,8 +2,8 @@
 
 Texts are equal when they are identical after replacing each run of [\\x20\\x09-\\x0D] by one space. A first scan keeps a
 length and a hash of the first HEAD characters of each row. Lengths that occur once are done; of the others, beginnings
-that occur once are done. A second scan hashes whole texts of surviving groups alone: it tells them by a bitmap of at
-most 2 ** BITS bits (broadcast, so that no text is shuffled), whose chance hits only cost a hash. Then the rows, without
+that occur once are done. A second scan hashes whole texts of surviving groups alone. Survivors are told by bitmaps of at
+most 2 ** BITS bits, broadcast so that no row is shuffled for it; their chance hits only cost a hash. Then the rows, without
 their texts, meet their group's count and smallest row: groups are aggregated first, so one that holds most rows is a
 row, and the join of its members is one that adaptive execution splits.
 
@@ -33,16 +33,12 @@ def _shape(text: Column) -> list[Column]:
     return [F.char_length(text).alias("len"), F.xxhash64(F.substring(text, 1, HEAD)).alias("head")]
 
 
-def _place() -> Column:
-    """The bit of a (len, head) pair."""
-    return F.pmod(F.xxhash64("len", "head"), F.lit(1 << BITS)) + 1
-
-
 def _marked(rows: DataFrame, keys: DataFrame) -> DataFrame:
-    """Rows with a column `open`: whether their (len, head) may be among the keys."""
-    maps = keys.groupBy(F.bitmap_bucket_number(_place()).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(_place())).alias("bits"))
-    rows = rows.withColumn("bucket", F.bitmap_bucket_number(_place())).join(F.broadcast(maps), "bucket", "left")
-    at = F.bitmap_bit_position(_place())
+    """Rows with a column `open`: whether their values of the keys' columns may be among the keys."""
+    place = F.pmod(F.xxhash64(*keys.columns), F.lit(1 << BITS)) + 1
+    bucket, at = F.bitmap_bucket_number(place), F.bitmap_bit_position(place)
+    maps = keys.groupBy(bucket.alias("bucket")).agg(F.bitmap_construct_agg(at).alias("bits"))
+    rows = rows.withColumn("bucket", bucket).join(F.broadcast(maps), "bucket", "left")
     byte = F.conv(F.hex(F.substring("bits", (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
     return rows.withColumn("open", F.coalesce(byte.bitwiseAND(F.pow(F.lit(2), at % 8).cast("int")) > 0, F.lit(False)))
 
@@ -52,7 +48,8 @@ def exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     carry = [c for c in (docs.columns if carry is None else carry) if c != id_col]
     shapes = cut(docs.select(normalised(column(docs, text_col)).alias("text")).select(*_shape(F.col("text"))), "shapes")
     lengths = shapes.groupBy("len").count().where("count > 1").select("len")
-    heads = shapes.join(lengths, "len", "left_semi").groupBy("len", "head").count().where("count > 1").select("len", "head")
+    # a hot length is never gathered: lengths are told by their bitmap, too
+    heads = _marked(shapes, lengths).where("open").groupBy("len", "head").count().where("count > 1").select("len", "head")
 
     rows = docs.select(column(docs, id_col).alias("id"), F.struct(*(column(docs, c).alias(f"c{n}") for n, c in enumerate(carry)), F.lit(0)).alias("own"), normalised(column(docs, text_col)).alias("text"))
     rows = _marked(rows.select("*", *_shape(F.col("text"))), heads)
