@@ -5,7 +5,7 @@ length and a hash of the first HEAD characters of each row. Lengths that occur o
 that occur once are done. A second scan hashes whole texts of surviving groups alone. Survivors are told by bitmaps of at
 most 2 ** BITS bits, broadcast so that no row is shuffled for it; their chance hits only cost a hash. Then the rows, without
 their texts, meet their group's count and smallest row: groups are aggregated first, so one that holds most rows is a
-row, and the join of its members is one that adaptive execution splits.
+row, and the largest groups (fewer than HOT can be so large) come to their members, not these to one task.
 
 Defined results: null texts count as empty; null ids come after all others, so keep_id is null only where all are;
 of rows with equal texts and equal smallest ids exactly one is kept; an empty table gives none. Very long texts are
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .shared import column, cut, fresh
 
-HEAD, BITS = 64, 26
+HEAD, BITS, HOT = 64, 26, 1_024
 
 
 def normalised(text: Column) -> Column:
@@ -59,8 +59,14 @@ def exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     some = rows.where("full is not null")
     least = F.min(F.struct(F.isnull("id").alias("no_id"), "id", "row")).alias("least")
     groups = some.groupBy("full").agg(F.count("*").alias("group_size"), least).where("group_size > 1")
-    groups = groups.select("full", "group_size", F.col("least.id").alias("keep_id"), F.col("least.row").alias("first"))
-    found = some.join(groups.hint("merge"), "full", "left").select("id", "own", F.coalesce("keep_id", "id").alias("keep_id"), F.coalesce("group_size", F.lit(1)).alias("group_size"), F.coalesce(F.col("row") == F.col("first"), F.lit(True)).alias("kept"))
+    groups = cut(groups.select("full", "group_size", F.col("least.id").alias("keep_id"), F.col("least.row").alias("first")), "groups")
+    # fewer than HOT groups can hold a part in HOT of the rows each: those are broadcast, and their members stay where they are
+    members = groups.agg(F.sum("group_size")).first()[0] or 0
+    hot = groups.where(F.col("group_size") > members / HOT).select("full", *(F.col(c).alias(f"hot_{c}") for c in ("group_size", "keep_id", "first")))
+    some = some.join(F.broadcast(hot), "full", "left")
+    at_hand = some.where("hot_group_size is not null").select("id", "own", "row", *(F.col(f"hot_{c}").alias(c) for c in ("group_size", "keep_id", "first")))
+    met = some.where("hot_group_size is null").select("id", "own", "row", "full").join(groups.hint("merge"), "full", "left").drop("full")
+    found = at_hand.unionByName(met).select("id", "own", F.coalesce("keep_id", "id").alias("keep_id"), F.coalesce("group_size", F.lit(1)).alias("group_size"), F.coalesce(F.col("row") == F.col("first"), F.lit(True)).alias("kept"))
     alone = rows.where("full is null").select("id", "own", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"))
     names = [id_col, *carry]
     added = [fresh(names, c) for c in ("keep_id", "group_size", "kept")]
