@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import greedy
 from ..operators.durable import folder
 from ..registry import Tables, query
-from ..streaming import streams
+from ..streaming import streams, watch
 
 
 def _events(t: Tables) -> DataFrame:
@@ -62,6 +62,41 @@ def throttle_actions(t: Tables) -> DataFrame:
     return greedy.throttle_actions(_readings(t.events), "machine", "event_id", "temperature", "margin")
 
 
+_WATCH_SQL = """WITH e AS (SELECT user_id % 30 AS worker, date_trunc('second', ts) AS "at", event_id, event_type IN ('view', 'click') AS fault FROM events),
+now AS (SELECT max("at") AS now FROM e),
+g AS (SELECT *, lead("at") OVER w AS next, CASE WHEN "at" - lag("at") OVER w <= INTERVAL 7200 SECOND THEN 0 ELSE 1 END AS new,
+  min(fault::INT) OVER l = 1 AND count(*) OVER l = 4 AS hit FROM e
+  WINDOW w AS (PARTITION BY worker ORDER BY "at", event_id), l AS (PARTITION BY worker ORDER BY "at", event_id ROWS 3 PRECEDING)),
+steps(kind, number, after) AS (VALUES ('stall', 1, 7200), ('retry', 1, 8400), ('stall', 2, 15600), ('retry', 2, 18000), ('stall', 3, 25200), ('retry', 3, 28200), ('stall', 4, 35400), ('gone', 4, 35400)),
+due AS (SELECT worker, "at" + to_seconds(after) AS due, kind, number, next FROM g, steps),
+pauses AS (SELECT worker, due AS "at", kind, number FROM due, now WHERE CASE WHEN next IS NULL THEN due <= now ELSE due < next END),
+"""
+_BEATS_SQL = """runs AS (SELECT worker, run, min("at") AS first, max("at") AS last FROM (SELECT *, sum(new) OVER (PARTITION BY worker ORDER BY "at", event_id ROWS UNBOUNDED PRECEDING) AS run FROM g) GROUP BY 1, 2),
+beats AS (SELECT worker, unnest(range(first + INTERVAL 1800 SECOND, least(last + INTERVAL 7200 SECOND, now) + INTERVAL 1 SECOND, INTERVAL 1800 SECOND)) AS "at" FROM runs, now),
+counted AS (SELECT b.worker, b."at", 'heartbeat' AS kind, count(*) AS number FROM beats b JOIN e ON e.worker = b.worker AND e."at" <= b."at" GROUP BY 1, 2)
+SELECT * FROM pauses UNION ALL SELECT * FROM counted UNION ALL SELECT worker, arg_min("at", ("at", event_id)), 'breaker', arg_min(event_id, ("at", event_id)) FROM g WHERE hit GROUP BY worker"""
+_LIMITS = watch.Limits(stall=7_200, beat=1_800, every=10**9, faults=4, base=600, cap=3_000, tries=4)
+
+
+def _worked(events: DataFrame) -> DataFrame:
+    fault = F.col("event_type").isin("view", "click")
+    return events.select((F.col("user_id") % 30).alias("worker"), F.date_trunc("second", F.col("ts").cast("timestamp")).alias("at"), "event_id", fault.alias("fault"))
+
+
+@query(_WATCH_SQL + _BEATS_SQL)
+def stream_watch(t: Tables) -> DataFrame:
+    """What the watcher reports of the events, as a stream with state and timers."""
+    with watch.rocksdb(t.spark):
+        found = _drained(t, watch.watched(_worked(_events(t)), "worker", "at", "event_id", "fault", _LIMITS), "append")
+    return found.withColumn("at", F.col("at").cast("timestamp_ntz"))
+
+
+@query(_WATCH_SQL.rstrip(",\n") + " SELECT * FROM pauses")
+def watch_gaps(t: Tables) -> DataFrame:
+    """The stalls, retries and ends of the same workers, in batch form."""
+    return watch.gaps(_worked(t.events), "worker", "at", "event_id", _LIMITS).withColumn("at", F.col("at").cast("timestamp_ntz"))
+
+
 @query()
 def unique_one_to_one(t: Tables) -> DataFrame:
     """Greedy one-to-one pairs of purchases and views of a user, in order of purchases."""
