@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..operators import geo, greedy
+from ..operators import circles, geo, greedy, maps
 from ..registry import Tables, query
 
 _POINTS_SQL = """WITH p AS (SELECT event_id AS id, user_id, epoch_us(ts) // 1000000 AS ts, CAST(ts AS DATE) AS day, 40 + (user_id % 7) * 0.5 + (event_id % 11) * 0.0004 AS lat, -3 - (user_id % 5) * 0.7 - (event_id % 13) * 0.0004 AS lon,
@@ -95,3 +95,60 @@ def nearest_place(t: Tables) -> DataFrame:
     points = t.customer.select(c.alias("k"), (40 + (c % 97) * 0.11).alias("lat"), (-3 + (c % 89) * 0.13).alias("lon"))
     spots = t.supplier.select(s.alias("p"), (38 + (s % 13) * 1.1).alias("lat"), (-5 + (s % 17) * 0.9).alias("lon"))
     return geo.nearest_place(points, "k", spots, "p").select("k", "p", F.round("km", 6).alias("km"))
+
+
+_CIRCLES_SQL = """WITH c AS (SELECT c_custkey AS k, -90 + (c_custkey * 37 % 1801) * 0.1::DOUBLE AS lat, -180 + (c_custkey * 101 % 3601) * 0.1::DOUBLE AS lon FROM customer),
+s AS (SELECT s_suppkey AS p, -90 + (s_suppkey * 53 % 181)::DOUBLE AS lat, -180 + (s_suppkey * 89 % 361)::DOUBLE AS lon, 5 + (s_suppkey % 6) * (s_suppkey % 6) * 40::DOUBLE AS radius_km FROM supplier),
+j AS (SELECT k, p, km FROM (SELECT k, p, radius_km, """ + _KM.format(r=6371.0088, a="c.lat", b="s.lat", c="c.lon", d="s.lon") + """ AS km FROM c, s) WHERE km <= radius_km)
+"""
+
+
+def _world(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """Points and circles over the whole globe, poles and the 180th meridian included."""
+    c, s = F.col("c_custkey"), F.col("s_suppkey")
+    points = t.customer.select(c.alias("k"), (F.lit(-90) + (c * 37 % 1801) * 0.1).alias("lat"), (F.lit(-180) + (c * 101 % 3601) * 0.1).alias("lon"))
+    radius = (F.lit(5) + (s % 6) * (s % 6) * 40).cast("double")
+    return points, t.supplier.select(s.alias("p"), (F.lit(-90) + s * 53 % 181).cast("double").alias("lat"), (F.lit(-180) + s * 89 % 361).cast("double").alias("lon"), radius.alias("radius_km"))
+
+
+@query(_CIRCLES_SQL + "SELECT k, k IN (SELECT k FROM j) AS near FROM c")
+def circle_containment(t: Tables) -> DataFrame:
+    return circles.in_any(*_world(t)).select("k", "near")
+
+
+@query(_CIRCLES_SQL + "SELECT k, p, round(km, 6) AS km FROM j")
+def circle_pairs(t: Tables) -> DataFrame:
+    points, spots = _world(t)
+    return circles.pairs(points, "k", spots, "p").select("k", "p", F.round("km", 6).alias("km"))
+
+
+_RESIDENCES_SQL = """WITH p AS (SELECT o_orderkey AS k, -90 + (o_custkey * 37 % 1801) * 0.1::DOUBLE AS lat, -180 + (o_custkey * 101 % 3601) * 0.1::DOUBLE AS lon, strftime(o_orderdate, '%Y-%m') AS ym, 'area ' || (o_custkey % 900) AS title FROM orders),
+h AS (SELECT s_suppkey AS s, CASE WHEN s_suppkey % 11 > 0 THEN -90 + (s_suppkey * 53 % 181)::DOUBLE END AS lat, -180 + (s_suppkey * 89 % 361)::DOUBLE AS lon, 5 + (s_suppkey % 6) * (s_suppkey % 6) * 40::DOUBLE AS radius_km,
+  (1992 + s_suppkey % 5) || '-0' || (1 + s_suppkey % 9) AS start, CASE WHEN s_suppkey % 3 > 0 THEN (1995 + s_suppkey % 4) || '-06' END AS stop, 'area ' || (s_suppkey * 7 % 1000) AS area FROM supplier)
+SELECT k, coalesce(bool_or(ym >= start AND (stop IS NULL OR ym <= stop) AND (title = area OR coalesce(""" + _KM.format(r=6371.0088, a="p.lat", b="h.lat", c="p.lon", d="h.lon") + """ <= radius_km, false))), false) AS home FROM p, h GROUP BY k"""
+
+
+@query(_RESIDENCES_SQL)
+def at_home_of_many(t: Tables) -> DataFrame:
+    """Whether an order's place or title is that of a residence of its month, with as many residences as suppliers."""
+    c, s = F.col("o_custkey"), F.col("s_suppkey")
+    points = t.orders.select(F.col("o_orderkey").alias("k"), (F.lit(-90) + (c * 37 % 1801) * 0.1).alias("lat"), (F.lit(-180) + (c * 101 % 3601) * 0.1).alias("lon"), F.date_format("o_orderdate", "yyyy-MM").alias("ym"), F.concat(F.lit("area "), (c % 900).cast("string")).alias("title"))
+    homes = _world(t)[1].withColumnRenamed("p", "s_suppkey").withColumn("lat", F.when(s % 11 > 0, F.col("lat")))
+    start = F.concat((F.lit(1992) + s % 5).cast("string"), F.lit("-0"), (F.lit(1) + s % 9).cast("string"))
+    end = F.when(s % 3 > 0, F.concat((F.lit(1995) + s % 4).cast("string"), F.lit("-06")))
+    homes = homes.select("lat", "lon", "radius_km", start.alias("start"), end.alias("end"), F.array(F.concat(F.lit("area "), (s * 7 % 1000).cast("string"))).alias("areas"))
+    return circles.at_home(points, homes).select("k", "home")
+
+
+@query("""WITH p AS (SELECT c_custkey AS k, -60 + (c_custkey % 121)::DOUBLE AS lat, (c_custkey % 90)::DOUBLE AS lon, (1990 + c_custkey % 12) || '-' || lpad((1 + c_custkey % 12)::VARCHAR, 2, '0') AS ym, 'n' || (c_custkey % 40) AS title FROM customer),
+h AS (SELECT n_nationkey AS n, -60 + n_nationkey * 5::DOUBLE AS lat, n_nationkey * 3::DOUBLE AS lon, 300::DOUBLE AS radius_km, (1991 + n_nationkey % 6) || '-03' AS start, CASE WHEN n_nationkey % 4 > 0 THEN (1994 + n_nationkey % 5) || '-10' END AS stop, 'n' || n_nationkey AS area FROM nation),
+j AS (SELECT k, ym, title, area, radius_km, start, stop, ym >= start AND (stop IS NULL OR ym <= stop) AS active, """ + _KM.format(r=6371.0088, a="p.lat", b="h.lat", c="p.lon", d="h.lon") + """ AS km,
+  ym[1:4]::INT * 12 + ym[6:7]::INT AS now, start[1:4]::INT * 12 + start[6:7]::INT AS a, stop[1:4]::INT * 12 + stop[6:7]::INT AS b FROM p, h)
+SELECT k, bool_or(active AND (title = area OR km <= radius_km)) AS home, round(coalesce(min(km) FILTER (active), arg_min(km, (least(abs(now - a), abs(now - b)), km))), 6) AS dist FROM j GROUP BY k""")
+def residence_nearest(t: Tables) -> DataFrame:
+    """Home and distance for a short configured list of residences, one a nation."""
+    c, n = F.col("c_custkey"), F.col("n_nationkey")
+    points = t.customer.select(c.alias("k"), (F.lit(-60) + c % 121).cast("double").alias("lat"), (c % 90).cast("double").alias("lon"), F.concat((F.lit(1990) + c % 12).cast("string"), F.lit("-"), F.lpad((F.lit(1) + c % 12).cast("string"), 2, "0")).alias("ym"), F.concat(F.lit("n"), (c % 40).cast("string")).alias("title"))
+    start, end = F.concat((F.lit(1991) + n % 6).cast("string"), F.lit("-03")), F.when(n % 4 > 0, F.concat((F.lit(1994) + n % 5).cast("string"), F.lit("-10")))
+    homes = t.nation.select((F.lit(-60.0) + n * 5).alias("lat"), (n * 3).cast("double").alias("lon"), F.lit(300.0).alias("radius_km"), start.alias("start"), end.alias("end"), F.array(F.concat(F.lit("n"), n.cast("string"))).alias("areas"))
+    return maps.residence(points, "k", homes).select("k", "home", F.round("dist", 6).alias("dist"))
