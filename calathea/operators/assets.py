@@ -11,6 +11,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import ranges, windows
+
 
 def like_any_case(text: Column, pattern: str) -> Column:
     """A pattern whose letters match in either case, null-safe: false of null."""
@@ -150,9 +152,11 @@ def live_pairs(assets: DataFrame, key: str, uuid: str, name: str, kind: str, ts:
 
 
 def visible_decile(rows: DataFrame, group: str, score: str, name: str = "decile") -> DataFrame:
-    """min(9, floor(10 * rows below / n)) within a group."""
-    w = W.partitionBy(group)
-    return rows.withColumn(name, F.least(F.lit(9), F.floor(10 * (F.rank().over(w.orderBy(score)) - 1) / F.count("*").over(w))).cast("int"))
+    """min(9, floor(10 * rows below / n)) within a group; nulls are below all others."""
+    table = windows.value_ranks(rows.select(group, score), score, [group])
+    table = table.select(F.col(group).alias("__group"), F.col(score).alias("__score"), F.least(F.lit(9), F.floor(10 * F.col("__below") / F.col("__of"))).cast("int").alias(name))
+    same = F.col(group).eqNullSafe(F.col("__group")) & F.col(score).eqNullSafe(F.col("__score"))
+    return rows.join(table, same, "left").select(*rows.columns, name)
 
 
 def _gelu(x: np.ndarray) -> np.ndarray:
@@ -237,9 +241,13 @@ def keepers_first(rows: DataFrame, group: Sequence[str], key: str, keeper: Colum
 def anchors(rows: DataFrame, group: Sequence[str], key: str, live: str, cap: int = 300) -> DataFrame:
     """(group, key): at most `cap` anchors of each group: the live ones first, in order of keys; what room they leave goes
     to the others, at even steps of their order, both ends included."""
-    w = W.partitionBy(*group, live)
-    ranked = rows.withColumn("__at", F.row_number().over(w.orderBy(key)) - 1).withColumn("__n", F.count("*").over(w))
-    ranked = ranked.withColumn("__need", F.greatest(F.lit(0), cap - F.count_if(F.col(live)).over(W.partitionBy(*group))))
+    ranked = ranges.running(rows, [*group, live], [key], "__at", "__n").withColumn("__at", F.col("__at") - 1)
+    # the live ones of a group, a row for each group
+    alive = rows.groupBy(*(F.col(c).alias(f"__g{k}") for k, c in enumerate(group))).agg(F.count_if(F.col(live)).alias("__alive"))
+    same = F.lit(True)
+    for k, c in enumerate(group):
+        same = same & F.col(c).eqNullSafe(F.col(f"__g{k}"))
+    ranked = ranked.join(alive, same).withColumn("__need", F.greatest(F.lit(0), cap - F.col("__alive")))
     need = F.col("__need")
     # place i of the sample is row floor(i * (n - 1) / (need - 1)); the place that a row could be, and whether it is
     last, steps = F.greatest(F.lit(1), F.col("__n") - 1), F.greatest(F.lit(1), need - 1)
@@ -278,8 +286,7 @@ def without_chips(rows: DataFrame, key: str, categories: DataFrame, category: st
 def dense_ids(rows: DataFrame, cell: Sequence[str], chain: str, start: str, name: str = "cluster_id") -> DataFrame:
     """(cell, chain, start, size, cluster_id): chains numbered from 1 in order of cell and start, over all of them; each
     range of cells is numbered in a task of its own."""
-    from .windows import numbered
 
     found = rows.groupBy(*cell, chain).agg(F.min(start).alias("start"), F.count("*").alias("size"))
     order = F.struct(*cell, "start", chain)
-    return numbered(found.withColumn("__order", order), cell[0], "__order", name).drop("__order")
+    return windows.numbered(found.withColumn("__order", order), cell[0], "__order", name).drop("__order")

@@ -5,11 +5,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from . import windows
+from . import ranges, windows
 
 
 def confusion(rows: DataFrame, truth: Column, predicted: Column) -> DataFrame:
@@ -68,10 +67,9 @@ def agreement(judgments: DataFrame, winner: str, loser: str) -> DataFrame:
 
 def stratified_split(rows: DataFrame, stratum: str, order: Sequence[Column], train: float = 0.8, val: float = 0.1) -> DataFrame:
     """`part`: the first round(train * n) rows of each stratum, then round(val * n), half-even, then test."""
-    w = W.partitionBy(stratum)
-    at, n = F.row_number().over(w.orderBy(*order)), F.count("*").over(w)
-    a, b = F.bround(n * train), F.bround(n * val)
-    return rows.withColumn("part", F.when(at <= a, "train").when(at <= a + b, "val").otherwise("test"))
+    placed = ranges.running(rows, [stratum], order, "__at", "__n")
+    at, a, b = F.col("__at"), F.bround(F.col("__n") * train), F.bround(F.col("__n") * val)
+    return placed.withColumn("part", F.when(at <= a, "train").when(at <= a + b, "val").otherwise("test")).drop("__at", "__n")
 
 
 def balance_weights(rows: DataFrame, bucket: str, low: float = 0.3, high: float = 6.0) -> DataFrame:
@@ -84,9 +82,15 @@ def balance_weights(rows: DataFrame, bucket: str, low: float = 0.3, high: float
 
 
 def moments(rows: DataFrame, column: str, bars: Sequence[float]) -> DataFrame:
-    """Least, largest, mean, population deviation, median, and counts at or above bars."""
+    """Least, largest, mean, population deviation, median, and counts at or above bars. The median is exact, and found by
+    ranges of the values: no buffer holds them."""
     c = F.col(column)
-    return rows.agg(F.min(c).alias("low"), F.max(c).alias("high"), F.round(F.avg(c), 6).alias("mean"), F.round(F.stddev_pop(c), 6).alias("deviation"), F.percentile(c, 0.5).alias("median"), *(F.count_if(c >= b).alias(f"at_least_{k}") for k, b in enumerate(bars)))
+    some = rows.agg(F.min(c).alias("low"), F.max(c).alias("high"), F.round(F.avg(c), 6).alias("mean"), F.round(F.stddev_pop(c), 6).alias("deviation"), F.count(c).alias("__n"), *(F.count_if(c >= b).alias(f"at_least_{k}") for k, b in enumerate(bars)))
+    places = windows.value_ranks(rows, column).crossJoin(F.broadcast(some.select("__n")))  # one row
+    at = lambda p: F.max(F.when((F.col("__below") <= p) & (p < F.col("__below") + F.col("__count")), c.cast("double")))
+    n = F.col("__n")
+    middle = places.agg(((at(F.floor((n - 1) / 2)) + at(F.floor(n / 2))) / 2).alias("median"))
+    return some.crossJoin(middle).select("low", "high", "mean", "deviation", "median", *(f"at_least_{k}" for k in range(len(bars))))  # one row each
 
 
 def histogram(rows: DataFrame, column: str, low: float, high: float, parts: int) -> DataFrame:

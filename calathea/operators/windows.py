@@ -1,7 +1,7 @@
 """Window derivations: keep ranks, gap-chained groups, runs, order statistics, samples, rates and streaks.
 
-Windows partition by a key wherever the derivation has one. Global ranks deal rows into ranges of the value, rank
-within them and add the counts of the lower ranges, so no task holds all rows.
+Windows partition by a key where its groups are small. Ranks and samples of groups of any size, and of all rows, go by
+ranges (``ranges.running``): each is ranked on its own and adds the counts of the lower ones, so no task holds a group.
 """
 
 from __future__ import annotations
@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from . import ranges
+
 
 def keep_rank(rows: DataFrame, group: Sequence[str], order: Sequence[Column], name: str = "keep_rank") -> DataFrame:
     """Rank within a group by preference; 1 is kept."""
@@ -47,48 +49,18 @@ def runs(rows: DataFrame, group: Sequence[str], order: Sequence[str], value: str
     return rows.withColumn(name, F.sum(new).over(w.rowsBetween(W.unboundedPreceding, 0)))
 
 
-RANGE_ROWS, LEAST_RANGES, MOST_RANGES = 5_000_000, 64, 4_096
-
-
-def ranged(rows: DataFrame, column: str, name: str = "__range", like: DataFrame | None = None) -> DataFrame:
-    """Numbers ranges of a numeric column, in its order, of about RANGE_ROWS rows, LEAST_RANGES at least and MOST_RANGES at
-    most; nulls come first. The bounds are approximate quantiles (of `like`, if given), so they change how rows are
-    dealt, never a result that adds up over ranges."""
-    value = F.col(column).cast("double")
-    steps = [k / MOST_RANGES for k in range(1, MOST_RANGES)]
-    n, bounds = (rows if like is None else like).agg(F.count("*"), F.percentile_approx(value, steps, 10 * MOST_RANGES)).first()
-    parts = min(MOST_RANGES, max(LEAST_RANGES, n // RANGE_ROWS))
-    bounds = sorted(set((bounds or [])[:: max(1, MOST_RANGES // parts)]))
-    below = lambda xs: F.size(F.filter(xs, lambda b: b < value))
-    array = lambda xs: F.array(*map(F.lit, xs)) if xs else F.array().cast("array<double>")
-    # two steps, so that a row is compared with twice the root of the bounds
-    width = max(1, round(len(bounds) ** 0.5))
-    groups = [bounds[k : k + width] for k in range(0, len(bounds), width)]
-    coarse = below(array([g[-1] for g in groups]))
-    fine = below(F.get(F.array(*map(array, groups)), coarse)) if groups else F.lit(0)
-    at = F.when(coarse < len(groups), coarse * width + fine).otherwise(F.lit(len(bounds))) + 1
-    return rows.withColumn(name, F.when(F.col(column).isNull(), 0).otherwise(at))
-
-
-def _before(ranges: DataFrame, amount: Column) -> DataFrame:
-    """(__range, __offset): the amount in lower ranges; a row for each range, so a window of one partition is small."""
-    sums = ranges.groupBy("__range").agg(F.sum(amount).alias("__sum"))
-    lower = F.sum("__sum").over(W.orderBy("__range").rowsBetween(W.unboundedPreceding, -1))
-    return sums.select("__range", F.coalesce(lower, F.lit(0)).alias("__offset"))
-
-
 def numbered(rows: DataFrame, column: str, tie: str, name: str = "rn") -> DataFrame:
-    """Global row numbers from 1 by a numeric column, then a tie-break; each range is numbered in a task of its own."""
-    dealt = ranged(rows, column)
-    own = F.row_number().over(W.partitionBy("__range").orderBy(column, tie))
-    return dealt.join(F.broadcast(_before(dealt, F.lit(1))), "__range").withColumn(name, F.col("__offset") + own).drop("__range", "__offset")
+    """Global row numbers from 1 by a column, then a tie-break; each range is numbered in a task of its own."""
+    return ranges.running(rows, [], [column, tie], name, "__n").drop("__n")
 
 
-def value_ranks(rows: DataFrame, column: str) -> DataFrame:
-    """(value, __count, __below): how often each value occurs, and how many non-null values are below it."""
-    counts = ranged(rows.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("__count")), column, like=rows)
-    own = F.sum("__count").over(W.partitionBy("__range").orderBy(column).rowsBetween(W.unboundedPreceding, 0)) - F.col("__count")
-    return counts.join(F.broadcast(_before(counts, F.col("__count"))), "__range").select(column, "__count", (F.col("__offset") + own).alias("__below"))
+def value_ranks(rows: DataFrame, column: str, group: Sequence[str] = ()) -> DataFrame:
+    """(group, value, __count, __below): how often each value occurs, and how many values of the group are below it.
+    Without groups, nulls are left out; else they are below all others."""
+    some = rows if group else rows.where(F.col(column).isNotNull())
+    counts = some.groupBy(*group, column).agg(F.count("*").alias("__count"))
+    upto = ranges.running(counts, group, [column], "__upto", "__of", F.col("__count"))
+    return upto.select(*group, column, "__count", (F.col("__upto") - F.col("__count")).alias("__below"), "__of")
 
 
 def order_statistic(rows: DataFrame, column: str, percent: int) -> DataFrame:
@@ -113,10 +85,9 @@ def rank_share(rows: DataFrame, column: str, tie: str, name: str = "share") -> D
     return out.withColumn(name, F.when(F.col("__n") > 1, (F.col("__rn") - 1) / (F.col("__n") - 1)).otherwise(F.lit(0.0))).drop("__rn", "__n")
 
 
-def even_sample(rows: DataFrame, group: Sequence[str], order: Sequence[Column], k: int, ends: bool = True) -> DataFrame:
+def even_sample(rows: DataFrame, group: Sequence[str], order: Sequence[str | Column], k: int, ends: bool = True) -> DataFrame:
     """k rows of each group at even steps of an order: both ends included, or at floor(i * n / k)."""
-    w = W.partitionBy(*group)
-    ranked = rows.withColumn("__at", F.row_number().over(w.orderBy(*order)) - 1).withColumn("__n", F.count("*").over(w))
+    ranked = ranges.running(rows, group, order, "__at", "__n").withColumn("__at", F.col("__at") - 1)
     n, i = F.col("__n"), F.sequence(F.lit(0), F.lit(k - 1))
     places = F.transform(i, lambda x: F.floor(x * (n - 1) / max(1, k - 1)) if ends else F.floor(x * n / k))
     return ranked.where((n <= k) | F.array_contains(places, F.col("__at").cast("long"))).drop("__at", "__n")
@@ -143,8 +114,25 @@ def rolling_rate(rows: DataFrame, group: Sequence[str], at: str, seconds: int, n
 
 def rolling_median(rows: DataFrame, group: Sequence[str], order: Sequence[str], value: str, last: int, least: int, name: str = "median") -> DataFrame:
     """Median of the last rows, null before there are `least`."""
-    w = W.partitionBy(*group).orderBy(*order).rowsBetween(-(last - 1), 0)
-    return rows.withColumn(name, F.when(F.count(value).over(w) >= least, F.percentile(value, 0.5).over(w)))
+    dealt = ranges.with_last(rows, group, order, last - 1)
+    w = W.partitionBy(ranges.RANGE, *group).orderBy(*order).rowsBetween(-(last - 1), 0)
+    found = dealt.withColumn(name, F.when(F.count(value).over(w) >= least, F.percentile(value, 0.5).over(w)))
+    return found.where("__own").select(*rows.columns, name)
+
+
+def recent_rate(rows: DataFrame, group: Sequence[str], at: str, tie: str, seconds: int, last: int, name: str = "rate") -> DataFrame:
+    """Steps per minute over the last rows up to each, those of the last seconds and at most `last`: their number less one,
+    over the time from the first to the last of them; null where that is no time."""
+    dealt = ranges.with_last(rows, group, [at, tie], last - 1)
+    own = W.partitionBy(ranges.RANGE, *group)
+    order, span = own.orderBy(at, tie), own.orderBy(at)
+    # of rows at the same time, only those before count
+    after = F.count("*").over(span.rangeBetween(0, 0)) - F.row_number().over(W.partitionBy(ranges.RANGE, *group, at).orderBy(tie))
+    n = F.least(F.lit(last), F.count("*").over(span.rangeBetween(-seconds, 0)) - after)
+    first = F.greatest(F.min(at).over(span.rangeBetween(-seconds, 0)), F.lag(at, last - 1).over(order))
+    time = F.col(at) - first
+    found = dealt.withColumn(name, F.when(time > 0, (n - 1) / time * 60.0))
+    return found.where("__own").select(*rows.columns, name)
 
 
 def streaks(rows: DataFrame, group: Sequence[str], order: Sequence[str], holds: Column, name: str = "streak") -> DataFrame:

@@ -79,6 +79,14 @@ def windowed_rate(t: Tables) -> DataFrame:
     return windows.rolling_rate(rows, ["event_type"], "at", 3600).select("event_id", F.round("rate", 9).alias("rate"))
 
 
+@query("""WITH e AS (SELECT event_type, event_id, epoch_us(ts) // 1000000 AS s FROM events), f AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY s, event_id) AS rn,
+min(event_id) OVER (PARTITION BY event_type, s) AS x FROM e), g AS (SELECT *, min(rn) OVER (PARTITION BY event_type ORDER BY s RANGE BETWEEN 36000 PRECEDING AND CURRENT ROW) AS lo FROM f)
+SELECT g.event_id, CASE WHEN g.s > h.s THEN round((g.rn - h.rn) * 60.0 / (g.s - h.s), 9)::DOUBLE END AS rate FROM g JOIN g h ON h.event_type = g.event_type AND h.rn = greatest(g.lo, g.rn - 19)""")
+def recent_rate(t: Tables) -> DataFrame:
+    rows = t.events.withColumn("at", F.unix_seconds(F.col("ts").cast("timestamp")))
+    return windows.recent_rate(rows, ["event_type"], "at", "event_id", 36000, 20).select("event_id", F.round("rate", 9).alias("rate"))
+
+
 @query("""SELECT event_id, CASE WHEN count(value) OVER w >= 10 THEN round(quantile_cont(value, 0.5) OVER w, 9) END AS median FROM events
 WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)""")
 def rolling_median(t: Tables) -> DataFrame:

@@ -235,14 +235,6 @@ def test_one_to_one(spark):
     assert rows(greedy.one_to_one(df, "g", "a", "b", "cost", "o")) == [(1, 10, 5), (2, 11, 7)]
 
 
-def test_ranges_are_in_order(spark, monkeypatch):
-    monkeypatch.setattr(windows, "RANGE_ROWS", 7)
-    df = spark.createDataFrame([(float(i * i % 997),) for i in range(2000)] + [(None,)] + [(5.0,)] * 300, "x double")
-    found = windows.ranged(df, "x").groupBy("__range").agg(F.min("x").alias("a"), F.max("x").alias("b"), F.count("*").alias("n")).orderBy("__range").collect()
-    assert found[0].a is None and all(p.b < q.a for p, q in zip(found[1:], found[2:], strict=False)) and 100 < len(found) < 400
-    assert sorted(r.rn for r in windows.numbered(df.withColumn("t", F.monotonically_increasing_id()), "x", "t").collect()) == list(range(1, 2302))
-
-
 def test_nearest_place_across_the_meridian(spark):
     points = spark.createDataFrame([(1, 0.0, 179.9), (2, 10.0, -179.8), (3, 0.0, 0.0)], "k int, lat double, lon double")
     places = spark.createDataFrame([(1, 0.0, 179.5), (2, 0.0, -179.95), (3, 10.0, 179.9), (4, 60.0, 100.0)], "p int, lat double, lon double")
