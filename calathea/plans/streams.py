@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import greedy
 from ..operators.durable import folder
 from ..registry import Tables, query
-from ..streaming import streams, watch
+from ..streaming import fanout, streams, watch
 
 
 def _events(t: Tables) -> DataFrame:
@@ -97,6 +99,42 @@ def watch_gaps(t: Tables) -> DataFrame:
     return watch.gaps(_worked(t.events), "worker", "at", "event_id", _LIMITS).withColumn("at", F.col("at").cast("timestamp_ntz"))
 
 
+# Rows of the first arrival are those before January 20 whose id doesn't end in 0; by the second, the watermark has closed days.
+_ARRIVALS_SQL = """WITH e AS (SELECT event_id, ts, concat_ws('/', event_type, user_id % 20) AS content, date_trunc('day', ts) + INTERVAL 1 DAY AS w, ts < TIMESTAMP '2024-01-20' AND event_id % 10 <> 0 AS early FROM events),
+m AS (SELECT max(ts) FILTER (early) - INTERVAL 1 HOUR AS first_mark, max(ts) - INTERVAL 1 HOUR AS last_mark FROM e),
+counted AS (SELECT e.* FROM e, m WHERE early OR w > coalesce(first_mark, TIMESTAMP '1970-01-01')),
+closed AS (SELECT counted.* FROM counted, m WHERE w <= last_mark)
+"""
+
+
+def _arrived(t: Tables, derive: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, dict[str, int]]:
+    """What a derivation of the events gives when they come in two arrivals, the second with late rows, and what was observed."""
+    events = t.events.select("event_id", F.col("ts").cast("timestamp").alias("ts"), F.concat_ws("/", "event_type", (F.col("user_id") % 20).cast("string")).alias("content"))
+    early = (F.col("ts") < F.lit("2024-01-20").cast("timestamp")) & (F.col("event_id") % 10 != 0)
+    path, checkpoint = folder(t.spark, "arrivals"), folder(t.spark, "streams")
+    with fanout.Observed(t.spark) as seen:
+        for now in (early, ~early):
+            events.where(now).write.mode("append").parquet(path)
+            rows = streams.new_files(t.spark, path, events.schema, per_trigger=10**6).observe("arrived", F.count("*").alias("rows_in"))
+            found = streams.drain(derive(rows), "drained", checkpoint)
+    return found, dict(seen.sums)
+
+
+@query(_ARRIVALS_SQL + """SELECT c.event_id, CASE WHEN f.first % 5 <> 2 THEN f.first END AS first FROM closed c JOIN (SELECT w, content, arg_min(event_id, (ts, event_id)) AS first FROM closed GROUP BY 1, 2) f USING (w, content)""")
+def stream_fan_out(t: Tables) -> DataFrame:
+    """Each row with the first one of its content and day, null where that one's work failed; late rows are not there."""
+    done = lambda rows: fanout.once(rows, "content", "ts", "event_id").where("first % 5 <> 2").drop("n")
+    return _arrived(t, lambda rows: fanout.fan_out(rows, done(rows), "content", "ts", "event_id"))[0].select("event_id", "first")
+
+
+@query(_ARRIVALS_SQL.rstrip() + """, k AS (SELECT count(*) AS rows_in, count(*) FILTER (NOT early AND ts <= date_trunc('millisecond', first_mark + INTERVAL 1 HOUR) - INTERVAL 1 HOUR) AS late FROM e, m)
+SELECT rows_in, rows_in - late AS kept, late FROM k""")
+def stream_late_rows(t: Tables) -> DataFrame:
+    """How many rows came, were kept, and were dropped as later than the watermark allows."""
+    found, sums = _arrived(t, lambda rows: streams.first_of_each(rows, "event_id", "ts", "1 hour").select("event_id"))
+    return found.agg(F.count("*").alias("kept")).select(F.lit(sums.get("rows_in", 0)).cast("long").alias("rows_in"), "kept", F.lit(sums.get("late", 0)).cast("long").alias("late"))
+
+
 @query()
 def unique_one_to_one(t: Tables) -> DataFrame:
     """Greedy one-to-one pairs of purchases and views of a user, in order of purchases."""
