@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from . import windows
-from .durable import written
+from .nearest import nearest_place as nearest_place
 
 
 def near_any(rows: DataFrame, centres: Sequence[tuple[float, float]], km: float, lat: str = "lat", lon: str = "lon", name: str = "near") -> DataFrame:
@@ -77,33 +77,3 @@ def masked(rows: DataFrame, centres: Sequence[tuple[float, float]], km: float, l
     near = near_any(rows, centres, km, lat, lon, "__near")
     hide = lambda c: F.when(~F.col("__near"), F.col(c))
     return near.withColumn(lat, hide(lat)).withColumn(lon, hide(lon)).drop("__near")
-
-
-def nearest_place(points: DataFrame, key: str, places: DataFrame, place: str, degrees: float = 0.5, rounds: int = 10, lat: str = "lat", lon: str = "lon") -> DataFrame:
-    """(key, place, km): the nearest place of each point, to the millimetre, ties to the smaller place.
-
-    Points meet the places of their own and the adjoining cells of a grid; a place no farther than a cell's narrow side
-    is the nearest, and the points left go on to a grid of twice the width, until a cell spans the globe. Cells go on
-    across the 180th meridian.
-    """
-    left, found = written(points.select(key, lat, lon), "points"), None
-    spots = places.select(F.col(place), F.col(lat).alias("__lat"), F.col(lon).alias("__lon"))
-    for k in range(rounds):
-        # a whole number of cells goes round the globe, so that cells beyond its ends are those of the other side
-        around_globe = max(1, int(360 // (degrees * 2**k)))
-        width = 360 / around_globe
-        cell = lambda c: F.floor(F.col(c) / width)  # noqa: B023, E731
-        near = F.explode(F.sequence(F.lit(-1), F.lit(1)))
-        around = left.withColumn("__dy", near).withColumn("__dx", near).withColumn("__y", cell(lat) + F.col("__dy")).withColumn("__x", F.pmod(cell(lon) + F.col("__dx"), F.lit(around_globe)))
-        around = around.select(key, lat, lon, "__y", "__x").distinct()
-        pairs = around.join(spots.withColumn("__y", cell("__lat")).withColumn("__x", F.pmod(cell("__lon"), F.lit(around_globe))), ["__y", "__x"])
-        km = S.haversine_km(F.col(lat), F.col(lon), F.col("__lat"), F.col("__lon"))
-        best = pairs.groupBy(key).agg(F.min(F.struct(F.round(km, 6).alias("km"), F.col(place))).alias("b"), F.first(lat).alias("__at"))
-        reach = F.lit(width * 111.19) * F.cos(F.radians(F.least(F.lit(89.0), F.abs("__at") + width)))
-        done = best.where((F.col("b.km") <= reach) | F.lit(width >= 180)).select(key, f"b.{place}", "b.km")
-        done = written(done, "nearest")
-        found = done if found is None else found.unionByName(done)
-        left = written(left.join(done, key, "left_anti"), "points")
-        if width >= 180 or left.isEmpty():
-            break
-    return found

@@ -16,8 +16,10 @@ def latest(log: DataFrame, key: Sequence[str], order: Sequence[Column], deleted:
     return out if deleted is None else out.where(~F.coalesce(deleted, F.lit(False)))
 
 
-def upsert(old: DataFrame, new: DataFrame, key: Sequence[str]) -> DataFrame:
-    """Old rows without new ones of their key, and the new ones."""
+def upsert(old: DataFrame, new: DataFrame, key: Sequence[str], order: Sequence[Column] = ()) -> DataFrame:
+    """Old rows without new ones of their key, and of the new ones the first of each key by `order` (by a hash of the row,
+    if there is none)."""
+    new = latest(new, key, order or [F.xxhash64(*new.columns)])
     return old.join(new, list(key), "left_anti").unionByName(new)
 
 

@@ -183,10 +183,33 @@ class CachedCount:
         return self.value
 
 
-def append_processed(rows: DataFrame, keys: DataFrame, path: str, manifest: str) -> None:
-    """Append results, then the keys they came from, also of those without results: a resumed run skips these."""
-    rows.write.mode("append").parquet(path)
-    keys.write.mode("append").parquet(manifest)
+def append_processed(rows: DataFrame, keys: DataFrame, path: str, batch: str) -> bool:
+    """Append results and the keys they came from, also of those without results, all or nothing: what a batch has written
+    counts when its one file in ``_commits`` names it. A batch that is there already is not written again (False)."""
+    spark, root = rows.sparkSession, path.rstrip("/")
+    fs, hadoop = _store(spark, path)
+    if fs.exists(hadoop(f"{root}/_commits/{batch}.json")):
+        return False
+    names = {kind: f"{kind}/{batch}-{uuid.uuid4().hex[:8]}" for kind in ("rows", "keys")}
+    rows.write.parquet(f"{root}/{names['rows']}")
+    keys.write.parquet(f"{root}/{names['keys']}")
+    part = hadoop(f"{root}/_commits/.{uuid.uuid4().hex}")
+    out = fs.create(part)
+    out.write(bytearray(json.dumps(names).encode()))
+    out.close()
+    if not fs.rename(part, hadoop(f"{root}/_commits/{batch}.json")):
+        raise OSError(f"{path}: cannot commit {batch}")
+    return True
+
+
+def committed(spark: SparkSession, path: str, schema: str, kind: str = "rows") -> DataFrame:
+    """The rows, or the keys, of all committed batches; a resumed run leaves out these keys."""
+    root = path.rstrip("/")
+    fs, hadoop = _store(spark, path)
+    if not fs.exists(hadoop(f"{root}/_commits")):
+        return spark.createDataFrame([], schema)
+    names = [r[0] for r in spark.read.schema(f"{kind} string").json(f"{root}/_commits/*.json").collect()]
+    return spark.read.schema(schema).parquet(*(f"{root}/{n}" for n in names)) if names else spark.createDataFrame([], schema)
 
 
 def snapshot(tables: dict[str, DataFrame], path: str) -> DataFrame:

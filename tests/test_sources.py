@@ -88,3 +88,18 @@ def test_json_lines_and_counts(spark, tmp_path):
     n = counted.get()
     (tmp_path / "c" / "more.txt").write_text("x")
     assert counted.get() == n
+
+
+def test_appends_are_whole_and_come_once(spark, tmp_path):
+    path = f"file://{tmp_path}/out"
+    read = lambda kind: sorted(r[0] for r in readers.committed(spark, path, "k long", kind).collect())
+    assert read("rows") == read("keys") == []
+    assert readers.append_processed(spark.range(2).toDF("k"), spark.range(4).toDF("k"), path, "b1")
+    assert not readers.append_processed(spark.range(2).toDF("k"), spark.range(4).toDF("k"), path, "b1")
+    from pyspark.sql import functions as F
+
+    with pytest.raises(Exception, match="lost"):
+        readers.append_processed(spark.range(9).toDF("k"), spark.range(3).select(F.raise_error(F.lit("lost")).cast("long").alias("k")), path, "b2")
+    assert read("rows") == [0, 1] and read("keys") == [0, 1, 2, 3]
+    assert readers.append_processed(spark.range(5, 6).toDF("k"), spark.range(5, 7).toDF("k"), path, "b2")
+    assert read("rows") == [0, 1, 5] and read("keys") == [0, 1, 2, 3, 5, 6]
