@@ -33,6 +33,9 @@ ESCAPED = {ESCAPE: ESCAPE + "\u0006", OPEN: ESCAPE + "\u0004", CLOSE: ESCAPE + "
 MALE_TITLES = ("Mr", "Mister", "Herr", "Señor", "Monsieur", "Sir", "господин", "κύριος")
 FEMALE_TITLES = ("Mrs", "Ms", "Miss", "Frau", "Señora", "Señorita", "Madame", "Mademoiselle", "госпожа", "κυρία")
 NEUTRAL_TITLES = ("Dr", "Prof", "Professor", "Doctor")
+#: Titles that also stand in capitals, and what may follow a title in small letters.
+CAPITAL_TITLES = ("MR", "MRS", "DR", "PROF", "PROFESSOR", "HERR", "FRAU")
+DEGREES = ("med", "phil", "jur", "rer", "nat", "ing", "habil", "h", "c")
 GIVEN = {
     ("latin", "m"): "James John Robert Michael William David Thomas Daniel Peter Paul Hans Karl Jürgen Stefan Pierre Jacques Michel Luis Carlos José Antonio Miguel".split(),
     ("latin", "f"): "Mary Patricia Jennifer Linda Elizabeth Barbara Susan Sarah Karen Emily Anna Ursula Sabine Monika Marie Sophie Camille Carmen María Isabel Lucía Elena".split(),
@@ -64,8 +67,13 @@ LETTERS = {
     "greek": "αβγδεζηθικλμνξοπρστυφχψω",
 }
 
-_TITLES = "|".join((*MALE_TITLES, *FEMALE_TITLES, *NEUTRAL_TITLES))
-_NAME_PART = r"\p{Lu}(?:['’]\p{Lu})?\p{Ll}+(?:-\p{Lu}\p{Ll}+)?"
+_TITLES = "|".join((*MALE_TITLES, *FEMALE_TITLES, *NEUTRAL_TITLES, *CAPITAL_TITLES))
+#: One title or several; their degrees belong to them.
+_RUN = rf"(?:(?:{_TITLES})\.? ?(?<=[. ])(?:(?:{'|'.join(DEGREES)})\. ?)*)+"
+_NAME_PART = r"\p{Lu}(?:['’]\p{Lu})?\p{Ll}+(?:\p{Lu}\p{Ll}+)?(?:-\p{Lu}\p{Ll}+)?"
+_INITIALS = r"(?:\p{Lu}\. ?){0,3}"
+#: What is a name after a title: no other title, and capitals as well.
+_CALLED = rf"(?!(?:{_TITLES})(?!\p{{L}}))(?:{_NAME_PART}|\p{{Lu}}{{2,}}(?:['’-]\p{{Lu}}{{2,}})?(?!\p{{L}}))"
 _INTRODUCED = "|".join(("[Mm]y name is", "[Nn]ame:", "[Ss]igned by", "[Ii]ch heiße", "[Mm]ein Name ist", "[Mm]e llamo", "[Jj]e m[’']appelle", "Меня зовут", "Με λένε"))
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 _OCTETS = rf"(?:{_OCTET}\.){{3}}{_OCTET}"
@@ -86,9 +94,9 @@ PATTERNS = {
     "phone": r"(?<![\p{L}\p{N}+])(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,4}|\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}|[0-9]{3}[-.][0-9]{3}[-.][0-9]{4}|" + _NATIONAL + r")(?![\p{L}\p{N}])",
     "secret": r"(?<![\p{L}\p{N}])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128}|AKIA[0-9A-Z]{16}|(?:sk|pk|gh[pousr])[-_][A-Za-z0-9_]{20,80})(?![\p{L}\p{N}])",
     "credential": r"""(?<=[=:\s"'])(?<=[=:]\s{0,2}["']?)(?<=(?:password|passwd|pwd|secret|token|api_key|apikey)\s{0,2}[=:]\s{0,2}["']?)(?=[\p{L}_\-+/]{0,40}[0-9])[\p{L}\p{N}_\-+/]{8,128}(?![\p{L}\p{N}])""",
-    "titled": rf"(?<![\p{{L}}\p{{N}}])(?:{_TITLES})\.? {_NAME_PART}(?: {_NAME_PART})?",
-    "name": rf"(?<![\p{{L}}\p{{N}}])(?:{'|'.join(x for v in GIVEN.values() for x in v)}) {_NAME_PART}(?![\p{{L}}\p{{N}}])",
-    "introduced": rf"(?<=(?:{_INTRODUCED})\s)(?:{_NAME_PART} )?{_NAME_PART}(?![\p{{L}}\p{{N}}])",
+    "titled": rf"(?<![\p{{L}}\p{{N}}]){_RUN}{_INITIALS}{_CALLED}(?: {_INITIALS}{_CALLED})?",
+    "name": rf"(?<![\p{{L}}\p{{N}}])(?:{'|'.join(x for v in GIVEN.values() for x in v)}) {_INITIALS}{_NAME_PART}(?![\p{{L}}\p{{N}}])",
+    "introduced": rf"(?<=(?:{_INTRODUCED})\s){_INITIALS}(?:{_NAME_PART} {_INITIALS})?{_NAME_PART}(?![\p{{L}}\p{{N}}])",
 }
 _ALL = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: What every finding has one of; a look at the first letter spares most places the names.
@@ -119,7 +127,7 @@ def _parts_of(marked: Column) -> Column:
 def _kind(m: Column) -> Column:
     """The type of a finding: that of the first pattern that matches the whole of it; of those found by what stands
     before them, a name is a name and the rest are secrets."""
-    out = F.when(m.rlike(rf"^{_NAME_PART}(?: {_NAME_PART})?$"), "name").otherwise("secret")
+    out = F.when(m.rlike(rf"^{_INITIALS}{_NAME_PART}(?: {_INITIALS}{_NAME_PART})?$"), "name").otherwise("secret")
     for kind, p in reversed(PATTERNS.items()):
         out = F.when(m.rlike(rf"^(?:{p})$"), kind).otherwise(out)
     return out
@@ -130,29 +138,36 @@ def _script(s: Column) -> Column:
 
 
 def _names(m: Column) -> Column:
-    """Given name and family name of a finding as written, or the only name."""
-    return F.split(F.regexp_replace(m, rf"^(?:{_TITLES})\.? ", ""), " ")
+    """Given name and family name of a finding as written, or the only name; without titles and initials."""
+    return F.split(F.trim(F.regexp_replace(F.regexp_replace(m, rf"^{_RUN}", ""), r"(?<!\p{L})(?:\p{Lu}\. ?)+", "")), " +")
 
 
 def _parts(m: Column, kind: Column) -> Column:
     """The entities of a finding, as (type, canonical form, gender: above 0 male, below 0 female): one, or of a person
-    the family name and the person."""
+    the family name and the person, and of an address the domain and the address."""
     plain = F.lower(F.regexp_replace(m, r"[^\p{L}\p{N}]", ""))
     names = _names(m)
-    title = F.regexp_extract(m, rf"^({_TITLES})\.? ", 1)
+    title = F.regexp_extract(m, rf"^({_RUN})", 1)
     first, family = F.lower(names[0]), F.element_at(names, -1)
-    known = lambda g: names[0].isin(*(x for (_, k), v in GIVEN.items() if k == g for x in v))
-    gender = F.when(title.isin(*MALE_TITLES), 3).when(title.isin(*FEMALE_TITLES), -3)
+    known = lambda g: F.initcap(names[0]).isin(*(x for (_, k), v in GIVEN.items() if k == g for x in v))
+    of = lambda titles: title.rlike(rf"(?i)(?<!\p{{L}})(?:{'|'.join(titles)})(?!\p{{L}})")
+    gender = F.when(of(MALE_TITLES), 3).when(of(FEMALE_TITLES), -3)
     gender = gender.when(known("m") & ~known("f"), 1).when(known("f") & ~known("m"), -1).otherwise(0)
     one = lambda t, c, g: F.struct(F.lit(t).alias("type"), c.alias("canon"), g.alias("gender"))
     low = F.when(_script(family) == "cyrillic", F.regexp_replace(F.lower(family), "(?<=[ое]в|ин)а$", "")).otherwise(F.lower(family))
     single = F.when((title == "") & (known("m") | known("f")), one("given", first, gender)).otherwise(one("family", low, F.lit(0)))
     person = F.array(one("family", low, F.lit(0)), one("person", F.concat_ws(" ", first, low), gender))
     canon = F.when(kind == "ipv6", _groups(m)).when(kind.isin("email", "ipv4"), F.lower(m)).otherwise(plain)
-    other = F.array(F.struct(kind.alias("type"), canon.alias("canon"), F.lit(0).alias("gender")))
+    own = F.struct(kind.alias("type"), canon.alias("canon"), F.lit(0).alias("gender"))
+    other = F.when(kind == "email", F.array(one("domain", _domain(F.lower(m)), F.lit(0)), own)).otherwise(F.array(own))
     return F.when(~kind.isin("titled", "name", "introduced"), other).when(F.size(names) > 1, person).otherwise(F.array(single))
 
 
+def _domain(address: Column) -> Column:
+    """The last two labels of an address."""
+    return F.regexp_extract(address, r"([^.@]+\.[^.@]+)$", 1)
+
+
 def _groups(m: Column) -> Column:
     """An IPv6 address written out: eight groups without leading zeros, in lower case."""
     low = F.lower(m)
@@ -226,15 +241,15 @@ def _mod97(s: Column) -> Column:
 
 
 def surrogate(kind: Column, canon: Column, key: str, attempt: Column, gender: Column) -> Column:
-    """The keyed surrogate of an entity, in canonical form (of a person, the given name); attempts give others, from
-    ever larger spaces where the form doesn't fix it."""
+    """The keyed surrogate of an entity, in canonical form (of a person, the given name; of an address, what stands before
+    the domain); attempts give others, from ever larger spaces where the form doesn't fix it."""
     seed = F.sha2(F.concat_ws("|", F.lit(key), kind, canon, attempt.cast("string")), 256)
     drawn = _letters(canon, seed)
-    local, domain = F.split(canon, "@")[0], F.split(canon, "@")[1]
-    labels = F.regexp_extract(domain, r"^((?:.*\.)?)[^.]+\.[^.]+$", 1)
-    top = F.element_at(F.split(domain, r"\."), -1)
-    # coreferent domains stay so: their labels are keyed by themselves
-    email = F.concat(_letters(F.concat(local, F.when(attempt > 3, attempt.cast("string")).otherwise("")), seed), F.lit("@"), _letters(labels, F.sha2(F.concat(F.lit(key), labels), 256)), F.lit("example."), F.when(top.isin("com", "net", "org"), top).otherwise("org"))
+    local, labels = F.split(canon, "@")[0], F.regexp_extract(canon, r"@((?:.*\.)?)[^.]+\.[^.]+$", 1)
+    # what stands before the domain is keyed by itself, so that it stays the same in all addresses
+    email = F.concat(_letters(F.concat(local, F.when(attempt > 3, attempt.cast("string")).otherwise("")), seed), F.lit("@"), _letters(labels, F.sha2(F.concat(F.lit(key), labels), 256)))
+    top = F.substring_index(canon, ".", -1)
+    domain = F.concat(_letters(F.concat(F.lit("nnnnn"), F.repeat(F.lit("n"), attempt)), seed), F.lit(".example."), F.when(top.isin("com", "net", "org"), top).otherwise("org"))
     octet = lambda k: (_byte(seed, F.lit(k)) % 254 + 1).cast("string")
     ipv4 = F.concat_ws(".", (_byte(seed, F.lit(0)) % 15 + 240).cast("string"), octet(1), octet(2), octet(3))
     ipv6 = F.concat(F.lit("fd"), F.array_join(F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.when(i == 0, F.sha2(F.concat(seed, i.cast("string")), 256).substr(1, 2)).otherwise(F.regexp_replace(F.sha2(F.concat(seed, i.cast("string")), 256).substr(1, 4), "^0+(?=.)", ""))), ":"))
@@ -246,7 +261,7 @@ def surrogate(kind: Column, canon: Column, key: str, attempt: Column, gender: Co
     code = F.when(canon.startswith("0"), 1).when(F.length(canon) == 10, 0).otherwise(F.least(F.lit(3), F.length(canon) - 10))
     code = F.when(code < 0, 0).otherwise(code)
     phone = F.concat(canon.substr(F.lit(1), code), ((_byte(seed, F.lit(62)) % 8) + 2).cast("string"), drawn.substr(code + 2, F.length(canon)))
-    out = F.when(kind == "email", email).when(kind == "ipv4", ipv4).when(kind == "ipv6", ipv6).when(kind == "ssn", ssn).when(kind == "card", card).when(kind == "iban", iban).when(kind == "phone", phone).when((kind == "secret") & canon.rlike("^[0-9a-f]+$"), _letters(canon, seed, True)).when(kind == "secret", drawn)
+    out = F.when(kind == "email", email).when(kind == "domain", domain).when(kind == "ipv4", ipv4).when(kind == "ipv6", ipv6).when(kind == "ssn", ssn).when(kind == "card", card).when(kind == "iban", iban).when(kind == "phone", phone).when((kind == "secret") & canon.rlike("^[0-9a-f]+$"), _letters(canon, seed, True)).when(kind == "secret", drawn)
     for script in SOUNDS:
         here = _script(canon) == script
         out = out.when(here & (kind == "family"), _sounding(script, "family", seed, attempt + 2))
@@ -258,9 +273,9 @@ def surrogate(kind: Column, canon: Column, key: str, attempt: Column, gender: Co
 def assign(entities: DataFrame, key: str) -> DataFrame:
     """(type, canon, sur) of distinct entities (type, canon, gender): rounds of draws until no surrogate equals another's
     of its space, or a real entity. A person's space is that of its family's given names, of which only its own is
-    barred; family names differ from all real ones, and so do persons."""
+    barred; family names differ from all real ones, and so do persons. Likewise an address's space is its domain."""
     family = F.regexp_extract("canon", " (.*)$", 1)
-    space = F.when(F.col("type") == "person", F.concat(F.lit("person "), family)).otherwise(F.col("type"))
+    space = F.when(F.col("type") == "person", F.concat(F.lit("person "), family)).when(F.col("type") == "email", F.concat(F.lit("email "), _domain(F.col("canon")))).otherwise(F.col("type"))
     state = cut(entities.select("type", "canon", "gender", space.alias("space"), F.lit(0).alias("attempt")), "entities")
     barred = F.when(F.col("type") == "person", F.substring_index("canon", " ", 1)).otherwise(F.col("canon"))
     real = state.where("type <> 'person'").select("space", F.col("canon").alias("sur")).distinct().withColumn("real", F.lit(True))
@@ -307,9 +322,15 @@ def _lay_out(m: Column, kind: Column, sur: Column) -> Column:
     fill = lambda c, i: F.when(c.rlike(r"\p{Lu}"), F.upper(own(i))).when(c.rlike(r"[\p{L}\p{N}]"), own(i)).otherwise(c)
     filled = F.array_join(F.transform(chars, fill), "")
     bare = _bare(m, kind, sur)
-    title = F.regexp_extract(m, rf"^((?:{_TITLES})\.? )", 1)
-    person = F.concat(title, F.when(F.size(bare) > 1, F.concat(bare[1]["new"], F.lit(" "))).otherwise(""), bare[0]["new"])
-    address = F.when((m == F.upper(m)) & (kind == "email") & m.rlike(r"\p{L}"), F.upper(sur[0])).otherwise(sur[0])
+    title = F.regexp_extract(m, rf"^({_RUN})", 1)
+    rest = m.substr(F.length(title) + 1, F.length(m))
+    # initials become letters of the new family name, and keep their points and spaces
+    letter = lambda c, i: F.when(c.rlike(r"\p{Lu}"), F.upper(sur[0].substr(i % 3 + 2, F.lit(1)))).otherwise(c)
+    short = lambda p: F.array_join(F.transform(F.filter(F.split(F.regexp_extract(rest, p, 1), ""), lambda c: c != ""), letter), "")
+    one, two = short(r"^((?:\p{Lu}\. ?)+)"), short(r"\p{L}{2,} ((?:\p{Lu}\. ?)+)")
+    person = F.concat(title, one, F.when(F.size(bare) > 1, F.concat(bare[1]["new"], F.lit(" "))).otherwise(""), two, bare[0]["new"])
+    whole = F.when(kind == "email", F.concat(F.get(sur, F.lit(1)), sur[0])).otherwise(sur[0])
+    address = F.when((m == F.upper(m)) & (kind == "email") & m.rlike(r"\p{L}"), F.upper(whole)).otherwise(whole)
     return F.when(kind.isin("titled", "name", "introduced"), person).when(kind.isin("email", "ipv4", "ipv6"), address).otherwise(filled)
 
 
