@@ -33,7 +33,7 @@ def _shape(text: Column) -> list[Column]:
     return [F.char_length(text).alias("len"), F.xxhash64(F.substring(text, 1, HEAD)).alias("head")]
 
 
-def _marked(rows: DataFrame, keys: DataFrame) -> DataFrame:
+def marked(rows: DataFrame, keys: DataFrame) -> DataFrame:
     """Rows with a column `open`: whether their values of the keys' columns may be among the keys."""
     place = F.pmod(F.xxhash64(*keys.columns), F.lit(1 << BITS)) + 1
     bucket, at = F.bitmap_bucket_number(place), F.bitmap_bit_position(place)
@@ -49,10 +49,10 @@ def exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     shapes = cut(docs.select(normalised(column(docs, text_col)).alias("text")).select(*_shape(F.col("text"))), "shapes")
     lengths = shapes.groupBy("len").count().where("count > 1").select("len")
     # a hot length is never gathered: lengths are told by their bitmap, too
-    heads = _marked(shapes, lengths).where("open").groupBy("len", "head").count().where("count > 1").select("len", "head")
+    heads = marked(shapes, lengths).where("open").groupBy("len", "head").count().where("count > 1").select("len", "head")
 
     rows = docs.select(column(docs, id_col).alias("id"), F.struct(*(column(docs, c).alias(f"c{n}") for n, c in enumerate(carry)), F.lit(0)).alias("own"), normalised(column(docs, text_col)).alias("text"))
-    rows = _marked(rows.select("*", *_shape(F.col("text"))), heads)
+    rows = marked(rows.select("*", *_shape(F.col("text"))), heads)
     full = F.when(F.col("open"), F.unhex(F.sha2("text", 256)))
     # a number for each row, lasting as soon as it is written
     rows = cut(rows.select("id", "own", full.alias("full"), F.monotonically_increasing_id().alias("row")), "hashed")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -15,8 +16,10 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder below spark.checkpoint.dir; only where that is unset, as in tests, below a local one."""
+    """A new folder below spark.checkpoint.dir; where that is unset and all runs on this machine, below a local one."""
     base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not re.match(r"local($|\[)", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if not base:
         base = "file://" + os.path.join(tempfile.gettempdir(), "calathea")
         spark.conf.set("spark.checkpoint.dir", base)

@@ -3,9 +3,11 @@
 Writer. Each page is a record in a gzip member of its own, in an archive for each task. Of records with equal payloads
 of at least `least` bytes the one with the largest id is the response, the others are revisits of it. Representatives
 are found with partial maxima and joined on the digest, which Spark splits where one digest is hot.
-Reader. Archives are read as streams. A member that fails its checks (gzip checksum, record head, content length,
-payload digest) is not the end: the reader searches for the next gzip member or version line that begins a valid
-record, goes on from there, and logs the bytes between as a quarantined gap.
+Reader. A member that fails its checks (gzip checksum, record head, content length, payload digest) is not the end: the
+reader searches for the next gzip member or version line that begins a valid record, goes on from there, and logs the
+bytes between as a quarantined gap. It holds a record or a chunk of 1 MB, whichever is larger: a length that doesn't
+fit, however large, is seen before the bytes are read, and a member is unpacked no further than its record goes. Such a
+record costs its own bytes up to the next record that is whole. One of over 2 GB is a gap.
 
 Defined results: null html is an empty payload; a null url is left out; equal ids make records each; a null id is the
 id "null" and null again when read; an empty table makes no archives. Records carry WARC-Payload-Length, so that a
@@ -17,6 +19,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import io
+import re
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
@@ -26,6 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .exact_dedup import marked
 from .shared import column, cut, filesystem, publish
 
 VERSION = b"WARC/1.1"
@@ -95,108 +99,126 @@ def write(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str =
     rows = pages.select(column(pages, id_col).cast("long").alias("page_id"), column(pages, url_col).cast("string").alias("url"), payload.alias("html"))
     digest = rows.select("page_id", F.unhex(F.sha1("html")).alias("digest"), F.length("html").alias("size")).where(F.col("size") >= least)
     first = digest.groupBy("digest").agg(F.max("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
+    first = cut(first, "digests")
     keyed = rows.withColumn("digest", F.when(F.length("html") >= least, F.unhex(F.sha1("html"))))
-    joined = keyed.join(cut(first, "digests"), "digest", "left")
+    # pages whose digest isn't among the repeated ones (told by a bitmap of bounded size) are never shuffled
+    keyed = marked(keyed, first.select("digest"))
+    single = keyed.where(~F.col("open")).select("page_id", "url", "html", F.lit(None).cast("long").alias("refers_to"))
+    joined = keyed.where("open").join(first, "digest", "left")
     refers = F.when(F.col("first") != F.col("page_id"), F.col("first")).when(F.col("page_id").isNull(), F.col("first"))
-    return cut(joined.select("page_id", "url", "html", refers).mapInArrow(_archive(folder), "path string, records long, bytes long"), "archives")
+    joined = joined.select("page_id", "url", "html", refers.alias("refers_to"))
+    return cut(single.unionByName(joined).mapInArrow(_archive(folder), "path string, records long, bytes long"), "archives")
 
 
 class _Source:
-    """A window over a stream of bytes: `need(n)` holds n bytes from `at` if there are as many."""
+    """Bytes of a file by place. What is held is the last piece that was asked for, or a chunk; `most` is the largest."""
 
     def __init__(self, stream):
-        self.stream, self.data, self.start, self.ended = stream, b"", 0, False
+        stream.seek(0, 2)
+        self.stream, self.size, self.data, self.start, self.most = stream, stream.tell(), b"", 0, 0
 
     def read(self, at: int, n: int) -> bytes:
-        while not self.ended and at + n > self.start + len(self.data):
-            more = self.stream.read(max(CHUNK, at + n - self.start - len(self.data)))
-            self.ended = not more
-            self.data += more
+        n = min(n, self.size - at)
+        if n <= 0:
+            return b""
+        if at < self.start or at + n > self.start + len(self.data):
+            self.data = b""
+            self.stream.seek(at)
+            self.start, self.data = at, self.stream.read(min(max(CHUNK, n), self.size - at))
+            self.most = max(self.most, len(self.data))
         return self.data[at - self.start : at - self.start + n]
 
-    def forget(self, at: int) -> None:
-        if at - self.start > 4 * CHUNK:
-            self.data = self.data[at - self.start :]
-            self.start = at
-
     def find(self, at: int) -> int | None:
         """The next place of a gzip member or a version line."""
-        while True:
-            block = self.read(at, CHUNK)
-            if len(block) < 4:
-                return None
+        while len(block := self.read(at, CHUNK)) >= 4:
             found = [k for k in (block.find(b"\x1f\x8b\x08"), block.find(b"WARC/1.")) if k >= 0]
             if found:
                 return at + min(found)
-            if self.ended and at + len(block) >= self.start + len(self.data):
-                return None
-            at += len(block) - 6
+            at += len(block) - 6 if len(block) == CHUNK else len(block)
+        return None
 
 
-def _parse(raw: bytes) -> tuple[dict[str, str], bytes, int]:
-    """(fields, block, bytes used) of a record at the start of `raw`; ValueError says what is wrong with it."""
+def _head(raw: bytes) -> tuple[dict[str, str], int, int] | None:
+    """(fields, start of the block, its length) of a record at the start of `raw`; None if more bytes may hold the end of
+    the head, ValueError if they can't."""
     if not raw.startswith(b"WARC/1."):
         raise ValueError("no version line")
     stop = raw.find(b"\r\n\r\n")
     if stop < 0:
-        # more bytes may hold the end, unless what is here is no head: a field's name is short, its value may be long
+        # a field's name is short, its value may be long
         if raw.find(b"\r\n", 0, NAME) < 0 <= len(raw) - NAME or any(b":" not in x[:NAME] for x in raw.split(b"\r\n")[1:] if len(x) >= NAME):
             raise ValueError("damaged head")
-        raise ValueError("head without an end")
+        return None
     fields = {}
     for line in raw[:stop].split(b"\r\n")[1:]:
         k, colon, v = line.partition(b":")
         if not colon:
             raise ValueError("damaged head")
         fields[k.decode("utf-8", "replace").strip().lower()] = v.decode("utf-8", "replace").strip()
-    if not fields.get("content-length", "").isdigit() or "warc-type" not in fields:
+    if not re.fullmatch("[0-9]{1,18}", fields.get("content-length", "")) or "warc-type" not in fields:
         raise ValueError("damaged head")
-    size = int(fields["content-length"])
-    block = raw[stop + 4 : stop + 4 + size]
-    if len(block) < size or raw[stop + 4 + size : stop + 8 + size] != b"\r\n\r\n":
-        raise ValueError("content length doesn't fit")
+    return fields, stop + 4, int(fields["content-length"])
+
+
+def _checked(fields: dict[str, str], block: bytes) -> bytes:
     if fields["warc-type"] == "response" and (want := fields.get("warc-payload-digest", "")).startswith("sha1:"):
         if base64.b32encode(hashlib.sha1(block).digest()).decode() != want[5:]:
             raise ValueError("payload digest doesn't fit")
-    return fields, block, stop + 8 + size
+    return block
 
 
 def _at(source: _Source, at: int) -> tuple[dict[str, str], bytes, int]:
-    """The record at a place, gzipped or plain, and where it ends."""
+    """The record at a place, gzipped or plain, and where it ends. No more is held than the head, and as many bytes as it
+    claims where these end as a record does: a wrong length is seen before its block is read."""
     if source.read(at, 3) == b"\x1f\x8b\x08":
-        unpack, out, place = zlib.decompressobj(31), [], at
-        while not unpack.eof:
-            block = source.read(place, 64 << 10)
-            if not block:
-                raise ValueError("member without an end")
-            try:
-                out.append(unpack.decompress(block))
-            except zlib.error as e:
-                raise ValueError(f"gzip: {e}") from None
-            if sum(map(len, out)) > MAX_RECORD:
-                raise ValueError("record too large")
-            place += len(block)
-        raw = b"".join(out)
-        fields, block, used = _parse(raw)
-        if used != len(raw):
-            raise ValueError("bytes after the record in its member")
-        return fields, block, place - len(unpack.unused_data)
+        return _member(source, at)
     have = 1 << 16
-    while True:
-        raw = source.read(at, have)
+    while (head := _head(raw := source.read(at, have))) is None:
+        if len(raw) < have or have > MAX_RECORD:
+            raise ValueError("head without an end")
+        have *= 2
+    fields, start, size = head
+    if source.read(at + start + size, 4) != b"\r\n\r\n":
+        raise ValueError("content length doesn't fit")
+    if size > MAX_RECORD:
+        raise ValueError("record too large")
+    block = source.read(at + start, size)
+    return fields, _checked(fields, block), at + start + size + 4
+
+
+def _member(source: _Source, at: int) -> tuple[dict[str, str], bytes, int]:
+    """As _at, of a gzip member, which is unpacked in pieces and no further than its record goes."""
+    unpack, out, place, head = zlib.decompressobj(31), bytearray(), at, None
+    while not unpack.eof:
+        packed = unpack.unconsumed_tail or source.read(place, 64 << 10)
+        if not packed:
+            raise ValueError("member without an end")
+        place += 0 if unpack.unconsumed_tail else len(packed)
         try:
-            fields, block, used = _parse(raw)
-            return fields, block, at + used
-        except ValueError as e:
-            if len(raw) < have or have > MAX_RECORD or "content length" not in str(e) and "without an end" not in str(e):
-                raise
-            have *= 4
+            out += unpack.decompress(packed, 256 << 10)
+        except zlib.error as e:
+            raise ValueError(f"gzip: {e}") from None
+        if head is None:
+            head = _head(bytes(out))
+        if head and len(out) > head[1] + head[2] + 4:
+            raise ValueError("bytes after the record in its member")
+        if len(out) > MAX_RECORD:
+            raise ValueError("record too large")
+        source.most = max(source.most, len(out))
+    if head is None:
+        raise ValueError("head without an end")
+    fields, start, size = head
+    if len(out) < start + size + 4 or out[start + size :] != b"\r\n\r\n":
+        raise ValueError("content length doesn't fit")
+    del out[start + size :]
+    del out[:start]
+    return fields, _checked(fields, bytes(out)), place - len(unpack.unused_data)
 
 
 def salvage(stream) -> Iterator[tuple[str, int, int, dict[str, str], bytes]]:
-    """(kind, place, end, fields or reason, block): kind is "record", or "gap" for quarantined bytes."""
+    """(kind, place, end, fields or reason, block): kind is "record", or "gap" for quarantined bytes. The stream can seek."""
     source, at = _Source(stream), 0
-    while source.read(at, 1):
+    while at < source.size:
         try:
             fields, block, end = _at(source, at)
         except ValueError as e:
@@ -207,16 +229,11 @@ def salvage(stream) -> Iterator[tuple[str, int, int, dict[str, str], bytes]]:
                     break
                 except ValueError:
                     place = found + 1
-            if found is None:
-                while more := len(source.read(place, CHUNK)):
-                    place += more
-                    source.forget(place)
-            at = place if found is None else found
+            at = source.size if found is None else found
             yield "gap", bad, at, {"reason": reason}, b""
             continue
         yield "record", at, end, fields, block
         at = end
-        source.forget(at)
 
 
 def _rows(name: str, stream) -> Iterator[tuple]:
@@ -237,7 +254,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for name in batch.column(0).to_pylist():
             fs, at = filesystem(name)
-            with fs.open_input_stream(at) as stream:
+            with fs.open_input_file(at) as stream:
                 rows, held = [], 0
                 for row in _rows(name, stream):
                     rows.append(row)

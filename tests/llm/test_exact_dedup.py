@@ -52,7 +52,7 @@ def test_only_surviving_groups_are_hashed(spark):
     rows = [(k, "x" * k) for k in range(50)] + [(100 + k, f"{k:02d}" + "y" * 70) for k in range(20)] + [(200, "same"), (201, "same"), (202, "diff")]
     keys = spark.createDataFrame([(4, h) for h in ["same"]], "len int, text string").select("len", F.xxhash64("text").alias("head"))
     frame = spark.createDataFrame(rows, "id long, text string").select("id", F.char_length("text").alias("len"), F.xxhash64(F.substring("text", 1, 64)).alias("head"))
-    assert {r.id for r in exact_dedup._marked(frame, keys).where("open").collect()} == {200, 201}
+    assert {r.id for r in exact_dedup.marked(frame, keys).where("open").collect()} == {200, 201}
 
 
 def test_hot_group_and_ties(spark):

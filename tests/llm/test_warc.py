@@ -78,3 +78,44 @@ def test_long_heads(pack):
     rows = warc.read_bytes(raw)
     assert [(r[2], r[3]) for r in rows] == [("response", 0), ("response", 9), ("response", 1)] and rows[1][8] == url
     assert kinds(b"WARC/1.1\r\nno head" + b"x" * 300_000 + RECORDS[1]) == ["gap", 1]
+
+
+@pytest.mark.parametrize("wrong", [-100, 100, 5_000_000, 10**9, 10**17])
+@pytest.mark.parametrize("pack", [bytes, gzip.compress])
+def test_wrong_lengths_hold_no_more_than_their_record(wrong, pack):
+    """A record whose length is too short, too long or absurd, before many good ones."""
+    import io
+
+    block = b"<p>" * 400
+    bad = pack(warc.VERSION + b"\r\nWARC-Type: resource\r\nContent-Length: %d\r\n\r\n" % (len(block) + wrong) + block + b"\r\n\r\n")
+    big = gzip.decompress(warc.record(1, "u", b"x" * 3_000_000))
+    raw = bad + b"".join(RECORDS) + big + b"".join(RECORDS) * 200
+    held = []
+    source = warc._Source
+
+    class Watched(source):
+        def __init__(self, stream):
+            super().__init__(stream)
+            held.append(self)
+
+    warc._Source = Watched
+    try:
+        found = list(warc.salvage(io.BytesIO(raw)))
+    finally:
+        warc._Source = source
+    assert [(k, at, end) for k, at, end, *_ in found if k == "gap"] == [("gap", 0, len(bad))]
+    assert len(found) == 2 + len(RECORDS) * 201
+    assert held[0].most <= len(big) + (1 << 20)
+    small = list(warc.salvage(io.BytesIO(bad + b"".join(RECORDS) * 500)))
+    assert len(small) == 1 + len(RECORDS) * 500
+
+
+def test_a_bomb_is_not_unpacked():
+    bomb = gzip.compress(gzip.decompress(RECORDS[1]) + bytes(200_000_000), 9)
+    import io
+
+    source = warc._Source(io.BytesIO(bomb + RECORDS[2]))
+    with pytest.raises(ValueError, match="bytes after"):
+        warc._at(source, 0)
+    assert source.most < 2 << 20
+    assert kinds(bomb + RECORDS[2]) == ["gap", 2]
