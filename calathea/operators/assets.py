@@ -132,7 +132,9 @@ def hero(rows: DataFrame, group: Sequence[str], key: str, score: str, blur: str,
 def live_pairs(assets: DataFrame, key: str, uuid: str, name: str, kind: str, ts: str, live: str, stills: Sequence[str] = ("HEIC", "JPG", "JPEG")) -> DataFrame:
     """(still, mov, method, confidence): pairs of one uuid; then, by stem, the nearest free still within a day.
 
-    One candidate is taken whatever its time. Clips of one stem choose one after another within the stem's group.
+    One candidate is taken whatever its time. Clips of one stem choose one after another within the stem's group. Clips
+    meet the stills of their day and the days beside it, so a stem that many have is never multiplied out; those without
+    a time are as near to all.
     """
     from ..functions import scalars as S
     from . import greedy
@@ -145,8 +147,14 @@ def live_pairs(assets: DataFrame, key: str, uuid: str, name: str, kind: str, ts:
     free_s = assets.where(up.isin(*stills)).join(sure, F.col(key) == F.col("still"), "left_anti").select(base.alias("stem"), F.col(key).alias("still"), F.col(ts).alias("__ts"))
     free_m = assets.where((up == "MOV") & F.col(live)).join(sure, F.col(key) == F.col("mov"), "left_anti").select(base.alias("stem"), F.col(key).alias("mov"), F.col(ts).alias("__tm"))
     many = free_s.groupBy("stem").agg(F.count("*").alias("__n"))
-    pairs = free_m.join(free_s, "stem").join(many, "stem").withColumn("cost", F.coalesce(F.abs(F.col("__ts") - F.col("__tm")).cast("double"), F.lit(0.0)))
-    pairs = pairs.where((F.col("__n") == 1) | (F.col("cost") <= 86_400)).withColumn("order", F.col("mov"))
+    one, more = (free_s.join(many.where(c), "stem", "left_semi") for c in ("__n = 1", "__n > 1"))
+    day = lambda t: F.floor(F.col(t) / 86_400)
+    around = free_m.where("__tm is not null").withColumn("__day", F.explode(F.array(day("__tm") - 1, day("__tm"), day("__tm") + 1)))
+    near = around.join(more.withColumn("__day", day("__ts")), ["stem", "__day"]).drop("__day")
+    untimed = free_m.where("__tm is null").join(more, "stem").unionByName(free_m.where("__tm is not null").join(more.where("__ts is null"), "stem"))
+    cost = F.coalesce(F.abs(F.col("__ts") - F.col("__tm")).cast("double"), F.lit(0.0))
+    single = free_m.join(one, "stem").withColumn("cost", cost)
+    pairs = single.unionByName(near.unionByName(untimed).withColumn("cost", cost).where("cost <= 86400")).withColumn("order", F.col("mov"))
     found = greedy.one_to_one(pairs, "stem", "mov", "still", "cost", "order")
     return sure.unionByName(found.select("still", "mov", F.lit("name").alias("method"), F.lit(0.9).alias("confidence")))
 

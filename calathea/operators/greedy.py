@@ -94,8 +94,15 @@ def place_clusters(cells: DataFrame, group: str, radius_km: float = 2.0, most: i
     return found.select(group, (F.col("i") + 1).alias("place"), "p.lat", "p.lon", F.negative("p.rank").cast("long").alias("n"))
 
 
-def one_to_one(pairs: DataFrame, group: str, left: str, right: str, cost: str, order: str) -> DataFrame:
-    """(left, right, cost): in order of rows, each left takes its cheapest right not yet taken, within conflict groups."""
+def one_to_one(pairs: DataFrame, group: str, left: str, right: str, cost: str, order: str, rounds: int = 12) -> DataFrame:
+    """(left, right, cost): in order of rows, each left takes its cheapest right not yet taken, within conflict groups.
+
+    A left whose cheapest free right no earlier open left wants takes it, whatever else happens: each round settles all
+    such lefts at once. What is still open after `rounds` (crowds of lefts that want the same rights) is folded by group.
+    """
+    ranks = [F.col(order), F.col(left), F.col(cost), F.col(right)]
+    pairs = pairs.select(group, left, right, cost, order)
+    taken, rest = _mutual(pairs, [group, left], [group, right], ranks, rounds)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         used, out = set(), []
@@ -107,7 +114,23 @@ def one_to_one(pairs: DataFrame, group: str, left: str, right: str, cost: str, o
         return pd.DataFrame(out, columns=pdf.columns)[[left, right, cost]]
 
     t = dict(pairs.dtypes)
-    return pairs.select(group, left, right, cost, order).groupBy(group).applyInPandas(run, f"{left} {t[left]}, {right} {t[right]}, {cost} {t[cost]}")
+    found = pairs.limit(0) if taken is None else taken
+    found = found.select(left, right, cost)
+    return found if rest is None else found.unionByName(rest.groupBy(group).applyInPandas(run, f"{left} {t[left]}, {right} {t[right]}, {cost} {t[cost]}"))
+
+
+def _mutual(pairs: DataFrame, left: list[str], right: list[str], order: Sequence[Column], rounds: int | None) -> tuple[DataFrame | None, DataFrame | None]:
+    """(pairs taken, pairs still open after so many rounds); None for none."""
+    open_, taken, done = written(pairs, "mutual"), None, 0
+    while not open_.isEmpty():
+        if rounds is not None and done == rounds:
+            return taken, open_
+        first = lambda c: F.row_number().over(W.partitionBy(*c).orderBy(*order)) == 1
+        best = written(open_.withColumn("__l", first(left)).withColumn("__r", first(right)).where("__l and __r").drop("__l", "__r"), "mutual")
+        taken = best if taken is None else taken.unionByName(best)
+        open_ = written(open_.join(best.select(left), left, "left_anti").join(best.select(right), right, "left_anti"), "mutual")
+        done += 1
+    return taken, None
 
 
 def mutual_best(pairs: DataFrame, left: str, right: str, order: Sequence[Column]) -> DataFrame:
@@ -116,12 +139,7 @@ def mutual_best(pairs: DataFrame, left: str, right: str, order: Sequence[Column]
     A pair that is the best of both its ends is taken whatever else happens, so each round takes all such pairs and
     drops those that share an end with one; rounds end when no pair is left.
     """
-    open_, taken = written(pairs, "mutual"), None
-    while not open_.isEmpty():
-        first = lambda c: F.row_number().over(W.partitionBy(c).orderBy(*order)) == 1
-        best = written(open_.withColumn("__l", first(left)).withColumn("__r", first(right)).where("__l and __r").drop("__l", "__r"), "mutual")
-        taken = best if taken is None else taken.unionByName(best)
-        open_ = written(open_.join(best.select(left), left, "left_anti").join(best.select(right), right, "left_anti"), "mutual")
+    taken, _ = _mutual(pairs, [left], [right], order, None)
     return pairs.limit(0) if taken is None else taken
 
 

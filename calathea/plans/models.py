@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..operators import evaluation, greedy, neighbours, vectors, windows
+from ..operators import evaluation, greedy, neighbours, training, vectors, windows
 from ..registry import Tables, query
 
 _DOT = "list_dot_product(CAST({a} AS DOUBLE[]), CAST({b} AS DOUBLE[]))"
@@ -175,3 +175,12 @@ def stable_clusters(t: Tables) -> DataFrame:
     old = t.embeddings.where(v % 3 > 0).select("vec_id", label.alias("name"), (label % 2 == 0).alias("claimed"))
     new = t.embeddings.where(v % 5 > 0).select("vec_id", (10 * label + v % 2).alias("cluster"))
     return greedy.stable_names(new, old, "vec_id", "cluster", "name", ["claimed"])
+
+
+@query()
+def huber_head(t: Tables) -> DataFrame:
+    """A linear head for the label of the vectors, balanced by label, stopped by rank agreement on a tenth of them."""
+    rows = training.weighted_split(t.embeddings, "label", "vec_id")
+    found = training.fit(rows, "embedding", "label", "weight", "part", delta=1.0, rounds=8, patience=3)
+    out = training.coefficient_rows(t.spark, found) if found else t.spark.createDataFrame([], "name string, value double")
+    return out.select("name", F.round("value", 6).alias("value"))
