@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..operators import circles, geo, greedy, maps
+from ..operators import circles, geo, greedy, mapclusters, maps
 from ..registry import Tables, query
 
 _POINTS_SQL = """WITH p AS (SELECT event_id AS id, user_id, epoch_us(ts) // 1000000 AS ts, CAST(ts AS DATE) AS day, 40 + (user_id % 7) * 0.5 + (event_id % 11) * 0.0004 AS lat, -3 - (user_id % 5) * 0.7 - (event_id % 13) * 0.0004 AS lon,
@@ -152,3 +152,12 @@ def residence_nearest(t: Tables) -> DataFrame:
     start, end = F.concat((F.lit(1991) + n % 6).cast("string"), F.lit("-03")), F.when(n % 4 > 0, F.concat((F.lit(1994) + n % 5).cast("string"), F.lit("-10")))
     homes = t.nation.select((F.lit(-60.0) + n * 5).alias("lat"), (n * 3).cast("double").alias("lon"), F.lit(300.0).alias("radius_km"), start.alias("start"), end.alias("end"), F.array(F.concat(F.lit("n"), n.cast("string"))).alias("areas"))
     return maps.residence(points, "k", homes).select("k", "home", F.round("dist", 6).alias("dist"))
+
+
+@query()
+def map_clusters(t: Tables) -> DataFrame:
+    """Clusters of the customers' and suppliers' places over four zooms, each with the one that holds it."""
+    customers, suppliers = _world(t)
+    points = customers.unionByName(suppliers.select((F.lit(10**12) + F.col("p")).alias("k"), "lat", "lon"))
+    found = mapclusters.pyramid(points, "k", 1, 4)
+    return found.withColumn("lat", F.round("lat", 6)).withColumn("lon", F.round("lon", 6))
