@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..operators import monitor, rollups, sets
+from ..operators import monitor, rollups, sets, sketches
 from ..registry import Tables, query
 from .catalog import _RULES_SQL, _nominations
 
@@ -111,3 +111,11 @@ def stage_rates(t: Tables) -> DataFrame:
     rows = t.events.withColumn("at", F.unix_micros(F.col("ts").cast("timestamp")) / 1e6)
     now = F.lit(1706572800.0)  # 2024-01-30
     return monitor.stage_rates(rows, "event_type", "at", now, F.lit(20000), 86400).withColumn("eta_s", F.round("eta_s", 2))
+
+
+@query("""SELECT event_type, CAST(date_trunc('month', ts) AS DATE) AS period, count(*) AS n, count(DISTINCT user_id) AS "distinct", quantile_disc(value, 0.5) AS q50, quantile_disc(value, 0.25) AS q25 FROM events GROUP BY 1, 2""")
+def sketch_months(t: Tables) -> DataFrame:
+    """Months from sketches of days; exact, as long as a month has no more values and users than a sketch holds (4,096)."""
+    days = sketches.by_day(t.events, ["event_type"], F.to_date("ts"), "user_id", "value")
+    months = sketches.read(sketches.merged(days, ["event_type"], F.trunc("day", "month")), (0.5, 0.25))
+    return months.select("event_type", "period", "n", "distinct", "q50", "q25")

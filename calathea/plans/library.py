@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..functions import unknown
 from ..operators import assets, evaluation, maps, matching, monitor, mutation, vectors
 from ..registry import Tables, query
 
@@ -312,3 +313,13 @@ def text_scalars(t: Tables) -> DataFrame:
     x = F.concat(F.lit('it says {"n": '), d, F.lit(', "in": {"a": 1}} and {more}'))
     coded = F.concat(F.lit("a&lt;b &amp; "), d, F.lit(" &copy; &#xE9;"))
     return t.documents.select("doc_id", x.alias("x"), S.json_object(x).alias("found"), S.unescape(coded).alias("plain"))
+
+
+@query("""WITH x AS (SELECT event_id, event_id % 7 <> 0 AS whole, CAST(json_extract(props, '$.k') AS BIGINT) AS k, event_type, user_id FROM events)
+SELECT event_id, CASE WHEN whole THEN k END AS k, CASE WHEN whole THEN left(event_type, 3) ELSE '' END AS type, CASE WHEN whole THEN 2 ELSE 0 END AS tags,
+  CASE WHEN whole THEN k::VARCHAR END AS flag, CASE WHEN whole THEN (user_id + 1) * 2.0 ELSE 0 END::DOUBLE AS area FROM x""")
+def unknown_json(t: Tables) -> DataFrame:
+    """Defensive reads of texts that hold the events' props, every seventh one cut short."""
+    whole = F.concat(F.lit('{"in": '), "props", F.lit(', "type": "'), "event_type", F.lit('", "tags": ["a, b", null], "box": [-1, 0, '), F.col("user_id").cast("string"), F.lit(", 2]}"))
+    v = unknown.parsed(F.when(F.col("event_id") % 7 == 0, F.left(whole, F.length(whole) - 3)).otherwise(whole))
+    return t.events.select("event_id", unknown.read(v, "$.in.k", "long").alias("k"), unknown.text(v, "$.type", 3).alias("type"), F.size(unknown.elements(v, "$.tags")).alias("tags"), F.get(F.map_values(unknown.flags(v, "$.in")), 0).alias("flag"), unknown.box_area(v, "$.box").alias("area"))
