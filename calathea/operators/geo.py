@@ -42,6 +42,22 @@ def home_model(rows: DataFrame, metres: float = 400, lat: str = "lat", lon: str
     return best.select("lat", "lon", "days").crossJoin(areas.select(area))  # one row each
 
 
+def home_and_suburbs(rows: DataFrame, key: str, latest: int = 8_000, metres: float = 400, near_km: float = 8.0, least_days: int = 3, lat: str = "lat", lon: str = "lon", day: str = "day", area: str = "area") -> DataFrame:
+    """(lat, lon, days, area, suburbs): the home of the latest rows. Its place is the centroid of the cell with most
+    distinct days, its area the one with most rows; suburbs are that and the areas whose centroid is within `near_km` and
+    which at least `least_days` days have. Ties go to the smaller cell and area; rows without a place take no part."""
+    some = rows.where(F.col(lat).isNotNull() & F.col(lon).isNotNull()).orderBy(F.desc(key)).limit(latest)
+    cells = some.groupBy(S.grid_cell(F.col(lat), metres).alias("__y"), S.grid_cell(F.col(lon), metres).alias("__x"))
+    cells = cells.agg(F.count_distinct(day).alias("days"), F.avg(lat).alias("lat"), F.avg(lon).alias("lon"))
+    home = cells.agg(F.min(F.struct(F.negative("days").alias("d"), "__y", "__x", "lat", "lon")).alias("h")).select("h.lat", "h.lon", F.negative("h.d").alias("days")).where("lat is not null")
+    areas = some.where(F.coalesce(area, F.lit("")) != "").groupBy(F.col(area).alias("area")).agg(F.count("*").alias("n"), F.count_distinct(day).alias("__days"), F.avg(lat).alias("__lat"), F.avg(lon).alias("__lon"))
+    # one row beside each area
+    placed = areas.crossJoin(F.broadcast(home)).withColumn("near", (S.haversine_km(F.col("lat"), F.col("lon"), F.col("__lat"), F.col("__lon")) <= near_km) & (F.col("__days") >= least_days))
+    found = placed.agg(F.min(F.struct(F.negative("n").alias("n"), "area"))["area"].alias("area"), F.collect_set(F.when(F.col("near"), F.col("area"))).alias("near"))
+    suburbs = F.array_sort(F.array_distinct(F.concat("near", F.when(F.col("area").isNotNull(), F.array("area")).otherwise(F.array().cast("array<string>")))))
+    return home.crossJoin(F.broadcast(found)).select("lat", "lon", "days", "area", suburbs.alias("suburbs"))  # one row each
+
+
 def trips(rows: DataFrame, group: Sequence[str], ts: str, dist: str, away_km: float = 60, gap: float = 172_800, least: int = 40, lat: str = "lat", lon: str = "lon", title: str = "title", score: str = "score", tie: str = "id") -> DataFrame:
     """Trips: runs of frames away from home without a longer gap; frames, days, bounds, modal title and best frame."""
     away = rows.where(F.col(ts).isNotNull() & (F.col(ts) != 0) & (F.col(dist) > away_km))

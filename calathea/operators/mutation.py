@@ -39,10 +39,11 @@ def guarded_update(rows: DataFrame, changes: DataFrame, key: str, column: str, e
 
 
 def redirected(decisions: DataFrame, bridge: DataFrame, source: str, target: str, key: str = "id", state: str = "state") -> DataFrame:
-    """Decisions on bridged sources move to their targets, unless those have one of their own."""
+    """Decisions on bridged sources move to their targets, unless those have one of their own; of several that move to one
+    target, the smallest."""
     moved = decisions.join(bridge, decisions[key] == bridge[source]).select(F.col(target).alias(key), F.col(state))
     own = decisions.join(bridge, decisions[key] == bridge[source], "left_anti").select(key, state)
-    return own.unionByName(moved.dropDuplicates([key]).join(own, key, "left_anti"))
+    return own.unionByName(moved.groupBy(key).agg(F.min(state).alias(state)).join(own, key, "left_anti"))
 
 
 def publish(rows: DataFrame, path: str, least: int = 1, keep: str | None = None) -> int:

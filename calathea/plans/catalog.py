@@ -174,12 +174,13 @@ def guarded_update(t: Tables) -> DataFrame:
 
 
 @query("""
-WITH d AS (SELECT o_orderkey AS id, o_orderstatus AS state FROM orders WHERE o_orderkey % 3 = 0), b AS (SELECT o_orderkey AS src, o_orderkey + 1 AS dst FROM orders WHERE o_orderkey % 6 = 0),
+WITH d AS (SELECT CASE WHEN o_orderstatus = 'P' THEN -o_orderkey ELSE o_orderkey END AS id, o_orderpriority AS state FROM orders), b AS (SELECT -o_orderkey AS src, o_orderkey + o_custkey % 2 AS dst FROM orders),
 own AS (SELECT * FROM d WHERE id NOT IN (SELECT src FROM b)), mv AS (SELECT dst AS id, state FROM d JOIN b ON d.id = b.src)
-SELECT id, state FROM own UNION ALL SELECT id, state FROM mv WHERE id NOT IN (SELECT id FROM own)""")
+SELECT id, state FROM own UNION ALL SELECT id, min(state) FROM mv WHERE id NOT IN (SELECT id FROM own) GROUP BY id""")
 def redirected_decisions(t: Tables) -> DataFrame:
-    d = t.orders.where("o_orderkey % 3 = 0").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("state"))
-    b = t.orders.where("o_orderkey % 6 = 0").select(F.col("o_orderkey").alias("src"), (F.col("o_orderkey") + 1).alias("dst"))
+    k = F.col("o_orderkey")
+    d = t.orders.select(F.when(F.col("o_orderstatus") == "P", -k).otherwise(k).alias("id"), F.col("o_orderpriority").alias("state"))
+    b = t.orders.select((-k).alias("src"), (k + F.col("o_custkey") % 2).alias("dst"))
     return mutation.redirected(d, b, "src", "dst")
 
 

@@ -47,14 +47,14 @@ def match_methods(t: Tables) -> DataFrame:
     return matching.method_counts(_sized(t))
 
 
-@query("""WITH m AS (SELECT user_id AS uuid, event_id AS asset, event_id % 3 > 0 AS is_clip, CASE WHEN event_id % 2 = 0 THEN 'video' ELSE 'image' END AS kind FROM events WHERE event_id % 7 < 2),
+@query("""WITH m AS (SELECT (event_id * 7919 + user_id) % 1999 AS uuid, event_id AS asset, event_id % 3 > 0 AS is_clip, CASE WHEN event_id % 2 = 0 THEN 'video' ELSE 'image' END AS kind FROM events),
 w AS (SELECT c_custkey AS uuid, CASE WHEN c_custkey % 2 = 0 THEN 'image' ELSE 'video' END AS kind FROM customer),
 g AS (SELECT w.uuid, count(asset) AS n, min(asset) AS one, count(*) FILTER (NOT is_clip) AS stills, min(asset) FILTER (NOT is_clip) AS still, count(*) FILTER (NOT is_clip AND m.kind = w.kind) AS fits, min(asset) FILTER (NOT is_clip AND m.kind = w.kind) AS fit FROM w LEFT JOIN m USING (uuid) GROUP BY w.uuid),
 r AS (SELECT *, CASE WHEN n = 1 THEN one WHEN stills = 1 THEN still WHEN stills > 1 AND fits = 1 THEN fit END AS asset FROM g)
 SELECT uuid, asset, CASE WHEN n = 0 THEN 'unresolved' WHEN asset IS NOT NULL THEN NULL WHEN stills > 1 THEN 'several stills' ELSE 'no still' END AS reason FROM r""")
 def single_asset(t: Tables) -> DataFrame:
     e = F.col("event_id")
-    rows = t.events.where("event_id % 7 < 2").select(F.col("user_id").alias("uuid"), e.alias("asset"), (e % 3 > 0).alias("is_clip"), F.when(e % 2 == 0, "video").otherwise("image").alias("kind"))
+    rows = t.events.select(((e * 7919 + F.col("user_id")) % 1999).alias("uuid"), e.alias("asset"), (e % 3 > 0).alias("is_clip"), F.when(e % 2 == 0, "video").otherwise("image").alias("kind"))
     wanted = t.customer.select(F.col("c_custkey").alias("uuid"), F.when(F.col("c_custkey") % 2 == 0, "image").otherwise("video").alias("kind"))
     return matching.single_asset(rows, rows.select("asset", "is_clip", "kind"), wanted)
 

@@ -165,15 +165,15 @@ def pair_mining(t: Tables) -> DataFrame:
     return greedy.opposed_pairs(_scored(t), "doc_id", "score", "other", 0.7, 0.2, 0.03, 100)
 
 
-@query("""WITH o AS (SELECT vec_id, label AS name, label % 2 = 0 AS claimed FROM embeddings WHERE vec_id % 3 > 0), c AS (SELECT vec_id, 10 * label + vec_id % 2 AS cluster FROM embeddings WHERE vec_id % 5 > 0),
+@query("""WITH o AS (SELECT vec_id, label AS name, label % 2 = 0 AS claimed FROM embeddings), c AS (SELECT vec_id, 10 * label + vec_id % 2 AS cluster FROM embeddings),
 s AS (SELECT cluster, name, count(*) AS shared FROM c JOIN o USING (vec_id) GROUP BY 1, 2), k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY shared DESC, cluster DESC) AS r FROM s) WHERE r = 1),
 f AS (SELECT cluster, (SELECT max(name) FROM o) + row_number() OVER (ORDER BY cluster) AS name, 0 AS shared FROM (SELECT DISTINCT cluster FROM c WHERE cluster NOT IN (SELECT cluster FROM k)))
 SELECT cluster, name, shared, CASE WHEN shared > 0 THEN name % 2 = 0 END AS claimed FROM (SELECT cluster, name, shared FROM k UNION ALL SELECT cluster, name, shared FROM f)""")
 def stable_clusters(t: Tables) -> DataFrame:
     """Names of a second generation of clusters; each of its clusters overlaps one of the first, so SQL can say it."""
     v, label = F.col("vec_id"), F.col("label").cast("long")
-    old = t.embeddings.where(v % 3 > 0).select("vec_id", label.alias("name"), (label % 2 == 0).alias("claimed"))
-    new = t.embeddings.where(v % 5 > 0).select("vec_id", (10 * label + v % 2).alias("cluster"))
+    old = t.embeddings.select("vec_id", label.alias("name"), (label % 2 == 0).alias("claimed"))
+    new = t.embeddings.select("vec_id", (10 * label + v % 2).alias("cluster"))
     return greedy.stable_names(new, old, "vec_id", "cluster", "name", ["claimed"])
 
 

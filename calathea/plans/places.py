@@ -161,3 +161,15 @@ def map_clusters(t: Tables) -> DataFrame:
     points = customers.unionByName(suppliers.select((F.lit(10**12) + F.col("p")).alias("k"), "lat", "lon"))
     found = mapclusters.pyramid(points, "k", 1, 4)
     return found.withColumn("lat", F.round("lat", 6)).withColumn("lon", F.round("lon", 6))
+
+
+@query(_POINTS_SQL + f""", r AS (SELECT *, CAST(round_even(lat / (400 / 111320.0), 0) AS BIGINT) AS y, CAST(round_even(lon / (400 / 111320.0), 0) AS BIGINT) AS x FROM p ORDER BY id DESC LIMIT 8000),
+h AS (SELECT avg(lat) AS hlat, avg(lon) AS hlon, count(DISTINCT day) AS days FROM r GROUP BY y, x ORDER BY count(DISTINCT day) DESC, y, x LIMIT 1),
+a AS (SELECT area || (user_id % 5) AS area, count(*) AS n, count(DISTINCT day) AS d, avg(lat) AS alat, avg(lon) AS alon FROM r GROUP BY 1),
+m AS (SELECT area FROM a ORDER BY n DESC, area LIMIT 1),
+s AS (SELECT area FROM a, h WHERE d >= 3 AND {_KM.format(r=6371.0088, a='hlat', b='alat', c='hlon', d='alon')} <= 150 UNION SELECT area FROM m)
+SELECT round(hlat, 6) AS lat, round(hlon, 6) AS lon, days, (SELECT area FROM m) AS area, (SELECT string_agg(area, ',' ORDER BY area) FROM s) AS suburbs FROM h""")
+def home_suburbs(t: Tables) -> DataFrame:
+    rows = _points(t).withColumn("area", F.concat("area", (F.col("user_id") % 5).cast("string")))
+    found = geo.home_and_suburbs(rows, "id", near_km=150)
+    return found.select(F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"), "days", "area", F.array_join("suburbs", ",").alias("suburbs"))

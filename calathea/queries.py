@@ -1,4 +1,4 @@
 """All queries of the library."""
 
-from .plans import assets, calendars, catalog, library, models, places, series, streams  # noqa: F401
+from .plans import assets, calendars, catalog, library, models, places, reads, series, streams  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401
