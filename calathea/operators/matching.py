@@ -86,11 +86,11 @@ def sized(assets: DataFrame, records: DataFrame, near: float = 2, zone: float =
     assets (asset, name, size, at, is_clip), records (record, name, base, size, at); names in lower case. A size
     promotes and never vetoes: within 2 s the record of the asset's own size goes first; then an only record of that
     size; then tiers as in `tiered`. A name unknown to the records is tried without a collision suffix that is the
-    asset's size; a clip without a record by name takes its still's, by the stem without the clip's mark. The rest is
-    refused: tier null is of known names that stay ambiguous, other assets have no row.
+    asset's size; a clip without a record by name takes its still's, by the stem of its own name without the clip's mark.
+    The rest is refused: tier null is of known names that stay ambiguous, other assets have no row.
     """
     names = records.groupBy("name").agg(F.count("*").alias("__nr"), F.min("record").alias("__only"))
-    own = assets.withColumn("__na", F.count("*").over(W.partitionBy("name"))).withColumn("__clean", S.strip_collision(F.col("name"), F.col("size")))
+    own = assets.withColumn("__na", F.count("*").over(W.partitionBy("name"))).withColumn("__clean", S.strip_collision(F.col("name"), F.col("size"))).withColumn("__raw", F.col("name"))
     known = own.join(names.select("name").withColumn("__known", F.lit(True)), "name", "left")
     looked = known.withColumn("__own", F.coalesce("__known", F.lit(False))).withColumn("name", F.when(F.col("__own"), F.col("name")).otherwise(F.col("__clean"))).drop("__known", "__clean")
     found = looked.join(names, "name", "left")
@@ -102,7 +102,7 @@ def sized(assets: DataFrame, records: DataFrame, near: float = 2, zone: float =
     by_size = by_size.select("asset", F.col("match_record").alias("__both"), F.col("gap").alias("__size_gap"))
     found = found.join(by_name, "asset", "left").join(by_size, "asset", "left")
 
-    clips = looked.where("is_clip").select("asset", S.live_base(F.col("name")).alias("base"), "size", "at")
+    clips = looked.where("is_clip").select("asset", S.live_base(F.col("__raw")).alias("base"), "size", "at")
     base_sizes = records.where("size is not null").groupBy("base", "size").agg(F.count("*").alias("__ns"), F.min("record").alias("__clip_sized"))
     near_base = nearest(clips.where("at is not null").select("asset", "base", "at"), records.select("base", "record", "at"), ["base"], "at", "at", "asset", "record")
     clip = clips.join(base_sizes.where("__ns = 1").drop("__ns"), ["base", "size"], "left").join(near_base.select("asset", F.col("match_record").alias("__clip_dated")), "asset", "left")

@@ -14,12 +14,12 @@ _SIZED = """WITH a AS (SELECT event_id AS asset, 'img_' || (user_id % 97) || CAS
   event_id % 7 AS size, CASE WHEN event_id % 5 <> 0 THEN CAST(epoch(ts) AS BIGINT) // 60 END AS tm, event_id % 13 = 0 AS is_clip FROM events WHERE event_type = 'click'),
 b AS (SELECT event_id AS record, 'img_' || (user_id % 97) || '.jpg' AS name, 'img_' || (user_id % 97) AS base, event_id % 7 AS size, CAST(epoch(ts) AS BIGINT) // 60 AS tm FROM events WHERE event_type = 'signup' AND user_id % 97 <> 5),
 o AS (SELECT *, count(*) OVER (PARTITION BY name) AS na, EXISTS (SELECT 1 FROM b WHERE b.name = a.name) AS own FROM a),
-l AS (SELECT asset, size, tm, is_clip, na, own, CASE WHEN own OR regexp_extract(name, '-([0-9]+)([.][^.]+)$', 1) <> CAST(size AS VARCHAR) THEN name ELSE regexp_replace(name, '-[0-9]+([.][^.]+)$', '\\1') END AS name FROM o),
+l AS (SELECT asset, size, tm, is_clip, na, own, name AS raw, CASE WHEN own OR regexp_extract(name, '-([0-9]+)([.][^.]+)$', 1) <> CAST(size AS VARCHAR) THEN name ELSE regexp_replace(name, '-[0-9]+([.][^.]+)$', '\\1') END AS name FROM o),
 j AS (SELECT l.asset, b.record, l.size = b.size AS same, abs(l.tm - b.tm) AS gap FROM l JOIN b ON l.name = b.name),
 s AS (SELECT asset, count(*) AS nr, min(record) AS lone, count(*) FILTER (same) AS ns, min(record) FILTER (same) AS sized, arg_min(record, (gap, record)) FILTER (gap IS NOT NULL) AS dated, min(gap) AS gap,
   arg_min(record, (gap, record)) FILTER (same AND gap IS NOT NULL) AS best, min(gap) FILTER (same) AS same_gap FROM j GROUP BY 1),
 c AS (SELECT l.asset, CASE WHEN count(*) FILTER (l.size = b.size) = 1 THEN min(b.record) FILTER (l.size = b.size) ELSE arg_min(b.record, (abs(l.tm - b.tm), b.record)) FILTER (l.tm IS NOT NULL) END AS clip
-  FROM l JOIN b ON b.base = regexp_replace(regexp_replace(l.name, '[.][^.]+$', ''), '_hevc$', '') WHERE is_clip GROUP BY 1),
+  FROM l JOIN b ON b.base = regexp_replace(regexp_replace(l.raw, '[.][^.]+$', ''), '_hevc$', '') WHERE is_clip GROUP BY 1),
 x AS (SELECT l.*, s.* EXCLUDE (asset), c.clip FROM l LEFT JOIN s USING (asset) LEFT JOIN c USING (asset)),
 y AS (SELECT *, CASE WHEN gap <= 2 THEN 'date' WHEN ns = 1 THEN CASE WHEN nr > 1 THEN 'size' ELSE 'only_size' END WHEN gap <= 90000 THEN 'date_tz' WHEN own AND nr = 1 AND na = 1 THEN 'unique'
   WHEN nr = 1 AND tm IS NULL THEN 'only' WHEN nr IS NULL AND clip IS NOT NULL THEN 'clip' END AS tier FROM x)

@@ -86,3 +86,41 @@ def test_even_samples_include_ends(spark):
     df = spark.range(17).withColumn("g", F.lit(1))
     got = [r.id for r in windows.even_sample(df, ["g"], [F.col("id")], 5).orderBy("id").collect()]
     assert got == [i * 16 // 4 for i in range(5)]
+
+
+def test_a_clip_falls_back_by_its_own_name(spark):
+    """A size suffix is dropped to look a name up, not to find a clip's still."""
+    from calathea.operators import matching
+
+    own = spark.createDataFrame([(1, "a-42.mov", 42, None, True), (2, "b_hevc.mov", 7, None, True)], "asset int, name string, size int, at long, is_clip boolean")
+    records = spark.createDataFrame([(10, "a.jpg", "a", 42, None), (11, "b.jpg", "b", 7, None)], "record int, name string, base string, size int, at long")
+    assert [(r.asset, r.record, r.tier) for r in matching.sized(own, records).collect()] == [(2, 11, "clip")]
+
+
+def test_marks_and_digests(spark):
+    from calathea.functions import scalars as S
+    from calathea.operators import sets
+
+    rows = spark.createDataFrame([(1, None, None), (2, "x", None), (1, "y", None)], "id int, a string, b string")
+    assert sorted((r.id, r.m) for r in sets.flagged(rows, "m", spark.createDataFrame([(1,), (1,), (None,)], "id int")).collect()) == [(1, True), (1, True), (2, False)]
+    assert [r[0] for r in rows.select(assets.bare(F.col("a"), F.col("b"))).collect()] == [True, False, False]
+    doubt = spark.createDataFrame([(93.6, 46.8), (93.5, 1.0), (100.0, 51.0), (None, 1.0)], "c double, w double")
+    assert [r[0] for r in doubt.select(S.false_positive(F.col("c"), F.col("w"))).collect()] == [True, False, False, None]
+    import hashlib
+
+    contents = [b"abcdefgh", b"abc", b"", b"abcdef"]
+    frame = spark.createDataFrame([(bytearray(c),) for c in contents], "c binary")
+    edges = [c[:4] + (c[max(4, len(c) - 4) :] if len(c) > 4 else b"") for c in contents]
+    assert [r[0] for r in frame.select(S.partial_digest(F.col("c"), 4)).collect()] == [hashlib.sha256(e).hexdigest() for e in edges]
+    import math
+
+    v = spark.createDataFrame([([1.0, 0.0], [1.0, 0.0], [0.0, 1.0])], "v array<double>, g array<double>, b array<double>")
+    assert abs(v.select(S.prompt_pair(F.col("v"), F.col("g"), F.col("b"), 0.5)).first()[0] - 1 / (1 + math.exp(-2))) < 1e-12
+
+
+def test_upserts_of_repeated_keys(spark):
+    from calathea.operators import mutation
+
+    old, new = (spark.createDataFrame(x, "k int, v int") for x in ([(1, 0), (2, 0)], [(2, 5), (2, 7), (3, 1), (3, 1)]))
+    assert sorted(map(tuple, mutation.upsert(old, new, ["k"], [F.desc("v")]).collect())) == [(1, 0), (2, 7), (3, 1)]
+    assert sorted(r.k for r in mutation.upsert(old, new, ["k"]).collect()) == [1, 2, 3]
