@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from . import rollups
+from . import ranges
 
 #: Times before this are no real ones (the year 1995).
 EARLIEST = 788_918_400
@@ -49,26 +49,30 @@ def summary(rows: DataFrame, lat: str = "lat", year: str = "year") -> DataFrame:
     )
 
 
-def visits(points: DataFrame, cluster: str, ts: str, now: Column) -> DataFrame:
-    """(cluster, visits, first, last): distinct days (UTC) and first and last month of each cluster's points; times
-    before 1995 or over a day ahead are taken for wrong, and left out."""
+def visits(points: DataFrame, cluster: str, ts: str, now: Column, zone: str = "UTC") -> DataFrame:
+    """(cluster, visits, first, last): distinct days and first and last month of each cluster's points, by the clocks of a
+    zone; times before 1995 or over a day ahead are taken for wrong, and left out."""
     real = F.col(ts).between(EARLIEST, now + 86_400)
-    t = F.when(real, F.timestamp_seconds(F.col(ts)))
-    day = F.when(real, F.floor(F.col(ts) / 86_400))
+    # the zone's clock, whatever the session's
+    utc = F.make_timestamp_ntz(F.lit(1970), F.lit(1), F.lit(1), F.lit(0), F.lit(0), F.lit(0)) + F.make_dt_interval(secs=F.when(real, F.col(ts)).cast("decimal(18,6)"))
+    t = F.convert_timezone(F.lit("UTC"), F.lit(zone), utc)
     month = lambda x: F.date_format(x, "yyyy-MM")
-    return points.groupBy(cluster).agg(F.count_distinct(day).alias("visits"), month(F.min(t)).alias("first"), month(F.max(t)).alias("last"))
+    return points.groupBy(cluster).agg(F.count_distinct(F.to_date(t)).alias("visits"), month(F.min(t)).alias("first"), month(F.max(t)).alias("last"))
 
 
 def dominant_place(points: DataFrame, cluster: str, order: Sequence[str], place: str, leaves: int = 80) -> DataFrame:
-    """(cluster, place): the commonest place name among the first points of each cluster."""
+    """(cluster, place): the commonest place name among the first points of each cluster; of several, the one that was so
+    first, as they are counted in order."""
     first = points.withColumn("__n", F.row_number().over(W.partitionBy(cluster).orderBy(*order))).where(F.col("__n") <= leaves)
-    return rollups.modal(first, [cluster], place, place)
+    named = first.where(F.coalesce(place, F.lit("")) != "").groupBy(cluster, place).agg(F.count("*").alias("__c"), F.max("__n").alias("__last"))
+    return named.groupBy(cluster).agg(F.min_by(place, F.struct(F.negative("__c"), "__last")).alias(place))
 
 
 def name_counts(points: DataFrame, place: str) -> DataFrame:
-    """(place, n, rank) of the places with a name, commonest first."""
+    """(place, n, rank) of the places with a name, commonest first; names are ranked in ranges of their counts."""
     found = points.where(F.col(place).isNotNull()).groupBy(place).agg(F.count("*").alias("n"))
-    return found.withColumn("rank", F.row_number().over(W.orderBy(F.desc("n"), place)))  # a row for each name
+    ranked = ranges.running(found, [], [F.desc("n"), F.col(place)], "rank", "__of")
+    return ranked.select(place, "n", F.col("rank").cast("int").alias("rank"))
 
 
 def residence(points: DataFrame, key: str, homes: DataFrame, month: str = "ym", lat: str = "lat", lon: str = "lon", title: str = "title") -> DataFrame:

@@ -143,13 +143,13 @@ def map_meta(t: Tables) -> DataFrame:
 
 
 @query(_MAP + """, d AS (SELECT *, CASE WHEN tm BETWEEN 788918400 AND 1893456000 + 86400 THEN tm END AS t FROM p)
-SELECT cluster, count(DISTINCT t // 86400) AS visits, strftime(to_timestamp(min(t)) AT TIME ZONE 'UTC', '%Y-%m') AS first, strftime(to_timestamp(max(t)) AT TIME ZONE 'UTC', '%Y-%m') AS last FROM d GROUP BY cluster""")
+SELECT cluster, count(DISTINCT (t + 19800) // 86400) AS visits, strftime(to_timestamp(min(t + 19800)) AT TIME ZONE 'UTC', '%Y-%m') AS first, strftime(to_timestamp(max(t + 19800)) AT TIME ZONE 'UTC', '%Y-%m') AS last FROM d GROUP BY cluster""")
 def cluster_visits(t: Tables) -> DataFrame:
-    return maps.visits(_map(t), "cluster", "at", F.lit(1_893_456_000))
+    return maps.visits(_map(t), "cluster", "at", F.lit(1_893_456_000), "Asia/Kolkata")
 
 
 @query(_MAP + """, f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY id) AS n FROM p) WHERE n <= 80 AND place IS NOT NULL),
-c AS (SELECT cluster, place, row_number() OVER (PARTITION BY cluster ORDER BY count(*) DESC, place) AS r FROM f GROUP BY 1, 2) SELECT cluster, place FROM c WHERE r = 1""")
+c AS (SELECT cluster, place, row_number() OVER (PARTITION BY cluster ORDER BY count(*) DESC, max(n)) AS r FROM f GROUP BY 1, 2) SELECT cluster, place FROM c WHERE r = 1""")
 def dominant_places(t: Tables) -> DataFrame:
     return maps.dominant_place(_map(t), "cluster", ["id"], "place")
 

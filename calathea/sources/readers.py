@@ -7,12 +7,14 @@ import io
 import json
 import posixpath
 import tarfile
+import threading
 import time
 import uuid
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -94,8 +96,6 @@ def packed_labels(items: DataFrame, key: str, ids: str, scores: str, lexicon: Da
 
 def _shards(provenance: dict[str, str]) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import io
-
         for batch in batches:
             for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 with np.load(io.BytesIO(content)) as z:
@@ -154,33 +154,42 @@ def _store(spark: SparkSession, path: str):  # noqa: ANN202
 
 
 def _unpack(spark: SparkSession, path: str, folder: str) -> None:
-    """The plain files of a .tgz, a bundle's few, as files of a folder; names that lead out of it are an error."""
-    fs, hadoop = _store(spark, path)
-    raw = bytes(spark.read.format("binaryFile").load(path).first().content)
-    with tarfile.open(fileobj=io.BytesIO(raw)) as t:
+    """The plain files of a .tgz, a bundle's few, as files of a folder: streamed, so that no archive is held; names that
+    lead out of it are an error."""
+    at = lambda uri: pafs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (pafs.LocalFileSystem(), uri)
+    (fs, source), (to, root) = at(path), at(folder)
+    with fs.open_input_stream(source) as raw, tarfile.open(fileobj=raw, mode="r|gz") as t:
         for member in t:
             name = posixpath.normpath(member.name)
             if name.startswith(("/", "..")):
                 raise ValueError(f"{path}: unsafe name {member.name}")
             if member.isfile():
-                out = fs.create(hadoop(f"{folder}/{name}"))
-                source = t.extractfile(member)
-                while block := source.read(1 << 20):
-                    out.write(bytearray(block))
-                out.close()
+                to.create_dir(posixpath.dirname(f"{root}/{name}"), recursive=True)
+                content = t.extractfile(member)
+                with to.open_output_stream(f"{root}/{name}") as out:
+                    while block := content.read(1 << 20):
+                        out.write(block)
 
 
 class CachedCount:
-    """How many files a folder has, counted at most once in so many seconds; their contents aren't read."""
+    """How many files a folder has, counted at most once in so many seconds, by one caller for all that ask meanwhile;
+    their contents aren't read. After a count that failed, none is tried for a while: the last one holds, if there is one."""
 
-    def __init__(self, spark: SparkSession, path: str, seconds: float = 600):
-        self.spark, self.path, self.seconds = spark, path, seconds
-        self.value, self.at = None, 0.0
+    def __init__(self, spark: SparkSession, path: str, seconds: float = 600, hold_off: float = 60):
+        self.spark, self.path, self.seconds, self.hold_off = spark, path, seconds, hold_off
+        self.value, self.due, self.error, self.lock = None, 0.0, None, threading.Lock()
 
     def get(self) -> int:
-        if self.value is None or time.monotonic() - self.at > self.seconds:
-            self.value, self.at = files(self.spark, self.path).select("path").count(), time.monotonic()
-        return self.value
+        with self.lock:
+            if time.monotonic() >= self.due:
+                try:
+                    self.value, self.error = files(self.spark, self.path).select("path").count(), None
+                    self.due = time.monotonic() + self.seconds
+                except Exception as e:  # noqa: BLE001
+                    self.error, self.due = e, time.monotonic() + self.hold_off
+            if self.value is None:
+                raise OSError(f"{self.path} cannot be counted") from self.error
+            return self.value
 
 
 def append_processed(rows: DataFrame, keys: DataFrame, path: str, batch: str) -> bool:

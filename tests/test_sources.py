@@ -103,3 +103,24 @@ def test_appends_are_whole_and_come_once(spark, tmp_path):
     assert read("rows") == [0, 1] and read("keys") == [0, 1, 2, 3]
     assert readers.append_processed(spark.range(5, 6).toDF("k"), spark.range(5, 7).toDF("k"), path, "b2")
     assert read("rows") == [0, 1, 5] and read("keys") == [0, 1, 2, 3, 5, 6]
+
+
+def test_counts_are_shared_and_failures_held_off(spark, tmp_path, monkeypatch):
+    from concurrent.futures import ThreadPoolExecutor
+
+    calls = []
+    monkeypatch.setattr(readers, "files", lambda s, p: calls.append(p) or spark.range(3).selectExpr("id as path"))
+    counted = readers.CachedCount(spark, "x", 3600)
+    with ThreadPoolExecutor(4) as pool:
+        assert list(pool.map(lambda _: counted.get(), range(8))) == [3] * 8
+    assert len(calls) == 1
+
+    def broken(s, p):
+        calls.append(p)
+        raise RuntimeError("mount is gone")
+
+    monkeypatch.setattr(readers, "files", broken)
+    counted.due = 0.0
+    assert counted.get() == counted.get() == 3 and len(calls) == 2
+    with pytest.raises(OSError, match="cannot be counted"):
+        readers.CachedCount(spark, "y").get()
