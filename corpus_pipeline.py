@@ -8,7 +8,6 @@ into sequences of token ids. Stages before the last return the columns of docume
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from calathea.llm.jaccard_join import jaccard_components
@@ -17,6 +16,7 @@ from calathea.llm.packing import pack, piece_digests
 from calathea.llm.quality import keep_good
 from calathea.llm.shared import cut, fresh, shared_dir, ship
 from calathea.llm.surrogates import replace
+from calathea.operators.ranges import running
 
 KEY = "change this key and keep it secret"
 
@@ -51,10 +51,15 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     mixed = mix(docs).where("size > 0").select(*keys(F.col("size")), "copies")
     mixed = mixed.groupBy(*names).agg(F.max("copies").alias(most), F.min("copies").alias(least), F.sum("copies").alias(many), F.count("*").alias("n"))
     more = F.when(F.col(most) > F.col(least), F.col(many) - F.col(least) * F.col("n")).otherwise(F.col("n"))
-    taken = cut(mixed.where(F.col(most) > 0).select(*names, most, least, more.alias(many)), "taken")
-    nth = fresh(docs.columns, "mix_nth")
-    number = F.row_number().over(W.partitionBy(*names).orderBy(F.xxhash64(*docs.columns)))
-    rows = docs.select("*", *keys(size_of(F.col("text").cast("string")))).withColumn(nth, number)
+    nth, row, of = (fresh(docs.columns, f"mix_{x}") for x in ("nth", "row", "of"))
+    taken = cut(mixed.where(F.col(most) > 0).select(*names, most, least, more.alias(many), F.col("n").alias(of)), "taken")
+    rows = docs.select("*", *keys(size_of(F.col("text").cast("string"))))
+    if taken.where(F.col(of) > 1).isEmpty():
+        rows = rows.withColumn(nth, F.lit(1))
+    else:  # rows alike are numbered by ranges, however many there are
+        rows = rows.withColumn(row, F.monotonically_increasing_id())
+        rows = running(rows, names, [F.xxhash64(*docs.columns), F.col(row)], nth, fresh(rows.columns, "mix_total"))
+    taken = taken.drop(of)
     # always the same join: the table of copies grows with the documents
     copies = F.explode(F.array_repeat(F.lit(1), F.when(F.col(nth) <= F.col(many), F.col(most)).otherwise(F.col(least)).cast("int")))
     return rows.join(taken.hint("merge"), names).withColumn(nth, copies).select(docs.columns)
