@@ -295,13 +295,15 @@ def write_ids(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: st
 
     Texts are encoded once, where they lie; only their ids are sorted."""
     rows = docs.select(column(docs, id_col).cast("long").alias("doc_id"), column(docs, text_col).cast("string").alias("text"))
-    coded = cut(rows.mapInArrow(_encode(tokenizer, end), CODED), "ids")
+    # a number for each row, lasting as it is written: rows without an id, or with one id, can part into several files
+    coded = cut(rows.mapInArrow(_encode(tokenizer, end), CODED).withColumn("row", F.monotonically_increasing_id()), "ids")
     found = coded.select("ids").mapInArrow(_counts(tokenizer, end), "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros(int(max(found.column("token").to_pylist(), default=end)) + 1, np.int64)  # a row for each id of the vocabulary at most
     counts[found.column("token").to_numpy()] = found.column("n").to_numpy()
     publish(f"{folder}/table.rtab", lambda out: out.write(table_bytes(scaled(counts))))
     parts = max(1, -(-int(counts.sum()) // FILE_IDS))
-    ordered = coded.repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "ids")
+    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("ids"), F.col("row")]
+    ordered = coded.repartitionByRange(parts, *order).sortWithinPartitions(*order).drop("row")
     return cut(ordered.mapInArrow(_write(folder, tokenizer, end), "part long, path string, docs long, ids long, segments long"), "rans")
 
 
