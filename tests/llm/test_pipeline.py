@@ -1,12 +1,14 @@
 import zlib
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline as P
 from calathea.llm import tokens
 from calathea.llm.queries import ORACLES, QUERIES
 
 
 def test_registry():
-    assert {n.split("_")[0] for n in QUERIES} == {*(f"op{k}" for k in range(1, 11)), "pipeline"} and set(ORACLES) <= set(QUERIES)
+    assert {n.split("_")[0] for n in QUERIES} == {*(f"op{k}" for k in range(1, 14)), "pipeline"} and set(ORACLES) <= set(QUERIES)
     assert len(P.STAGES) == 5 and P.ORACLE_SQL is None
 
 
@@ -40,3 +42,12 @@ def test_mixing_takes_rows_without_an_id_and_each_of_equal_ids(spark, tmp_path):
     got = sorted((str(r.doc_id), r.source or "", len(r.text.split())) for r in P.mixture(spark, docs, str(tmp_path)).collect())
     want = [(str(r.doc_id), r.source or "", r["size"]) for r in P.mix(docs).collect() for _ in range(r.copies)]
     assert got == sorted(want) and any(i == "None" for i, _, _ in got)
+
+
+def test_mixing_shares_copies_out_among_rows_alike(spark, tmp_path):
+    """Most rows are one row: they are numbered without being gathered, and each keeps its share."""
+    rows = [(7, "x y z", "a")] * 300 + [(k, f"t{k} " * (k % 5 + 1), "ab"[k % 2]) for k in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    got = P.mixture(spark, docs, str(tmp_path)).groupBy("doc_id", "source").count().collect()
+    want = {(r.doc_id, r.source): r.n for r in P.mix(docs).groupBy("doc_id", "source").agg(F.sum("copies").alias("n")).where("n > 0").collect()}
+    assert {(r.doc_id, r.source): r["count"] for r in got} == want
