@@ -163,25 +163,27 @@ def _scan(keys: np.ndarray, q: np.ndarray, k: int, least: float) -> Callable:
     return run
 
 
-def _dealt(tables: list[Planes], probes: int, parts: dict[tuple[int, int], int]) -> Callable:
-    """Rows to the buckets they ask. A row of a bucket in parts asks all of them, and lies in one."""
+def _dealt(tables: list[Planes], probes: int, parts: dict[tuple[int, int], int], lies: bool, asks: bool) -> Callable:
+    """Rows to the buckets that they ask, in all of a bucket's parts, and to the part of a bucket in which each lies."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             cid, x = batch.column(0).to_numpy(), _matrix(batch.column(1))
-            rows, table, bucket, part, lies = [], [], [], [], []
+            rows, table, bucket, part, held = [], [], [], [], []
             for t, planes_ in enumerate(tables):
                 own, margin = planes_.own(x).tolist(), planes_.margins(x)
                 for i in range(len(x)):
-                    for b in {own[i], *planes_.probes(margin[i], probes)}:
+                    for b in {own[i], *planes_.probes(margin[i], probes)} if asks else (own[i],):
                         n = parts.get((t, b), 1)
-                        rows += [i] * n
-                        table += [t] * n
-                        bucket += [b] * n
-                        part += range(n)
-                        lies += [b == own[i] and p == cid[i] % n for p in range(n)]
+                        home = cid[i] % n if lies and b == own[i] else -1
+                        at = range(n) if asks else (home,)
+                        rows += [i] * len(at)
+                        table += [t] * len(at)
+                        bucket += [b] * len(at)
+                        part += at
+                        held += [p == home for p in at]
             at = pa.array(rows, pa.int64())
-            yield pa.record_batch([pa.array(table, pa.int32()), pa.array(bucket, pa.int64()), pa.array(part, pa.int32()), pa.array(lies, pa.bool_()), batch.column(0).take(at), batch.column(1).take(at)], names=["table", "bucket", "part", "lies", "cid", "vec"])
+            yield pa.record_batch([pa.array(table, pa.int32()), pa.array(bucket, pa.int64()), pa.array(part, pa.int32()), pa.array(held, pa.bool_()), pa.array([asks] * len(rows), pa.bool_()), batch.column(0).take(at), batch.column(1).take(at)], names=["table", "bucket", "part", "lies", "asks", "cid", "vec"])
 
     return run
 
@@ -194,57 +196,91 @@ def _bucket(k: int, least: float, block: int = 2_048) -> Callable:
         held = table.filter(table.column("lies")).combine_chunks()
         if held.num_rows:
             ids, v = held.column("cid").to_numpy(), _matrix(held.column("vec").combine_chunks())
-            for s in range(0, table.num_rows, block):
-                asks = table.slice(s, block)
+            asking = table.filter(table.column("asks")).combine_chunks()
+            for s in range(0, asking.num_rows, block):
+                asks = asking.slice(s, block)
                 out += _scored(asks.column("cid").to_numpy(), _matrix(asks.column("vec").combine_chunks()), ids, v, k, least)
         return pa.table(_hits(out))
 
     return run
 
 
-def edges(vectors: DataFrame, key: str, vec: str, k: int = 15, least: float = 0.65, share: float = 0.97, bucket: int = 2_048) -> DataFrame:
-    """(query, id, score, rank): each row's k nearest by inner product at `least` or above, ties to the smaller id, all but
-    about 1 - share of them. Rows without key or vector, and vectors with null or non-finite components, or of another
-    length than most, take no part."""
-    spark = vectors.sparkSession
-    empty = spark.createDataFrame([], f"{_HITS}, rank int")
-    rows = vectors.select(F.col(key).cast("long").alias("id"), F.col(vec).alias("vec"))
-    rows = rows.where("id is not null and vec is not null and forall(vec, x -> x is not null and not isnan(x) and abs(x) < double('inf'))")
-    rows = written(rows.withColumn("vec", F.transform("vec", lambda x: F.when(x == 0, F.abs(x)).otherwise(x))).withColumn("cid", F.xxhash64("vec")), "vectors")
-    size = rows.groupBy(F.size("vec").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    if size is None or size.n == 0:
-        return empty
-    rows = rows.where(F.size("vec") == size.n)
-    # of equal vectors, only the k + 1 smallest ids can be among anyone's nearest; each partition keeps so many
-    first = rows.withColumn("nth", F.row_number().over(W.partitionBy("cid").orderBy("id"))).where(F.col("nth") <= k + 1)
-    classes = written(first.groupBy("cid").agg(F.first("vec").alias("vec"), F.array_sort(F.collect_list("id")).alias("ids")), "classes")
-
-    n = classes.count()
+def _sound(rows: DataFrame, key: str, vec: str, size: int | None = None) -> tuple[DataFrame, int]:
+    """(rows (id, vec, cid) that take part, the length of their vectors)."""
+    found = rows.select(F.col(key).cast("long").alias("id"), F.col(vec).alias("vec"))
+    found = found.where("id is not null and vec is not null and forall(vec, x -> x is not null and not isnan(x) and abs(x) < double('inf'))")
+    found = written(found.withColumn("vec", F.transform("vec", lambda x: F.when(x == 0, F.abs(x)).otherwise(x))).withColumn("cid", F.xxhash64("vec")), "vectors")
+    if size is None:
+        common = found.groupBy(F.size("vec").alias("n")).count().orderBy(F.desc("count"), "n").first()
+        size = common.n if common else 0
+    return found.where(F.size("vec") == size), size
+
+
+def _classes(rows: DataFrame, keep: int) -> DataFrame:
+    """(cid, vec, ids): distinct vectors with their smallest ids; each partition keeps so many of each."""
+    first = rows.withColumn("nth", F.row_number().over(W.partitionBy("cid").orderBy("id"))).where(F.col("nth") <= keep)
+    return written(first.groupBy("cid").agg(F.first("vec").alias("vec"), F.array_sort(F.collect_list("id")).alias("ids")), "classes")
+
+
+def _lists(classes: DataFrame, asking: DataFrame | None, size: int, k: int, least: float, share: float, bucket: int) -> DataFrame:
+    """(cid, list of (nth, id, score)): the k best of each asking class among all classes (the classes themselves, if no
+    others ask)."""
+    n, points_of = classes.count(), classes if asking is None else asking
+    asks = n if asking is None else asking.count()
     drawn = F.shiftrightunsigned(F.xxhash64("cid", F.lit(7)), 11) / F.lit(float(1 << 53))
-    some = lambda m: classes.where(drawn < min(1.0, (2 * m + 100) / n)).orderBy(drawn, "cid").limit(m).select("cid", "vec").toArrow().combine_chunks()
-    sample = _matrix(some(SAMPLE).column("vec").combine_chunks())
-    tables = [planes(sample, n, bucket, seed) for seed in range(TABLES)]
-    trial = some(CALIBRATION)
+    some = lambda df, m, of: df.where(drawn < min(1.0, (2 * m + 100) / max(1, of))).orderBy(drawn, "cid").limit(m).select("cid", "vec").toArrow().combine_chunks()
+    sample = some(classes, SAMPLE, n)
+    tables = [planes(_matrix(sample.column("vec").combine_chunks()) if n else np.zeros((0, size)), n, bucket, seed) for seed in range(TABLES)]
+    trial = some(points_of, CALIBRATION, asks)
     keys, points = trial.column("cid").to_numpy(), _matrix(trial.column("vec").combine_chunks())
-    truth = classes.select("cid", "vec").mapInArrow(_scan(keys, points, k + 1, least), _HITS)
-    truth = truth.withColumn("nth", F.row_number().over(W.partitionBy("query").orderBy(F.desc("score"), "id"))).where(F.col("nth") <= k + 1)
-    truth = truth.where("query <> id").join(classes.select(F.col("cid").alias("id"), "vec"), "id").toArrow().combine_chunks()
-    asked, found = truth.column("query").to_numpy(), _matrix(truth.column("vec").combine_chunks()) if truth.num_rows else np.zeros((0, size.n))
+    truth = classes.select("cid", "vec").mapInArrow(_scan(keys, points, k, least), _HITS)
+    truth = truth.withColumn("nth", F.row_number().over(W.partitionBy("query").orderBy(F.desc("score"), "id"))).where(F.col("nth") <= k)
+    truth = truth if asking is not None else truth.where("query <> id")
+    truth = truth.join(classes.select(F.col("cid").alias("id"), "vec"), "id").toArrow().combine_chunks()
+    asked, found = truth.column("query").to_numpy(), _matrix(truth.column("vec").combine_chunks()) if truth.num_rows else np.zeros((0, size))
     count, probes, _ = calibrated(tables, points, [found[asked == q] for q in keys.tolist()], share)
     tables = tables[:count]
 
     # a row for each bucket, of which the sample allows so many
-    own = classes.select("cid", "vec").mapInArrow(_dealt(tables, 1, {}), "table int, bucket long, part int, lies boolean, cid long, vec " + dict(classes.dtypes)["vec"])
-    crowded = own.where("lies").groupBy("table", "bucket").count().where(F.col("count") > 4 * bucket).collect()
+    schema = "table int, bucket long, part int, lies boolean, asks boolean, cid long, vec " + dict(classes.dtypes)["vec"]
+    held = classes.select("cid", "vec").mapInArrow(_dealt(tables, 1, {}, True, False), schema)
+    crowded = held.groupBy("table", "bucket").count().where(F.col("count") > 4 * bucket).collect()
     parts = {(r.table, r.bucket): -(-r["count"] // (2 * bucket)) for r in crowded}
-    dealt = classes.select("cid", "vec").mapInArrow(_dealt(tables, probes, parts), own.schema)
-    hits = dealt.groupBy("table", "bucket", "part").applyInArrow(_bucket(k + 1, least), _HITS)
+    dealt = classes.select("cid", "vec").mapInArrow(_dealt(tables, probes, parts, True, asking is None), schema)
+    if asking is not None:
+        dealt = dealt.unionByName(asking.select("cid", F.col("vec").cast(dict(classes.dtypes)["vec"]).alias("vec")).mapInArrow(_dealt(tables, probes, parts, False, True), schema))
+    hits = dealt.groupBy("table", "bucket", "part").applyInArrow(_bucket(k, least), _HITS)
     # a pair that several tables found counts once; each task keeps its k best before they meet
     best = W.partitionBy("query").orderBy(F.desc("score"), "id")
-    hits = hits.withColumn("nth", F.dense_rank().over(best)).where(F.col("nth") <= k + 1).select("query", "id", "score").distinct()
+    hits = hits.withColumn("nth", F.dense_rank().over(best)).where(F.col("nth") <= k).select("query", "id", "score").distinct()
     lists = hits.join(classes.select(F.col("cid").alias("id"), "ids"), "id").select("query", "score", F.explode("ids").alias("id"))
-    lists = lists.withColumn("nth", F.row_number().over(best)).where(F.col("nth") <= k + 1)
-    lists = lists.groupBy(F.col("query").alias("cid")).agg(F.array_sort(F.collect_list(F.struct("nth", "id", "score"))).alias("list"))
-    mine = rows.select(F.col("id").alias("query"), "cid").join(written(lists, "lists").hint("merge"), "cid")
+    lists = lists.withColumn("nth", F.row_number().over(best)).where(F.col("nth") <= k)
+    return written(lists.groupBy(F.col("query").alias("cid")).agg(F.array_sort(F.collect_list(F.struct("nth", "id", "score"))).alias("list")), "lists")
+
+
+def edges(vectors: DataFrame, key: str, vec: str, k: int = 15, least: float = 0.65, share: float = 0.97, bucket: int = 2_048) -> DataFrame:
+    """(query, id, score, rank): each row's k nearest by inner product at `least` or above, ties to the smaller id, all but
+    about 1 - share of them. Rows without key or vector, and vectors with null or non-finite components, or of another
+    length than most, take no part."""
+    rows, size = _sound(vectors, key, vec)
+    if size == 0:
+        return vectors.sparkSession.createDataFrame([], f"{_HITS}, rank int")
+    # of equal vectors, only the k + 1 smallest ids can be among anyone's nearest
+    lists = _lists(_classes(rows, k + 1), None, size, k + 1, least, share, bucket)
+    mine = rows.select(F.col("id").alias("query"), "cid").join(lists.hint("merge"), "cid")
     others = F.slice(F.filter("list", lambda x: x["id"] != F.col("query")), 1, k)
     return mine.select("query", F.posexplode(others).alias("at", "x")).select("query", "x.id", "x.score", (F.col("at") + 1).alias("rank"))
+
+
+def search(vectors: DataFrame, key: str, vec: str, queries: DataFrame, k: int, least: float = -np.inf, share: float = 0.97, bucket: int = 2_048) -> DataFrame:
+    """(query, id, score, rank): as `edges`, for queries (key, vec) that are not the table's rows, or are none of their own
+    neighbours' concern: a query's own id counts. As many queries as there are; with k = 1 and a table of centres, it
+    assigns each vector to its centre, however many there are."""
+    rows, size = _sound(vectors, key, vec)
+    if size == 0:
+        return vectors.sparkSession.createDataFrame([], f"{_HITS}, rank int")
+    asked, _ = _sound(queries, key, vec, size)
+    distinct = written(asked.groupBy("cid").agg(F.first("vec").alias("vec")), "asking")
+    lists = _lists(_classes(rows, k), distinct, size, k, least, share, bucket)
+    mine = asked.select(F.col("id").alias("query"), "cid").join(lists.hint("merge"), "cid")
+    return mine.select("query", F.posexplode("list").alias("at", "x")).select("query", "x.id", "x.score", (F.col("at") + 1).alias("rank"))

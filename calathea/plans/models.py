@@ -78,6 +78,13 @@ def knn_edges_lsh(t: Tables) -> DataFrame:
     return neighbours.edges(t.embeddings, "vec_id", "embedding", 5, 0.3, bucket=256).select("query", "id", F.round("score", 9).alias("score"), "rank")
 
 
+@query()
+def knn_topk_lsh(t: Tables) -> DataFrame:
+    """The ten nearest of every twentieth vector by the index, itself among them."""
+    few = t.embeddings.where("vec_id % 20 = 0").select("vec_id", "embedding")
+    return neighbours.search(t.embeddings, "vec_id", "embedding", few, 10, bucket=256).select("query", "id", F.round("score", 9).alias("score"), "rank")
+
+
 @query("""WITH r AS (SELECT label, vec_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS i, count(*) OVER (PARTITION BY label) AS n FROM embeddings)
 SELECT label, vec_id FROM r WHERE n <= 6 OR i IN (SELECT (k * (n - 1)) // 5 FROM range(0, 6) AS s(k))""")
 def cluster_spread_sample(t: Tables) -> DataFrame:

@@ -77,6 +77,40 @@ def test_awkward_rows(spark):
     assert found(spark, [], 3, 0.5) == {} and found(spark, [(1, [])], 3, 0.5) == {}
 
 
+def test_search_and_assignment(spark):
+    """Queries of their own, and the nearest of many centres."""
+    rng = np.random.default_rng(7)
+    centres = rng.normal(size=(60, 12))
+    rows = list(enumerate(unit(centres[np.arange(900) % 60] + 0.25 * rng.normal(size=(900, 12)))))
+    asked = [(5_000 + k, v) for k, v in enumerate(unit(centres + 0.1 * rng.normal(size=(60, 12))))] + [(9_000, None), (9_001, [1.0])]
+    frames = [spark.createDataFrame(x, SCHEMA).repartition(3) for x in (rows, asked)]
+    x = np.array([v for _, v in rows], np.float32).astype(float)
+    found = {}
+    for r in N.search(frames[0], "id", "v", frames[1], 5, bucket=64).collect():
+        found.setdefault(r.query, {})[r["rank"]] = (r.id, r.score)
+    want = {i: sorted((-float((np.array(v, np.float32).astype(float) * y).sum()), j) for j, y in enumerate(x))[:5] for i, v in asked[:60]}
+    assert found.keys() == want.keys() and all(sorted(f) == [1, 2, 3, 4, 5] for f in found.values())
+    assert np.mean([len({j for j, _ in found[i].values()} & {j for _, j in want[i]}) / 5 for i in want]) >= 0.95
+    table = spark.createDataFrame([(k, v) for k, v in enumerate(unit(centres))], SCHEMA)
+    own = {r.query: r.id for r in N.search(table, "id", "v", frames[0], 1, bucket=16).collect()}
+    unit_centres = np.array(unit(centres), np.float32).astype(float)
+    nearest = (x @ unit_centres.T).argmax(axis=1)
+    assert len(own) == len(rows) and np.mean([own[i] == nearest[i] for i in own]) >= 0.95
+    assert N.search(spark.createDataFrame([], SCHEMA), "id", "v", frames[1], 5).count() == 0
+
+
+def test_clusters_need_few_probes():
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(40, 16))
+    x = np.array(unit(centres[np.arange(4000) % 40] + 0.15 * rng.normal(size=(4000, 16))))
+    tables = [N.planes(x, len(x), 64, seed) for seed in range(4)]
+    s = x[:100] @ x.T
+    s[np.arange(100), np.arange(100)] = -1
+    near = [x[np.argsort(-s[i])[:5]] for i in range(100)]
+    count, probes, share = N.calibrated(tables, x[:100], near, 0.97)
+    assert share >= 0.97 and count * probes < 0.25 * tables[0].buckets
+
+
 def test_tables_cover_all_buckets():
     rng = np.random.default_rng(4)
     x = rng.normal(size=(500, 5))
