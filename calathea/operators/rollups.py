@@ -49,7 +49,8 @@ def rule_model(nominations: DataFrame, sizes: DataFrame, key: str = "id", size:
 
 
 def coverage(population: DataFrame, processed: Mapping[str, DataFrame], key: str = "id", limit: float = 1.0) -> DataFrame:
-    """(signal, total, covered, gap, gap_pct, passed) of each signal over a population of ids."""
+    """(signal, total, covered, gap, gap_pct, passed) of each signal over a population of ids. An empty population passes
+    nothing: what sees none of its subjects can't vouch for them."""
     parts = []
     for name, ids in processed.items():
         seen = ids.select(key).distinct().withColumn("__seen", F.lit(1))
@@ -59,7 +60,7 @@ def coverage(population: DataFrame, processed: Mapping[str, DataFrame], key: str
     out = parts[0]
     for p in parts[1:]:
         out = out.union(p)
-    return out.withColumn("passed", F.col("gap_pct") <= limit)
+    return out.withColumn("passed", (F.col("total") > 0) & (F.col("gap_pct") <= limit))
 
 
 def modal(rows: DataFrame, group: Sequence[str], value: str, name: str = "mode") -> DataFrame:

@@ -16,6 +16,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from . import ranges
 from .durable import written
 
 MAX_QUERIES = 4_096
@@ -141,14 +142,25 @@ def centroids(vectors: DataFrame, group: str, vec: str, unit: bool = True) -> Da
 
 
 def assign(vectors: DataFrame, key: str, vec: str, centres: DataFrame, group: str, limit: int = 1_000) -> DataFrame:
-    """(key, group, score): the best centre of each vector; there may be at most `limit` centres, and it is checked."""
-    few = centres.orderBy(group).limit(limit + 1).collect()
-    if len(few) > limit:
-        raise ValueError("too many centres to send to every task")
-    table = F.array(*(F.struct(F.lit(r[group]).alias("g"), F.array(*map(F.lit, r["centroid"])).alias("c")) for r in few))
-    scored = F.transform(table, lambda t: F.struct(S.dot(F.col(vec), t["c"]).alias("s"), F.negative(t["g"]).alias("o"), t["g"].alias("g")))
-    best = F.array_max(scored)
-    return vectors.select(key, best.alias("b")).select(key, F.col("b.g").alias(group), F.col("b.s").alias("score"))
+    """(key, group, score): the best centre of each vector, ties to the smaller group; exact. Centres go to the vectors
+    `limit` at a time, a scan for each; for very many, ``neighbours.search`` finds all but a few by an index."""
+
+    def of(few: list) -> DataFrame:
+        table = F.array(*(F.struct(F.lit(r[group]).alias("g"), F.array(*map(F.lit, r["centroid"])).alias("c")) for r in few))
+        scored = F.transform(table, lambda t: F.struct(F.negative(S.dot(F.col(vec), t["c"])).alias("s"), t["g"].alias("g")))
+        # the least of the negated scores, and of equal ones the smallest group
+        best = F.array_min(F.filter(scored, lambda x: x["s"].isNotNull()))
+        return vectors.select(key, best.alias("b")).select(key, F.col("b.g").alias(group), F.negative("b.s").alias("score"))
+
+    few = centres.select(group, "centroid").orderBy(group).limit(limit + 1).collect()
+    if len(few) <= limit:
+        return of(few)
+    table = written(ranges.running(centres.select(group, "centroid"), [], [group], "__at", "__of"), "centres")
+    blocks = -(-table.count() // limit)
+    found = [written(of(table.where((F.col("__at") > b * limit) & (F.col("__at") <= (b + 1) * limit)).collect()), "assigned") for b in range(blocks)]
+    least = F.min(F.struct(F.negative("score").alias("s"), F.col(group).alias("g"))).alias("b")
+    best = functools.reduce(DataFrame.unionByName, found).where("score is not null").groupBy(key).agg(least)
+    return vectors.select(key).join(best, key, "left").select(key, F.col("b.g").alias(group), F.negative("b.s").alias("score"))
 
 
 def _best_of(keys: np.ndarray, groups: list, vectors: np.ndarray) -> Callable:
@@ -169,19 +181,30 @@ def _best_of(keys: np.ndarray, groups: list, vectors: np.ndarray) -> Callable:
 
 def best_anchor(vectors: DataFrame, key: str, vec: str, anchors: DataFrame, anchor_key: str, group: str, k: int, excluded: DataFrame | None = None) -> DataFrame:
     """(group, key, score, rank): the k rows nearest to each group, by their best similarity to any of its anchors,
-    excluded rows left out. Anchors are a set of at most MAX_QUERIES; it is checked. A row is reduced to its best score
-    of each group where it is scanned, and a group's best rows to k before they are shuffled."""
-    asked = anchors.select(F.col(anchor_key).cast("long"), F.col(vec), group).limit(MAX_QUERIES + 1).toArrow()
-    if asked.num_rows > MAX_QUERIES:
-        raise ValueError("too many anchors for one scan")
+    excluded rows left out. Anchors go to the rows MAX_QUERIES at a time, a scan for each. A row is reduced to its best
+    score of each group where it is scanned, and a group's best rows to k before they are shuffled."""
     kind = dict(anchors.dtypes)[group]
     rows = vectors if excluded is None else vectors.join(excluded, key, "left_anti")
-    if not asked.num_rows:
+    table = written(anchors.select(F.col(anchor_key).cast("long").alias("k"), F.col(vec).alias("v"), F.col(group).alias("g")), "anchors")
+    blocks = max(1, -(-table.count() // MAX_QUERIES))
+    ranked = W.partitionBy(group).orderBy(F.desc("score"), key)
+    found = []
+    for b in range(blocks):
+        # of blocks by hash, some are a little larger
+        asked = table.where(F.pmod(F.xxhash64("k"), F.lit(blocks)) == b).toArrow()
+        if asked.num_rows:
+            run = _best_of(asked.column(0).to_numpy(), asked.column(2).to_pylist(), _matrix(asked.column(1).combine_chunks()))
+            best = rows.select(F.col(key).cast("long"), F.col(vec)).mapInArrow(run, "grp string, id long, score double")
+            best = best.select(F.col("grp").cast(kind).alias(group), F.col("id").alias(key), "score")
+            best = best.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k)
+            found.append(best if blocks == 1 else written(best, "anchored"))
+    if not found:
         return rows.sparkSession.createDataFrame([], f"{group} {kind}, {key} long, score double, rank int")
-    run = _best_of(asked.column(0).to_numpy(), asked.column(2).to_pylist(), _matrix(asked.column(1).combine_chunks()))
-    best = rows.select(F.col(key).cast("long"), F.col(vec)).mapInArrow(run, "grp string, id long, score double")
-    best = best.select(F.col("grp").cast(kind).alias(group), F.col("id").alias(key), "score")
-    return best.withColumn("rank", F.row_number().over(W.partitionBy(group).orderBy(F.desc("score"), key))).where(F.col("rank") <= k)
+    if len(found) == 1:
+        return found[0]
+    # a row that is among a group's k best is so in the block that its best anchor is in
+    best = functools.reduce(DataFrame.unionByName, found).groupBy(group, key).agg(F.max("score").alias("score"))
+    return best.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k)
 
 
 def cluster_table(members: DataFrame, cluster: str, key: str, vec: str, asset: str, ts: str, least: int = 2, shown: int = 4) -> tuple[DataFrame, DataFrame]:
