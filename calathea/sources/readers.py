@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import csv
 import io
+import itertools
 import json
 import posixpath
+import re
 import tarfile
 import threading
 import time
@@ -41,10 +43,11 @@ def csv_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
         return spark.createDataFrame([], schema)
 
 
-def csv_after_junk(spark: SparkSession, path: str, needed: Sequence[str], key_pattern: str, first: str = "uuid") -> DataFrame:
+def csv_after_junk(spark: SparkSession, path: str, needed: Sequence[str], key_pattern: str, first: str = "uuid", multi_line: bool = False) -> DataFrame:
     """The rows of CSV files that have other text before their header: the header is the first line that begins with
     the column `first`, and rows are the lines after it whose first field looks like a key. All columns are text; it is
-    an error if a needed one is missing."""
+    an error if a needed one is missing. With `multi_line`, quoted fields may go over lines, which makes a file one
+    task's stream, and rows with fewer fields than the header go."""
     lines = spark.read.text(path)
     headers = lines.where(F.col("value").startswith(f"{first},")).select(F.col("value")).distinct().limit(2).collect()
     if len(headers) != 1:
@@ -52,10 +55,33 @@ def csv_after_junk(spark: SparkSession, path: str, needed: Sequence[str], key_pa
     columns = next(csv.reader([headers[0].value]))
     if missing := [c for c in needed if c not in columns]:
         raise ValueError(f"{path}: no column {', '.join(missing)}")
-    fields = F.from_csv("value", F.lit(", ".join(f"`{c}` string" for c in columns)), {"mode": "PERMISSIVE"})
+    schema = ", ".join(f"`{c}` string" for c in columns)
+    if multi_line:
+        paths = files(spark, path).select("path")
+        return paths.repartition(max(1, paths.count())).mapInArrow(_records(columns, first, key_pattern), schema)
+    fields = F.from_csv("value", F.lit(schema), {"mode": "PERMISSIVE"})
     return lines.where(F.col("value").rlike(f"^{key_pattern},")).select(fields.alias("r")).select("r.*")
 
 
+def _records(columns: list[str], first: str, key_pattern: str) -> Callable:
+    """The records of files, read as streams."""
+
+    def rows_of(path: str) -> Iterator[list[str]]:
+        fs, at = pafs.FileSystem.from_uri(path) if ":" in path else (pafs.LocalFileSystem(), path)
+        with fs.open_input_stream(at) as raw, io.TextIOWrapper(raw, "utf-8", errors="replace", newline="") as text:
+            if any(line.startswith(f"{first},") for line in text):  # the rest follows the header
+                yield from (r for r in csv.reader(text) if len(r) >= len(columns) and re.match(key_pattern, r[0]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path in batch.column(0).to_pylist():
+                found = rows_of(path)
+                while some := list(itertools.islice(found, 5_000)):
+                    yield pa.record_batch([pa.array([r[k] for r in some], pa.string()) for k in range(len(columns))], names=columns)
+
+    return run
+
+
 def jsonl(spark: SparkSession, path: str, schema: str, required: str) -> DataFrame:
     """JSON lines; those that do not parse, or lack the required field, go."""
     return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path).where(F.col(required).isNotNull())

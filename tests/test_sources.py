@@ -124,3 +124,11 @@ def test_counts_are_shared_and_failures_held_off(spark, tmp_path, monkeypatch):
     assert counted.get() == counted.get() == 3 and len(calls) == 2
     with pytest.raises(OSError, match="cannot be counted"):
         readers.CachedCount(spark, "y").get()
+
+
+def test_csv_fields_over_several_lines(spark, tmp_path):
+    (tmp_path / "d").mkdir()
+    (tmp_path / "d" / "x.csv").write_text('warning: uuid\nuuid,name,note\n0a1b2c3d-0000,one,"a, b\nc ""q"""\nnot a row,x,y\n0a1b2c3e-0000,short\n0a1b2c3f-0000,two,\n')
+    (tmp_path / "d" / "y.csv").write_text("uuid,name,note\n0a1b2c40-0000,three,é,more\n")
+    found = readers.csv_after_junk(spark, f"file://{tmp_path}/d", ["name", "note"], "[0-9a-f]{8}-", multi_line=True)
+    assert sorted(map(tuple, found.collect())) == [("0a1b2c3d-0000", "one", 'a, b\nc "q"'), ("0a1b2c3f-0000", "two", ""), ("0a1b2c40-0000", "three", "é")]
