@@ -27,13 +27,6 @@ def dealt(rows: DataFrame, group: Sequence[str], order: Sequence[str | Column])
     return written(rows.repartitionByRange(*group, *order).withColumn(RANGE, F.spark_partition_id()), "ranges")
 
 
-def _same(a: DataFrame, b: DataFrame, names: Sequence[str]) -> Column:
-    out = F.lit(True)
-    for n in names:
-        out = out & a[n].eqNullSafe(b[n])
-    return out
-
-
 def offsets(rows: DataFrame, group: Sequence[str], amount: Column) -> DataFrame:
     """(range, group, __offset, __total): for groups that lie in several ranges, the amount in lower ranges and in all."""
     sums = rows.groupBy(RANGE, *group).agg(F.sum(amount).alias("__sum"))

@@ -13,7 +13,7 @@ Reading. A partition is a shard. Filters on `shard` choose files, those on `asse
 fits, no vector is read (with spark.sql.python.filterPushdown.enabled). A shard of other provenance than expected stops
 the read.
 Stream. An offset is the number of a listing of (path, size, time of change), kept in the folder `listings`; a batch reads
-what is new or has changed since the last, so a mended shard comes once more.
+what is new or has changed since the last, so a mended shard comes once more, and at most `most` shards (1,000).
 Writing. Tasks write to ``_staged`` and take back what they wrote if they fail. The commit is one file; a batch that is
 written again changes nothing, and what a failed job or a lost executor leaves is never named. Rows without a vector leave
 nothing but their asset_id in the log's files of keys: ``processed`` has all that were worked off.
@@ -140,6 +140,7 @@ class ShardStream(_Read, D.DataSourceStreamReader):
     def __init__(self, options: dict[str, str]):
         super().__init__(options)
         self.fs, self.folder = _place(options["listings"])
+        self.most = int(options.get("most", 1_000))
         kept = _names(self.fs, self.folder, ".json")
         self.last = int(kept[-1].base_name.removesuffix(".json")) if kept else 0
 
@@ -150,10 +151,13 @@ class ShardStream(_Read, D.DataSourceStreamReader):
         return {"listing": 0}
 
     def latestOffset(self) -> dict:  # noqa: N802
-        now = {n: [size, at] for n, size, at in shards(self.uri)}
-        if now != self._listing(self.last):
+        now, before = {n: [size, at] for n, size, at in shards(self.uri)}, self._listing(self.last)
+        changed = [n for n in sorted(now) if before.get(n) != now[n]]
+        if changed or before.keys() - now.keys():
+            # what is over the bound waits for the next batch
+            taken = {n: state for n, state in before.items() if n in now} | {n: now[n] for n in changed[: self.most]}
             self.last += 1
-            _publish(self.fs, f"{self.folder}/{self.last:012d}.json", now)
+            _publish(self.fs, f"{self.folder}/{self.last:012d}.json", taken)
         return {"listing": self.last}
 
     def partitions(self, start: dict, end: dict) -> Sequence[Shard]:

@@ -105,3 +105,13 @@ def test_stream_reads_changed_shards_once_more(spark, tmp_path):
     want = [("a.npz", 1, 1.0), ("b.npz", 2, 1.0), ("b.npz", 2, 7.0), ("b.npz", 3, 7.0), ("c.npz", 4, 1.0)]
     assert seen() == want
     assert seen() == want
+
+
+def test_stream_takes_no_more_than_its_bound(spark, tmp_path):
+    """Back-pressure: what arrives at once is read a few shards at a time, each once."""
+    listings, checkpoint = folder(spark, "listings"), folder(spark, "shards")
+    for k in range(5):
+        save(tmp_path / f"{k}.npz", [k])
+    rows = lambda: spark.readStream.format("vector_shards").options(listings=listings, most="2").load(f"file://{tmp_path}").select("asset_id")
+    seen = [sorted(r.asset_id for r in streams.drain(rows(), "bounded", checkpoint).collect()) for _ in range(5)]
+    assert seen[-1] == [0, 1, 2, 3, 4] and all(len(b) - len(a) <= 2 for a, b in zip([[], *seen], seen, strict=False))
