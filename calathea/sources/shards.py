@@ -134,40 +134,51 @@ class ShardReader(_Read, D.DataSourceReader):
         return super().read(partition) if partition.name else iter(())
 
 
-class ShardStream(_Read, D.DataSourceStreamReader):
-    """Offsets are numbers of listings; the files of a listing outlast the driver."""
+class Listings:
+    """Numbered listings of files, {name: [size, time of change]}, in a folder that outlasts the driver: what a stream's
+    offsets stand for. The next one takes in at most `most` new or changed files; the others wait."""
 
-    def __init__(self, options: dict[str, str]):
-        super().__init__(options)
-        self.fs, self.folder = _place(options["listings"])
-        self.most = int(options.get("most", 1_000))
+    def __init__(self, uri: str, most: int):
+        self.fs, self.folder = _place(uri)
+        self.most = most
         kept = _names(self.fs, self.folder, ".json")
         self.last = int(kept[-1].base_name.removesuffix(".json")) if kept else 0
 
-    def _listing(self, n: int) -> dict[str, list[int]]:
+    def __getitem__(self, n: int) -> dict[str, list[int]]:
         return _json(self.fs, f"{self.folder}/{n:012d}.json") if n else {}
 
-    def initialOffset(self) -> dict:  # noqa: N802
-        return {"listing": 0}
-
-    def latestOffset(self) -> dict:  # noqa: N802
-        now, before = {n: [size, at] for n, size, at in shards(self.uri)}, self._listing(self.last)
+    def advance(self, now: dict[str, list[int]]) -> int:
+        before = self[self.last]
         changed = [n for n in sorted(now) if before.get(n) != now[n]]
         if changed or before.keys() - now.keys():
-            # what is over the bound waits for the next batch
-            taken = {n: state for n, state in before.items() if n in now} | {n: now[n] for n in changed[: self.most]}
             self.last += 1
+            taken = {n: state for n, state in before.items() if n in now} | {n: now[n] for n in changed[: self.most]}
             _publish(self.fs, f"{self.folder}/{self.last:012d}.json", taken)
-        return {"listing": self.last}
+        return self.last
+
+    def forget(self, end: int) -> None:
+        for f in _names(self.fs, self.folder, ".json"):
+            if int(f.base_name.removesuffix(".json")) < end - 1:
+                self.fs.delete_file(f.path)
+
+
+class ShardStream(_Read, D.DataSourceStreamReader):
+    def __init__(self, options: dict[str, str]):
+        super().__init__(options)
+        self.listings = Listings(options["listings"], int(options.get("most", 1_000)))
+
+    def initialOffset(self) -> dict:  # noqa: N802
+        return {"listing": 0}
+
+    def latestOffset(self) -> dict:  # noqa: N802
+        return {"listing": self.listings.advance({n: [size, at] for n, size, at in shards(self.uri)})}
 
     def partitions(self, start: dict, end: dict) -> Sequence[Shard]:
-        before, now = self._listing(start["listing"]), self._listing(end["listing"])
+        before, now = self.listings[start["listing"]], self.listings[end["listing"]]
         return [Shard(n) for n, state in sorted(now.items()) if before.get(n) != state]
 
     def commit(self, end: dict) -> None:
-        for f in _names(self.fs, self.folder, ".json"):
-            if int(f.base_name.removesuffix(".json")) < end["listing"] - 1:
-                self.fs.delete_file(f.path)
+        self.listings.forget(end["listing"])
 
 
 @dataclass
