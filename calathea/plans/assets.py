@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import scalars as S
 from ..operators import assets, sets, windows
 from ..registry import Tables, query
 
@@ -154,7 +155,7 @@ def live_pairs(t: Tables) -> DataFrame:
     e = F.col("event_id")
     rows = t.events.select(
         e.alias("id"), F.when(e % 5 == 0, F.concat(F.lit("u"), F.floor(e / 10))).alias("uuid"), F.concat(F.lit("IMG_"), F.floor(e / 4), F.when(e % 2 == 0, "_HEVC.MOV").otherwise(".HEIC")).alias("name"),
-        F.when(e % 2 == 0, "MOV").otherwise("HEIC").alias("kind"), F.unix_seconds(F.col("ts").cast("timestamp")).alias("ts"), (e % 4 == 0).alias("live"),
+        F.when(e % 2 == 0, "MOV").otherwise("HEIC").alias("kind"), S.nearest_second(F.col("ts")).alias("ts"), (e % 4 == 0).alias("live"),
     )
     return assets.live_pairs(rows, "id", "uuid", "name", "kind", "ts", "live")
 
