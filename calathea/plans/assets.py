@@ -86,7 +86,7 @@ def edit_marks(t: Tables) -> DataFrame:
 @query("""SELECT user_id, coalesce(arg_max(event_id, value) FILTER (event_type = 'click'), arg_max(event_id, event_id % 97 * 100000 - event_id) FILTER (event_type = 'view')) AS hero FROM events GROUP BY 1""")
 def heroes(t: Tables) -> DataFrame:
     click, view = F.col("event_type") == "click", F.col("event_type") == "view"
-    rows = t.events.select("user_id", "event_id", F.when(click, F.col("value")).alias("score"), F.when(view, (F.col("event_id") % 97).cast("double")).alias("blur"), F.lit(True).alias("still"))
+    rows = t.events.select("user_id", "event_id", F.when(click, F.col("value")).alias("score"), F.when(view, F.col("event_id") % 97 * 100_000 - F.col("event_id")).alias("blur"), F.lit(True).alias("still"))
     return assets.hero(rows, ["user_id"], "event_id", "score", "blur", "still")
 
 
