@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 from .durable import written
 
 SAMPLE, CALIBRATION, TABLES, LEAST = 20_000, 256, 8, 8
+#: Rows that a task of `_dealt` works on at a time, and copies of rows that it makes before it sends them off.
+ROWS, COPIES = 512, 8_192
 
 
 @dataclass
@@ -166,41 +168,75 @@ def _scan(keys: np.ndarray, q: np.ndarray, k: int, least: float) -> Callable:
 def _dealt(tables: list[Planes], probes: int, parts: dict[tuple[int, int], int], lies: bool, asks: bool) -> Callable:
     """Rows to the buckets that they ask, in all of a bucket's parts, and to the part of a bucket in which each lies."""
 
+    def sent(few: pa.RecordBatch, copies: list[tuple[int, int, int, int, bool]]) -> pa.RecordBatch:
+        at, table, bucket, part, held = (list(c) for c in zip(*copies, strict=True))
+        rows = pa.array(at, pa.int64())
+        return pa.record_batch([pa.array(table, pa.int32()), pa.array(bucket, pa.int64()), pa.array(part, pa.int32()), pa.array(held, pa.bool_()), pa.array([asks] * len(at), pa.bool_()), few.column(0).take(rows), few.column(1).take(rows)], names=["table", "bucket", "part", "lies", "asks", "cid", "vec"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            cid, x = batch.column(0).to_numpy(), _matrix(batch.column(1))
-            rows, table, bucket, part, held = [], [], [], [], []
+        for few in (batch.slice(s, ROWS) for batch in batches for s in range(0, batch.num_rows, ROWS)):
+            cid, x, copies = few.column(0).to_numpy(), _matrix(few.column(1)), []
             for t, planes_ in enumerate(tables):
                 own, margin = planes_.own(x).tolist(), planes_.margins(x)
                 for i in range(len(x)):
                     for b in {own[i], *planes_.probes(margin[i], probes)} if asks else (own[i],):
                         n = parts.get((t, b), 1)
                         home = cid[i] % n if lies and b == own[i] else -1
-                        at = range(n) if asks else (home,)
-                        rows += [i] * len(at)
-                        table += [t] * len(at)
-                        bucket += [b] * len(at)
-                        part += at
-                        held += [p == home for p in at]
-            at = pa.array(rows, pa.int64())
-            yield pa.record_batch([pa.array(table, pa.int32()), pa.array(bucket, pa.int64()), pa.array(part, pa.int32()), pa.array(held, pa.bool_()), pa.array([asks] * len(rows), pa.bool_()), batch.column(0).take(at), batch.column(1).take(at)], names=["table", "bucket", "part", "lies", "asks", "cid", "vec"])
+                        copies += [(i, t, b, p, p == home) for p in (range(n) if asks else (home,))]
+                        if len(copies) >= COPIES:
+                            yield sent(few, copies)
+                            copies = []
+            if copies:
+                yield sent(few, copies)
 
     return run
 
 
-def _bucket(k: int, least: float, block: int = 2_048) -> Callable:
-    """What a part of a bucket holds, against all rows that ask it."""
+def _met(k: int, least: float, block: int = 2_048) -> Callable:
+    """What a part of a bucket holds, against all rows that ask it: rows in order of the parts, in each those that lie there
+    first. These are held, and are of bounded number; those that only ask, however many, pass by them."""
+
+    def asked(rows: pa.RecordBatch | pa.Table, ids: np.ndarray, v: np.ndarray) -> Iterator[pa.RecordBatch]:
+        rows = pa.table(rows.columns, names=rows.schema.names) if isinstance(rows, pa.RecordBatch) else rows
+        asking = rows.filter(rows.column("asks"))
+        for s in range(0, asking.num_rows if len(ids) else 0, block):
+            asks = asking.slice(s, block).combine_chunks()
+            yield pa.record_batch(_hits(_scored(asks.column("cid").to_numpy(), _matrix(asks.column("vec").combine_chunks()), ids, v, k, least)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held, ids, v = None, [], None, None
+
+        def settled() -> tuple[pa.Table | None, np.ndarray, np.ndarray]:
+            if not held:
+                return None, np.zeros(0, np.int64), np.zeros((0, 0))
+            table = pa.Table.from_batches(held).combine_chunks()
+            return table, table.column("cid").to_numpy(), _matrix(table.column("vec").combine_chunks())
 
-    def run(table: pa.Table) -> pa.Table:
-        table, out = table.combine_chunks(), []
-        held = table.filter(table.column("lies")).combine_chunks()
-        if held.num_rows:
-            ids, v = held.column("cid").to_numpy(), _matrix(held.column("vec").combine_chunks())
-            asking = table.filter(table.column("asks")).combine_chunks()
-            for s in range(0, asking.num_rows, block):
-                asks = asking.slice(s, block)
-                out += _scored(asks.column("cid").to_numpy(), _matrix(asks.column("vec").combine_chunks()), ids, v, k, least)
-        return pa.table(_hits(out))
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            columns = [batch.column(c).to_numpy() for c in range(3)]
+            turns = np.flatnonzero(np.any([c[1:] != c[:-1] for c in columns], axis=0)) + 1
+            for low, high in zip([0, *turns], [*turns, batch.num_rows], strict=True):
+                now = tuple(int(c[low]) for c in columns)
+                if now != key:
+                    if held and ids is None:
+                        own, ids, v = settled()
+                        yield from asked(own, ids, v)
+                    key, held, ids, v = now, [], None, None
+                rows = batch.slice(low, high - low)
+                lying = rows.column(3).true_count
+                if lying:
+                    held.append(rows.slice(0, lying))
+                if lying < rows.num_rows:
+                    if ids is None:
+                        own, ids, v = settled()
+                        if own is not None:
+                            yield from asked(own, ids, v)
+                    yield from asked(rows.slice(lying), ids, v)
+        if held and ids is None:
+            own, ids, v = settled()
+            yield from asked(own, ids, v)
 
     return run
 
@@ -249,7 +285,8 @@ def _lists(classes: DataFrame, asking: DataFrame | None, size: int, k: int, leas
     dealt = classes.select("cid", "vec").mapInArrow(_dealt(tables, probes, parts, True, asking is None), schema)
     if asking is not None:
         dealt = dealt.unionByName(asking.select("cid", F.col("vec").cast(dict(classes.dtypes)["vec"]).alias("vec")).mapInArrow(_dealt(tables, probes, parts, False, True), schema))
-    hits = dealt.groupBy("table", "bucket", "part").applyInArrow(_bucket(k, least), _HITS)
+    place = ["table", "bucket", "part"]
+    hits = dealt.repartition(*place).sortWithinPartitions(*place, F.desc("lies")).mapInArrow(_met(k, least), _HITS)
     # a pair that several tables found counts once; each task keeps its k best before they meet
     best = W.partitionBy("query").orderBy(F.desc("score"), "id")
     hits = hits.withColumn("nth", F.dense_rank().over(best)).where(F.col("nth") <= k).select("query", "id", "score").distinct()
