@@ -156,7 +156,7 @@ m AS (SELECT k, max(c) AS score FROM p GROUP BY k)
 SELECT p.k, min(s) AS s, score, CASE WHEN count(*) = 1 THEN 'matched' ELSE 'ambiguous' END AS status FROM p JOIN m ON p.k = m.k AND c = score GROUP BY p.k, score""")
 def candidate_status(t: Tables) -> DataFrame:
     pairs = t.orders.join(t.lineitem, F.col("o_orderkey") == F.col("l_orderkey")).groupBy(F.col("o_custkey").alias("k"), F.col("l_suppkey").alias("s")).agg(F.count("*").alias("c"))
-    return matching.candidate_status(pairs, "k", "s", F.col("c"))
+    return matching.candidate_status(pairs, "k", "s", F.col("c"), repeated=False)
 
 
 @query("""
