@@ -155,7 +155,11 @@ WITH p AS (SELECT DISTINCT o_custkey AS k, l_suppkey AS s, count(*) AS c FROM or
 m AS (SELECT k, max(c) AS score FROM p GROUP BY k)
 SELECT p.k, min(s) AS s, score, CASE WHEN count(*) = 1 THEN 'matched' ELSE 'ambiguous' END AS status FROM p JOIN m ON p.k = m.k AND c = score GROUP BY p.k, score""")
 def candidate_status(t: Tables) -> DataFrame:
-    pairs = t.orders.join(t.lineitem, F.col("o_orderkey") == F.col("l_orderkey")).groupBy(F.col("o_custkey").alias("k"), F.col("l_suppkey").alias("s")).agg(F.count("*").alias("c"))
+    # so many tasks that none has more than about half a million lines, of an order's and of a customer's hash
+    lines = t.lineitem.select("l_orderkey", "l_suppkey")
+    parts = max(t.spark.sparkContext.defaultParallelism, -(-lines.count() // 500_000))
+    joined = t.orders.select("o_orderkey", "o_custkey").repartition(parts, "o_orderkey").join(lines.repartition(parts, "l_orderkey"), F.col("o_orderkey") == F.col("l_orderkey"))
+    pairs = joined.select(F.col("o_custkey").alias("k"), F.col("l_suppkey").alias("s")).repartition(parts, "k").groupBy("k", "s").agg(F.count("*").alias("c"))
     return matching.candidate_status(pairs, "k", "s", F.col("c"), repeated=False)
 
 
