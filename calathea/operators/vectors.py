@@ -82,14 +82,16 @@ def _pairs(k: int, least: float) -> Callable:
         a, b = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
         out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
         if len(a) and len(b):
-            rough = v[a] @ v[b].T
-            for row, i in enumerate(a):
-                at = np.flatnonzero((rough[row] >= least - 1e-9) & (ids[b] != ids[i]))
-                if len(at) > k:
-                    floor = np.partition(rough[row][at], len(at) - k)[len(at) - k]
-                    at = at[rough[row][at] >= floor - 1e-9]
-                exact = (v[b[at]] * v[i]).sum(axis=1)
-                out.append((np.full(len(at), ids[i]), ids[b[at]], exact))
+            # a slice of the product at a time
+            for few in (a[s : s + 256] for s in range(0, len(a), 256)):
+                rough = v[few] @ v[b].T
+                for row, i in enumerate(few):
+                    at = np.flatnonzero((rough[row] >= least - 1e-9) & (ids[b] != ids[i]))
+                    if len(at) > k:
+                        floor = np.partition(rough[row][at], len(at) - k)[len(at) - k]
+                        at = at[rough[row][at] >= floor - 1e-9]
+                    exact = (v[b[at]] * v[i]).sum(axis=1)
+                    out.append((np.full(len(at), ids[i]), ids[b[at]], exact))
         q, i, x = (np.concatenate(c) for c in zip(*out, strict=True))
         return pa.table({"query": pa.array(q), "id": pa.array(i), "score": pa.array(x)})
 
