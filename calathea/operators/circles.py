@@ -7,6 +7,11 @@ cell at each level that some circle takes, of which there are at most LEVELS. No
 circles of one cell, and of these what the exact distance says is taken. Points of one place are looked up once, and a
 place stops at its first circle where only that is asked.
 
+Where a point asks for a circle of its month (`at_home`), circles are cut finer, and most of a circle's cells lie within it
+whole. Such a cell holds its points in the circle's months without a distance. Only points of other months meet the circles
+whose edge crosses their cell, and of these only such as last beyond the months that the cell has already. So the denser
+circles lie, the fewer are compared.
+
 Points without a place are in no circle; circles without a centre or radius, or with a negative one, hold nothing.
 """
 
@@ -23,6 +28,8 @@ from .durable import written
 LEVELS = 24
 #: Room for rounding, in degrees.
 ROOM = 1e-7
+#: Levels by which `at_home` cuts circles finer: a diameter is 4 to 8 cells.
+FINER = 3
 _KM = 6371.0088
 
 
@@ -47,11 +54,11 @@ def cells_of_points(points: DataFrame, levels: Sequence[int], lat: str, lon: str
     return at.withColumn("cell", F.pmod(F.floor(east / (360 / around)), around))
 
 
-def cells_of_circles(circles: DataFrame, lat: str, lon: str, km: str) -> DataFrame:
-    """The circles with `level`, `band` and `cell`, a row for each cell that they may touch."""
+def cells_of_circles(circles: DataFrame, lat: str, lon: str, km: str, finer: int = 0) -> DataFrame:
+    """The circles with `level`, `band` and `cell`, a row for each cell that they may touch, so many levels finer."""
     sound = circles.where(F.col(lat).between(-90, 90) & F.col(lon).isNotNull() & ~F.isnan(lon) & (F.col(km) >= 0) & ~F.isnan(km))
     reach = F.degrees(F.least(F.col(km) / _KM, F.lit(3.2))) + ROOM
-    level = F.greatest(F.lit(0), F.least(F.lit(LEVELS - 1), F.floor(F.log2(F.lit(180.0) / (reach * 2))))).cast("int")
+    level = F.greatest(F.lit(0), F.least(F.lit(LEVELS - 1), F.floor(F.log2(F.lit(180.0) / (reach * 2))) + finer)).cast("int")
     at = sound.withColumn("__reach", reach).withColumn("level", level)
     last = F.pow(F.lit(2.0), F.col("level")).cast("long") - 1
     band = lambda x: F.greatest(F.lit(0), F.least(last, F.floor((x + 90) / _width(F.col("level")))))
@@ -67,6 +74,26 @@ def cells_of_circles(circles: DataFrame, lat: str, lon: str, km: str) -> DataFra
     return at.drop("__reach", "__side", "__around")
 
 
+def _holds_cell(lat: str, lon: str, km: str) -> Column:
+    """Whether a circle surely holds its whole cell: where that is within a quarter of the globe, its farthest place is a corner."""
+    width, around = _width(F.col("level")), _around(F.col("level"), F.col("band"))
+    low = F.lit(-90.0) + F.col("band") * width
+    bands = F.greatest(F.lit(-90.0), low - ROOM), F.least(F.lit(90.0), low + width + ROOM)
+    sides = F.col("cell") * (360 / around) - 180 - ROOM, (F.col("cell") + 1) * (360 / around) - 180 + ROOM
+    off = [F.pmod(side - F.col(lon) + 180, F.lit(360.0)) - 180 for side in sides]
+    far = F.greatest(*(S.haversine_km(F.col(lat), F.col(lon), band, F.col(lon) + x) for band in bands for x in off))
+    return (around >= 4) & (F.greatest(*map(F.abs, off)) < 90) & (far <= F.col(km) - 0.001)
+
+
+def _merged(times: Column) -> Column:
+    """Times (start, till (open, end)) as few that don't overlap."""
+    joins = lambda a, x: a["till"]["open"] | (x["start"] <= a["till"]["end"])
+    last = lambda a: F.element_at(a, -1)
+    longer = lambda a, x: F.struct(last(a)["start"].alias("start"), F.greatest(last(a)["till"], x["till"]).alias("till"))
+    rest = F.array_sort(times)
+    return F.aggregate(F.slice(rest, 2, F.size(rest)), F.slice(rest, 1, 1), lambda a, x: F.when(joins(last(a), x), F.concat(F.slice(a, 1, F.size(a) - 1), F.array(longer(a, x)))).otherwise(F.concat(a, F.array(x))))
+
+
 def _sides(points: DataFrame, circles: DataFrame, keep: Sequence[str], more: Sequence[str], lat: str, lon: str, radius: str) -> tuple[DataFrame, DataFrame]:
     """Places (distinct, with columns `keep`) and circles (with columns `more`) by cell."""
     own = circles.select(F.col(lat).alias("__lat"), F.col(lon).alias("__lon"), F.col(radius).alias("__km"), *(F.col(c).alias(f"__{c}") for c in more))
@@ -99,10 +126,26 @@ def pairs(points: DataFrame, key: str, circles: DataFrame, circle: str, lat: str
 def at_home(points: DataFrame, homes: DataFrame, month: str = "ym", lat: str = "lat", lon: str = "lon", title: str = "title", radius: str = "radius_km") -> DataFrame:
     """The points with `home`: whether a residence that is active in the point's month has its title among its areas or
     lies within its radius. Homes (start, end, lat, lon, radius, areas) may be many; months are yyyy-MM, an open end null."""
-    places, cover = _sides(points, homes, [month], ["start", "end"], lat, lon, radius)
+    cell = ["level", "band", "cell"]
+    own = homes.select(F.col(lat).alias("__lat"), F.col(lon).alias("__lon"), F.col(radius).alias("__km"), F.col("start").alias("__start"), F.col("end").alias("__end"))
+    own = own.where(F.col("__start").isNotNull() & (F.col("__end").isNull() | (F.col("__start") <= F.col("__end"))))
+    cover = written(cells_of_circles(own, "__lat", "__lon", "__km", FINER).withColumn("__whole", _holds_cell("__lat", "__lon", "__km")), "cover")
+    levels = sorted(r.level for r in cover.select("level").distinct().collect())
+    # the months of cells that a circle holds whole: at most one time a start, and most of these overlap
+    till = F.struct(F.col("__end").isNull().alias("open"), F.col("__end").alias("end"))
+    times = cover.where("__whole").groupBy(*cell, F.col("__start").alias("start")).agg(F.max(till).alias("till"))
+    times = written(times.groupBy(*cell).agg(_merged(F.collect_list(F.struct("start", "till"))).alias("__times")), "times")
+    asked = points.where(F.col(lat).between(-90, 90) & F.col(lon).isNotNull() & ~F.isnan(lon) & F.col(month).isNotNull()).select(lat, lon, month).distinct()
+    inside = cells_of_points(asked.select(lat, lon).distinct(), levels, lat, lon).join(times, cell).groupBy(lat, lon).agg(F.flatten(F.collect_list("__times")).alias("__times"))
+    held = F.exists("__times", lambda x: (F.col(month) >= x["start"]) & (x["till"]["open"] | (F.col(month) <= x["till"]["end"])))
+    looked = written(asked.join(inside, [lat, lon], "left").select(lat, lon, month, F.coalesce(held, F.lit(False)).alias("__held")), "looked")
+    # the rest against circles whose edge crosses the cell, if they last beyond what the whole cell has
+    known = F.exists("__times", lambda x: (x["start"] <= F.col("__start")) & (x["till"]["open"] | F.coalesce(F.col("__end") <= x["till"]["end"], F.lit(False))))
+    edge = cover.where("not __whole").join(times, cell, "left").where(~F.coalesce(known, F.lit(False))).drop("__times")
+    rest = cells_of_points(looked.where("not __held").drop("__held"), levels, lat, lon)
     active = (F.col(month) >= F.col("__start")) & (F.col("__end").isNull() | (F.col(month) <= F.col("__end")))
-    same = [places[c] == cover[c] for c in ("level", "band", "cell")]
-    held = places.join(cover, [*same, _holds(lat, lon), active], "left_semi").select(lat, lon, month).distinct().withColumn("__held", F.lit(True))
+    met = rest.join(edge, [*(rest[c] == edge[c] for c in cell), active, _holds(lat, lon)], "left_semi").select(lat, lon, month).distinct()
+    held = looked.where("__held").select(lat, lon, month).unionByName(met).withColumn("__held", F.lit(True))
     areas = homes.select(F.explode("areas").alias("__area"), F.col("start").alias("__start"), F.col("end").alias("__end")).where(F.col("__area").isNotNull()).distinct()
     titles = points.select(title, month).where(F.col(title).isNotNull()).distinct()
     named = titles.join(areas, [F.col(title) == F.col("__area"), active], "left_semi").withColumn("__named", F.lit(True))
