@@ -73,25 +73,44 @@ def search(vectors: DataFrame, key: str, vec: str, queries: DataFrame, k: int, l
     return functools.reduce(DataFrame.unionByName, found)
 
 
+def _best(a: np.ndarray, b: np.ndarray, same: tuple[np.ndarray, np.ndarray] | None, k: int, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Places (in a, in b) of each row's k largest products of at least `least`, with all that may be as large but for rounding.
+    The products are single where their error is bounded, and no pair is lost to it. `same`: ids; equal ones are no pair."""
+    far = [float(np.sqrt((x * x).sum(axis=1).max())) for x in (a, b)]
+    single = all(x < 1e15 for x in far)  # false for what is not finite
+    room = (a.shape[1] + 4) * 2.0**-24 * far[0] * far[1] + 1e-37 if single else 1e-9
+    left, right = (x.astype(np.float32) if single else x for x in (a, b))
+    out = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    # a slice of the product at a time
+    for s in range(0, len(a), 256):
+        rough = left[s : s + 256] @ right.T
+        if not single:
+            rough[np.isnan(rough)] = -np.inf
+        if same is not None:
+            rough[same[0][s : s + 256, None] == same[1]] = -np.inf
+        floor = np.full(len(rough), least)
+        if len(b) > k:
+            floor = np.maximum(floor, np.partition(rough, len(b) - k, axis=1)[:, len(b) - k])
+        at, of = np.divmod(np.flatnonzero(rough >= (floor - 3 * room).astype(rough.dtype)[:, None]), len(b))
+        out.append((at + s, of))
+    return tuple(np.concatenate(c) for c in zip(*out, strict=True))
+
+
 def _pairs(k: int, least: float) -> Callable:
-    """Of two blocks: for each row of the first, its best rows of the second."""
+    """Of two blocks, or of one with itself (then all of side 0): each row's best rows of the other."""
 
     def run(table: pa.Table) -> pa.Table:
         side = table.column("side").to_numpy()
         ids, v = table.column("id").to_numpy(), _matrix(table.column("vec").combine_chunks())
         a, b = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        own = len(side) > 0 and table.column("i")[0] == table.column("j")[0]
         out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
-        if len(a) and len(b):
-            # a slice of the product at a time
-            for few in (a[s : s + 256] for s in range(0, len(a), 256)):
-                rough = v[few] @ v[b].T
-                for row, i in enumerate(few):
-                    at = np.flatnonzero((rough[row] >= least - 1e-9) & (ids[b] != ids[i]))
-                    if len(at) > k:
-                        floor = np.partition(rough[row][at], len(at) - k)[len(at) - k]
-                        at = at[rough[row][at] >= floor - 1e-9]
-                    exact = (v[b[at]] * v[i]).sum(axis=1)
-                    out.append((np.full(len(at), ids[i]), ids[b[at]], exact))
+        for x, y in [(a, a)] if own else [(a, b), (b, a)]:
+            if len(x) and len(y):
+                at, of = _best(v[x], v[y], (ids[x], ids[y]) if own else None, k, least)
+                for s in range(0, len(at), 16_384):
+                    p, q = x[at[s : s + 16_384]], y[of[s : s + 16_384]]
+                    out.append((ids[p], ids[q], (v[p] * v[q]).sum(axis=1)))
         q, i, x = (np.concatenate(c) for c in zip(*out, strict=True))
         return pa.table({"query": pa.array(q), "id": pa.array(i), "score": pa.array(x)})
 
@@ -101,16 +120,18 @@ def _pairs(k: int, least: float) -> Callable:
 def neighbour_edges(vectors: DataFrame, key: str, vec: str, k: int = 15, least: float = 0.65, block: int = 4_096) -> DataFrame:
     """(query, id, score, rank): each row's k nearest at `least` or above, among all rows; exact.
 
-    Rows are cut into blocks by hash; each pair of blocks is a task that multiplies two bounded matrices and keeps k
-    a row. The work is that of all pairs, as exact neighbours of every row need; an approximate index is in the
-    corpus operators.
+    Rows are cut into blocks by hash; each two blocks are a task that multiplies two bounded matrices and keeps k a row
+    of either. Beyond 16 blocks, they grow up to four times as large before there are more of them, as a row is sent
+    once for each block. The work is that of all pairs, as exact neighbours of every row need; an approximate index is
+    in `neighbours`.
     """
-    n = max(1, -(-vectors.count() // block))
-    rows = vectors.select(F.col(key).cast("long").alias("id"), F.col(vec).alias("vec"), F.pmod(F.xxhash64(key), F.lit(n)).alias("own"))
-    every = F.sequence(F.lit(0), F.lit(n - 1))
-    left = rows.select("id", "vec", F.lit(0).alias("side"), F.col("own").alias("i"), F.explode(every).alias("j"))
-    right = rows.select("id", "vec", F.lit(1).alias("side"), F.explode(every).alias("i"), F.col("own").alias("j"))
-    found = left.unionByName(right).groupBy("i", "j").applyInArrow(_pairs(k, least), _HITS)
+    total = vectors.count()
+    n = max(1, min(16, -(-total // block)), -(-total // (4 * block)))
+    rows = vectors.select(F.col(key).cast("long").alias("id"), F.col(vec).alias("vec"), F.pmod(F.xxhash64(key), F.lit(n)).cast("int").alias("own"))
+    # the block of the smaller number is side 0
+    sent = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    sent = sent.select("id", "vec", (F.col("own") > F.col("other")).cast("int").alias("side"), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    found = sent.groupBy("i", "j").applyInArrow(_pairs(k, least), _HITS)
     return found.withColumn("rank", F.row_number().over(W.partitionBy("query").orderBy(F.desc("score"), "id"))).where((F.col("rank") <= k) & (F.col("score") >= least))
 
 
