@@ -89,11 +89,17 @@ def top_labels(labels: DataFrame, key: str, category: str, term: str, score: str
     return top.groupBy(key, category).agg(F.transform(F.array_sort(F.collect_list(F.struct("__r", term))), lambda x: x[term]).alias("terms"))
 
 
+def _best(key: str, score: str, where: Column | None = None) -> Column:
+    """The key of the largest score, of equal ones the smallest; rows without key or score are passed over."""
+    some = F.col(key).isNotNull() & F.col(score).isNotNull()
+    return F.max_by(key, F.when(some if where is None else some & where, F.struct(score, F.bitwise_not(key))))
+
+
 def people(faces: DataFrame, person: str, face: str, asset: str, confirmed: str, score: str) -> DataFrame:
-    """(person, faces, assets, confirmed, face): counts, and the face that was detected best."""
+    """(person, faces, assets, confirmed, face): counts, and the face that was detected best, of equal ones the smallest."""
     return faces.groupBy(person).agg(
         F.count("*").alias("faces"), F.count_distinct(asset).alias("assets"), F.count_if(F.col(confirmed)).alias("confirmed"),
-        F.max_by(face, F.struct(score, F.negative(face))).alias("face"),
+        _best(face, score).alias("face"),
     )
 
 
@@ -124,9 +130,8 @@ def edit_marks(members: DataFrame, key: str, group: str, role: str) -> DataFrame
 
 
 def hero(rows: DataFrame, group: Sequence[str], key: str, score: str, blur: str, still: str) -> DataFrame:
-    """(group, hero): the still with the best score, else the sharpest, else none."""
-    best = lambda c: F.max_by(key, F.when(F.col(still) & F.col(c).isNotNull(), F.struct(c, F.negative(key))))
-    return rows.groupBy(*group).agg(F.coalesce(best(score), best(blur)).alias("hero"))
+    """(group, hero): the still with the best score, else the sharpest, else none; of equal ones the smallest."""
+    return rows.groupBy(*group).agg(F.coalesce(*(_best(key, c, F.col(still)) for c in (score, blur))).alias("hero"))
 
 
 def live_pairs(assets: DataFrame, key: str, uuid: str, name: str, kind: str, ts: str, live: str, stills: Sequence[str] = ("HEIC", "JPG", "JPEG")) -> DataFrame:
