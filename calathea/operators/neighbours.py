@@ -6,9 +6,10 @@ which the least sum of squared margins leads. The number of tables and of probes
 true edges are found by a scan of everything, and the cheapest pair of numbers that finds the asked share of them is
 taken. Candidates are then scored in double precision, in one order of summation.
 
-What moves grows with the rows: each goes to tables x probes buckets. The sample is bounded; a bucket that outgrew it, or
-that holds many rows, is worked off in parts of bounded size, each against each, so nothing is lost there. Rows of equal
-vectors are one row with its smallest ids. Where vectors have no structure, many probes are needed, as for any index.
+What moves grows with the rows: each goes to tables x probes buckets, MOST at most. Where vectors have little structure, as
+for any index, more probes are needed; then buckets are made larger, until so few of them do: what moves stays as it is, and
+the work comes near that of all pairs. The sample is bounded; a bucket of more than HELD rows is worked off in parts,
+each against each, so nothing is lost there. Rows of equal vectors are one row with its smallest ids.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ from .durable import written
 SAMPLE, CALIBRATION, TABLES, LEAST = 20_000, 256, 8, 8
 #: Rows that a task of `_dealt` works on at a time, and copies of rows that it makes before it sends them off.
 ROWS, COPIES = 512, 8_192
+#: Buckets that a row is sent to, rows of a bucket that a task holds, tasks at least for large tables, and rows that are scored at a time.
+MOST, HELD, TASKS, PIECE = 8, 131_072, 32, 1_024
 
 
 @dataclass
@@ -103,37 +106,39 @@ def planes(sample: np.ndarray, rows: int, bucket: int, seed: int) -> Planes:
     return Planes(np.array(normal).reshape(len(offset), sample.shape[1]), np.array(offset), below, above)
 
 
-def calibrated(tables: list[Planes], points: np.ndarray, near: list[np.ndarray], share: float) -> tuple[int, int, float]:
-    """(tables, probes, share found): the cheapest numbers that find this share of the true neighbours of these points."""
+def calibrated(tables: list[Planes], points: np.ndarray, near: list[np.ndarray], share: float, most: int | None = None) -> tuple[int, int, float] | None:
+    """(tables, probes, share found): the cheapest numbers that find this share of the true neighbours of these points; none
+    if that takes more than `most` buckets."""
     asked = sum(map(len, near))
     if not asked:
         return 1, 1, 1.0
-    rank = np.full((len(tables), asked), np.iinfo(np.int64).max)
+    never = np.iinfo(np.int64).max
+    rank = np.full((len(tables), asked), never)
     for t, table in enumerate(tables):
         margin, at = table.margins(points), 0
         for i, found in enumerate(near):
-            order = {b: n for n, b in enumerate(table.probes(margin[i], table.buckets))}
-            rank[t, at : at + len(found)] = [order[b] for b in table.own(found).tolist()] if len(found) else []
+            order = {b: n for n, b in enumerate(table.probes(margin[i], most or table.buckets))}
+            rank[t, at : at + len(found)] = [order.get(b, never) for b in table.own(found).tolist()] if len(found) else []
             at += len(found)
     best = None
     for t in range(1, len(tables) + 1):
         first = np.sort(rank[:t].min(axis=0))
-        probes = int(first[max(0, int(np.ceil(share * asked)) - 1)]) + 1
+        last = int(first[max(0, int(np.ceil(share * asked)) - 1)])
+        if last == never or (most and t * (last + 1) > most):
+            continue
+        probes = last + 1
         if best is None or t * probes < best[0] * best[1]:
             best = t, probes, float((first < probes).mean())
     return best
 
 
-def _matrix(vectors: pa.Array) -> np.ndarray:
-    return vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(vectors), -1)
+def _flat(vectors: pa.Array) -> np.ndarray:
+    """As they are, in single or double precision."""
+    return vectors.flatten().to_numpy(zero_copy_only=False).reshape(len(vectors), -1)
 
 
-def _top(score: np.ndarray, k: int) -> np.ndarray:
-    """Places of the k largest and of all that are as large but for rounding."""
-    if len(score) <= k:
-        return np.arange(len(score))
-    floor = np.partition(score, len(score) - k)[len(score) - k]
-    return np.flatnonzero(score >= floor - 1e-9 * max(1.0, abs(floor)))
+def _matrix(vectors: pa.Array) -> np.ndarray:
+    return _flat(vectors).astype(np.float64)
 
 
 _HITS = "query long, id long, score double"
@@ -144,45 +149,94 @@ def _hits(rows: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> dict[str, pa
     return {n: pa.array(p.astype(t)) for n, p, t in zip(("query", "id", "score"), parts, (np.int64, np.int64, np.float64), strict=True)}
 
 
-def _scored(keys: np.ndarray, q: np.ndarray, ids: np.ndarray, v: np.ndarray, k: int, least: float) -> list[tuple]:
-    """Each query's k best of these rows with at least this score."""
-    rough, out = q @ v.T, []
-    for i in range(len(keys)):
-        at = np.flatnonzero(rough[i] >= least - 1e-9)
-        at = at[_top(rough[i][at], k)]
-        exact = (v[at] * q[i]).sum(axis=1)
-        out.append((np.full(len(at), keys[i]), ids[at], exact))
+def _far(x: np.ndarray) -> float:
+    """The length of the longest row."""
+    return max((float(np.sqrt((y * y).sum(axis=1).max())) for y in (x[s : s + PIECE].astype(np.float64) for s in range(0, len(x), PIECE))), default=0.0)
+
+
+def _least_of_best(at: np.ndarray, score: np.ndarray, n: int, k: int) -> np.ndarray:
+    """Of each of n rows its k-th largest score, or -inf if it has fewer."""
+    order = np.lexsort((-score, at))
+    first = np.searchsorted(at[order], np.arange(n + 1))
+    out, full = np.full(n, -np.inf), np.diff(first) >= k
+    out[full] = score[order[first[:-1][full] + k - 1]]
     return out
 
 
+def _best(q: np.ndarray, v: np.ndarray, far: float, k: int, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Places (in q, in v) of each row's k largest products of at least `least`, with all that may be as large but for rounding.
+    A piece of v after another; what is below a row's k best so far is passed over at once. The products are single where
+    their error is bounded, and no pair is lost to it."""
+    own = _far(q)
+    single = far < 1e15 and own < 1e15  # false for what is not finite
+    room = (q.shape[1] + 4) * 2.0 ** (-24 if single else -52) * own * far + 1e-37
+    room, kind = 3 * room if np.isfinite(room) else 0.0, np.float32 if single else np.float64
+    left, floor = q.astype(kind), np.full(len(q), least - room)
+    at, of, score = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, kind)
+    new, pending, space = [], 0, np.empty((len(q), PIECE), kind)
+    for s in range(0, len(v), PIECE):
+        right = v[s : s + PIECE].astype(kind, copy=False).T
+        rough = np.matmul(left, right, out=space if right.shape[1] == PIECE else None)
+        if not single:
+            rough[np.isnan(rough)] = -np.inf
+        width = rough.shape[1]
+        if s == 0 and width > k:
+            floor = np.maximum(floor, np.partition(rough, width - k, axis=1)[:, width - k] - room)
+        bar = floor.astype(kind)
+        some = np.flatnonzero(rough.max(axis=1) >= bar)
+        rough = rough if len(some) == len(q) else rough[some]
+        i, j = np.divmod(np.flatnonzero(rough >= bar[some, None]), width)
+        new.append((some[i], j + s, rough[i, j]))
+        pending += len(i)
+        if pending > 2 * k * len(q) or s + PIECE >= len(v):
+            at, of, score = (np.concatenate(c) for c in zip((at, of, score), *new, strict=True))
+            floor = np.maximum(floor, _least_of_best(at, score, len(q), k) - room)
+            keep = score >= floor[at]
+            at, of, score, new, pending = at[keep], of[keep], score[keep], [], 0
+    return at, of
+
+
+def _scored(keys: np.ndarray, q: np.ndarray, ids: np.ndarray, v: np.ndarray, far: float, k: int, least: float) -> tuple:
+    """Each query's k best of these rows, and what equals them, with at least this score."""
+    at, of = _best(q, v, far, k, least)
+    exact = np.concatenate([np.zeros(0), *((v[of[s : s + COPIES]].astype(np.float64) * q[at[s : s + COPIES]]).sum(axis=1) for s in range(0, len(at), COPIES))])
+    keep = (exact >= least) & (exact >= _least_of_best(at, exact, len(q), k)[at])
+    return keys[at[keep]], ids[of[keep]], exact[keep]
+
+
 def _scan(keys: np.ndarray, q: np.ndarray, k: int, least: float) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, v = batch.column(0).to_numpy(), _matrix(batch.column(1))
-            for s in range(0, len(v), 4096):
-                yield pa.record_batch(_hits(_scored(keys, q, ids[s : s + 4096], v[s : s + 4096], k, least)))
+            ids, v = batch.column(0).to_numpy(), _flat(batch.column(1))
+            if len(ids) and len(keys):
+                yield pa.record_batch(_hits([_scored(keys, q, ids, v, _far(v), k, least)]))
 
     return run
 
 
-def _dealt(tables: list[Planes], probes: int, parts: dict[tuple[int, int], int], lies: bool, asks: bool) -> Callable:
-    """Rows to the buckets that they ask, in all of a bucket's parts, and to the part of a bucket in which each lies."""
+def _dealt(tables: list[Planes], probes: int, parts: dict[tuple[int, int], int], lies: bool, asks: bool, slices: int = 1) -> Callable:
+    """Rows to the buckets that they ask, in all of a bucket's parts, and to the part of a bucket in which each lies. A part is
+    there once for each slice of the rows that ask."""
 
-    def sent(few: pa.RecordBatch, copies: list[tuple[int, int, int, int, bool]]) -> pa.RecordBatch:
-        at, table, bucket, part, held = (list(c) for c in zip(*copies, strict=True))
+    def sent(few: pa.RecordBatch, copies: list[tuple[int, int, int, int, bool, bool]]) -> pa.RecordBatch:
+        at, table, bucket, part, held, asked = (list(c) for c in zip(*copies, strict=True))
         rows = pa.array(at, pa.int64())
-        return pa.record_batch([pa.array(table, pa.int32()), pa.array(bucket, pa.int64()), pa.array(part, pa.int32()), pa.array(held, pa.bool_()), pa.array([asks] * len(at), pa.bool_()), few.column(0).take(rows), few.column(1).take(rows)], names=["table", "bucket", "part", "lies", "asks", "cid", "vec"])
+        return pa.record_batch([pa.array(table, pa.int32()), pa.array(bucket, pa.int64()), pa.array(part, pa.int32()), pa.array(held, pa.bool_()), pa.array(asked, pa.bool_()), few.column(0).take(rows), few.column(1).take(rows)], names=["table", "bucket", "part", "lies", "asks", "cid", "vec"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for few in (batch.slice(s, ROWS) for batch in batches for s in range(0, batch.num_rows, ROWS)):
             cid, x, copies = few.column(0).to_numpy(), _matrix(few.column(1)), []
+            turns = ((cid >> 20) % slices).tolist()
             for t, planes_ in enumerate(tables):
                 own, margin = planes_.own(x).tolist(), planes_.margins(x)
                 for i in range(len(x)):
                     for b in {own[i], *planes_.probes(margin[i], probes)} if asks else (own[i],):
                         n = parts.get((t, b), 1)
-                        home = cid[i] % n if lies and b == own[i] else -1
-                        copies += [(i, t, b, p, p == home) for p in (range(n) if asks else (home,))]
+                        home = int(cid[i] % n) if lies and b == own[i] else -1
+                        if asks:
+                            copies += [(i, t, b, p * slices + turns[i], p == home, True) for p in range(n)]
+                        if home >= 0:
+                            copies += [(i, t, b, home * slices + s, True, False) for s in range(slices) if not asks or s != turns[i]]
                         if len(copies) >= COPIES:
                             yield sent(few, copies)
                             copies = []
@@ -192,25 +246,26 @@ def _dealt(tables: list[Planes], probes: int, parts: dict[tuple[int, int], int],
     return run
 
 
-def _met(k: int, least: float, block: int = 2_048) -> Callable:
+def _met(k: int, least: float, block: int = 1_024) -> Callable:
     """What a part of a bucket holds, against all rows that ask it: rows in order of the parts, in each those that lie there
     first. These are held, and are of bounded number; those that only ask, however many, pass by them."""
 
-    def asked(rows: pa.RecordBatch | pa.Table, ids: np.ndarray, v: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def asked(rows: pa.RecordBatch | pa.Table, ids: np.ndarray, v: np.ndarray, far: float) -> Iterator[pa.RecordBatch]:
         rows = pa.table(rows.columns, names=rows.schema.names) if isinstance(rows, pa.RecordBatch) else rows
         asking = rows.filter(rows.column("asks"))
         for s in range(0, asking.num_rows if len(ids) else 0, block):
             asks = asking.slice(s, block).combine_chunks()
-            yield pa.record_batch(_hits(_scored(asks.column("cid").to_numpy(), _matrix(asks.column("vec").combine_chunks()), ids, v, k, least)))
+            yield pa.record_batch(_hits([_scored(asks.column("cid").to_numpy(), _matrix(asks.column("vec").combine_chunks()), ids, v, far, k, least)]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held, ids, v = None, [], None, None
+        key, held, ids, v, far = None, [], None, None, 0.0
 
-        def settled() -> tuple[pa.Table | None, np.ndarray, np.ndarray]:
+        def settled() -> tuple[pa.Table | None, np.ndarray, np.ndarray, float]:
             if not held:
-                return None, np.zeros(0, np.int64), np.zeros((0, 0))
+                return None, np.zeros(0, np.int64), np.zeros((0, 0)), 0.0
             table = pa.Table.from_batches(held).combine_chunks()
-            return table, table.column("cid").to_numpy(), _matrix(table.column("vec").combine_chunks())
+            v = _flat(table.column("vec").combine_chunks())
+            return table, table.column("cid").to_numpy(), v, _far(v)
 
         for batch in batches:
             if not batch.num_rows:
@@ -221,22 +276,22 @@ def _met(k: int, least: float, block: int = 2_048) -> Callable:
                 now = tuple(int(c[low]) for c in columns)
                 if now != key:
                     if held and ids is None:
-                        own, ids, v = settled()
-                        yield from asked(own, ids, v)
-                    key, held, ids, v = now, [], None, None
+                        own, ids, v, far = settled()
+                        yield from asked(own, ids, v, far)
+                    key, held, ids, v, far = now, [], None, None, 0.0
                 rows = batch.slice(low, high - low)
                 lying = rows.column(3).true_count
                 if lying:
                     held.append(rows.slice(0, lying))
                 if lying < rows.num_rows:
                     if ids is None:
-                        own, ids, v = settled()
+                        own, ids, v, far = settled()
                         if own is not None:
-                            yield from asked(own, ids, v)
-                    yield from asked(rows.slice(lying), ids, v)
+                            yield from asked(own, ids, v, far)
+                    yield from asked(rows.slice(lying), ids, v, far)
         if held and ids is None:
-            own, ids, v = settled()
-            yield from asked(own, ids, v)
+            own, ids, v, far = settled()
+            yield from asked(own, ids, v, far)
 
     return run
 
@@ -266,7 +321,7 @@ def _lists(classes: DataFrame, asking: DataFrame | None, size: int, k: int, leas
     drawn = F.shiftrightunsigned(F.xxhash64("cid", F.lit(7)), 11) / F.lit(float(1 << 53))
     some = lambda df, m, of: df.where(drawn < min(1.0, (2 * m + 100) / max(1, of))).orderBy(drawn, "cid").limit(m).select("cid", "vec").toArrow().combine_chunks()
     sample = some(classes, SAMPLE, n)
-    tables = [planes(_matrix(sample.column("vec").combine_chunks()) if n else np.zeros((0, size)), n, bucket, seed) for seed in range(TABLES)]
+    drawn_rows = _matrix(sample.column("vec").combine_chunks()) if n else np.zeros((0, size))
     trial = some(points_of, CALIBRATION, asks)
     keys, points = trial.column("cid").to_numpy(), _matrix(trial.column("vec").combine_chunks())
     truth = classes.select("cid", "vec").mapInArrow(_scan(keys, points, k, least), _HITS)
@@ -274,19 +329,28 @@ def _lists(classes: DataFrame, asking: DataFrame | None, size: int, k: int, leas
     truth = truth if asking is not None else truth.where("query <> id")
     truth = truth.join(classes.select(F.col("cid").alias("id"), "vec"), "id").toArrow().combine_chunks()
     asked, found = truth.column("query").to_numpy(), _matrix(truth.column("vec").combine_chunks()) if truth.num_rows else np.zeros((0, size))
-    count, probes, _ = calibrated(tables, points, [found[asked == q] for q in keys.tolist()], share)
+    near = [found[asked == q] for q in keys.tolist()]
+    # buckets of twice as many rows, until few enough are asked; one that holds all is
+    while not (fit := calibrated(tables := [planes(drawn_rows, n, bucket, seed) for seed in range(TABLES)], points, near, share, MOST)):
+        bucket *= 2
+    count, probes, _ = fit
     tables = tables[:count]
+    most = max(t.buckets for t in tables)
+    slices = max(1, min(TASKS // sum(t.buckets for t in tables), asks // PIECE))
 
     # a row for each bucket, of which the sample allows so many
     schema = "table int, bucket long, part int, lies boolean, asks boolean, cid long, vec " + dict(classes.dtypes)["vec"]
     held = classes.select("cid", "vec").mapInArrow(_dealt(tables, 1, {}, True, False), schema)
-    crowded = held.groupBy("table", "bucket").count().where(F.col("count") > 4 * bucket).collect()
-    parts = {(r.table, r.bucket): -(-r["count"] // (2 * bucket)) for r in crowded}
-    dealt = classes.select("cid", "vec").mapInArrow(_dealt(tables, probes, parts, True, asking is None), schema)
+    crowded = held.groupBy("table", "bucket").count().where(F.col("count") > HELD).collect()
+    parts = {(r.table, r.bucket): -(-r["count"] // HELD) for r in crowded}
+    dealt = classes.select("cid", "vec").mapInArrow(_dealt(tables, probes, parts, True, asking is None, slices), schema)
     if asking is not None:
-        dealt = dealt.unionByName(asking.select("cid", F.col("vec").cast(dict(classes.dtypes)["vec"]).alias("vec")).mapInArrow(_dealt(tables, probes, parts, False, True), schema))
+        dealt = dealt.unionByName(asking.select("cid", F.col("vec").cast(dict(classes.dtypes)["vec"]).alias("vec")).mapInArrow(_dealt(tables, probes, parts, False, True, slices), schema))
     place = ["table", "bucket", "part"]
-    hits = dealt.repartition(*place).sortWithinPartitions(*place, F.desc("lies")).mapInArrow(_met(k, least), _HITS)
+    each = slices * max(parts.values(), default=1)
+    tasks = min(count * most * each, max(TASKS, int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    nth_place = (F.col("table") * most + F.col("bucket")) * each + F.col("part")
+    hits = dealt.repartitionById(tasks, (nth_place % tasks).cast("int")).sortWithinPartitions(*place, F.desc("lies")).mapInArrow(_met(k, least), _HITS)
     # a pair that several tables found counts once; each task keeps its k best before they meet
     best = W.partitionBy("query").orderBy(F.desc("score"), "id")
     hits = hits.withColumn("nth", F.dense_rank().over(best)).where(F.col("nth") <= k).select("query", "id", "score").distinct()
