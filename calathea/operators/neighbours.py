@@ -336,7 +336,8 @@ def _lists(classes: DataFrame, asking: DataFrame | None, size: int, k: int, leas
     count, probes, _ = fit
     tables = tables[:count]
     most = max(t.buckets for t in tables)
-    slices = max(1, min(TASKS // sum(t.buckets for t in tables), asks // PIECE))
+    # what lies in a bucket is there once a slice, so there are no more of them than make up what asks it
+    slices = max(1, min(TASKS // sum(t.buckets for t in tables), asks // PIECE, count * probes * asks // max(1, n)))
 
     # a row for each bucket, of which the sample allows so many
     schema = "table int, bucket long, part int, lies boolean, asks boolean, cid long, vec " + dict(classes.dtypes)["vec"]
